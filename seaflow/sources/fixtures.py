@@ -339,3 +339,62 @@ class _Views:
             description=F.concat(F.col("event_type"), F.lit(" "), _text(key)),
             created_by=F.lit("SYSTEM"),
         )
+
+
+# -- texts --------------------------------------------------------------------
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL texts to audit, one per event: good and bad statements in turn, with values of the event in them."""
+    n = F.col("event_id").cast("string")
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    texts = [
+        text("DELETE FROM shipment WHERE shipment_id = ", n),
+        text("SELECT vessel_id FROM VESSEL -- note ", n),
+        text("SELECT /* ", n, " */ vessel_id FROM VESSEL"),
+        text("SELECT ", n, "; DROP TABLE VESSEL"),
+        text("SHOW TABLES"),
+        text("  \n\t "),
+        text("SELECT vessel_id, vessel_name FROM VESSEL WHERE vessel_id = ", n),
+        text("WITH v AS (SELECT vessel_id FROM VESSEL) SELECT * FROM v LIMIT ", n),
+        text("SELECT v.vessel_name, vo.voyage_number FROM VESSEL v JOIN VOYAGE vo ON vo.vessel_id = v.vessel_id"),
+        text("SELECT COUNT(*) AS n FROM SHIPMENT WHERE voyage_id = ", n, ";"),
+        text("SELECT event_id FROM SHIPMENT_EVENT limit  ", n, "00 "),
+        text("SELECT * FROM GHOST_", n),
+        text("SELECT * FROM VESSEL WHERE"),
+        text("SELECT ';' AS mark, \"a;b\" AS other FROM PORT WHERE port_name = 'it''s; ", n, "'"),
+        text("SELECT * FROM port WHERE port_name = 'drop ", n, "'"),
+        text("PRAGMA foreign_keys = OFF"),
+        text("select p.port_name from port p join zone_", n, " z on z.id = p.port_id join area_", n, " a on a.id = z.id"),
+        text("SELECT * FROM (SELECT * FROM cargo_item LIMIT 5000", n, ") x LIMIT 3"),
+        text("SELECT * FROM customer WHERE company_name = '", F.col("props"), "';"),
+        text(F.col("event_type"), " ", n),
+    ]
+    chosen = F.lit(None).cast("string")
+    for position, value in enumerate(texts):
+        chosen = F.when(F.col("event_id") % len(texts) == position, value).otherwise(chosen)
+    return source(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), chosen.alias("sql"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation texts put into each form a reply may take."""
+    text, number = F.col("text"), (F.col("conv_id") + F.col("turn"))
+    form = number % 6
+    query = F.concat(F.lit("SELECT bl_number FROM shipment WHERE shipment_id = "), number.cast("string"))
+    return source(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.when(
+            form == 0, F.concat(F.lit("<sql> "), query, F.lit(" </sql><explanation>"), text, F.lit("</explanation>"))
+        )
+        .when(form == 1, F.concat(text, F.lit("\n```sql\n"), query, F.lit("\n```\n"), text))
+        .when(form == 2, F.concat(F.lit("<SQL>```sql\nSELECT * FROM vessel;\n```</SQL>"), text))
+        .when(form == 3, F.concat(text, F.lit(" "), query))
+        .when(form == 4, F.concat(F.lit("<sql></sql>"), text))
+        .otherwise(text)
+        .alias("text"),
+    )
