@@ -22,10 +22,10 @@ KNOWN_TABLES = tuple(sorted(name.upper() for name in TABLES))
 # A clause keyword as the last word leaves the statement incomplete.
 OPEN_CLAUSES = "SELECT|FROM|JOIN|ON|WHERE|AND|OR|NOT|IN|LIKE|BY|HAVING|UNION|AS|WITH"
 
-_BLOCKED = rf"(?i)\b({BLOCKED_WORDS})\b"
+_BLOCKED = rf"(?iU)\b({BLOCKED_WORDS})\b"
 _LIMIT = r"(?i)\bLIMIT\s+(\d+)\b"
-_TABLE = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*)"
-_CTE = r"(?i)\b([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("
+_TABLE = r"(?iU)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*)"
+_CTE = r"(?iU)\b([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("
 _LITERAL = r"""'[^']*('|\z)|"[^"]*("|\z)"""
 _OPEN_END = rf"(?i)\b({OPEN_CLAUSES})\z"
 

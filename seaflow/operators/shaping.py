@@ -25,7 +25,7 @@ PALETTE_SIZE = 10
 STATUS_COLORS = {
     "Scheduled": "#bdc3c7",
     "Departed": "#2980b9",
-    "In Transit": "#e67e22",
+    "In Transit": "#e8673c",
     "Arrived": "#27ae60",
     "Completed": "#1a3a5c",
     "Booked": "#bdc3c7",
@@ -115,12 +115,14 @@ def top_customers(t: FreightTables, top_n: int = 10) -> DataFrame:
         .orderBy(F.desc("total_value_usd"), "company_name")
         .limit(top_n)
     )
-    industries = top.groupBy("industry").agg(F.min("total_value_usd").alias("lowest"))
-    colours = industries.select(
-        "industry",
-        F.pmod(F.row_number().over(Window.orderBy("lowest", "industry")) - 1, F.lit(PALETTE_SIZE)).alias("color_index"),
+    lowest = F.min("total_value_usd").over(Window.partitionBy("industry"))
+    position = F.dense_rank().over(Window.orderBy("lowest", "industry"))
+    return (
+        top.withColumn("lowest", lowest)
+        .withColumn("color_index", F.pmod(position - 1, F.lit(PALETTE_SIZE)).cast("bigint"))
+        .drop("lowest")
+        .orderBy("total_value_usd", F.desc("company_name"))
     )
-    return top.join(F.broadcast(colours), "industry").orderBy("total_value_usd", F.desc("company_name"))
 
 
 def lane_labels(t: FreightTables) -> DataFrame:
@@ -165,7 +167,9 @@ def event_pins(t: FreightTables, bl: Lookup = None) -> DataFrame:
         "event_type",
         F.pmod(
             F.row_number().over(Window.partitionBy("bl_number").orderBy("at")) - 1, F.lit(PALETTE_SIZE)
-        ).alias("color_index"),
+        )
+        .cast("bigint")
+        .alias("color_index"),
     )
     return placed.join(numbered, ["bl_number", "event_type"]).select(
         "bl_number", "event_id", "event_type", "event_timestamp", "port_name", "latitude", "longitude", "color_index"
@@ -187,7 +191,9 @@ def kpi_tiles(t: FreightTables) -> DataFrame:
         F.coalesce("avg_delay_h", F.lit(0.0)).alias("avg_delay_h"),
         F.coalesce("severely_delayed", F.lit(0)).alias("severely_delayed"),
     )
-    best = F.max_by(F.struct("route_name", "total_value_usd"), F.col("total_value_usd"))
+    best = F.min_by(
+        F.struct("route_name", "total_value_usd"), F.struct(-F.col("total_value_usd"), F.col("route_name"))
+    )
     lane = (
         revenue_by_trade_lane(t)
         .agg(best.alias("lane"))

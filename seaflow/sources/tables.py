@@ -142,7 +142,7 @@ _DIALECT_FUNCTIONS = (
     """,
     """
     create or replace temporary function julianday(moment timestamp_ntz) returns double
-    return timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', moment) / 86400000000e0 + 2440587.5e0
+    return (timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', moment) + 210866760000000) / 86400000e0
     """,
 )
 
