@@ -6,39 +6,52 @@ cell, and what lies before a cell is added from totals per cell, which are aggre
 Smaller groups stay in one piece, so nothing but the group sizes is computed for them. Every cut is a function of
 the row itself: a recomputed partition always lands in the same cell.
 
-Keys and order columns must not be NULL (the model declares them so). ``levels`` maps a name to an expression that
-never decreases along the order; each level refines the ones before it.
+Keys and order columns must not be NULL (the model declares them so). Expressions are SQL texts. ``levels`` maps a
+name to an expression that never decreases along the order; each level refines the ones before it. ``sizes`` may
+give the group sizes (keys and ``_rows``), or an upper bound of them, where a smaller table knows them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seaflow.functions.measures import totals
+
 SPLIT_ROWS = 1_000_000
 _BLOCK_BITS = 20
 
 
-def block(number: Column) -> Column:
+def block(number: str) -> str:
     """Blocks of about a million consecutive whole numbers."""
-    return F.shiftright(number.cast("bigint"), _BLOCK_BITS)
+    return f"shiftright(cast({number} as bigint), {_BLOCK_BITS})"
+
+
+def group_sizes(df: DataFrame, *keys: str) -> DataFrame:
+    return totals(df, keys, "count(*) as _rows")
+
+
+def _over(function: str, keys: list[str], order: list[str], frame: str = "") -> str:
+    partition = f"partition by {', '.join(keys)} " if keys else ""
+    return f"{function} over ({partition}order by {', '.join(order)} {frame})"
 
 
 def _cut(
-    df: DataFrame, keys: list[str], levels: dict[str, Column], split_rows: int, sizes: DataFrame | None
+    df: DataFrame, keys: list[str], levels: dict[str, str], split_rows: int, sizes: DataFrame | None
 ) -> DataFrame:
     """Add the level columns, NULL for groups that stay whole, and the flag ``_large``."""
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.filter(F.col("_rows") > split_rows)
+    sizes = group_sizes(df, *keys) if sizes is None else sizes
     if keys:
         # At most one row per split_rows rows of the input, hence small enough to send everywhere.
-        marked = df.join(F.broadcast(large.select(*keys, F.lit(True).alias("_large"))), keys, "left")
+        large = sizes.filter(f"_rows > {split_rows}").selectExpr(*keys, "true as _found")
+        marked = df.join(F.broadcast(large), keys, "left")
     else:
         # One row: the size of the whole input.
-        marked = df.crossJoin(F.broadcast(sizes.select((F.col("_rows") > split_rows).alias("_large"))))
-    marked = marked.withColumn("_large", F.coalesce(F.col("_large"), F.lit(False)))
-    return marked.withColumns({name: F.when(F.col("_large"), value) for name, value in levels.items()})
+        marked = df.crossJoin(F.broadcast(sizes.selectExpr(f"_rows > {split_rows} as _found")))
+    marked = marked.selectExpr("* except (_found)", "coalesce(_found, false) as _large")
+    return marked.selectExpr(
+        "*", *[f"case when _large then {value} end as {name}" for name, value in levels.items()]
+    )
 
 
 def _preceding(cells: DataFrame, keys: list[str], levels: list[str], measure: str) -> DataFrame:
@@ -46,37 +59,39 @@ def _preceding(cells: DataFrame, keys: list[str], levels: list[str], measure: st
 
     One window per level; each sees only the distinct values of that level within the level above.
     """
-    out = cells.withColumn("_before", F.lit(0).cast(cells.schema[measure].dataType))
-    for depth in range(len(levels)):
+    steps = []
+    out = cells
+    for depth, level in enumerate(levels):
         parent, here = keys + levels[:depth], keys + levels[: depth + 1]
-        earlier = (
-            Window.partitionBy(*parent).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        step = F.coalesce(F.sum(measure).over(earlier), F.lit(0))
+        earlier = _over(f"sum({measure})", parent, [level], "rows between unbounded preceding and 1 preceding")
+        step = f"_step{depth}"
         if depth == len(levels) - 1:
-            out = out.withColumn("_before", F.col("_before") + step)
+            out = out.selectExpr("*", f"{earlier} as {step}")
         else:
-            totals = cells.groupBy(*here).agg(F.sum(measure).alias(measure)).withColumn("_step", step)
-            out = (
-                out.join(totals.select(*here, "_step"), here)
-                .withColumn("_before", F.col("_before") + F.col("_step"))
-                .drop("_step")
-            )
-    return out.select(*keys, *levels, "_before")
+            upper = totals(cells, here, f"sum({measure}) as {measure}")
+            out = out.join(upper.selectExpr(*here, f"{earlier} as {step}"), here)
+        steps.append(f"coalesce({step}, 0)")
+    return out.selectExpr(*keys, *levels, f"{' + '.join(steps)} as _before")
 
 
-def _finish(marked: DataFrame, before: DataFrame, keys: list[str], levels: list[str], name: str, local: Column) -> DataFrame:
+def _finish(
+    marked: DataFrame, before: DataFrame, keys: list[str], levels: list[str], name: str, local: str
+) -> DataFrame:
     """Add the local value and what precedes the cell; groups that stayed whole have no match."""
-    out = marked.withColumn(name, local).join(before, keys + levels, "left")
-    total = F.col(name) + F.coalesce(F.col("_before"), F.lit(0))
-    return out.withColumn(name, total).drop("_large", "_before", *levels)
+    return (
+        marked.selectExpr("*", f"{local} as _local")
+        .join(before, keys + levels, "left")
+        .selectExpr(
+            f"* except (_large, _local, _before, {', '.join(levels)})", f"_local + coalesce(_before, 0) as {name}"
+        )
+    )
 
 
 def numbered(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
-    levels: dict[str, Column],
+    order: list[str],
+    levels: dict[str, str],
     name: str,
     split_rows: int = SPLIT_ROWS,
     sizes: DataFrame | None = None,
@@ -84,16 +99,16 @@ def numbered(
     """ROW_NUMBER over ``keys`` in ``order``."""
     names = list(levels)
     marked = _cut(df, keys, levels, split_rows, sizes)
-    cells = marked.filter("_large").groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_rows"))
-    local = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)).cast("bigint")
+    cells = totals(marked.filter("_large"), keys + names, "count(*) as _rows")
+    local = f"cast({_over('row_number()', keys + names, order)} as bigint)"
     return _finish(marked, _preceding(cells, keys, names, "_rows"), keys, names, name, local)
 
 
 def ranked(
     df: DataFrame,
     keys: list[str],
-    value: Column,
-    levels: dict[str, Column],
+    value: str,
+    levels: dict[str, str],
     name: str,
     dense: bool = False,
     split_rows: int = SPLIT_ROWS,
@@ -104,22 +119,16 @@ def ranked(
     ``levels`` must rise while the value falls. In a large group the rank of a value is one more than the rows (or
     distinct values) before it, so its rows only join their value's rank: no task needs to see all ties.
     """
-    levels = {**levels, "_value": -value}
+    levels = {**levels, "_value": f"-({value})"}
     names = list(levels)
+    extra = f"_large, {', '.join(names)}"
     marked = _cut(df, keys, levels, split_rows, sizes)
-    rank = F.dense_rank() if dense else F.rank()
-    whole = (
-        marked.filter("not _large")
-        .withColumn(name, rank.over(Window.partitionBy(*keys).orderBy(value.desc())).cast("bigint"))
-        .drop("_large", *names)
-    )
+    rank = _over("dense_rank()" if dense else "rank()", keys, [f"{value} desc"])
+    whole = marked.filter("not _large").selectExpr(f"* except ({extra})", f"cast({rank} as bigint) as {name}")
     large = marked.filter("_large")
-    per_value = F.max(F.lit(1)) if dense else F.count(F.lit(1))
-    cells = large.groupBy(*keys, *names).agg(per_value.cast("bigint").alias("_rows"))
-    split = (
-        large.join(_preceding(cells, keys, names, "_rows"), keys + names)
-        .withColumn(name, F.col("_before") + 1)
-        .drop("_large", "_before", *names)
+    cells = totals(large, keys + names, f"{'max(1L)' if dense else 'count(*)'} as _rows")
+    split = large.join(_preceding(cells, keys, names, "_rows"), keys + names).selectExpr(
+        f"* except ({extra}, _before)", f"_before + 1 as {name}"
     )
     return whole.unionByName(split)
 
@@ -127,8 +136,8 @@ def ranked(
 def running(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
-    levels: dict[str, Column],
+    order: list[str],
+    levels: dict[str, str],
     amount: str,
     name: str,
     split_rows: int = SPLIT_ROWS,
@@ -137,19 +146,16 @@ def running(
     """Running total of an exact ``amount`` column over ``keys`` in ``order``."""
     names = list(levels)
     marked = _cut(df, keys, levels, split_rows, sizes)
-    cells = marked.filter("_large").groupBy(*keys, *names).agg(F.sum(amount).alias("_amount"))
-    window = (
-        Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = F.sum(amount).over(window)
+    cells = totals(marked.filter("_large"), keys + names, f"sum({amount}) as _amount")
+    local = _over(f"sum({amount})", keys + names, order, "rows between unbounded preceding and current row")
     return _finish(marked, _preceding(cells, keys, names, "_amount"), keys, names, name, local)
 
 
 def neighbour(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
-    levels: dict[str, Column],
+    order: list[str],
+    levels: dict[str, str],
     values: list[str],
     name: str,
     following: bool = False,
@@ -162,15 +168,14 @@ def neighbour(
     """
     names = list(levels)
     marked = _cut(df, keys, levels, split_rows, sizes)
-    record = F.struct(*values)
-    move = F.lead if following else F.lag
-    local = move(record).over(Window.partitionBy(*keys, *names).orderBy(*order))
-    edge_of = F.min_by if following else F.max_by
-    edges = marked.filter("_large").groupBy(*keys, *names).agg(edge_of(record, F.struct(*order)).alias("_edge"))
-    edges = edges.withColumn("_edge", move("_edge").over(Window.partitionBy(*keys).orderBy(*names)))
+    record, position = f"struct({', '.join(values)})", f"struct({', '.join(order)})"
+    move, edge_of = ("lead", "min_by") if following else ("lag", "max_by")
+    edges = totals(marked.filter("_large"), keys + names, f"{edge_of}({record}, {position}) as _record")
+    edges = edges.selectExpr(*keys, *names, f"{_over(f'{move}(_record)', keys, names)} as _edge")
     return (
-        marked.withColumn(name, local)
+        marked.selectExpr("*", f"{_over(f'{move}({record})', keys + names, order)} as _local")
         .join(edges, keys + names, "left")
-        .withColumn(name, F.coalesce(F.col(name), F.col("_edge")))
-        .drop("_large", "_edge", *names)
+        .selectExpr(
+            f"* except (_large, _local, _edge, {', '.join(names)})", f"coalesce(_local, _edge) as {name}"
+        )
     )

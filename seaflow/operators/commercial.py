@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import exact_mean, exact_sum, half_up, percent, tally
+from seaflow.functions.measures import exact_mean, exact_sum, exact_total, half_up, percent, tally, totals
 from seaflow.operators.network import port_role
 from seaflow.sources.tables import FreightTables
 
-
-def _usd(alias: str) -> Column:
-    return exact_sum(F.col("total_value_usd")).cast("double").alias(alias)
-
-
-def _kg(alias: str) -> Column:
-    return exact_sum(F.col("total_weight_kg")).cast("double").alias(alias)
+_VALUE = f"{exact_total('total_value_usd')} as total_value_usd"
+_WEIGHT = f"{exact_total('total_weight_kg')} as total_weight_kg"
+_MEAN_VALUE = half_up(exact_mean("total_value_usd"), 2)
+_MEAN_WEIGHT = half_up(exact_mean("total_weight_kg"), 2)
 
 
 def top_customers_by_value(t: FreightTables) -> DataFrame:
     """Value and weight shipped per customer, with the voyages and shipment states seen."""
-    shipped = t.shipment.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("shipment_count"),
-        _usd("total_value_usd"),
-        half_up(exact_mean(F.col("total_value_usd")), 2).alias("avg_shipment_value_usd"),
-        _kg("total_weight_kg"),
-        F.count_distinct("voyage_id").alias("voyages_used"),
-        F.count_distinct("status").alias("status_variety"),
+    shipped = totals(
+        t.shipment,
+        ["customer_id"],
+        "count(*) as shipment_count",
+        _VALUE,
+        f"{_MEAN_VALUE} as avg_shipment_value_usd",
+        _WEIGHT,
+        "count(distinct voyage_id) as voyages_used",
+        "count(distinct status) as status_variety",
     )
     return (
         t.customer.select("customer_id", "company_name", "country_code", "industry")
@@ -42,41 +41,40 @@ def revenue_by_trade_lane(t: FreightTables) -> DataFrame:
     Shipments are first summed per voyage and customer, so the join to the voyages and the distinct count of
     customers run on reduced rows.
     """
-    per_voyage = t.shipment.groupBy("voyage_id", "customer_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("total_value_usd").alias("n_value"),
-        F.count("total_weight_kg").alias("n_weight"),
-        exact_sum(F.col("total_value_usd")).alias("usd"),
-        exact_sum(F.col("total_weight_kg")).alias("kg"),
+    per_voyage = totals(
+        t.shipment,
+        ["voyage_id", "customer_id"],
+        "count(*) as n",
+        "count(total_value_usd) as n_value",
+        "count(total_weight_kg) as n_weight",
+        f"{exact_sum('total_value_usd')} as usd",
+        f"{exact_sum('total_weight_kg')} as kg",
     )
-    per_route = (
-        t.voyage.select("voyage_id", "route_id")
-        .join(per_voyage, "voyage_id")
-        .groupBy("route_id")
-        .agg(
-            F.sum("n").alias("shipment_count"),
-            F.count_distinct("customer_id").alias("customer_count"),
-            F.sum("usd").cast("double").alias("total_value_usd"),
-            F.sum("kg").cast("double").alias("total_weight_kg"),
-            F.sum("n_value").alias("n_value"),
-            F.sum("n_weight").alias("n_weight"),
-        )
+    per_route = totals(
+        t.voyage.select("voyage_id", "route_id").join(per_voyage, "voyage_id"),
+        ["route_id"],
+        "sum(n) as shipment_count",
+        "count(distinct customer_id) as customer_count",
+        "cast(sum(usd) as double) as usd",
+        "cast(sum(kg) as double) as kg",
+        "sum(n_value) as n_value",
+        "sum(n_weight) as n_weight",
     )
     return (
         t.route.join(per_route, "route_id")
         .join(port_role(t, "origin", "port_name"), "origin_port_id")
         .join(port_role(t, "dest", "port_name"), "dest_port_id")
-        .select(
+        .selectExpr(
             "route_name",
             "service_name",
-            F.col("origin_port_name").alias("origin_port"),
-            F.col("dest_port_name").alias("dest_port"),
+            "origin_port_name as origin_port",
+            "dest_port_name as dest_port",
             "shipment_count",
             "customer_count",
-            "total_value_usd",
-            half_up(F.col("total_value_usd") / F.nullif("n_value", F.lit(0)), 2).alias("avg_value_usd"),
-            "total_weight_kg",
-            half_up(F.col("total_weight_kg") / F.nullif("n_weight", F.lit(0)), 2).alias("avg_weight_kg"),
+            "usd as total_value_usd",
+            f"{half_up('usd / nullif(n_value, 0)', 2)} as avg_value_usd",
+            "kg as total_weight_kg",
+            f"{half_up('kg / nullif(n_weight, 0)', 2)} as avg_weight_kg",
         )
         .orderBy(F.desc("total_value_usd"), "route_name")
     )
@@ -84,61 +82,57 @@ def revenue_by_trade_lane(t: FreightTables) -> DataFrame:
 
 def shipment_status_breakdown(t: FreightTables) -> DataFrame:
     """Shipments per status with their share of all shipments (a window over the few grouped rows)."""
-    return (
-        t.shipment.groupBy("status")
-        .agg(
-            F.count(F.lit(1)).alias("shipment_count"),
-            _usd("total_value_usd"),
-            half_up(exact_mean(F.col("total_value_usd")), 2).alias("avg_value_usd"),
-            _kg("total_weight_kg"),
-            half_up(exact_mean(F.col("total_weight_kg")), 2).alias("avg_weight_kg"),
-        )
-        .select(
-            "status",
-            "shipment_count",
-            percent(F.col("shipment_count"), F.sum("shipment_count").over(Window.partitionBy())).alias(
-                "pct_of_total"
-            ),
-            "total_value_usd",
-            "avg_value_usd",
-            "total_weight_kg",
-            "avg_weight_kg",
-        )
-        .orderBy(F.desc("shipment_count"), "status")
+    by_status = totals(
+        t.shipment,
+        ["status"],
+        "count(*) as shipment_count",
+        _VALUE,
+        f"{_MEAN_VALUE} as avg_value_usd",
+        _WEIGHT,
+        f"{_MEAN_WEIGHT} as avg_weight_kg",
     )
+    return by_status.selectExpr(
+        "status",
+        "shipment_count",
+        f"{percent('shipment_count', 'sum(shipment_count) over ()')} as pct_of_total",
+        "total_value_usd",
+        "avg_value_usd",
+        "total_weight_kg",
+        "avg_weight_kg",
+    ).orderBy(F.desc("shipment_count"), "status")
 
 
-def _temperature(fold) -> Column:
-    return half_up(fold(F.when(F.col("is_reefer") == 1, F.col("temperature_c"))), 1)
+def _temperature(fold: str) -> str:
+    return half_up(f"{fold}(case when is_reefer = 1 then temperature_c end)", 1)
 
 
 def reefer_by_type(t: FreightTables) -> DataFrame:
     """Refrigerated and dry containers per type, with the temperatures of the refrigerated ones."""
-    return (
-        t.container.groupBy("container_type")
-        .agg(
-            F.count(F.lit(1)).alias("total_containers"),
-            F.sum("is_reefer").alias("reefer_count"),
-            tally(F.col("is_reefer") == 0).alias("dry_count"),
-            percent(F.sum("is_reefer"), F.count(F.lit(1))).alias("reefer_pct"),
-            _temperature(F.avg).alias("avg_temp_c"),
-            _temperature(F.min).alias("min_temp_c"),
-            _temperature(F.max).alias("max_temp_c"),
-        )
-        .orderBy(F.desc("total_containers"), "container_type")
-    )
+    return totals(
+        t.container,
+        ["container_type"],
+        "count(*) as total_containers",
+        "sum(is_reefer) as reefer_count",
+        f"{tally('is_reefer = 0')} as dry_count",
+        f"{percent('sum(is_reefer)', 'count(*)')} as reefer_pct",
+        f"{_temperature('avg')} as avg_temp_c",
+        f"{_temperature('min')} as min_temp_c",
+        f"{_temperature('max')} as max_temp_c",
+    ).orderBy(F.desc("total_containers"), "container_type")
 
 
 def reefer_summary(t: FreightTables) -> DataFrame:
     """The same over all containers, as one row."""
-    return t.container.agg(
-        F.count(F.lit(1)).alias("total_containers"),
-        F.sum("is_reefer").alias("reefer_containers"),
-        tally(F.col("is_reefer") == 0).alias("dry_containers"),
-        percent(F.sum("is_reefer"), F.count(F.lit(1))).alias("reefer_pct"),
-        _temperature(F.avg).alias("avg_reefer_temp_c"),
-        _temperature(F.min).alias("min_temp_c"),
-        _temperature(F.max).alias("max_temp_c"),
+    return totals(
+        t.container,
+        [],
+        "count(*) as total_containers",
+        "sum(is_reefer) as reefer_containers",
+        f"{tally('is_reefer = 0')} as dry_containers",
+        f"{percent('sum(is_reefer)', 'count(*)')} as reefer_pct",
+        f"{_temperature('avg')} as avg_reefer_temp_c",
+        f"{_temperature('min')} as min_temp_c",
+        f"{_temperature('max')} as max_temp_c",
     )
 
 

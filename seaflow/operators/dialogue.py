@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seaflow.functions.measures import totals
 from seaflow.operators.querylog import GuardedResult, guarded_query
 from seaflow.sources.tables import FreightTables
 
@@ -20,8 +21,12 @@ _FENCED = r"(?isU)```(?:sql)?\s*(.*?)```"
 _BARE = r"(?isU)\b((?:WITH|SELECT)\b.*)"
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+def _strip(text: str) -> str:
+    return rf"regexp_replace({text}, r'(?U)\A\s+|\s+\z', '')"
+
+
+def _found(pattern: str) -> str:
+    return _strip(f"regexp_extract(_text, r'{pattern}', 1)")
 
 
 def extract_reply(replies: DataFrame, column: str = "text") -> DataFrame:
@@ -29,23 +34,23 @@ def extract_reply(replies: DataFrame, column: str = "text") -> DataFrame:
 
     A reply with none of them is all explanation.
     """
-    text = F.coalesce(F.col(column), F.lit(""))
-    tagged = _strip(F.regexp_extract(text, _TAGGED, 1))
-    unfenced = F.regexp_replace(F.regexp_replace(tagged, r"(?iU)\A```(?:sql)?\s*", ""), r"(?U)\s*```\z", "")
-    has_tag, has_fence, has_bare = text.rlike(_TAGGED), text.rlike(_FENCED), text.rlike(_BARE)
-    sql = (
-        F.when(has_tag, unfenced)
-        .when(has_fence, _strip(F.regexp_extract(text, _FENCED, 1)))
-        .when(has_bare, _strip(F.regexp_extract(text, _BARE, 1)))
-        .otherwise("")
-    )
-    explanation = (
-        F.when(has_tag, _strip(F.regexp_extract(text, _EXPLAINED, 1)))
-        .when(has_fence, _strip(F.regexp_replace(text, r"(?s)```.*?```", "")))
-        .when(has_bare, "")
-        .otherwise(_strip(text))
+    unfenced = rf"regexp_replace(regexp_replace({_found(_TAGGED)}, r'(?iU)\A```(?:sql)?\s*', ''), r'(?U)\s*```\z', '')"
+    unfenced_text = _strip("regexp_replace(_text, r'(?s)```.*?```', '')")
+    return (
+        replies.selectExpr("*", f"coalesce({column}, '') as _text")
+        .selectExpr(
+            "*",
+            f"case when _text rlike r'{_TAGGED}' then 'tag' when _text rlike r'{_FENCED}' then 'fence' "
+            f"when _text rlike r'{_BARE}' then 'bare' else 'none' end as _form",
+        )
+        .selectExpr(
+            "* except (_text, _form)",
+            f"case _form when 'tag' then {unfenced} when 'fence' then {_found(_FENCED)} "
+            f"when 'bare' then {_found(_BARE)} else '' end as sql",
+            f"case _form when 'tag' then {_found(_EXPLAINED)} when 'fence' then {unfenced_text} "
+            f"when 'bare' then '' else {_strip('_text')} end as explanation",
+        )
     )
-    return replies.withColumns({"sql": sql, "explanation": explanation})
 
 
 def recent_messages(messages: DataFrame, turns: int = HISTORY_TURNS) -> DataFrame:
@@ -54,33 +59,30 @@ def recent_messages(messages: DataFrame, turns: int = HISTORY_TURNS) -> DataFram
     The rank filter is applied before the shuffle as well (window group limit), so a very long conversation sends
     on no more than the window from each task.
     """
-    latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return (
         messages.filter(F.col("role").isin(*DIALOGUE_ROLES))
-        .withColumn("_age", F.row_number().over(latest))
-        .filter(F.col("_age") <= 2 * turns)
+        .selectExpr("*", "row_number() over (partition by conv_id order by turn desc) as _age")
+        .filter(f"_age <= {2 * turns}")
         .drop("_age")
     )
 
 
 def cleared(messages: DataFrame, resets: DataFrame) -> DataFrame:
     """Messages after the last reset of their conversation; ``resets`` holds ``(conv_id, turn)``."""
-    last = resets.groupBy("conv_id").agg(F.max("turn").alias("_reset"))
+    last = totals(resets, ["conv_id"], "max(turn) as _reset")
     return (
-        messages.join(last, "conv_id", "left")
-        .filter(F.col("_reset").isNull() | (F.col("turn") > F.col("_reset")))
-        .drop("_reset")
+        messages.join(last, "conv_id", "left").filter("_reset is null or turn > _reset").drop("_reset")
     )
 
 
 def question_quota(messages: DataFrame, limit: int = QUESTION_LIMIT) -> DataFrame:
     """Answered questions per conversation and what is left of the quota; a failed call leaves no answer."""
-    asked = messages.groupBy("conv_id").agg(F.count_if(F.col("role").isin(*ANSWER_ROLES)).alias("question_count"))
-    return asked.select(
+    answers = ", ".join(f"'{role}'" for role in ANSWER_ROLES)
+    return totals(messages, ["conv_id"], f"count_if(role in ({answers})) as question_count").selectExpr(
         "conv_id",
         "question_count",
-        F.greatest(F.lit(0), F.lit(limit) - F.col("question_count")).alias("remaining"),
-        F.when(F.col("question_count") >= limit, 1).otherwise(0).alias("at_limit"),
+        f"greatest(0, {limit} - question_count) as remaining",
+        f"if(question_count >= {limit}, 1, 0) as at_limit",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import exact_mean
+from seaflow.functions.measures import exact_mean, totals
 from seaflow.operators.network import port_role
 from seaflow.sources.tables import FreightTables
 
@@ -13,11 +13,10 @@ from seaflow.sources.tables import FreightTables
 def in_transit_shipments(t: FreightTables) -> DataFrame:
     """Shipments under way with customer and vessel."""
     return (
-        t.shipment.filter(F.col("status") == "In Transit")
+        t.shipment.filter("status = 'In Transit'")
         .select("bl_number", "customer_id", "voyage_id", "incoterms", "total_value_usd")
         .join(
-            t.customer.select("customer_id", "company_name", F.col("country_code").alias("customer_country")),
-            "customer_id",
+            t.customer.selectExpr("customer_id", "company_name", "country_code as customer_country"), "customer_id"
         )
         .join(t.voyage.select("voyage_id", "vessel_id"), "voyage_id")
         .join(t.vessel.select("vessel_id", "vessel_name", "vessel_type"), "vessel_id")
@@ -34,19 +33,21 @@ def in_transit_shipments(t: FreightTables) -> DataFrame:
     )
 
 
+def leg_totals(t: FreightTables) -> DataFrame:
+    """Legs and miles of each route that has legs."""
+    return totals(t.route_leg, ["route_id"], "count(*) as legs", "sum(distance_nm) as total_distance_nm")
+
+
 def route_leg_audit(t: FreightTables) -> DataFrame:
     """Legs and miles per route; a route without legs keeps a NULL distance."""
-    legs = t.route_leg.groupBy("route_id").agg(
-        F.count(F.lit(1)).alias("legs"), F.sum("distance_nm").alias("total_distance_nm")
-    )
     return (
-        t.route.join(legs, "route_id", "left")
-        .select(
+        t.route.join(leg_totals(t), "route_id", "left")
+        .selectExpr(
             "route_id",
             "route_name",
             "service_name",
             "transit_days",
-            F.coalesce("legs", F.lit(0)).alias("leg_count"),
+            "coalesce(legs, 0) as leg_count",
             "total_distance_nm",
         )
         .orderBy("route_id")
@@ -57,19 +58,19 @@ def shipment_manifest(t: FreightTables) -> DataFrame:
     """Every shipment with customer, vessel and both ports, newest booking first."""
     return (
         t.shipment.join(t.customer.select("customer_id", "company_name"), "customer_id")
-        .join(t.voyage.select("voyage_id", "vessel_id", F.col("status").alias("voyage_status")), "voyage_id")
+        .join(t.voyage.selectExpr("voyage_id", "vessel_id", "status as voyage_status"), "voyage_id")
         .join(t.vessel.select("vessel_id", "vessel_name"), "vessel_id")
         .join(port_role(t, "origin", "un_locode", "port_name"), "origin_port_id")
         .join(port_role(t, "dest", "un_locode", "port_name"), "dest_port_id")
         .orderBy(F.desc("booking_date"), "bl_number")
-        .select(
+        .selectExpr(
             "bl_number",
             "company_name",
             "vessel_name",
-            F.col("origin_un_locode").alias("origin_locode"),
-            F.col("origin_port_name").alias("origin_port"),
-            F.col("dest_un_locode").alias("dest_locode"),
-            F.col("dest_port_name").alias("dest_port"),
+            "origin_un_locode as origin_locode",
+            "origin_port_name as origin_port",
+            "dest_un_locode as dest_locode",
+            "dest_port_name as dest_port",
             "incoterms",
             "total_weight_kg",
             "total_value_usd",
@@ -80,18 +81,15 @@ def shipment_manifest(t: FreightTables) -> DataFrame:
 
 def consecutive_legs(t: FreightTables) -> DataFrame:
     """Each leg paired with the one that follows it on the same route."""
-    first = t.route_leg.select(
+    first = t.route_leg.selectExpr(
         "route_id",
-        F.col("leg_sequence").alias("leg_num"),
+        "leg_sequence as leg_num",
         "from_port_id",
-        F.col("to_port_id").alias("mid_port_id"),
-        F.col("distance_nm").alias("leg1_nm"),
+        "to_port_id as mid_port_id",
+        "distance_nm as leg1_nm",
     )
-    second = t.route_leg.select(
-        "route_id",
-        (F.col("leg_sequence") - 1).alias("leg_num"),
-        "to_port_id",
-        F.col("distance_nm").alias("leg2_nm"),
+    second = t.route_leg.selectExpr(
+        "route_id", "leg_sequence - 1 as leg_num", "to_port_id", "distance_nm as leg2_nm"
     )
     return (
         first.join(second, ["route_id", "leg_num"])
@@ -99,15 +97,15 @@ def consecutive_legs(t: FreightTables) -> DataFrame:
         .join(port_role(t, "from", "port_name"), "from_port_id")
         .join(port_role(t, "mid", "port_name"), "mid_port_id")
         .join(port_role(t, "to", "port_name"), "to_port_id")
-        .select(
+        .selectExpr(
             "route_name",
             "leg_num",
-            F.col("from_port_name").alias("departure_port"),
-            F.col("mid_port_name").alias("junction_port"),
-            F.col("to_port_name").alias("arrival_port"),
+            "from_port_name as departure_port",
+            "mid_port_name as junction_port",
+            "to_port_name as arrival_port",
             "leg1_nm",
             "leg2_nm",
-            (F.col("leg1_nm") + F.col("leg2_nm")).alias("combined_nm"),
+            "leg1_nm + leg2_nm as combined_nm",
         )
         .orderBy("route_name", "leg_num")
     )
@@ -119,10 +117,10 @@ def above_route_average(t: FreightTables) -> DataFrame:
     The averages are one row per route, so the comparison is a join and not a window over whole routes.
     """
     shipped = t.shipment.join(t.voyage.select("voyage_id", "route_id"), "voyage_id")
-    means = shipped.groupBy("route_id").agg(exact_mean(F.col("total_value_usd")).alias("mean_value"))
+    means = totals(shipped, ["route_id"], f"{exact_mean('total_value_usd')} as mean_value")
     return (
         shipped.join(means, "route_id")
-        .filter(F.col("total_value_usd") > F.col("mean_value"))
+        .filter("total_value_usd > mean_value")
         .join(t.customer.select("customer_id", "company_name"), "customer_id")
         .join(t.route.select("route_id", "route_name"), "route_id")
         .select("bl_number", "company_name", "route_name", "total_value_usd", "status")
@@ -132,12 +130,12 @@ def above_route_average(t: FreightTables) -> DataFrame:
 
 def voyages_with_customs_hold(t: FreightTables) -> DataFrame:
     """Voyages, with vessel, that carry at least one shipment held by customs."""
-    held = t.shipment_event.filter(F.col("event_type") == "Customs Hold").select("shipment_id").distinct()
+    held = t.shipment_event.filter("event_type = 'Customs Hold'").select("shipment_id").distinct()
     voyages = t.shipment.join(held, "shipment_id", "left_semi").select("voyage_id").distinct()
     return (
         t.voyage.join(voyages, "voyage_id", "left_semi")
         .join(t.vessel.select("vessel_id", "vessel_name", "imo_number", "operator"), "vessel_id")
-        .select("vessel_name", "imo_number", "operator", "voyage_number", F.col("status").alias("voyage_status"))
+        .selectExpr("vessel_name", "imo_number", "operator", "voyage_number", "status as voyage_status")
         .distinct()
         .orderBy("vessel_name", "voyage_number")
     )

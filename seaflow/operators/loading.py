@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from seaflow.functions.measures import totals
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
@@ -14,7 +15,7 @@ def new_rows(incoming: DataFrame, existing: DataFrame, unique: list[str], order:
     """
     rest = [c for c in incoming.columns if c not in unique and c not in order]
     leading = [c for c in order if c not in unique]
-    kept = incoming.groupBy(*unique).agg(F.min(F.struct(*leading, *rest)).alias("_row"))
+    kept = totals(incoming, unique, f"min(struct({', '.join(leading + rest)})) as _row")
     fresh = kept.join(existing.select(*unique), unique, "left_anti")
     return fresh.select(*unique, "_row.*").select(*incoming.columns)
 
@@ -32,5 +33,5 @@ def resolve_keys(
     A value that the dimension does not know gives NULL, so it shows up in the reference audit.
     """
     column = column or natural
-    lookup = dimension.select(F.col(natural).alias(column), F.col(surrogate).alias("_surrogate"))
-    return facts.join(lookup, column, "left").withColumnRenamed("_surrogate", f"{column}_{surrogate}").drop(column)
+    lookup = dimension.selectExpr(f"{natural} as {column}", f"{surrogate} as {column}_{surrogate}")
+    return facts.join(lookup, column, "left").drop(column)

@@ -5,50 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import arrived, half_up, on_time, percent, ratio, severe, tally
+from seaflow.functions.measures import ARRIVED, ON_TIME, OVER_A_DAY, half_up, percent, ratio, tally, totals
 from seaflow.sources.tables import FreightTables
 
 
 def port_calls(t: FreightTables) -> DataFrame:
     """Calls, distinct voyages and mean delay per port that was called at."""
-    return t.voyage_stop.groupBy("port_id").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.count_distinct("voyage_id").alias("voyages"),
-        F.avg("delay_hours").alias("mean_delay"),
+    return totals(
+        t.voyage_stop,
+        ["port_id"],
+        "count(*) as calls",
+        "count(distinct voyage_id) as voyages",
+        "avg(delay_hours) as mean_delay",
     )
 
 
 def busiest_ports(t: FreightTables) -> DataFrame:
     """Vessel calls and shipments out and in per port; shipments are reduced to port pairs before counting."""
-    pairs = t.shipment.groupBy("origin_port_id", "dest_port_id").agg(F.count(F.lit(1)).alias("n"))
-    ends = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("origin_port_id").alias("port_id"), F.col("n").alias("out"), F.lit(0).alias("in")),
-                F.struct(F.col("dest_port_id").alias("port_id"), F.lit(0).alias("out"), F.col("n").alias("in")),
-            )
-        )
-    )
-    shipments = ends.groupBy("port_id").agg(
-        F.sum("out").alias("outbound_shipments"), F.sum("in").alias("inbound_shipments")
-    )
-
-    def counted(name: str, alias: str):
-        return F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(alias)
-
+    pairs = totals(t.shipment, ["origin_port_id", "dest_port_id"], "count(*) as n")
+    ends = pairs.selectExpr("stack(2, origin_port_id, n, 0L, dest_port_id, 0L, n) as (port_id, departing, arriving)")
+    shipments = totals(ends, ["port_id"], "sum(departing) as departing", "sum(arriving) as arriving")
     return (
         t.port.join(port_calls(t), "port_id", "left")
         .join(shipments, "port_id", "left")
-        .select(
+        .selectExpr(
             "port_name",
             "un_locode",
             "country_code",
             "is_transshipment",
-            counted("calls", "total_calls"),
-            counted("voyages", "distinct_voyages"),
-            counted("outbound_shipments", "outbound_shipments"),
-            counted("inbound_shipments", "inbound_shipments"),
-            half_up(F.col("mean_delay"), 2).alias("avg_delay_h"),
+            "coalesce(calls, 0) as total_calls",
+            "coalesce(voyages, 0) as distinct_voyages",
+            "coalesce(departing, 0) as outbound_shipments",
+            "coalesce(arriving, 0) as inbound_shipments",
+            f"{half_up('mean_delay', 2)} as avg_delay_h",
         )
         .orderBy(F.desc("total_calls"), "un_locode")
     )
@@ -56,33 +45,32 @@ def busiest_ports(t: FreightTables) -> DataFrame:
 
 def avg_delay_by_route(t: FreightTables) -> DataFrame:
     """Delay profile per route; stops are folded to one row per voyage before they meet the voyages."""
-    per_voyage = t.voyage_stop.groupBy("voyage_id").agg(
-        F.count(F.lit(1)).alias("stops"),
-        F.sum("delay_hours").alias("delay"),
-        F.max("delay_hours").alias("worst"),
-        tally(severe()).alias("over_24h"),
-        tally(arrived()).alias("reached"),
-        tally(on_time()).alias("punctual"),
+    per_voyage = totals(
+        t.voyage_stop,
+        ["voyage_id"],
+        "count(*) as stops",
+        "sum(delay_hours) as delay",
+        "max(delay_hours) as worst",
+        f"{tally(OVER_A_DAY)} as over_a_day",
+        f"{tally(ARRIVED)} as reached",
+        f"{tally(ON_TIME)} as punctual",
     )
-    per_route = (
-        t.voyage.select("voyage_id", "route_id")
-        .join(per_voyage, "voyage_id")
-        .groupBy("route_id")
-        .agg(
-            F.count(F.lit(1)).alias("voyage_count"),
-            F.sum("stops").alias("total_stops"),
-            half_up(ratio(F.sum("delay"), F.sum("stops")), 2).alias("avg_delay_h"),
-            half_up(F.max("worst"), 2).alias("max_delay_h"),
-            F.sum("over_24h").alias("stops_over_24h"),
-            percent(F.sum("punctual"), F.sum("reached")).alias("otp_pct"),
-        )
+    per_route = totals(
+        t.voyage.select("voyage_id", "route_id").join(per_voyage, "voyage_id"),
+        ["route_id"],
+        "count(*) as voyage_count",
+        "sum(stops) as total_stops",
+        f"{half_up(ratio('sum(delay)', 'sum(stops)'), 2)} as avg_delay_h",
+        f"{half_up('max(worst)', 2)} as max_delay_h",
+        "sum(over_a_day) as stops_over_24h",
+        f"{percent('sum(punctual)', 'sum(reached)')} as otp_pct",
     )
     return (
         t.route.join(per_route, "route_id")
-        .select(
+        .selectExpr(
             "route_name",
             "service_name",
-            F.col("transit_days").alias("scheduled_transit_days"),
+            "transit_days as scheduled_transit_days",
             "voyage_count",
             "total_stops",
             "avg_delay_h",
@@ -96,7 +84,7 @@ def avg_delay_by_route(t: FreightTables) -> DataFrame:
 
 def port_role(t: FreightTables, role: str, *columns: str) -> DataFrame:
     """The port table in one role: ``<role>_<column>``, with the key as ``<role>_port_id``."""
-    return t.port.select(F.col("port_id").alias(f"{role}_port_id"), *[F.col(c).alias(f"{role}_{c}") for c in columns])
+    return t.port.selectExpr(*[f"{c} as {role}_{c}" for c in ("port_id", *columns)])
 
 
 def legs_with_ports(t: FreightTables, *columns: str) -> DataFrame:
@@ -113,19 +101,19 @@ def leg_distances(t: FreightTables) -> DataFrame:
     return (
         legs_with_ports(t, "port_name", "un_locode", "country_code")
         .orderBy("route_id", "leg_sequence")
-        .select(
+        .selectExpr(
             "route_name",
             "service_name",
             "leg_sequence",
-            F.col("from_port_name").alias("from_port"),
-            F.col("from_un_locode").alias("from_locode"),
-            F.col("from_country_code").alias("from_country"),
-            F.col("to_port_name").alias("to_port"),
-            F.col("to_un_locode").alias("to_locode"),
-            F.col("to_country_code").alias("to_country"),
+            "from_port_name as from_port",
+            "from_un_locode as from_locode",
+            "from_country_code as from_country",
+            "to_port_name as to_port",
+            "to_un_locode as to_locode",
+            "to_country_code as to_country",
             "distance_nm",
             "typical_days",
-            half_up(ratio(F.col("distance_nm"), F.col("typical_days")), 0).alias("avg_speed_nm_per_day"),
+            f"{half_up(ratio('distance_nm', 'typical_days'), 0)} as avg_speed_nm_per_day",
         )
     )
 

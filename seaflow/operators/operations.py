@@ -2,50 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import SEVERE_LIMIT_H, arrived, half_up, late, on_time, percent, severe, tally
+from seaflow.functions.measures import (
+    ARRIVED,
+    LATE,
+    ON_TIME,
+    OVER_A_DAY,
+    SEVERE_LIMIT_H,
+    SEVERELY_LATE,
+    half_up,
+    percent,
+    tally,
+    totals,
+)
 from seaflow.sources.tables import FreightTables
 
-
-def _arrived_mean_delay() -> Column:
-    return F.avg(F.when(arrived(), F.col("delay_hours")))
+_ARRIVED_MEAN = f"avg(case when {ARRIVED} then delay_hours end)"
 
 
 def on_time_performance(t: FreightTables) -> DataFrame:
     """One row for the whole fleet. Late stops include the severely late ones."""
-    return t.voyage_stop.agg(
-        F.count(F.lit(1)).alias("total_stops"),
-        tally(arrived()).alias("completed_stops"),
-        tally(~arrived()).alias("pending_stops"),
-        tally(on_time()).alias("on_time"),
-        tally(late()).alias("delayed"),
-        tally(severe() & arrived()).alias("severely_delayed"),
-        percent(tally(on_time()), tally(arrived())).alias("otp_pct"),
-        half_up(_arrived_mean_delay(), 2).alias("avg_delay_h"),
-        half_up(F.max("delay_hours"), 2).alias("max_delay_h"),
+    return totals(
+        t.voyage_stop,
+        [],
+        "count(*) as total_stops",
+        f"{tally(ARRIVED)} as completed_stops",
+        f"{tally('ata is null')} as pending_stops",
+        f"{tally(ON_TIME)} as on_time",
+        f"{tally(LATE)} as delayed",
+        f"{tally(SEVERELY_LATE)} as severely_delayed",
+        f"{percent(tally(ON_TIME), tally(ARRIVED))} as otp_pct",
+        f"{half_up(_ARRIVED_MEAN, 2)} as avg_delay_h",
+        f"{half_up('max(delay_hours)', 2)} as max_delay_h",
     )
 
 
 def delayed_voyages(t: FreightTables) -> DataFrame:
     """Voyages whose stops add up to more than a day of delay; reduced before any other table is touched."""
-    late_voyages = (
-        t.voyage_stop.groupBy("voyage_id")
-        .agg(
-            F.count(F.lit(1)).alias("stop_count"),
-            F.sum("delay_hours").alias("delay"),
-            half_up(F.avg("delay_hours"), 2).alias("avg_delay_h"),
-            half_up(F.max("delay_hours"), 2).alias("max_stop_delay_h"),
-            tally(severe()).alias("stops_over_24h"),
-        )
-        .filter(F.col("delay") > SEVERE_LIMIT_H)
-    )
+    late_voyages = totals(
+        t.voyage_stop,
+        ["voyage_id"],
+        "count(*) as stop_count",
+        "sum(delay_hours) as delay",
+        f"{half_up('avg(delay_hours)', 2)} as avg_delay_h",
+        f"{half_up('max(delay_hours)', 2)} as max_stop_delay_h",
+        f"{tally(OVER_A_DAY)} as stops_over_24h",
+    ).filter(f"delay > {SEVERE_LIMIT_H}")
     return (
         t.voyage.join(late_voyages, "voyage_id")
         .join(t.vessel.select("vessel_id", "vessel_name", "operator"), "vessel_id")
         .join(t.route.select("route_id", "route_name"), "route_id")
-        .select(
+        .selectExpr(
             "voyage_number",
             "status",
             "vessel_name",
@@ -54,7 +63,7 @@ def delayed_voyages(t: FreightTables) -> DataFrame:
             "departure_date",
             "arrival_date",
             "stop_count",
-            half_up(F.col("delay"), 2).alias("total_delay_h"),
+            f"{half_up('delay', 2)} as total_delay_h",
             "avg_delay_h",
             "max_stop_delay_h",
             "stops_over_24h",
@@ -65,19 +74,19 @@ def delayed_voyages(t: FreightTables) -> DataFrame:
 
 def avg_delay_by_port(t: FreightTables) -> DataFrame:
     """Delay profile of every port called at; the mean covers arrived calls, the maximum all calls."""
-    calls = t.voyage_stop.groupBy("port_id").agg(
-        F.count(F.lit(1)).alias("total_calls"),
-        tally(arrived()).alias("arrived_calls"),
-        half_up(_arrived_mean_delay(), 2).alias("avg_delay_h"),
-        half_up(F.max("delay_hours"), 2).alias("max_delay_h"),
-        tally(late()).alias("delayed_arrivals"),
-        tally(severe() & arrived()).alias("severe_delays"),
-        percent(tally(on_time()), tally(arrived())).alias("otp_pct"),
+    calls = totals(
+        t.voyage_stop,
+        ["port_id"],
+        "count(*) as total_calls",
+        f"{tally(ARRIVED)} as arrived_calls",
+        f"{half_up(_ARRIVED_MEAN, 2)} as avg_delay_h",
+        f"{half_up('max(delay_hours)', 2)} as max_delay_h",
+        f"{tally(LATE)} as delayed_arrivals",
+        f"{tally(SEVERELY_LATE)} as severe_delays",
+        f"{percent(tally(ON_TIME), tally(ARRIVED))} as otp_pct",
     )
     return (
-        t.port.select(
-            "port_id", "port_name", "un_locode", "country_code", "latitude", "longitude", "is_transshipment"
-        )
+        t.port.drop("timezone")
         .join(calls, "port_id")
         .drop("port_id")
         .orderBy(F.desc_nulls_last("avg_delay_h"), "un_locode")

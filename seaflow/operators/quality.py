@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import check_digit, exact_sum, half_up, tally, voyage_status
+from seaflow.functions.measures import check_digit, exact_sum, half_up, tally, totals, voyage_status
+from seaflow.operators.joins import leg_totals
 from seaflow.operators.network import port_role
 from seaflow.operators.tracking import event_timeline
 from seaflow.sources.schema import EVENT_CHAINS, OPTIONAL_EVENTS, SHIPMENT_STATUS_OF_VOYAGE, TABLES
@@ -20,11 +21,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
 def row_counts(t: FreightTables) -> DataFrame:
     """Rows per table."""
     return _union(
         [
-            t.table(name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name.upper()).alias("table_name"), "row_count")
+            totals(t.table(name), [], "count(*) as row_count").selectExpr(
+                f"'{name.upper()}' as table_name", "row_count"
+            )
             for name in t.names()
         ]
     )
@@ -39,56 +46,40 @@ def reference_orphans(t: FreightTables) -> DataFrame:
     All keys share one pass: each child is read once, its values are counted per (foreign key, value) before any
     join, so a value held by a third of the rows is one row per task.
     """
-    children, parents = [], []
+    children = []
     wanted: dict[str, list[str]] = {}
     for spec in TABLES.values():
-        if not spec.references:
-            continue
-        pairs = [
-            F.struct(F.lit(f"{spec.name.upper()}.{column}").alias("fk"), F.col(column).alias("value"))
-            for column in spec.references
-        ]
-        children.append(t.table(spec.name).select(F.inline(F.array(*pairs))))
+        if spec.references:
+            pairs = ", ".join(f"'{spec.name.upper()}.{c}', {c}" for c in spec.references)
+            children.append(
+                t.table(spec.name).selectExpr(f"stack({len(spec.references)}, {pairs}) as (fk, value)")
+            )
         for column, parent in spec.references.items():
             wanted.setdefault(parent, []).append(f"{spec.name.upper()}.{column}")
-    for parent, names in wanted.items():
-        parents.append(
-            t.table(parent).select(
-                F.explode(F.array(*map(F.lit, names))).alias("fk"), F.col(TABLES[parent].key).alias("value")
-            )
-        )
-    values = _union(children).groupBy("fk", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = _union(parents).withColumn("known", F.lit(1))
-    return (
-        values.join(known, ["fk", "value"], "left")
-        .groupBy("fk")
-        .agg(
-            F.sum(F.when(F.col("known").isNull() & F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias(
-                "orphans"
-            )
-        )
-        .orderBy("fk")
-    )
+    parents = [
+        t.table(parent).selectExpr(f"explode(array({_quoted(names)})) as fk", f"{TABLES[parent].key} as value")
+        for parent, names in wanted.items()
+    ]
+    values = totals(_union(children), ["fk", "value"], "count(*) as n")
+    known = _union(parents).selectExpr("*", "true as known")
+    return totals(
+        values.join(known, ["fk", "value"], "left"),
+        ["fk"],
+        "sum(if(known is null and value is not null, n, 0)) as orphans",
+    ).orderBy("fk")
 
 
 # -- constraints -------------------------------------------------------------
 
 
-def _row_rules(name: str) -> dict[str, Column]:
-    """Rules that one row can break: NOT NULL columns and closed domains."""
-    spec = TABLES[name]
-    rules = {f"not null: {c}": F.col(c).isNull() for c in spec.required}
-    for column, domain in spec.domains.items():
-        rules[f"domain: {column}"] = F.col(column).isNotNull() & ~F.col(column).isin(*domain)
-    return rules
-
-
 def _row_audit(t: FreightTables, name: str) -> DataFrame:
-    """All row rules of a table in one scan, as one line per rule."""
-    rules = _row_rules(name)
-    counts = [F.count_if(broken).alias(rule) for rule, broken in rules.items()]
-    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("violations")) for rule in rules]
-    return t.table(name).agg(*counts).select(F.lit(name).alias("table_name"), F.inline(F.array(*pairs)))
+    """Rules that one row can break, NOT NULL columns and closed domains: one scan, one line per rule."""
+    spec = TABLES[name]
+    rules = {f"not null: {c}": f"{c} is null" for c in spec.required}
+    rules |= {f"domain: {c}": f"{c} not in ({_quoted(domain)})" for c, domain in spec.domains.items()}
+    counts = totals(t.table(name), [], *[f"count_if({broken}) as `{rule}`" for rule, broken in rules.items()])
+    pairs = ", ".join(f"'{rule}', `{rule}`" for rule in rules)
+    return counts.selectExpr(f"'{name}' as table_name", f"stack({len(rules)}, {pairs}) as (rule, violations)")
 
 
 def _unique_audit(t: FreightTables, name: str) -> list[DataFrame]:
@@ -96,10 +87,11 @@ def _unique_audit(t: FreightTables, name: str) -> list[DataFrame]:
     spec = TABLES[name]
     reports = []
     for columns in ((spec.key,), *spec.unique):
-        keyed = t.table(name).dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+        present = " and ".join(f"{c} is not null" for c in columns)
+        keyed = totals(t.table(name).filter(present), columns, "count(*) as n")
         reports.append(
-            keyed.agg(F.count_if(F.col("n") > 1).alias("violations")).select(
-                F.lit(name).alias("table_name"), F.lit(f"unique: {', '.join(columns)}").alias("rule"), "violations"
+            totals(keyed, [], "count_if(n > 1) as violations").selectExpr(
+                f"'{name}' as table_name", f"'unique: {', '.join(columns)}' as rule", "violations"
             )
         )
     return reports
@@ -107,38 +99,32 @@ def _unique_audit(t: FreightTables, name: str) -> list[DataFrame]:
 
 def _status_audit(t: FreightTables) -> DataFrame:
     """Shipments whose status cannot go with that of their voyage; cancelled ones are exempt."""
-    allowed = reduce(
-        lambda a, b: a | b,
-        [
-            (F.col("voyage_status") == voyage) & F.col("status").isin(*shipment)
-            for voyage, shipment in SHIPMENT_STATUS_OF_VOYAGE.items()
-        ],
+    allowed = " or ".join(
+        f"(voyage_status = '{voyage}' and status in ({_quoted(statuses)}))"
+        for voyage, statuses in SHIPMENT_STATUS_OF_VOYAGE.items()
     )
     # One row per voyage and status meets the voyages, however many shipments a voyage carries.
-    carried = t.shipment.groupBy("voyage_id", "status").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        carried.join(t.voyage.select("voyage_id", F.col("status").alias("voyage_status")), "voyage_id")
-        .agg(
-            F.sum(F.when((F.col("status") != "Cancelled") & ~allowed, F.col("n")).otherwise(0)).alias("violations")
-        )
-        .select(
-            F.lit("shipment").alias("table_name"),
-            F.lit("status agrees with voyage").alias("rule"),
-            F.coalesce("violations", F.lit(0)).alias("violations"),
-        )
+    carried = totals(t.shipment, ["voyage_id", "status"], "count(*) as n")
+    broken = totals(
+        carried.join(t.voyage.selectExpr("voyage_id", "status as voyage_status"), "voyage_id"),
+        [],
+        f"sum(if(status <> 'Cancelled' and not ({allowed}), n, 0)) as violations",
+    )
+    return broken.selectExpr(
+        "'shipment' as table_name", "'status agrees with voyage' as rule", "coalesce(violations, 0) as violations"
     )
 
 
 def constraint_audit(t: FreightTables) -> DataFrame:
-    """Every declared constraint with the number of violations: the report is empty of them on clean data."""
+    """Every declared constraint with the number of violations; all are zero on clean data."""
     parts: list[DataFrame] = []
     for name in t.names():
         parts.append(_row_audit(t, name))
         parts.extend(_unique_audit(t, name))
-    orphans = reference_orphans(t).select(
-        F.lower(F.substring_index("fk", ".", 1)).alias("table_name"),
-        F.concat(F.lit("reference: "), F.substring_index("fk", ".", -1)).alias("rule"),
-        F.col("orphans").alias("violations"),
+    orphans = reference_orphans(t).selectExpr(
+        "lower(substring_index(fk, '.', 1)) as table_name",
+        "'reference: ' || substring_index(fk, '.', -1) as rule",
+        "orphans as violations",
     )
     return _union([*parts, orphans, _status_audit(t)])
 
@@ -148,19 +134,18 @@ def constraint_audit(t: FreightTables) -> DataFrame:
 
 def fleet_roster(t: FreightTables) -> DataFrame:
     """Vessels with their voyages and completed voyages."""
-    voyages = t.voyage.groupBy("vessel_id").agg(
-        F.count(F.lit(1)).alias("voyages"), tally(F.col("status") == "Completed").alias("completed")
-    )
+    completed = tally("status = 'Completed'")
+    voyages = totals(t.voyage, ["vessel_id"], "count(*) as voyages", f"{completed} as completed")
     return (
         t.vessel.join(voyages, "vessel_id", "left")
-        .select(
+        .selectExpr(
             "vessel_name",
             "operator",
             "vessel_type",
             "teu_capacity",
             "flag_state",
-            F.coalesce("voyages", F.lit(0)).alias("total_voyages"),
-            F.coalesce("completed", F.lit(0)).alias("completed_voyages"),
+            "coalesce(voyages, 0) as total_voyages",
+            "coalesce(completed, 0) as completed_voyages",
         )
         .orderBy(F.desc("total_voyages"), "vessel_name")
     )
@@ -168,22 +153,19 @@ def fleet_roster(t: FreightTables) -> DataFrame:
 
 def route_map_summary(t: FreightTables) -> DataFrame:
     """Routes with named end points, legs and miles."""
-    legs = t.route_leg.groupBy("route_id").agg(
-        F.count(F.lit(1)).alias("legs"), F.sum("distance_nm").alias("total_distance_nm")
-    )
     return (
         t.route.join(port_role(t, "origin", "un_locode", "port_name"), "origin_port_id")
         .join(port_role(t, "dest", "un_locode", "port_name"), "dest_port_id")
-        .join(legs, "route_id", "left")
-        .select(
+        .join(leg_totals(t), "route_id", "left")
+        .selectExpr(
             "route_name",
             "service_name",
             "transit_days",
-            F.col("origin_un_locode").alias("origin_locode"),
-            F.col("origin_port_name").alias("origin_port"),
-            F.col("dest_un_locode").alias("dest_locode"),
-            F.col("dest_port_name").alias("dest_port"),
-            F.coalesce("legs", F.lit(0)).alias("leg_count"),
+            "origin_un_locode as origin_locode",
+            "origin_port_name as origin_port",
+            "dest_un_locode as dest_locode",
+            "dest_port_name as dest_port",
+            "coalesce(legs, 0) as leg_count",
             "total_distance_nm",
         )
         .orderBy(F.desc("transit_days"), "route_name")
@@ -202,26 +184,24 @@ def voyage_schedule(t: FreightTables, rows: int = TOP_ROWS) -> DataFrame:
         .orderBy("departure_date", "voyage_id")
         .limit(rows)
     )
-    stops = (
-        t.voyage_stop.join(first.select("voyage_id"), "voyage_id", "left_semi")
-        .groupBy("voyage_id")
-        .agg(
-            F.count(F.lit(1)).alias("stops"),
-            half_up(F.avg("delay_hours"), 1).alias("avg_delay_hours"),
-            half_up(F.max("delay_hours"), 1).alias("max_delay_hours"),
-        )
+    stops = totals(
+        t.voyage_stop.join(first.select("voyage_id"), "voyage_id", "left_semi"),
+        ["voyage_id"],
+        "count(*) as stops",
+        f"{half_up('avg(delay_hours)', 1)} as avg_delay_hours",
+        f"{half_up('max(delay_hours)', 1)} as max_delay_hours",
     )
     return (
         first.join(stops, "voyage_id", "left")
         .orderBy("departure_date", "voyage_id")
-        .select(
+        .selectExpr(
             "voyage_number",
             "vessel_name",
             "route_name",
             "status",
             "departure_date",
             "arrival_date",
-            F.coalesce("stops", F.lit(0)).alias("stop_count"),
+            "coalesce(stops, 0) as stop_count",
             "avg_delay_hours",
             "max_delay_hours",
         )
@@ -230,38 +210,37 @@ def voyage_schedule(t: FreightTables, rows: int = TOP_ROWS) -> DataFrame:
 
 def commercial_chain(t: FreightTables, rows: int = TOP_ROWS) -> DataFrame:
     """The shipments with the most valuable cargo, with ports, containers and cargo totals."""
-    cargo = t.cargo_item.groupBy("container_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        exact_sum(F.col("weight_kg")).alias("kg"),
-        exact_sum(F.col("value_usd")).alias("usd"),
+    per_container = totals(
+        t.cargo_item,
+        ["container_id"],
+        "count(*) as lines",
+        f"{exact_sum('weight_kg')} as kg",
+        f"{exact_sum('value_usd')} as usd",
     )
-    totals = (
-        t.container.select("container_id", "shipment_id")
-        .join(cargo, "container_id", "left")
-        .groupBy("shipment_id")
-        .agg(
-            F.count(F.lit(1)).alias("containers"),
-            F.coalesce(F.sum("lines"), F.lit(0)).alias("cargo_lines"),
-            half_up(F.sum("kg").cast("double"), 0).alias("total_cargo_kg"),
-            half_up(F.sum("usd").cast("double"), 0).alias("total_cargo_usd"),
-        )
+    per_shipment = totals(
+        t.container.select("container_id", "shipment_id").join(per_container, "container_id", "left"),
+        ["shipment_id"],
+        "count(*) as boxes",
+        "sum(lines) as lines",
+        f"{half_up('cast(sum(kg) as double)', 0)} as total_cargo_kg",
+        f"{half_up('cast(sum(usd) as double)', 0)} as total_cargo_usd",
     )
     return (
-        t.shipment.join(totals, "shipment_id", "left")
-        .join(t.customer.select("customer_id", F.col("company_name").alias("customer")), "customer_id")
+        t.shipment.join(per_shipment, "shipment_id", "left")
+        .join(t.customer.select("customer_id", "company_name"), "customer_id")
         .join(port_role(t, "origin", "un_locode"), "origin_port_id")
         .join(port_role(t, "dest", "un_locode"), "dest_port_id")
         .orderBy(F.desc("total_cargo_usd"), "shipment_id")
         .limit(rows)
-        .select(
+        .selectExpr(
             "bl_number",
-            "customer",
-            F.col("origin_un_locode").alias("origin"),
-            F.col("dest_un_locode").alias("destination"),
+            "company_name as customer",
+            "origin_un_locode as origin",
+            "dest_un_locode as destination",
             "incoterms",
             "status",
-            F.coalesce("containers", F.lit(0)).alias("containers"),
-            F.coalesce("cargo_lines", F.lit(0)).alias("cargo_lines"),
+            "coalesce(boxes, 0) as containers",
+            "coalesce(lines, 0) as cargo_lines",
             "total_cargo_kg",
             "total_cargo_usd",
         )
@@ -270,7 +249,7 @@ def commercial_chain(t: FreightTables, rows: int = TOP_ROWS) -> DataFrame:
 
 def longest_chain(t: FreightTables) -> DataFrame:
     """Timeline of the shipment with the most events; the lowest bill of lading wins a tie."""
-    counts = t.shipment_event.groupBy("shipment_id").agg(F.count(F.lit(1)).alias("events"))
+    counts = totals(t.shipment_event, ["shipment_id"], "count(*) as events")
     longest = (
         t.shipment.select("shipment_id", "bl_number")
         .join(counts, "shipment_id")
@@ -280,8 +259,8 @@ def longest_chain(t: FreightTables) -> DataFrame:
     return (
         event_timeline(t, longest)
         .orderBy("event_timestamp", "event_id")
-        .select(
-            "event_timestamp", "event_type", F.col("un_locode").alias("port"), "port_name", "description", "created_by"
+        .selectExpr(
+            "event_timestamp", "event_type", "un_locode as port", "port_name", "description", "created_by"
         )
     )
 
@@ -289,15 +268,11 @@ def longest_chain(t: FreightTables) -> DataFrame:
 # -- rules -------------------------------------------------------------------
 
 
-def voyage_status_audit(t: FreightTables, as_of: Column) -> DataFrame:
-    """Stored status of each voyage next to the status its dates imply at ``as_of``."""
-    expected = voyage_status(F.col("departure_date"), F.col("arrival_date"), as_of)
-    return t.voyage.select(
-        "voyage_id",
-        "voyage_number",
-        "status",
-        expected.alias("expected_status"),
-        F.when(F.col("status") == expected, 1).otherwise(0).alias("agrees"),
+def voyage_status_audit(t: FreightTables, as_of: str) -> DataFrame:
+    """Stored status of each voyage next to the status its dates imply at ``as_of``, a timestamp expression."""
+    expected = voyage_status("departure_date", "arrival_date", as_of)
+    return t.voyage.selectExpr("voyage_id", "voyage_number", "status", f"{expected} as expected_status").selectExpr(
+        "*", "if(status = expected_status, 1, 0) as agrees"
     )
 
 
@@ -308,47 +283,52 @@ def event_chain_audit(t: FreightTables) -> DataFrame:
     more entries than there are event types. Reports missing and extra types, whether the expected ones came in
     order, and whether the shipment conforms; a customs hold may occur anywhere.
     """
-    first = t.shipment_event.groupBy("shipment_id", "event_type").agg(
-        F.min(F.struct("event_timestamp", "event_id")).alias("at"), F.count(F.lit(1)).alias("n")
+    first = totals(
+        t.shipment_event,
+        ["shipment_id", "event_type"],
+        "min(struct(event_timestamp, event_id)) as at",
+        "count(*) as n",
     )
-    seen = first.groupBy("shipment_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "event_type"))).alias("chain"), F.sum("n").alias("event_count")
+    seen = totals(
+        first,
+        ["shipment_id"],
+        "transform(array_sort(collect_list(struct(at, event_type))), e -> e.event_type) as found",
+        "sum(n) as event_count",
     )
-    expected = F.lit(None).cast("array<string>")
-    for status, chain in EVENT_CHAINS.items():
-        expected = F.when(F.col("status") == status, F.array(*map(F.lit, chain))).otherwise(expected)
-    no_events = F.array().cast("array<string>")
-    optional = F.array(*map(F.lit, OPTIONAL_EVENTS))
+    chains = " ".join(f"when '{status}' then array({_quoted(chain)})" for status, chain in EVENT_CHAINS.items())
     return (
-        t.shipment.select("shipment_id", "bl_number", "status", expected.alias("expected"))
+        t.shipment.selectExpr("shipment_id", "bl_number", "status", f"case status {chains} end as expected")
         .join(seen, "shipment_id", "left")
-        .withColumn("found", F.coalesce(F.transform("chain", lambda e: e["event_type"]), no_events))
-        .withColumn("missing", F.array_except("expected", "found"))
-        .withColumn("extra", F.array_except(F.array_except("found", "expected"), optional))
-        .withColumn("found_expected", F.filter("found", lambda e: F.array_contains("expected", e)))
-        .withColumn("expected_found", F.filter("expected", lambda e: F.array_contains("found", e)))
-        .withColumn("in_order", F.when(F.col("found_expected") == F.col("expected_found"), 1).otherwise(0))
-        .select(
+        .selectExpr(
             "bl_number",
             "status",
-            F.coalesce("event_count", F.lit(0)).alias("event_count"),
-            F.array_join(F.array_sort("missing"), ", ").alias("missing"),
-            F.array_join(F.array_sort("extra"), ", ").alias("extra"),
-            "in_order",
-            F.when((F.size("missing") == 0) & (F.size("extra") == 0) & (F.col("in_order") == 1), 1)
-            .otherwise(0)
-            .alias("conforms"),
+            "expected",
+            "coalesce(event_count, 0) as event_count",
+            "coalesce(found, cast(array() as array<string>)) as found",
+        )
+        .selectExpr(
+            "*",
+            "array_sort(array_except(expected, found)) as missing_types",
+            f"array_sort(array_except(found, array_union(expected, array({_quoted(OPTIONAL_EVENTS)})))) as extra_types",
+            "filter(found, e -> array_contains(expected, e)) = filter(expected, e -> array_contains(found, e)) "
+            "as ordered",
+        )
+        .selectExpr(
+            "bl_number",
+            "status",
+            "event_count",
+            "array_join(missing_types, ', ') as missing",
+            "array_join(extra_types, ', ') as extra",
+            "if(ordered, 1, 0) as in_order",
+            "if(ordered and size(missing_types) = 0 and size(extra_types) = 0, 1, 0) as conforms",
         )
     )
 
 
 def check_digit_audit(t: FreightTables) -> DataFrame:
     """Last digit of each container number against the check digit of the rest."""
-    number = F.col("container_number")
-    body = number.substr(F.lit(1), F.length(number) - 1)
-    return t.container.select(
+    return t.container.selectExpr(
         "container_id",
         "container_number",
-        check_digit(body).cast("bigint").alias("expected_digit"),
-        F.when(F.right(number, F.lit(1)) == check_digit(body).cast("string"), 1).otherwise(0).alias("valid"),
-    )
+        f"cast({check_digit('left(container_number, length(container_number) - 1)')} as bigint) as expected_digit",
+    ).selectExpr("*", "if(right(container_number, 1) = cast(expected_digit as string), 1, 0) as valid")

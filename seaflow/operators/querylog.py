@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from seaflow.sources.schema import TABLES
 from seaflow.sources.tables import FreightTables
@@ -22,27 +22,63 @@ KNOWN_TABLES = tuple(sorted(name.upper() for name in TABLES))
 # A clause keyword as the last word leaves the statement incomplete.
 OPEN_CLAUSES = "SELECT|FROM|JOIN|ON|WHERE|AND|OR|NOT|IN|LIKE|BY|HAVING|UNION|AS|WITH"
 
+# Java patterns, put into SQL as raw strings; \\x27 stands for the single quote.
 _BLOCKED = rf"(?iU)\b({BLOCKED_WORDS})\b"
 _LIMIT = r"(?i)\bLIMIT\s+(\d+)\b"
 _TABLE = r"(?iU)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*)"
 _CTE = r"(?iU)\b([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("
-_LITERAL = r"""'[^']*('|\z)|"[^"]*("|\z)"""
+_LITERAL = r"\x27[^\x27]*(\x27|\z)|\x22[^\x22]*(\x22|\z)"
 _OPEN_END = rf"(?i)\b({OPEN_CLAUSES})\z"
 
 # Spark functions that reach beyond the tables.
 _UNSAFE_CALL = r"(?i)\b(try_reflect|reflect|java_method)\s*\("
 
+_READ_ONLY = "Only read-only SELECT queries are accepted."
+_NO_COMMENTS = "The query must contain no comment syntax."
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
+def _message(text: str) -> str:
+    """A SQL string with this text; ``{name}`` in it takes the value of an expression."""
+    pieces = re.split(r"\{(.*?)\}", text)
+    quoted = [p if i % 2 else "'" + p.replace("'", r"\'") + "'" for i, p in enumerate(pieces)]
+    return " || ".join(q for q in quoted if q != "''")
 
-def _upper_names(text: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.upper)
 
+def _found(text: str, pattern: str) -> str:
+    return f"regexp_extract({text}, r'{pattern}', 1)"
 
-def _thousands(digits: Column) -> Column:
-    return F.regexp_replace(digits, r"(?<=\d)(?=(\d{3})+\z)", ",")
+
+def _removed(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, r'{pattern}', '')"
+
+
+def _names(text: str, pattern: str) -> str:
+    return f"transform(regexp_extract_all({text}, r'{pattern}', 1), name -> upper(name))"
+
+
+_SECURITY = (
+    ("contains(_text, '--')", _message(f"Line comments ('--') are not permitted. {_NO_COMMENTS}")),
+    (
+        "contains(_text, '/*') or contains(_text, '*/')",
+        _message(f"Block comments ('/* … */') are not permitted. {_NO_COMMENTS}"),
+    ),
+    (
+        f"contains({_removed(_removed('_text', r';\z'), _LITERAL)}, ';')",
+        _message(
+            "Multiple SQL statements are not permitted (semicolon detected outside a string literal). "
+            "Send one SELECT statement at a time."
+        ),
+    ),
+    ("_blocked <> ''", _message(f"Forbidden keyword '{{_blocked}}' is not permitted. {_READ_ONLY}")),
+    (
+        "_first not in ('SELECT', 'WITH')",
+        _message(f"Query must begin with SELECT or WITH, got '{{_first}}'. {_READ_ONLY}"),
+    ),
+)
+_UNKNOWN = _message(f"Unknown table referenced: '{{name}}'. Valid tables: {', '.join(KNOWN_TABLES)}.")
+_INCOMPLETE = _message("SQL syntax / planning error: nothing follows '{_open_end}'.")
+_APPENDED = _message(f"LIMIT {MAX_ROWS:,} appended automatically (no LIMIT clause found).")
+_CLAMPED = _message(f"LIMIT clamped from {{_shown}} to {MAX_ROWS:,} (maximum rows allowed per query).")
 
 
 def audit(queries: DataFrame, column: str = "sql") -> DataFrame:
@@ -51,95 +87,56 @@ def audit(queries: DataFrame, column: str = "sql") -> DataFrame:
     Security rules are all checked and all reported. Only a text that passes them gets its row limit and has its
     tables and its end looked at.
     """
-    text = _strip(F.coalesce(F.col(column), F.lit("")))
-    out = queries.withColumn("_text", text)
-    statement = F.regexp_replace("_text", r";\z", "")
-    blocked = F.upper(F.regexp_extract("_text", _BLOCKED, 1))
-    first = F.upper(F.regexp_extract("_text", r"\A(\S+)", 1))
-    read_only = "Only read-only SELECT queries are accepted."
-    no_comments = "The query must contain no comment syntax."
-    security = F.array_compact(
-        F.array(
-            F.when(
-                F.contains(F.col("_text"), F.lit("--")),
-                f"Line comments ('--') are not permitted. {no_comments}",
-            ),
-            F.when(
-                F.contains(F.col("_text"), F.lit("/*")) | F.contains(F.col("_text"), F.lit("*/")),
-                f"Block comments ('/* … */') are not permitted. {no_comments}",
-            ),
-            F.when(
-                F.contains(F.regexp_replace(statement, _LITERAL, ""), F.lit(";")),
-                "Multiple SQL statements are not permitted (semicolon detected outside a string literal). "
-                "Send one SELECT statement at a time.",
-            ),
-            F.when(
-                blocked != "",
-                F.concat(F.lit("Forbidden keyword '"), blocked, F.lit(f"' is not permitted. {read_only}")),
-            ),
-            F.when(
-                ~first.isin("SELECT", "WITH"),
-                F.concat(F.lit("Query must begin with SELECT or WITH, got '"), first, F.lit(f"'. {read_only}")),
-            ),
+    gates = ", ".join(f"case when {broken} then {message} end" for broken, message in _SECURITY)
+    known = ", ".join(f"'{name}'" for name in KNOWN_TABLES)
+    return (
+        queries.selectExpr("*", rf"regexp_replace(coalesce({column}, ''), r'\A\s+|\s+\z', '') as _text")
+        .selectExpr(
+            "*",
+            f"upper({_found('_text', _BLOCKED)}) as _blocked",
+            rf"upper({_found('_text', r'\A(\S+)')}) as _first",
+            rf"{_removed(_removed('_text', r';+\z'), r'\s+\z')} as _body",
         )
-    )
-    out = out.withColumn(
-        "_security", F.when(F.col("_text") == "", F.array(F.lit("SQL string is empty."))).otherwise(security)
-    ).withColumn("_passed", F.size("_security") == 0)
-
-    body = F.regexp_replace(F.regexp_replace("_text", r";+\z", ""), r"\s+\z", "")
-    out = out.withColumn("_body", body).withColumn(
-        "_limit", F.regexp_replace(F.regexp_extract("_body", _LIMIT, 1), r"\A0+(?=\d)", "")
-    )
-    limit = F.col("_limit")
-    over = (F.length(limit) > 4) | (F.expr("try_cast(_limit as int)") > MAX_ROWS)
-    out = out.withColumn(
-        "_capped",
-        F.when(limit == "", F.concat("_body", F.lit(f"\nLIMIT {MAX_ROWS}")))
-        .when(over, F.regexp_replace("_body", _LIMIT, f"LIMIT {MAX_ROWS}"))
-        .otherwise(F.col("_body")),
-    )
-    warnings = F.array_compact(
-        F.array(
-            F.when(limit == "", f"LIMIT {MAX_ROWS:,} appended automatically (no LIMIT clause found).").when(
-                over,
-                F.concat(
-                    F.lit("LIMIT clamped from "),
-                    _thousands(limit),
-                    F.lit(f" to {MAX_ROWS:,} (maximum rows allowed per query)."),
-                ),
-            )
+        .selectExpr(
+            "*",
+            f"if(_text = '', array('SQL string is empty.'), array_compact(array({gates}))) as _security",
+            rf"{_removed(_found('_body', _LIMIT), r'\A0+(?=\d)')} as _limit",
+            f"upper({_found('_body', _OPEN_END)}) as _open_end",
         )
-    )
-    unknown = F.array_sort(
-        F.array_except(
-            F.array_except(_upper_names(F.col("_capped"), _TABLE), _upper_names(F.col("_capped"), _CTE)),
-            F.array(*map(F.lit, KNOWN_TABLES)),
+        .selectExpr(
+            "*",
+            "size(_security) = 0 as _passed",
+            f"length(_limit) > 4 or coalesce(try_cast(_limit as int), 0) > {MAX_ROWS} as _over",
+            rf"regexp_replace(_limit, r'(?<=\d)(?=(\d{{3}})+\z)', ',') as _shown",
         )
-    )
-    valid_tables = f"'. Valid tables: {', '.join(KNOWN_TABLES)}."
-    open_end = F.upper(F.regexp_extract("_body", _OPEN_END, 1))
-    content = F.array_compact(
-        F.concat(
-            F.transform(
-                unknown, lambda name: F.concat(F.lit("Unknown table referenced: '"), name, F.lit(valid_tables))
-            ),
-            F.array(
-                F.when(
-                    open_end != "",
-                    F.concat(F.lit("SQL syntax / planning error: nothing follows '"), open_end, F.lit("'.")),
-                )
-            ),
+        .selectExpr(
+            "*",
+            rf"case when _limit = '' then _body || '\nLIMIT {MAX_ROWS}' "
+            f"when _over then regexp_replace(_body, r'{_LIMIT}', 'LIMIT {MAX_ROWS}') else _body end as _capped",
+        )
+        .selectExpr(
+            "*",
+            f"array_sort(array_except(array_except({_names('_capped', _TABLE)}, {_names('_capped', _CTE)}), "
+            f"array({known}))) as _unknown",
+        )
+        .selectExpr(
+            *queries.columns,
+            "_capped",
+            f"""if(_passed,
+                array_compact(transform(_unknown, name -> {_UNKNOWN})
+                    || array(case when _open_end <> '' then {_INCOMPLETE} end)),
+                _security) as errors""",
+            f"""if(_passed,
+                array_compact(array(case when _limit = '' then {_APPENDED} when _over then {_CLAMPED} end)),
+                cast(array() as array<string>)) as warnings""",
+        )
+        .selectExpr(
+            *queries.columns,
+            "size(errors) = 0 as is_valid",
+            "if(size(errors) = 0, _capped, '') as sanitized_sql",
+            "errors",
+            "warnings",
         )
-    )
-    none = F.array().cast("array<string>")
-    return (
-        out.withColumn("errors", F.when(F.col("_passed"), content).otherwise(F.col("_security")))
-        .withColumn("warnings", F.when(F.col("_passed"), warnings).otherwise(none))
-        .withColumn("is_valid", F.size("errors") == 0)
-        .withColumn("sanitized_sql", F.when(F.col("is_valid"), F.col("_capped")).otherwise(""))
-        .drop("_text", "_security", "_passed", "_body", "_limit", "_capped")
-        .select(*queries.columns, "is_valid", "sanitized_sql", "errors", "warnings")
     )
 
 
@@ -164,8 +161,7 @@ def guarded_query(t: FreightTables, sql: str, max_rows: int = MAX_ROWS) -> Guard
     statements are found by Spark's own analysis, against a catalog that holds the freight tables.
     """
     texts = t.spark.createDataFrame([(sql,)], "sql string")
-    refused = F.col("sql").rlike(_UNSAFE_CALL)
-    verdict = audit(texts).select("*", refused.alias("unsafe")).first()
+    verdict = audit(texts).selectExpr("*", f"sql rlike r'{_UNSAFE_CALL}' as unsafe").first()
     outcome = GuardedResult(sql=sql, errors=list(verdict.errors), warnings=list(verdict.warnings))
     if verdict.unsafe:
         outcome.errors.append("Functions that call into the JVM are not permitted.")

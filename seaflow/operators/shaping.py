@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import half_up
+from seaflow.functions.measures import half_up, totals
 from seaflow.operators.commercial import (
     revenue_by_trade_lane,
     shipment_status_breakdown,
@@ -36,40 +36,37 @@ STATUS_COLORS = {
 OTHER_COLOR = "#7f8c8d"
 
 
-def _millions(value: Column) -> Column:
+def _millions(value: str) -> str:
     """``$12.3 M``"""
-    return F.format_string("$%.1f M", half_up(value / 1_000_000.0, 1))
+    return f"format_string('$%.1f M', {half_up(f'({value} / 1e6)', 1)})"
 
 
 def marker_sizes(t: FreightTables) -> DataFrame:
     """Marker size per port, scaled by calls among hubs and among other ports separately."""
     ports = port_volume(t).select("port_id", "port_name", "is_transshipment", "total_calls")
-    spans = ports.groupBy("is_transshipment").agg(
-        F.min("total_calls").alias("least"), F.max("total_calls").alias("most")
-    )
-    share = (F.col("total_calls") - F.col("least")) * 28.0 / F.greatest(F.lit(1), F.col("most") - F.col("least"))
-    return ports.join(spans, "is_transshipment").select(
+    spans = totals(ports, ["is_transshipment"], "min(total_calls) as least", "max(total_calls) as most")
+    return ports.join(spans, "is_transshipment").selectExpr(
         "port_id",
         "port_name",
         "is_transshipment",
         "total_calls",
-        F.coalesce(8.0 + share, F.lit(10.0)).alias("marker_size"),
+        "coalesce(8e0 + (total_calls - least) * 28e0 / greatest(1, most - least), 10e0) as marker_size",
     )
 
 
 def delay_series(t: FreightTables) -> DataFrame:
     """Mean delay, worst delay and punctuality of each route as series, least delayed route first."""
-    routes = avg_delay_by_route(t).select(
+    routes = avg_delay_by_route(t).selectExpr(
         "route_name",
-        F.col("avg_delay_h").alias("sort_key"),
-        F.col("avg_delay_h").alias("Avg delay (h)"),
-        F.col("max_delay_h").alias("Max delay (h)"),
-        F.col("otp_pct").alias("OTP %"),
+        "avg_delay_h as sort_key",
+        "avg_delay_h as `Avg delay (h)`",
+        "max_delay_h as `Max delay (h)`",
+        "otp_pct as `OTP %`",
     )
+    series = ["Avg delay (h)", "Max delay (h)", "OTP %"]
     return (
-        routes.unpivot(
-            ["route_name", "sort_key"], ["Avg delay (h)", "Max delay (h)", "OTP %"], "series", "value"
-        )
+        routes.unpivot(["route_name", "sort_key"], series, "series", "value")
+        .filter("value is not null")
         .orderBy("sort_key", "route_name", "series")
         .drop("sort_key")
     )
@@ -77,30 +74,21 @@ def delay_series(t: FreightTables) -> DataFrame:
 
 def punctuality_bands(t: FreightTables) -> DataFrame:
     """Stops per band; severe delays are taken out of the delayed ones."""
-
-    def stops(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0))
-
-    severe = stops("severely_delayed")
-    labels = ["On time (≤ 4 h)", "Delayed (4–24 h)", "Severely delayed (> 24 h)", "Pending"]
-    values = [
-        stops("on_time"),
-        F.greatest(F.lit(0), stops("delayed") - severe),
-        severe,
-        stops("pending_stops"),
-    ]
-    wide = on_time_performance(t).select(*[v.alias(label) for v, label in zip(values, labels, strict=True)])
-    return wide.unpivot([], labels, "band", "stops")
+    return on_time_performance(t).selectExpr(
+        """stack(4,
+            'On time (≤ 4 h)', coalesce(on_time, 0),
+            'Delayed (4–24 h)', greatest(0, coalesce(delayed, 0) - coalesce(severely_delayed, 0)),
+            'Severely delayed (> 24 h)', coalesce(severely_delayed, 0),
+            'Pending', coalesce(pending_stops, 0)) as (band, stops)"""
+    )
 
 
 def voyage_status_series(t: FreightTables) -> DataFrame:
     """Voyages per vessel and state."""
-    states = ["completed", "active", "arrived", "scheduled"]
-    return (
-        vessel_utilization(t)
-        .select("vessel_name", *states)
-        .unpivot("vessel_name", states, "state", "voyages")
-        .withColumn("state", F.initcap("state"))
+    return vessel_utilization(t).selectExpr(
+        "vessel_name",
+        "stack(4, 'Completed', completed, 'Active', active, 'Arrived', arrived, 'Scheduled', scheduled) "
+        "as (state, voyages)",
     )
 
 
@@ -109,26 +97,24 @@ def top_customers(t: FreightTables, top_n: int = 10) -> DataFrame:
 
     Industries get a colour number in the order in which they appear; the windows see ``top_n`` rows.
     """
-    top = (
+    return (
         top_customers_by_value(t)
         .select("company_name", "industry", "total_value_usd")
         .orderBy(F.desc("total_value_usd"), "company_name")
         .limit(top_n)
-    )
-    lowest = F.min("total_value_usd").over(Window.partitionBy("industry"))
-    position = F.dense_rank().over(Window.orderBy("lowest", "industry"))
-    return (
-        top.withColumn("lowest", lowest)
-        .withColumn("color_index", F.pmod(position - 1, F.lit(PALETTE_SIZE)).cast("bigint"))
-        .drop("lowest")
+        .selectExpr("*", "min(total_value_usd) over (partition by industry) as lowest")
+        .selectExpr(
+            "* except (lowest)",
+            f"cast((dense_rank() over (order by lowest, industry) - 1) % {PALETTE_SIZE} as bigint) as color_index",
+        )
         .orderBy("total_value_usd", F.desc("company_name"))
     )
 
 
 def lane_labels(t: FreightTables) -> DataFrame:
     """Lanes with the label of their tile."""
-    return revenue_by_trade_lane(t).select(
-        F.concat("route_name", F.lit("<br>"), _millions(F.col("total_value_usd"))).alias("label"),
+    return revenue_by_trade_lane(t).selectExpr(
+        f"route_name || '<br>' || {_millions('total_value_usd')} as label",
         "total_value_usd",
         "shipment_count",
         "customer_count",
@@ -139,17 +125,15 @@ def lane_labels(t: FreightTables) -> DataFrame:
 
 def status_chart(t: FreightTables) -> DataFrame:
     """Count and value per status with colour and label, lowest value first."""
-    colour = F.lit(OTHER_COLOR)
-    for status, code in STATUS_COLORS.items():
-        colour = F.when(F.col("status") == status, code).otherwise(colour)
+    colours = " ".join(f"when '{status}' then '{code}'" for status, code in STATUS_COLORS.items())
     return (
         shipment_status_breakdown(t)
-        .select(
+        .selectExpr(
             "status",
             "shipment_count",
             "total_value_usd",
-            colour.alias("color"),
-            _millions(F.col("total_value_usd")).alias("label"),
+            f"case status {colours} else '{OTHER_COLOR}' end as color",
+            f"{_millions('total_value_usd')} as label",
         )
         .orderBy("total_value_usd")
     )
@@ -160,16 +144,11 @@ def event_pins(t: FreightTables, bl: Lookup = None) -> DataFrame:
 
     Only the first time of each type of a shipment enters the window, so a group holds the event types at most.
     """
-    placed = event_timeline(t, bl).dropna(subset=["latitude", "longitude"])
-    first = placed.groupBy("bl_number", "event_type").agg(F.min(F.struct("event_timestamp", "event_id")).alias("at"))
-    numbered = first.select(
-        "bl_number",
-        "event_type",
-        F.pmod(
-            F.row_number().over(Window.partitionBy("bl_number").orderBy("at")) - 1, F.lit(PALETTE_SIZE)
-        )
-        .cast("bigint")
-        .alias("color_index"),
+    placed = event_timeline(t, bl).filter("latitude is not null and longitude is not null")
+    first = totals(placed, ["bl_number", "event_type"], "min(struct(event_timestamp, event_id)) as at")
+    position = "row_number() over (partition by bl_number order by at) - 1"
+    numbered = first.selectExpr(
+        "bl_number", "event_type", f"cast(({position}) % {PALETTE_SIZE} as bigint) as color_index"
     )
     return placed.join(numbered, ["bl_number", "event_type"]).select(
         "bl_number", "event_id", "event_type", "event_timestamp", "port_name", "latitude", "longitude", "color_index"
@@ -178,29 +157,23 @@ def event_pins(t: FreightTables, bl: Lookup = None) -> DataFrame:
 
 def kpi_tiles(t: FreightTables) -> DataFrame:
     """The figures of the overview tiles, as one row."""
-    fleet = vessel_utilization(t).agg(
-        F.coalesce(F.sum("active"), F.lit(0)).alias("active_voyages"),
-        F.coalesce(F.sum("scheduled"), F.lit(0)).alias("scheduled_voyages"),
+    fleet = totals(
+        vessel_utilization(t),
+        [],
+        "coalesce(sum(active), 0) as active_voyages",
+        "coalesce(sum(scheduled), 0) as scheduled_voyages",
     )
-    shipments = t.shipment.agg(
-        F.count(F.lit(1)).alias("total_shipments"),
-        F.count_if(F.col("status") == "In Transit").alias("in_transit"),
+    shipments = totals(
+        t.shipment, [], "count(*) as total_shipments", "count_if(status = 'In Transit') as in_transit"
     )
-    punctuality = on_time_performance(t).select(
-        F.coalesce("otp_pct", F.lit(0.0)).alias("otp_pct"),
-        F.coalesce("avg_delay_h", F.lit(0.0)).alias("avg_delay_h"),
-        F.coalesce("severely_delayed", F.lit(0)).alias("severely_delayed"),
+    punctuality = on_time_performance(t).selectExpr(
+        "coalesce(otp_pct, 0e0) as otp_pct",
+        "coalesce(avg_delay_h, 0e0) as avg_delay_h",
+        "coalesce(severely_delayed, 0) as severely_delayed",
     )
-    best = F.min_by(
-        F.struct("route_name", "total_value_usd"), F.struct(-F.col("total_value_usd"), F.col("route_name"))
-    )
-    lane = (
-        revenue_by_trade_lane(t)
-        .agg(best.alias("lane"))
-        .select(
-            F.coalesce("lane.route_name", F.lit("N/A")).alias("top_lane"),
-            F.coalesce("lane.total_value_usd", F.lit(0.0)).alias("top_lane_value_usd"),
-        )
+    best = "min_by(struct(route_name, total_value_usd), struct(-total_value_usd, route_name)) as lane"
+    lane = totals(revenue_by_trade_lane(t), [], best).selectExpr(
+        "coalesce(lane.route_name, 'N/A') as top_lane", "coalesce(lane.total_value_usd, 0e0) as top_lane_value_usd"
     )
     # Four frames of one row each.
     return fleet.crossJoin(F.broadcast(shipments)).crossJoin(F.broadcast(punctuality)).crossJoin(F.broadcast(lane))
@@ -209,25 +182,30 @@ def kpi_tiles(t: FreightTables) -> DataFrame:
 def insights(t: FreightTables) -> DataFrame:
     """The statements of the overview as rows ``(insight, subject, detail, value)``."""
 
-    def row(df: DataFrame, name: str, subject: str | None, detail: str | None, value: str) -> DataFrame:
-        return df.select(
-            F.lit(name).alias("insight"),
-            (F.col(subject) if subject else F.lit(None).cast("string")).alias("subject"),
-            (F.col(detail) if detail else F.lit(None).cast("string")).alias("detail"),
-            F.col(value).cast("double").alias("value"),
+    def row(df: DataFrame, name: str, subject: str, detail: str, value: str) -> DataFrame:
+        return df.selectExpr(
+            f"'{name}' as insight",
+            f"cast({subject} as string) as subject",
+            f"cast({detail} as string) as detail",
+            f"cast({value} as double) as value",
         )
 
     def first(df: DataFrame, value: str, name: str) -> DataFrame:
         return df.orderBy(F.desc(value), name).limit(1)
 
-    lanes = revenue_by_trade_lane(t).agg(
-        F.count(F.lit(1)).alias("lanes"), F.sum(F.col("total_value_usd").cast("decimal(38,2)")).alias("revenue")
+    lanes = totals(
+        revenue_by_trade_lane(t),
+        [],
+        "count(*) as lanes",
+        "cast(sum(cast(total_value_usd as decimal(38,2))) as double) as revenue",
+    ).filter("lanes > 0")
+    lane_rows = lanes.selectExpr(
+        "stack(2, 'trade lanes', cast(lanes as double), 'booked revenue', revenue) as (insight, value)"
     )
-    lanes = lanes.filter(F.col("lanes") > 0)
-    severe = on_time_performance(t).filter(F.col("severely_delayed") > 0)
+    severe = on_time_performance(t).filter("severely_delayed > 0")
     parts = [
         row(first(busiest_ports(t), "total_calls", "un_locode"), "busiest port", "port_name", "un_locode", "total_calls"),
-        row(first(avg_delay_by_route(t), "avg_delay_h", "route_name"), "worst route", "route_name", None, "avg_delay_h"),
+        row(first(avg_delay_by_route(t), "avg_delay_h", "route_name"), "worst route", "route_name", "null", "avg_delay_h"),
         row(
             first(top_customers_by_value(t), "total_value_usd", "company_name"),
             "top customer",
@@ -235,24 +213,16 @@ def insights(t: FreightTables) -> DataFrame:
             "industry",
             "total_value_usd",
         ),
-        row(lanes, "trade lanes", None, None, "lanes"),
-        row(lanes, "booked revenue", None, None, "revenue"),
-        row(severe, "severe delays", None, None, "severely_delayed"),
+        lane_rows.selectExpr("insight", "cast(null as string) as subject", "cast(null as string) as detail", "value"),
+        row(severe, "severe delays", "null", "null", "severely_delayed"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def filter_options(t: FreightTables) -> DataFrame:
     """Values the list filters offer."""
-    listed = shipment_list(t).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("status").alias("filter"), F.col("status").alias("value")),
-                F.struct(F.lit("trade_lane").alias("filter"), F.col("trade_lane").alias("value")),
-            )
-        )
-    )
-    return listed.dropna().distinct().orderBy("filter", "value")
+    pairs = shipment_list(t).selectExpr("stack(2, 'status', status, 'trade_lane', trade_lane) as (filter, value)")
+    return pairs.filter("value is not null").distinct().orderBy("filter", "value")
 
 
 def filtered_list(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import exact_sum, half_up
+from seaflow.functions.measures import exact_total, half_up, totals
 from seaflow.operators.network import legs_with_ports, port_calls, port_role
 from seaflow.sources.tables import FreightTables
 
@@ -28,23 +28,23 @@ def shipments_of(t: FreightTables, bl: Lookup) -> DataFrame:
 def shipment_list(t: FreightTables) -> DataFrame:
     """All shipments with customer, lane and ports, newest booking first."""
     return (
-        t.shipment.join(t.customer.select("customer_id", F.col("company_name").alias("customer")), "customer_id")
-        .join(t.voyage.select("voyage_id", "route_id", F.col("status").alias("voyage_status")), "voyage_id")
-        .join(t.route.select("route_id", F.col("route_name").alias("trade_lane")), "route_id")
+        t.shipment.join(t.customer.select("customer_id", "company_name"), "customer_id")
+        .join(t.voyage.selectExpr("voyage_id", "route_id", "status as voyage_status"), "voyage_id")
+        .join(t.route.select("route_id", "route_name"), "route_id")
         .join(port_role(t, "origin", "un_locode"), "origin_port_id")
         .join(port_role(t, "dest", "un_locode"), "dest_port_id")
-        .select(
+        .selectExpr(
             "bl_number",
-            "customer",
-            "trade_lane",
-            F.col("origin_un_locode").alias("origin"),
-            F.col("dest_un_locode").alias("destination"),
+            "company_name as customer",
+            "route_name as trade_lane",
+            "origin_un_locode as origin",
+            "dest_un_locode as destination",
             "incoterms",
             "status",
             "voyage_status",
             "booking_date",
-            half_up(F.col("total_weight_kg"), 0).alias("weight_kg"),
-            half_up(F.col("total_value_usd"), 0).alias("value_usd"),
+            f"{half_up('total_weight_kg', 0)} as weight_kg",
+            f"{half_up('total_value_usd', 0)} as value_usd",
         )
         .orderBy(F.desc("booking_date"), "bl_number")
     )
@@ -59,7 +59,7 @@ def shipment_detail(t: FreightTables, bl: Lookup = None) -> DataFrame:
         .join(t.route.select("route_id", "route_name"), "route_id")
         .join(port_role(t, "origin", "port_name", "un_locode"), "origin_port_id")
         .join(port_role(t, "dest", "port_name", "un_locode"), "dest_port_id")
-        .select(
+        .selectExpr(
             "bl_number",
             "status",
             "incoterms",
@@ -73,10 +73,10 @@ def shipment_detail(t: FreightTables, bl: Lookup = None) -> DataFrame:
             "arrival_date",
             "voyage_status",
             "route_name",
-            F.col("origin_port_name").alias("origin_port"),
-            F.col("origin_un_locode").alias("origin_locode"),
-            F.col("dest_port_name").alias("dest_port"),
-            F.col("dest_un_locode").alias("dest_locode"),
+            "origin_port_name as origin_port",
+            "origin_un_locode as origin_locode",
+            "dest_port_name as dest_port",
+            "dest_un_locode as dest_locode",
         )
     )
 
@@ -128,12 +128,10 @@ def shipment_containers(t: FreightTables, bl: Lookup = None) -> DataFrame:
     lines = t.cargo_item
     if bl is not None:
         lines = lines.join(wanted.select("container_id"), "container_id", "left_semi")
-    cargo = lines.groupBy("container_id").agg(
-        F.count(F.lit(1)).alias("lines"), exact_sum(F.col("value_usd")).cast("double").alias("usd")
-    )
+    cargo = totals(lines, ["container_id"], "count(*) as n", f"{exact_total('value_usd')} as usd")
     return (
         wanted.join(cargo, "container_id", "left")
-        .select(
+        .selectExpr(
             "bl_number",
             "container_number",
             "container_type",
@@ -141,8 +139,8 @@ def shipment_containers(t: FreightTables, bl: Lookup = None) -> DataFrame:
             "temperature_c",
             "tare_weight_kg",
             "max_payload_kg",
-            F.coalesce("lines", F.lit(0)).alias("cargo_items"),
-            half_up(F.col("usd"), 0).alias("cargo_value_usd"),
+            "coalesce(n, 0) as cargo_items",
+            f"{half_up('usd', 0)} as cargo_value_usd",
         )
         .orderBy("bl_number", "container_number")
     )
@@ -175,7 +173,7 @@ def port_volume(t: FreightTables) -> DataFrame:
     """Call volume per port with its position, for the network map."""
     return (
         t.port.join(port_calls(t), "port_id", "left")
-        .select(
+        .selectExpr(
             "port_id",
             "port_name",
             "un_locode",
@@ -183,9 +181,9 @@ def port_volume(t: FreightTables) -> DataFrame:
             "latitude",
             "longitude",
             "is_transshipment",
-            F.coalesce("calls", F.lit(0)).alias("total_calls"),
-            F.coalesce("voyages", F.lit(0)).alias("distinct_voyages"),
-            half_up(F.col("mean_delay"), 1).alias("avg_delay_h"),
+            "coalesce(calls, 0) as total_calls",
+            "coalesce(voyages, 0) as distinct_voyages",
+            f"{half_up('mean_delay', 1)} as avg_delay_h",
         )
         .orderBy(F.desc("total_calls"), "port_id")
     )
@@ -196,16 +194,16 @@ def leg_segments(t: FreightTables) -> DataFrame:
     return (
         legs_with_ports(t, "latitude", "longitude", "port_name")
         .orderBy("route_id", "leg_sequence")
-        .select(
+        .selectExpr(
             "route_name",
             "service_name",
             "leg_sequence",
-            F.col("from_latitude").alias("from_lat"),
-            F.col("from_longitude").alias("from_lon"),
-            F.col("from_port_name").alias("from_name"),
-            F.col("to_latitude").alias("to_lat"),
-            F.col("to_longitude").alias("to_lon"),
-            F.col("to_port_name").alias("to_name"),
+            "from_latitude as from_lat",
+            "from_longitude as from_lon",
+            "from_port_name as from_name",
+            "to_latitude as to_lat",
+            "to_longitude as to_lon",
+            "to_port_name as to_name",
             "distance_nm",
         )
     )

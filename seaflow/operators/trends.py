@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaflow.functions import spread
-from seaflow.functions.measures import exact_sum, half_up, load_band, percent, ratio, tally
+from seaflow.functions.measures import (
+    exact_sum,
+    exact_total,
+    half_up,
+    load_band,
+    percent,
+    ratio,
+    tally,
+    totals,
+)
 from seaflow.operators.network import port_role
 from seaflow.sources.tables import FreightTables
 
 
 def port_congestion(t: FreightTables) -> DataFrame:
     """Share of delayed calls and delay per call for every port."""
-    calls = t.voyage_stop.groupBy("port_id").agg(
-        F.count(F.lit(1)).alias("calls"),
-        tally(F.col("delay_hours") > 0).alias("delayed"),
-        F.sum("delay_hours").alias("delay"),
+    calls = totals(
+        t.voyage_stop,
+        ["port_id"],
+        "count(*) as calls",
+        f"{tally('delay_hours > 0')} as delayed",
+        "sum(delay_hours) as delay",
     )
-    calls_made, delayed = F.coalesce("calls", F.lit(0)), F.coalesce("delayed", F.lit(0))
     return (
         t.port.join(calls, "port_id", "left")
-        .select(
+        .selectExpr(
             "un_locode",
             "port_name",
             "country_code",
             "is_transshipment",
-            calls_made.alias("total_vessel_calls"),
-            delayed.alias("delayed_calls"),
-            percent(delayed, calls_made).alias("pct_delayed"),
-            half_up(ratio(F.col("delay"), calls_made), 2).alias("avg_delay_hours"),
-            half_up(F.col("delay"), 2).alias("total_delay_hours"),
-            half_up(ratio(F.col("delay"), calls_made), 2).alias("congestion_index"),
+            "coalesce(calls, 0) as total_vessel_calls",
+            "coalesce(delayed, 0) as delayed_calls",
+            f"{percent('delayed', 'calls')} as pct_delayed",
+            f"{half_up(ratio('delay', 'calls'), 2)} as avg_delay_hours",
+            f"{half_up('delay', 2)} as total_delay_hours",
+            f"{half_up(ratio('delay', 'calls'), 2)} as congestion_index",
         )
         .orderBy(F.desc("congestion_index"), "un_locode")
     )
@@ -39,32 +49,29 @@ def port_congestion(t: FreightTables) -> DataFrame:
 
 def lane_punctuality(t: FreightTables) -> DataFrame:
     """Arrived shipments per country pair and the share whose voyage had no delay at its last stop."""
-    final = t.voyage_stop.groupBy("voyage_id").agg(F.max_by("delay_hours", "stop_sequence").alias("final_delay"))
+    final = totals(t.voyage_stop, ["voyage_id"], "max_by(delay_hours, stop_sequence) as final_delay")
     # Shipments are counted per voyage and port pair first, so a busy voyage is one row in the join.
-    arrived = (
-        t.shipment.filter(F.col("status").isin("Arrived", "Delivered"))
-        .groupBy("voyage_id", "origin_port_id", "dest_port_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+    arrived = totals(
+        t.shipment.filter("status in ('Arrived', 'Delivered')"),
+        ["voyage_id", "origin_port_id", "dest_port_id"],
+        "count(*) as n",
     )
-    return (
+    lanes = totals(
         arrived.join(final, "voyage_id")
         .join(port_role(t, "origin", "country_code"), "origin_port_id")
-        .join(port_role(t, "dest", "country_code"), "dest_port_id")
-        .groupBy("origin_country_code", "dest_country_code")
-        .agg(
-            F.sum("n").alias("shipments_measured"),
-            F.sum(F.when(F.col("final_delay") == 0, F.col("n")).otherwise(0)).alias("on_time"),
-            F.sum(F.col("final_delay") * F.col("n")).alias("delay"),
-        )
-        .select(
-            F.concat("origin_country_code", F.lit(" -> "), "dest_country_code").alias("trade_lane"),
-            "shipments_measured",
-            "on_time",
-            percent(F.col("on_time"), F.col("shipments_measured")).alias("otp_pct"),
-            half_up(ratio(F.col("delay"), F.col("shipments_measured")), 2).alias("avg_final_delay_hours"),
-        )
-        .orderBy("otp_pct", "trade_lane")
+        .join(port_role(t, "dest", "country_code"), "dest_port_id"),
+        ["origin_country_code", "dest_country_code"],
+        "sum(n) as shipments_measured",
+        "sum(if(final_delay = 0, n, 0)) as on_time",
+        "sum(final_delay * n) as delay",
     )
+    return lanes.selectExpr(
+        "origin_country_code || ' -> ' || dest_country_code as trade_lane",
+        "shipments_measured",
+        "on_time",
+        f"{percent('on_time', 'shipments_measured')} as otp_pct",
+        f"{half_up(ratio('delay', 'shipments_measured'), 2)} as avg_final_delay_hours",
+    ).orderBy("otp_pct", "trade_lane")
 
 
 def value_concentration(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataFrame:
@@ -72,37 +79,34 @@ def value_concentration(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -
 
     The running total has no partition key; beyond ``split_rows`` customers it is cut by revenue.
     """
-    spent = t.shipment.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("shipment_count"), exact_sum(F.col("total_value_usd")).alias("revenue")
-    )
-    grand = t.shipment.agg(exact_sum(F.col("total_value_usd")).cast("double").alias("grand_total"))
-    customers = spent.join(
-        t.customer.select("customer_id", "company_name", "industry", "country_code"), "customer_id"
+    spent = totals(
+        t.shipment, ["customer_id"], "count(*) as shipment_count", f"{exact_sum('total_value_usd')} as revenue"
     )
+    grand = totals(t.shipment, [], f"{exact_total('total_value_usd')} as grand_total")
     summed = spread.running(
-        customers,
+        spent.join(t.customer.select("customer_id", "company_name", "industry", "country_code"), "customer_id"),
         keys=[],
-        order=[F.desc("revenue"), F.col("customer_id")],
+        order=["revenue desc", "customer_id"],
         levels={
-            "_million": -F.floor(F.col("revenue") / 1_000_000),
-            "_revenue": -F.col("revenue"),
-            "_block": spread.block(F.col("customer_id")),
+            "_million": "-floor(revenue / 1000000)",
+            "_revenue": "-revenue",
+            "_block": spread.block("customer_id"),
         },
         amount="revenue",
         name="so_far",
         split_rows=split_rows,
-        sizes=t.customer.agg(F.count(F.lit(1)).alias("_rows")),
+        sizes=spread.group_sizes(t.customer),
     )
     return (
         summed.crossJoin(F.broadcast(grand))
-        .select(
+        .selectExpr(
             "company_name",
             "industry",
             "country_code",
             "shipment_count",
-            F.col("revenue").cast("double").alias("customer_revenue_usd"),
-            percent(F.col("revenue"), F.col("grand_total"), 2).alias("pct_of_total"),
-            percent(F.col("so_far"), F.col("grand_total"), 2).alias("cumulative_pct"),
+            "cast(revenue as double) as customer_revenue_usd",
+            f"{percent('revenue', 'grand_total', 2)} as pct_of_total",
+            f"{percent('so_far', 'grand_total', 2)} as cumulative_pct",
         )
         .orderBy(F.desc("customer_revenue_usd"), "company_name")
     )
@@ -110,24 +114,21 @@ def value_concentration(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -
 
 def voyage_load(t: FreightTables) -> DataFrame:
     """Weight loaded per voyage against the gross tonnage of its vessel, with a load band."""
-    loaded = t.shipment.groupBy("voyage_id").agg(
-        F.count(F.lit(1)).alias("shipments"), exact_sum(F.col("total_weight_kg")).cast("double").alias("kg")
-    )
-    share = ratio(F.col("kg"), F.col("gross_tonnage"))
+    loaded = totals(t.shipment, ["voyage_id"], "count(*) as n", f"{exact_total('total_weight_kg')} as kg")
     return (
         t.voyage.join(loaded, "voyage_id", "left")
         .join(t.vessel.select("vessel_id", "vessel_name", "vessel_type", "gross_tonnage"), "vessel_id")
-        .select(
+        .selectExpr(
             "voyage_number",
             "departure_date",
             "status",
             "vessel_name",
             "vessel_type",
-            F.col("gross_tonnage").alias("capacity_kg"),
-            F.coalesce("shipments", F.lit(0)).alias("shipment_count"),
-            F.col("kg").alias("loaded_weight_kg"),
-            percent(F.col("kg"), F.col("gross_tonnage")).alias("utilisation_pct"),
-            load_band(share).alias("load_band"),
+            "gross_tonnage as capacity_kg",
+            "coalesce(n, 0) as shipment_count",
+            "kg as loaded_weight_kg",
+            f"{percent('kg', 'gross_tonnage')} as utilisation_pct",
+            f"{load_band(ratio('kg', 'gross_tonnage'))} as load_band",
         )
         .orderBy(F.desc("utilisation_pct"), "voyage_number")
     )
@@ -138,64 +139,63 @@ def monthly_revenue(t: FreightTables) -> DataFrame:
 
     One row per month remains before the windows, so they may run in a single task.
     """
-    monthly = (
-        t.shipment.filter(F.col("status") != "Cancelled")
-        .groupBy(F.date_format("booking_date", "yyyy-MM").alias("month"))
-        .agg(F.count(F.lit(1)).alias("new_shipments"), exact_sum(F.col("total_value_usd")).alias("revenue"))
+    bookings = t.shipment.filter("status <> 'Cancelled'").selectExpr(
+        "date_format(booking_date, 'yyyy-MM') as month", "total_value_usd"
+    )
+    monthly = totals(
+        bookings, ["month"], "count(*) as new_shipments", f"{exact_sum('total_value_usd')} as revenue"
     )
-    in_order = Window.orderBy("month")
-    last_three = in_order.rowsBetween(-2, Window.currentRow)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return monthly.select(
+    last_three = "over (order by month rows between 2 preceding and current row)"
+    so_far = "over (order by month rows between unbounded preceding and current row)"
+    rolling = f"(cast(sum(revenue) {last_three} as double) / count(revenue) {last_three})"
+    return monthly.selectExpr(
         "month",
         "new_shipments",
-        F.col("revenue").cast("double").alias("booked_revenue_usd"),
-        half_up(
-            F.sum("revenue").over(last_three).cast("double") / F.count("revenue").over(last_three), 2
-        ).alias("rolling_3m_avg_usd"),
-        F.sum("revenue").over(so_far).cast("double").alias("cumulative_revenue_usd"),
+        "cast(revenue as double) as booked_revenue_usd",
+        f"{half_up(rolling, 2)} as rolling_3m_avg_usd",
+        f"cast(sum(revenue) {so_far} as double) as cumulative_revenue_usd",
     ).orderBy("month")
 
 
 def delay_by_vessel(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataFrame:
     """Delay per vessel, densely ranked by the unrounded mean."""
-    per_voyage = t.voyage_stop.groupBy("voyage_id").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("delay_hours").alias("delay"), F.max("delay_hours").alias("worst")
-    )
-    per_vessel = (
-        t.voyage.select("voyage_id", "vessel_id")
-        .join(per_voyage, "voyage_id")
-        .groupBy("vessel_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_voyages"),
-            F.sum("calls").alias("total_port_calls"),
-            F.max("worst").alias("worst"),
-            F.sum("delay").alias("delay"),
-        )
-        .withColumn("mean_delay", ratio(F.col("delay"), F.col("total_port_calls")))
+    per_voyage = totals(
+        t.voyage_stop,
+        ["voyage_id"],
+        "count(*) as calls",
+        "sum(delay_hours) as delay",
+        "max(delay_hours) as worst",
     )
-    vessels = per_vessel.join(
-        t.vessel.select("vessel_id", "vessel_name", "vessel_type", "flag_state", "operator"), "vessel_id"
+    per_vessel = totals(
+        t.voyage.select("voyage_id", "vessel_id").join(per_voyage, "voyage_id"),
+        ["vessel_id"],
+        "count(*) as total_voyages",
+        "sum(calls) as total_port_calls",
+        "max(worst) as worst",
+        "sum(delay) as delay",
+        f"{ratio('sum(delay)', 'sum(calls)')} as mean_delay",
     )
     ranked = spread.ranked(
-        vessels,
+        per_vessel.join(
+            t.vessel.select("vessel_id", "vessel_name", "vessel_type", "flag_state", "operator"), "vessel_id"
+        ),
         keys=[],
-        value=F.col("mean_delay"),
-        levels={"_hour": -F.floor("mean_delay"), "_fine": -F.floor(F.col("mean_delay") * 1000)},
+        value="mean_delay",
+        levels={"_hour": "-floor(mean_delay)", "_fine": "-floor(mean_delay * 1000)"},
         name="delay_rank",
         dense=True,
         split_rows=split_rows,
-        sizes=t.vessel.agg(F.count(F.lit(1)).alias("_rows")),
+        sizes=spread.group_sizes(t.vessel),
     )
-    return ranked.select(
+    return ranked.selectExpr(
         "vessel_name",
         "vessel_type",
         "flag_state",
         "operator",
         "total_voyages",
         "total_port_calls",
-        half_up(F.col("mean_delay"), 2).alias("avg_delay_hours"),
-        half_up(F.col("worst"), 2).alias("worst_delay_hours"),
-        half_up(F.col("delay"), 2).alias("cumulative_delay_hours"),
+        f"{half_up('mean_delay', 2)} as avg_delay_hours",
+        f"{half_up('worst', 2)} as worst_delay_hours",
+        f"{half_up('delay', 2)} as cumulative_delay_hours",
         "delay_rank",
     ).orderBy(F.desc("avg_delay_hours"), "vessel_name")

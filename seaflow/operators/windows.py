@@ -6,23 +6,21 @@ totals are plain, since their groups hold at most twelve rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from seaflow.functions import spread
-from seaflow.functions.measures import exact_sum
+from seaflow.functions.measures import exact_sum, totals
 from seaflow.operators.network import legs_with_ports
 from seaflow.sources.tables import FreightTables
 
 
 def delay_rank_at_port(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataFrame:
     """Rank of every late stop among the late stops of its port, worst delay first."""
-    late = t.voyage_stop.filter(F.col("delay_hours") > 0).select("voyage_id", "port_id", "eta", "ata", "delay_hours")
     ranked = spread.ranked(
-        late,
+        t.voyage_stop.filter("delay_hours > 0").select("voyage_id", "port_id", "eta", "ata", "delay_hours"),
         keys=["port_id"],
-        value=F.col("delay_hours"),
-        levels={"_hour": -F.floor("delay_hours")},
+        value="delay_hours",
+        levels={"_hour": "-floor(delay_hours)"},
         name="delay_rank_at_port",
         split_rows=split_rows,
     )
@@ -36,26 +34,21 @@ def delay_rank_at_port(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) ->
 
 def revenue_rank_in_country(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataFrame:
     """Dense rank of the customers of a country by revenue."""
-    revenue = (
-        t.shipment.groupBy("customer_id")
-        .agg(exact_sum(F.col("total_value_usd")).alias("revenue"))
-        .join(t.customer.select("customer_id", "country_code", "company_name"), "customer_id")
+    revenue = totals(t.shipment, ["customer_id"], f"{exact_sum('total_value_usd')} as revenue").join(
+        t.customer.select("customer_id", "country_code", "company_name"), "customer_id"
     )
     ranked = spread.ranked(
         revenue,
         keys=["country_code"],
-        value=F.col("revenue"),
-        levels={"_million": -F.floor(F.col("revenue") / 1_000_000)},
+        value="revenue",
+        levels={"_million": "-floor(revenue / 1000000)"},
         name="revenue_rank_in_country",
         dense=True,
         split_rows=split_rows,
-        sizes=t.customer.groupBy("country_code").agg(F.count(F.lit(1)).alias("_rows")),
+        sizes=spread.group_sizes(t.customer, "country_code"),
     )
-    return ranked.select(
-        "country_code",
-        "company_name",
-        F.col("revenue").cast("double").alias("total_revenue_usd"),
-        "revenue_rank_in_country",
+    return ranked.selectExpr(
+        "country_code", "company_name", "cast(revenue as double) as total_revenue_usd", "revenue_rank_in_country"
     ).orderBy("country_code", "revenue_rank_in_country", "company_name")
 
 
@@ -64,12 +57,8 @@ def booking_sequence(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> D
     numbered = spread.numbered(
         t.shipment.select("shipment_id", "customer_id", "bl_number", "booking_date", "total_value_usd"),
         keys=["customer_id"],
-        order=[F.col("booking_date"), F.col("shipment_id")],
-        levels={
-            "_day": F.to_date("booking_date"),
-            "_moment": F.col("booking_date"),
-            "_block": spread.block(F.col("shipment_id")),
-        },
+        order=["booking_date", "shipment_id"],
+        levels={"_day": "to_date(booking_date)", "_moment": "booking_date", "_block": spread.block("shipment_id")},
         name="booking_sequence",
         split_rows=split_rows,
     )
@@ -85,24 +74,22 @@ def delay_change(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataF
     stops = spread.neighbour(
         t.voyage_stop.select("voyage_id", "port_id", "stop_sequence", "delay_hours"),
         keys=["voyage_id"],
-        order=[F.col("stop_sequence")],
-        levels={"_block": spread.block(F.col("stop_sequence"))},
+        order=["stop_sequence"],
+        levels={"_block": spread.block("stop_sequence")},
         values=["delay_hours"],
         name="previous",
         split_rows=split_rows,
     )
-    previous = F.col("previous.delay_hours")
-    baseline = F.when(F.col("previous").isNull(), F.lit(0.0)).otherwise(previous)
     return (
         stops.join(t.voyage.select("voyage_id", "voyage_number"), "voyage_id")
         .join(t.port.select("port_id", "port_name"), "port_id")
-        .select(
+        .selectExpr(
             "voyage_number",
             "stop_sequence",
             "port_name",
-            F.col("delay_hours").alias("current_delay_h"),
-            previous.alias("prev_stop_delay_h"),
-            (F.col("delay_hours") - baseline).alias("delay_change_h"),
+            "delay_hours as current_delay_h",
+            "previous.delay_hours as prev_stop_delay_h",
+            "delay_hours - if(previous is null, 0e0, previous.delay_hours) as delay_change_h",
         )
         .orderBy("voyage_number", "stop_sequence")
     )
@@ -113,41 +100,46 @@ def next_leg(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataFrame
     legs = spread.neighbour(
         legs_with_ports(t, "port_name"),
         keys=["route_id"],
-        order=[F.col("leg_sequence")],
-        levels={"_block": spread.block(F.col("leg_sequence"))},
+        order=["leg_sequence"],
+        levels={"_block": spread.block("leg_sequence")},
         values=["distance_nm", "to_port_name"],
         name="following",
         following=True,
         split_rows=split_rows,
-        sizes=t.route_leg.groupBy("route_id").agg(F.count(F.lit(1)).alias("_rows")),
+        sizes=spread.group_sizes(t.route_leg, "route_id"),
     )
-    return legs.select(
+    return legs.selectExpr(
         "route_name",
         "leg_sequence",
-        F.col("from_port_name").alias("from_port"),
-        F.col("to_port_name").alias("to_port"),
+        "from_port_name as from_port",
+        "to_port_name as to_port",
         "distance_nm",
-        F.col("following.distance_nm").alias("next_leg_nm"),
-        F.col("following.to_port_name").alias("next_destination"),
+        "following.distance_nm as next_leg_nm",
+        "following.to_port_name as next_destination",
     ).orderBy("route_name", "leg_sequence")
 
 
 def year_to_date(t: FreightTables) -> DataFrame:
     """Bookings and revenue per month with running totals within the year."""
-    monthly = t.shipment.groupBy(
-        F.date_format("booking_date", "yyyy").alias("booking_year"),
-        F.date_format("booking_date", "MM").alias("booking_month"),
-    ).agg(F.count(F.lit(1)).alias("shipments_booked"), exact_sum(F.col("total_value_usd")).alias("revenue"))
+    bookings = t.shipment.selectExpr(
+        "date_format(booking_date, 'yyyy') as booking_year",
+        "date_format(booking_date, 'MM') as booking_month",
+        "total_value_usd",
+    )
+    monthly = totals(
+        bookings,
+        ["booking_year", "booking_month"],
+        "count(*) as shipments_booked",
+        f"{exact_sum('total_value_usd')} as revenue",
+    )
     so_far = (
-        Window.partitionBy("booking_year")
-        .orderBy("booking_month")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        "over (partition by booking_year order by booking_month rows between unbounded preceding and current row)"
     )
-    return monthly.select(
+    return monthly.selectExpr(
         "booking_year",
         "booking_month",
         "shipments_booked",
-        F.col("revenue").cast("double").alias("monthly_revenue_usd"),
-        F.sum("shipments_booked").over(so_far).alias("ytd_shipment_count"),
-        F.sum("revenue").over(so_far).cast("double").alias("ytd_revenue_usd"),
+        "cast(revenue as double) as monthly_revenue_usd",
+        f"sum(shipments_booked) {so_far} as ytd_shipment_count",
+        f"cast(sum(revenue) {so_far} as double) as ytd_revenue_usd",
     ).orderBy("booking_year", "booking_month")

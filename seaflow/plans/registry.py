@@ -6,8 +6,8 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from seaflow.functions.measures import totals
 from seaflow.operators import (
     catalog,
     commercial,
@@ -47,8 +47,8 @@ OPEN_STATUSES = ["Booked", "In Transit", "Loaded"]
 def _kpi_rows(t: FreightTables) -> DataFrame:
     """Rows of each KPI by category."""
     counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("category"), F.lit(kpi).alias("kpi"), "row_count"
+        totals(df, [], "count(*) as row_count").selectExpr(
+            f"'{name}' as category", f"'{kpi}' as kpi", "row_count"
         )
         for name in catalog.CATEGORIES
         for kpi, df in catalog.category(t, name).items()
@@ -58,7 +58,7 @@ def _kpi_rows(t: FreightTables) -> DataFrame:
 
 def _all_kpis(t: FreightTables) -> DataFrame:
     counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(kpi).alias("kpi"), "row_count")
+        totals(df, [], "count(*) as row_count").selectExpr(f"'{kpi}' as kpi", "row_count")
         for kpi, df in catalog.get_all_kpis(t).items()
     ]
     return reduce(DataFrame.unionByName, counts)
@@ -66,21 +66,19 @@ def _all_kpis(t: FreightTables) -> DataFrame:
 
 def _load_typed(t: FreightTables) -> DataFrame:
     """Events that arrive without their defaulted column, as text, brought to the declared schema."""
-    raw = t.shipment_event.drop("created_by").withColumn("event_id", F.col("event_id").cast("string"))
+    raw = t.shipment_event.selectExpr("* except (created_by, event_id)", "cast(event_id as string) as event_id")
     return conform(raw, TABLES["shipment_event"])
 
 
 def _load_once(t: FreightTables) -> DataFrame:
     """Closed shipments are there already; all shipments then arrive twice."""
-    existing = t.shipment.filter(F.col("status").isin("Arrived", "Delivered"))
+    existing = t.shipment.filter("status in ('Arrived', 'Delivered')")
     return loading.load_once(t.shipment.unionByName(t.shipment), existing, ["bl_number"], ["shipment_id"])
 
 
 def _resolve_keys(t: FreightTables) -> DataFrame:
     """Voyages that name their vessel by IMO number get its key."""
-    facts = t.voyage.select(
-        "voyage_number", F.concat(F.lit("IMO"), F.lpad(F.col("vessel_id").cast("string"), 12, "0")).alias("imo_number")
-    )
+    facts = t.voyage.selectExpr("voyage_number", "'IMO' || lpad(cast(vessel_id as string), 12, '0') as imo_number")
     return loading.resolve_keys(facts, t.vessel, "imo_number", "vessel_id").withColumnRenamed(
         "imo_number_vessel_id", "vessel_id"
     )
@@ -95,12 +93,12 @@ def _guarded(t: FreightTables) -> DataFrame:
 
 def _audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = querylog.audit(fixtures.query_log(spark, sf_dir))
-    return report.select(
+    return report.selectExpr(
         "query_id",
-        F.col("is_valid").cast("int").alias("is_valid"),
+        "cast(is_valid as int) as is_valid",
         "sanitized_sql",
-        F.array_join("errors", " | ").alias("errors"),
-        F.array_join("warnings", " | ").alias("warnings"),
+        "array_join(errors, ' | ') as errors",
+        "array_join(warnings, ' | ') as warnings",
     )
 
 
@@ -110,7 +108,7 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _busy_bls(t: FreightTables) -> DataFrame:
     """Bills of lading that were held by customs: a look-up given as a frame."""
-    held = t.shipment_event.filter(F.col("event_type") == "Customs Hold").select("shipment_id").distinct()
+    held = t.shipment_event.filter("event_type = 'Customs Hold'").select("shipment_id").distinct()
     return t.shipment.join(held, "shipment_id", "left_semi").select("bl_number")
 
 

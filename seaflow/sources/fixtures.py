@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from seaflow.functions import spread
-from seaflow.functions.measures import voyage_status
-from seaflow.sources.schema import TABLES
+from seaflow.functions.measures import totals, voyage_status
+from seaflow.sources.schema import CONTAINER_TYPES, EVENT_TYPES, INCOTERMS, TABLES
 from seaflow.sources.tables import FreightTables
 
 AS_OF = "2001-06-17 12:00:00"
@@ -42,8 +41,8 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp_ntz")
+def as_of() -> str:
+    return f"cast('{AS_OF}' as timestamp_ntz)"
 
 
 def freight(spark: SparkSession, sf_dir: str) -> FreightTables:
@@ -52,21 +51,18 @@ def freight(spark: SparkSession, sf_dir: str) -> FreightTables:
     return FreightTables(spark, {name: getattr(views, name) for name in TABLES})
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def _pad(value: Column, width: int) -> Column:
-    return F.lpad(_text(value), width, "0")
-
-
-def _one_of(number: Column, names: tuple[str, ...]) -> Column:
+def _one_of(number: str, names: tuple[str, ...]) -> str:
     """The name at position ``number`` (0-based)."""
-    return F.element_at(F.array(*map(F.lit, names)), (number + 1).cast("int"))
+    listed = ", ".join(f"'{name}'" for name in names)
+    return f"array({listed})[cast({number} as int)]"
 
 
-def _days(count: Column) -> Column:
-    return F.make_dt_interval(days=count.cast("int"))
+def _typed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The columns of table ``name``, in declared order, cast to their declared type."""
+    fields = TABLES[name].schema.fields
+    return df.selectExpr(
+        *[f"cast({c} as {f.dataType.simpleString()}) as {f.name}" for c, f in zip(columns, fields, strict=True)]
+    )
 
 
 class _Views:
@@ -89,312 +85,260 @@ class _Views:
     def _orders(self) -> int:
         return self._read("orders").count()
 
-    @staticmethod
-    def _typed(df: DataFrame, name: str, **columns: Column) -> DataFrame:
-        return df.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in TABLES[name].schema.fields])
-
     def port(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        region = F.upper(F.substring("r_name", 1, 2))
-        return self._typed(
-            self._read("nation").join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey")),
+        return _typed(
+            self._read("nation").join(self._read("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"),
             "port",
-            port_id=key,
-            un_locode=F.concat(region, _pad(key, 3)),
-            port_name=F.col("n_name"),
-            country_code=region,
-            latitude=(key * 37) % 181 - 90,
-            longitude=(key * 53) % 361 - 180,
-            timezone=F.lit("UTC"),
-            is_transshipment=F.when(key % 4 == 0, 1).otherwise(0),
+            "n_nationkey",
+            "upper(substr(r_name, 1, 2)) || lpad(cast(n_nationkey as string), 3, '0')",
+            "n_name",
+            "upper(substr(r_name, 1, 2))",
+            "(n_nationkey * 37) % 181 - 90",
+            "(n_nationkey * 53) % 361 - 180",
+            "'UTC'",
+            "if(n_nationkey % 4 = 0, 1, 0)",
         )
 
     def vessel(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        kind = key % 8
-        return self._typed(
-            self._read("supplier").join(self._read("nation"), F.col("s_nationkey") == F.col("n_nationkey")),
+        return _typed(
+            self._read("supplier").join(
+                self._read("nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey"
+            ),
             "vessel",
-            vessel_id=key,
-            imo_number=F.concat(F.lit("IMO"), _pad(key, 12)),
-            vessel_name=F.col("s_name"),
-            vessel_type=F.when(kind == 5, "Bulk Carrier")
-            .when(kind == 6, "Tanker")
-            .when(kind == 7, "RoRo")
-            .otherwise("Container"),
-            flag_state=F.col("n_name"),
-            gross_tonnage=60000 + (key * 7919) % 140000,
-            teu_capacity=F.when(kind < 5, 5 + (key * 613) % 160),
-            year_built=2000 + key % 20,
-            operator=F.concat(F.lit("Operator "), _text(F.col("s_nationkey"))),
+            "s_suppkey",
+            "'IMO' || lpad(cast(s_suppkey as string), 12, '0')",
+            "s_name",
+            "case s_suppkey % 8 when 5 then 'Bulk Carrier' when 6 then 'Tanker' when 7 then 'RoRo' "
+            "else 'Container' end",
+            "n_name",
+            "60000 + (s_suppkey * 7919) % 140000",
+            "case when s_suppkey % 8 < 5 then 5 + (s_suppkey * 613) % 160 end",
+            "2000 + s_suppkey % 20",
+            "'Operator ' || s_nationkey",
         )
 
     def route(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        return self._typed(
+        return _typed(
             self._read("nation"),
             "route",
-            route_id=key,
-            route_name=F.concat(F.lit("Lane "), F.col("n_name")),
-            origin_port_id=key,
-            dest_port_id=(key + 2 * (1 + key % 3)) % 25,
-            service_name=F.concat(F.lit("Service "), _text(F.col("n_regionkey"))),
-            transit_days=7 + (key * 5) % 29,
+            "n_nationkey",
+            "'Lane ' || n_name",
+            "n_nationkey",
+            "(n_nationkey + 2 * (1 + n_nationkey % 3)) % 25",
+            "'Service ' || n_regionkey",
+            "7 + (n_nationkey * 5) % 29",
         )
 
     def route_leg(self) -> DataFrame:
-        key, leg = F.col("n_nationkey"), F.col("leg")
-        legs = (
-            self._read("nation")
-            .filter(key != 24)
-            .select(key, F.explode(F.sequence(F.lit(1), 1 + key % 3)).alias("leg"))
-        )
-        return self._typed(
-            legs,
+        legs = self._read("nation").filter("n_nationkey <> 24")
+        return _typed(
+            legs.selectExpr("n_nationkey", "explode(sequence(1, 1 + n_nationkey % 3)) as leg"),
             "route_leg",
-            leg_id=key * 10 + leg,
-            route_id=key,
-            leg_sequence=leg,
-            from_port_id=(key + 2 * (leg - 1)) % 25,
-            to_port_id=(key + 2 * leg) % 25,
-            distance_nm=200 + (key * 997 + leg * 613) % 9000,
-            typical_days=(key + leg) % 14,
+            "n_nationkey * 10 + leg",
+            "n_nationkey",
+            "leg",
+            "(n_nationkey + 2 * (leg - 1)) % 25",
+            "(n_nationkey + 2 * leg) % 25",
+            "200 + (n_nationkey * 997 + leg * 613) % 9000",
+            "(n_nationkey + leg) % 14",
         )
 
     def voyage(self) -> DataFrame:
-        key, departure = F.col("p_partkey"), F.col("departure")
-        route = key % 23
-        parts = self._read("part").select(
-            key,
-            (
-                F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
-                + F.make_dt_interval(days=((key * 37) % 2400).cast("int"), hours=(4 + key % 18).cast("int"))
-            ).alias("departure"),
+        departure = (
+            "cast('1995-01-01 00:00:00' as timestamp_ntz) + make_dt_interval("
+            "cast((p_partkey * 37) % 2400 as int), cast(4 + p_partkey % 18 as int)) as departure"
         )
-        arrival = departure + _days(7 + (route * 5) % 29)
-        return self._typed(
-            parts,
+        arrival = "departure + make_dt_interval(cast(7 + (p_partkey % 23 * 5) % 29 as int)) as arrival"
+        return _typed(
+            self._read("part").selectExpr("p_partkey", departure).selectExpr("*", arrival),
             "voyage",
-            voyage_id=key,
-            voyage_number=F.concat(F.lit("V"), _pad(key, 12)),
-            vessel_id=key % (self._suppliers - 1),
-            route_id=route,
-            departure_date=departure,
-            arrival_date=arrival,
-            status=voyage_status(departure, arrival, as_of()),
+            "p_partkey",
+            "'V' || lpad(cast(p_partkey as string), 12, '0')",
+            f"p_partkey % {self._suppliers - 1}",
+            "p_partkey % 23",
+            "departure",
+            "arrival",
+            voyage_status("departure", "arrival", as_of()),
         )
 
     def voyage_stop(self) -> DataFrame:
-        lines = spread.numbered(
+        stops = spread.numbered(
             self._read("lineitem"),
             keys=["l_partkey"],
             order=[
-                F.col(c)
-                for c in (
-                    "l_orderkey",
-                    "l_linenumber",
-                    "l_suppkey",
-                    "l_shipdate",
-                    "l_quantity",
-                    "l_extendedprice",
-                    "l_tax",
-                )
+                "l_orderkey",
+                "l_linenumber",
+                "l_suppkey",
+                "l_shipdate",
+                "l_quantity",
+                "l_extendedprice",
+                "l_tax",
             ],
-            levels={"_block": spread.block(F.col("l_orderkey"))},
+            levels={"_block": spread.block("l_orderkey")},
             name="stop",
+        ).selectExpr(
+            "*",
+            "if(l_quantity <= 20, 0e0, (l_quantity - 20) * 1.25e0) as delay",
+            "not (l_linestatus = 'O' and l_returnflag = 'N') as reached",
         )
-        quantity, eta = F.col("l_quantity"), F.col("l_shipdate")
-        delay = F.when(quantity <= 20, 0.0).otherwise((quantity - 20) * 1.25)
-        reached = ~((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"))
-        etd = eta + F.expr("interval 8 hours")
-        late_by = F.make_dt_interval(mins=(delay * 60).cast("int"))
-        return self._typed(
-            lines,
+        late_by = "make_dt_interval(0, 0, cast(delay * 60 as int))"
+        return _typed(
+            stops,
             "voyage_stop",
-            stop_id=F.col("l_partkey") * 1_000_000_000 + F.col("stop"),
-            voyage_id=F.col("l_partkey"),
-            port_id=F.col("l_orderkey") % 24,
-            stop_sequence=F.col("stop"),
-            eta=eta,
-            ata=F.when(reached, eta + late_by),
-            etd=etd,
-            atd=F.when(reached, etd + late_by),
-            delay_hours=delay,
+            "l_partkey * 1000000000 + stop",
+            "l_partkey",
+            "l_orderkey % 24",
+            "stop",
+            "l_shipdate",
+            f"case when reached then l_shipdate + {late_by} end",
+            "l_shipdate + interval 8 hours",
+            f"case when reached then l_shipdate + interval 8 hours + {late_by} end",
+            "delay",
         )
 
     def customer(self) -> DataFrame:
-        return self._typed(
-            self._read("customer").join(self._read("nation"), F.col("c_nationkey") == F.col("n_nationkey")),
+        return _typed(
+            self._read("customer").join(
+                self._read("nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey"
+            ),
             "customer",
-            customer_id=F.col("c_custkey"),
-            company_name=F.col("c_name"),
-            country_code=F.col("n_name"),
-            industry=F.col("c_mktsegment"),
-            contact_email=F.concat(F.col("c_name"), F.lit("@example.com")),
-            credit_limit=F.col("c_acctbal"),
-            is_active=F.lit(1),
+            "c_custkey",
+            "c_name",
+            "n_name",
+            "c_mktsegment",
+            "c_name || '@example.com'",
+            "c_acctbal",
+            "1",
         )
 
     def shipment(self) -> DataFrame:
-        key, state, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
-        voyage = key % (self._parts - 10)
-        route = voyage % 23
-        return self._typed(
-            self._read("orders"),
+        voyage = f"(o_orderkey % {self._parts - 10})"
+        return _typed(
+            self._read("orders").selectExpr("*", f"{voyage} as voyage", f"{voyage} % 23 as route"),
             "shipment",
-            shipment_id=key,
-            bl_number=F.concat(F.lit("BL"), _pad(key, 12)),
-            customer_id=F.col("o_custkey"),
-            voyage_id=voyage,
-            origin_port_id=route,
-            dest_port_id=(route + 2 * (1 + route % 3)) % 25,
-            incoterms=_one_of(
-                key % 11, ("EXW", "FCA", "FAS", "FOB", "CFR", "CIF", "CPT", "CIP", "DAP", "DPU", "DDP")
-            ),
-            status=F.when((state == "O") & (priority == "5-LOW"), "Cancelled")
-            .when(state == "O", "Booked")
-            .when((state == "P") & (priority == "1-URGENT"), "Loaded")
-            .when(state == "P", "In Transit")
-            .when(priority == "1-URGENT", "Arrived")
-            .otherwise("Delivered"),
-            booking_date=F.col("o_orderdate"),
-            total_weight_kg=5000 + (key * 7919) % 20000,
-            total_value_usd=F.col("o_totalprice"),
+            "o_orderkey",
+            "'BL' || lpad(cast(o_orderkey as string), 12, '0')",
+            "o_custkey",
+            "voyage",
+            "route",
+            "(route + 2 * (1 + route % 3)) % 25",
+            _one_of("o_orderkey % 11", INCOTERMS),
+            "case when o_orderstatus = 'O' and o_orderpriority = '5-LOW' then 'Cancelled' "
+            "when o_orderstatus = 'O' then 'Booked' "
+            "when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then 'Loaded' "
+            "when o_orderstatus = 'P' then 'In Transit' "
+            "when o_orderpriority = '1-URGENT' then 'Arrived' else 'Delivered' end",
+            "o_orderdate",
+            "5000 + (o_orderkey * 7919) % 20000",
+            "o_totalprice",
         )
 
     def container(self) -> DataFrame:
-        boxes = (
-            self._read("lineitem")
-            .filter(F.col("l_orderkey") % 10 != 9)
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(F.min("l_partkey").alias("part"))
-            .withColumn("kind", _one_of(F.col("part") % 7, ("20GP", "40GP", "40HC", "20RF", "40RF", "20OT", "40OT")))
+        lines = self._read("lineitem").filter("l_orderkey % 10 <> 9")
+        boxes = totals(lines, ["l_orderkey", "l_linenumber"], "min(l_partkey) as part").selectExpr(
+            "l_orderkey",
+            "l_orderkey * 10 + l_linenumber as key",
+            "part",
+            f"{_one_of('part % 7', CONTAINER_TYPES)} as kind",
         )
-        part, key = F.col("part"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        cooled = F.col("kind").endswith("RF")
-        return self._typed(
+        return _typed(
             boxes,
             "container",
-            container_id=key,
-            container_number=F.concat(F.lit("MSCU"), _pad(key, 14)),
-            shipment_id=F.col("l_orderkey"),
-            container_type=F.col("kind"),
-            tare_weight_kg=2200 + (part % 7) * 250,
-            max_payload_kg=21000 + (part % 7) * 900,
-            is_reefer=F.when(cooled, 1).otherwise(0),
-            temperature_c=F.when(cooled, part % 30 - 25),
-            seal_number=F.concat(F.lit("SL"), _text(100000 + part % 900000)),
+            "key",
+            "'MSCU' || lpad(cast(key as string), 14, '0')",
+            "l_orderkey",
+            "kind",
+            "2200 + (part % 7) * 250",
+            "21000 + (part % 7) * 900",
+            "if(kind like '%RF', 1, 0)",
+            "case when kind like '%RF' then part % 30 - 25 end",
+            "'SL' || (100000 + part % 900000)",
         )
 
     def cargo_item(self) -> DataFrame:
         lines = spread.numbered(
-            self._read("lineitem").filter((F.col("l_orderkey") % 10 != 9) & (F.col("l_linenumber") != 7)),
+            self._read("lineitem").filter("l_orderkey % 10 <> 9 and l_linenumber <> 7"),
             keys=["l_orderkey", "l_linenumber"],
-            order=[
-                F.col(c) for c in ("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax")
-            ],
-            levels={"_block": spread.block(F.col("l_partkey"))},
+            order=["l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_tax"],
+            levels={"_block": spread.block("l_partkey")},
             name="item",
-        ).join(self._read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        container = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        return self._typed(
+        ).join(self._read("part").selectExpr("p_partkey as l_partkey", "p_name"), "l_partkey")
+        return _typed(
             lines,
             "cargo_item",
-            cargo_id=container * 1_000_000 + F.col("item"),
-            container_id=container,
-            hs_code=_pad(F.col("l_partkey"), 6),
-            description=F.col("p_name"),
-            quantity=F.col("l_quantity"),
-            unit=F.lit("units"),
-            weight_kg=F.col("l_quantity") * 2.5,
-            value_usd=F.col("l_extendedprice"),
+            "(l_orderkey * 10 + l_linenumber) * 1000000 + item",
+            "l_orderkey * 10 + l_linenumber",
+            "lpad(cast(l_partkey as string), 6, '0')",
+            "p_name",
+            "l_quantity",
+            "'units'",
+            "l_quantity * 2.5e0",
+            "l_extendedprice",
         )
 
     def shipment_event(self) -> DataFrame:
-        key, user = F.col("event_id"), F.col("user_id")
-        return self._typed(
+        return _typed(
             self._read("events"),
             "shipment_event",
-            event_id=key,
-            shipment_id=(key * 7) % self._orders,
-            event_type=_one_of(
-                (key * 5 + user) % 12,
-                (
-                    "Booking Confirmed",
-                    "Documents Received",
-                    "Gate In",
-                    "Loaded on Vessel",
-                    "Vessel Departed",
-                    "Port Arrival",
-                    "Customs Hold",
-                    "Customs Cleared",
-                    "Gate Out",
-                    "Delivered",
-                    "Exception",
-                    "Cancelled",
-                ),
-            ),
-            event_timestamp=F.col("ts"),
-            port_id=F.when(key % 10 != 0, user % 25),
-            description=F.concat(F.col("event_type"), F.lit(" "), _text(key)),
-            created_by=F.lit("SYSTEM"),
+            "event_id",
+            f"(event_id * 7) % {self._orders}",
+            _one_of("(event_id * 5 + user_id) % 12", EVENT_TYPES),
+            "ts",
+            "case when event_id % 10 <> 0 then user_id % 25 end",
+            "event_type || ' ' || event_id",
+            "'SYSTEM'",
         )
 
 
 # -- texts --------------------------------------------------------------------
 
 
+# One SQL text per event, good and bad in turn, with values of the event in it; read by position.
+_QUERY_TEXTS = (
+    "'DELETE FROM shipment WHERE shipment_id = ' || event_id",
+    "'SELECT vessel_id FROM VESSEL -- note ' || event_id",
+    "'SELECT /* ' || event_id || ' */ vessel_id FROM VESSEL'",
+    "'SELECT ' || event_id || '; DROP TABLE VESSEL'",
+    "'SHOW TABLES'",
+    r"'  \n\t '",
+    "'SELECT vessel_id, vessel_name FROM VESSEL WHERE vessel_id = ' || event_id",
+    "'WITH v AS (SELECT vessel_id FROM VESSEL) SELECT * FROM v LIMIT ' || event_id",
+    "'SELECT v.vessel_name, vo.voyage_number FROM VESSEL v JOIN VOYAGE vo ON vo.vessel_id = v.vessel_id'",
+    "'SELECT COUNT(*) AS n FROM SHIPMENT WHERE voyage_id = ' || event_id || ';'",
+    "'SELECT event_id FROM SHIPMENT_EVENT limit  ' || event_id || '00 '",
+    "'SELECT * FROM GHOST_' || event_id",
+    "'SELECT * FROM VESSEL WHERE'",
+    r"""'SELECT \';\' AS mark, "a;b" AS other FROM PORT WHERE port_name = \'it\'\'s; ' || event_id || '\''""",
+    r"'SELECT * FROM port WHERE port_name = \'drop ' || event_id || '\''",
+    "'PRAGMA foreign_keys = OFF'",
+    "'select p.port_name from port p join zone_' || event_id || ' z on z.id = p.port_id join area_' || event_id "
+    "|| ' a on a.id = z.id'",
+    "'SELECT * FROM (SELECT * FROM cargo_item LIMIT 5000' || event_id || ') x LIMIT 3'",
+    r"'SELECT * FROM customer WHERE company_name = \'' || props || '\';'",
+    "event_type || ' ' || event_id",
+)
+
+
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL texts to audit, one per event: good and bad statements in turn, with values of the event in them."""
-    n = F.col("event_id").cast("string")
-
-    def text(*parts: str | Column) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    texts = [
-        text("DELETE FROM shipment WHERE shipment_id = ", n),
-        text("SELECT vessel_id FROM VESSEL -- note ", n),
-        text("SELECT /* ", n, " */ vessel_id FROM VESSEL"),
-        text("SELECT ", n, "; DROP TABLE VESSEL"),
-        text("SHOW TABLES"),
-        text("  \n\t "),
-        text("SELECT vessel_id, vessel_name FROM VESSEL WHERE vessel_id = ", n),
-        text("WITH v AS (SELECT vessel_id FROM VESSEL) SELECT * FROM v LIMIT ", n),
-        text("SELECT v.vessel_name, vo.voyage_number FROM VESSEL v JOIN VOYAGE vo ON vo.vessel_id = v.vessel_id"),
-        text("SELECT COUNT(*) AS n FROM SHIPMENT WHERE voyage_id = ", n, ";"),
-        text("SELECT event_id FROM SHIPMENT_EVENT limit  ", n, "00 "),
-        text("SELECT * FROM GHOST_", n),
-        text("SELECT * FROM VESSEL WHERE"),
-        text("SELECT ';' AS mark, \"a;b\" AS other FROM PORT WHERE port_name = 'it''s; ", n, "'"),
-        text("SELECT * FROM port WHERE port_name = 'drop ", n, "'"),
-        text("PRAGMA foreign_keys = OFF"),
-        text("select p.port_name from port p join zone_", n, " z on z.id = p.port_id join area_", n, " a on a.id = z.id"),
-        text("SELECT * FROM (SELECT * FROM cargo_item LIMIT 5000", n, ") x LIMIT 3"),
-        text("SELECT * FROM customer WHERE company_name = '", F.col("props"), "';"),
-        text(F.col("event_type"), " ", n),
-    ]
-    chosen = F.lit(None).cast("string")
-    for position, value in enumerate(texts):
-        chosen = F.when(F.col("event_id") % len(texts) == position, value).otherwise(chosen)
-    return source(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), chosen.alias("sql"))
+    """SQL texts to audit."""
+    cases = " ".join(f"when {position} then {text}" for position, text in enumerate(_QUERY_TEXTS))
+    return source(spark, sf_dir, "events").selectExpr(
+        "event_id as query_id", f"case event_id % {len(_QUERY_TEXTS)} {cases} end as sql"
+    )
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation texts put into each form a reply may take."""
-    text, number = F.col("text"), (F.col("conv_id") + F.col("turn"))
-    form = number % 6
-    query = F.concat(F.lit("SELECT bl_number FROM shipment WHERE shipment_id = "), number.cast("string"))
-    return source(spark, sf_dir, "conversations").select(
+    query = "'SELECT bl_number FROM shipment WHERE shipment_id = ' || (conv_id + turn)"
+    return source(spark, sf_dir, "conversations").selectExpr(
         "conv_id",
         "turn",
         "role",
-        F.when(
-            form == 0, F.concat(F.lit("<sql> "), query, F.lit(" </sql><explanation>"), text, F.lit("</explanation>"))
-        )
-        .when(form == 1, F.concat(text, F.lit("\n```sql\n"), query, F.lit("\n```\n"), text))
-        .when(form == 2, F.concat(F.lit("<SQL>```sql\nSELECT * FROM vessel;\n```</SQL>"), text))
-        .when(form == 3, F.concat(text, F.lit(" "), query))
-        .when(form == 4, F.concat(F.lit("<sql></sql>"), text))
-        .otherwise(text)
-        .alias("text"),
+        f"""case (conv_id + turn) % 6
+            when 0 then '<sql> ' || {query} || ' </sql><explanation>' || text || '</explanation>'
+            when 1 then text || '\\n```sql\\n' || {query} || '\\n```\\n' || text
+            when 2 then '<SQL>```sql\\nSELECT * FROM vessel;\\n```</SQL>' || text
+            when 3 then text || ' ' || {query}
+            when 4 then '<sql></sql>' || text
+            else text end as text""",
     )
