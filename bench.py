@@ -19,7 +19,7 @@ from seaflow.plans.registry import queries
 HEADLINE = ("k", "j", "w", "a")
 MORE = (
     "d01_shipment_list",
-    "d03_shipment_events",
+    "d03_event_timeline",
     "d04_shipment_containers",
     "d07_shipment_stops",
     "v02_v18_reference_orphans",
@@ -47,6 +47,7 @@ def main() -> None:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from seaflow.functions.measures import check_digit, exact_sum, half_up, tally, totals, voyage_status
 from seaflow.operators.joins import leg_totals
 from seaflow.operators.network import port_role
-from seaflow.operators.tracking import event_timeline
 from seaflow.sources.schema import EVENT_CHAINS, OPTIONAL_EVENTS, SHIPMENT_STATUS_OF_VOYAGE, TABLES
 from seaflow.sources.tables import FreightTables
 
@@ -257,7 +256,8 @@ def longest_chain(t: FreightTables) -> DataFrame:
         .limit(1)
     )
     return (
-        event_timeline(t, longest)
+        t.shipment_event.join(longest.select("shipment_id"), "shipment_id")
+        .join(t.port.select("port_id", "un_locode", "port_name"), "port_id", "left")
         .orderBy("event_timestamp", "event_id")
         .selectExpr(
             "event_timestamp", "event_type", "un_locode as port", "port_name", "description", "created_by"

@@ -116,8 +116,8 @@ def audit(queries: DataFrame, column: str = "sql") -> DataFrame:
         )
         .selectExpr(
             "*",
-            f"array_sort(array_except(array_except({_names('_capped', _TABLE)}, {_names('_capped', _CTE)}), "
-            f"array({known}))) as _unknown",
+            f"if(_passed, array_sort(array_except(array_except({_names('_capped', _TABLE)}, "
+            f"{_names('_capped', _CTE)}), array({known}))), null) as _unknown",
         )
         .selectExpr(
             *queries.columns,

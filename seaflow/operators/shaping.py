@@ -16,7 +16,7 @@ from seaflow.operators.commercial import (
 from seaflow.operators.fleet import vessel_utilization
 from seaflow.operators.network import avg_delay_by_route, busiest_ports
 from seaflow.operators.operations import on_time_performance
-from seaflow.operators.tracking import Lookup, event_timeline, port_volume, shipment_list
+from seaflow.operators.tracking import Lookup, listed_shipments, located_events, port_volume, shipment_list
 from seaflow.sources.tables import FreightTables
 
 PALETTE_SIZE = 10
@@ -144,7 +144,7 @@ def event_pins(t: FreightTables, bl: Lookup = None) -> DataFrame:
 
     Only the first time of each type of a shipment enters the window, so a group holds the event types at most.
     """
-    placed = event_timeline(t, bl).filter("latitude is not null and longitude is not null")
+    placed = located_events(t, bl).filter("latitude is not null and longitude is not null")
     first = totals(placed, ["bl_number", "event_type"], "min(struct(event_timestamp, event_id)) as at")
     position = "row_number() over (partition by bl_number order by at) - 1"
     numbered = first.selectExpr(
@@ -221,7 +221,7 @@ def insights(t: FreightTables) -> DataFrame:
 
 def filter_options(t: FreightTables) -> DataFrame:
     """Values the list filters offer."""
-    pairs = shipment_list(t).selectExpr("stack(2, 'status', status, 'trade_lane', trade_lane) as (filter, value)")
+    pairs = listed_shipments(t).selectExpr("stack(2, 'status', status, 'trade_lane', trade_lane) as (filter, value)")
     return pairs.filter("value is not null").distinct().orderBy("filter", "value")
 
 

@@ -25,106 +25,110 @@ def shipments_of(t: FreightTables, bl: Lookup) -> DataFrame:
     return t.shipment.filter(F.col("bl_number") == bl.strip().upper())
 
 
-def shipment_list(t: FreightTables) -> DataFrame:
-    """All shipments with customer, lane and ports, newest booking first."""
-    return (
-        t.shipment.join(t.customer.select("customer_id", "company_name"), "customer_id")
-        .join(t.voyage.selectExpr("voyage_id", "route_id", "status as voyage_status"), "voyage_id")
-        .join(t.route.select("route_id", "route_name"), "route_id")
-        .join(port_role(t, "origin", "un_locode"), "origin_port_id")
-        .join(port_role(t, "dest", "un_locode"), "dest_port_id")
-        .selectExpr(
-            "bl_number",
-            "company_name as customer",
-            "route_name as trade_lane",
-            "origin_un_locode as origin",
-            "dest_un_locode as destination",
-            "incoterms",
-            "status",
-            "voyage_status",
-            "booking_date",
-            f"{half_up('total_weight_kg', 0)} as weight_kg",
-            f"{half_up('total_value_usd', 0)} as value_usd",
-        )
-        .orderBy(F.desc("booking_date"), "bl_number")
+def _narrow(df: DataFrame, bl: Lookup) -> DataFrame:
+    """Shipments looked up by one number are one row (bills of lading are unique): it goes to the big table."""
+    return F.broadcast(df) if isinstance(bl, str) else df
+
+
+def _joined(shipments: DataFrame, bl: Lookup, *dimensions: tuple[DataFrame, str]) -> DataFrame:
+    for dimension, key in dimensions:
+        shipments = _narrow(shipments, bl).join(dimension, key)
+    return shipments
+
+
+def listed_shipments(t: FreightTables) -> DataFrame:
+    """All shipments with customer, lane and ports, in no particular order."""
+    return _joined(
+        t.shipment,
+        None,
+        (t.customer.select("customer_id", "company_name"), "customer_id"),
+        (t.voyage.selectExpr("voyage_id", "route_id", "status as voyage_status"), "voyage_id"),
+        (t.route.select("route_id", "route_name"), "route_id"),
+        (port_role(t, "origin", "un_locode"), "origin_port_id"),
+        (port_role(t, "dest", "un_locode"), "dest_port_id"),
+    ).selectExpr(
+        "bl_number",
+        "company_name as customer",
+        "route_name as trade_lane",
+        "origin_un_locode as origin",
+        "dest_un_locode as destination",
+        "incoterms",
+        "status",
+        "voyage_status",
+        "booking_date",
+        f"{half_up('total_weight_kg', 0)} as weight_kg",
+        f"{half_up('total_value_usd', 0)} as value_usd",
     )
 
 
+def shipment_list(t: FreightTables) -> DataFrame:
+    """All shipments, newest booking first."""
+    return listed_shipments(t).orderBy(F.desc("booking_date"), "bl_number")
+
+
 def shipment_detail(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """Header of each shipment: customer, voyage, route and ports."""
-    return (
-        shipments_of(t, bl)
-        .join(t.customer.select("customer_id", "company_name", "industry"), "customer_id")
-        .join(t.voyage.withColumnRenamed("status", "voyage_status"), "voyage_id")
-        .join(t.route.select("route_id", "route_name"), "route_id")
-        .join(port_role(t, "origin", "port_name", "un_locode"), "origin_port_id")
-        .join(port_role(t, "dest", "port_name", "un_locode"), "dest_port_id")
-        .selectExpr(
-            "bl_number",
-            "status",
-            "incoterms",
-            "booking_date",
-            "total_weight_kg",
-            "total_value_usd",
-            "company_name",
-            "industry",
-            "voyage_number",
-            "departure_date",
-            "arrival_date",
-            "voyage_status",
-            "route_name",
-            "origin_port_name as origin_port",
-            "origin_un_locode as origin_locode",
-            "dest_port_name as dest_port",
-            "dest_un_locode as dest_locode",
-        )
+    return _joined(
+        shipments_of(t, bl),
+        bl,
+        (t.customer.select("customer_id", "company_name", "industry"), "customer_id"),
+        (t.voyage.withColumnRenamed("status", "voyage_status"), "voyage_id"),
+        (t.route.select("route_id", "route_name"), "route_id"),
+        (port_role(t, "origin", "port_name", "un_locode"), "origin_port_id"),
+        (port_role(t, "dest", "port_name", "un_locode"), "dest_port_id"),
+    ).selectExpr(
+        "bl_number",
+        "status",
+        "incoterms",
+        "booking_date",
+        "total_weight_kg",
+        "total_value_usd",
+        "company_name",
+        "industry",
+        "voyage_number",
+        "departure_date",
+        "arrival_date",
+        "voyage_status",
+        "route_name",
+        "origin_port_name as origin_port",
+        "origin_un_locode as origin_locode",
+        "dest_port_name as dest_port",
+        "dest_un_locode as dest_locode",
     )
 
 
 def shipment_meta(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """The short header shown above a shipment map."""
-    return (
-        shipments_of(t, bl)
-        .join(t.customer.select("customer_id", "company_name"), "customer_id")
-        .join(t.voyage.select("voyage_id", "route_id", "voyage_number"), "voyage_id")
-        .join(t.route.select("route_id", "route_name"), "route_id")
-        .select(
-            "bl_number", "status", "incoterms", "total_value_usd", "company_name", "voyage_number", "route_name"
-        )
-    )
+    return _joined(
+        shipments_of(t, bl),
+        bl,
+        (t.customer.select("customer_id", "company_name"), "customer_id"),
+        (t.voyage.select("voyage_id", "route_id", "voyage_number"), "voyage_id"),
+        (t.route.select("route_id", "route_name"), "route_id"),
+    ).select("bl_number", "status", "incoterms", "total_value_usd", "company_name", "voyage_number", "route_name")
 
 
-def event_timeline(t: FreightTables, bl: Lookup = None) -> DataFrame:
-    """Tracking events in order of time, with port and coordinates where a port is known."""
+def located_events(t: FreightTables, bl: Lookup = None) -> DataFrame:
+    """Tracking events with port and coordinates where a port is known, in no particular order."""
     return (
-        t.shipment_event.join(shipments_of(t, bl).select("shipment_id", "bl_number"), "shipment_id")
+        t.shipment_event.join(_narrow(shipments_of(t, bl).select("shipment_id", "bl_number"), bl), "shipment_id")
         .join(t.port.select("port_id", "un_locode", "port_name", "latitude", "longitude"), "port_id", "left")
-        .select(
-            "bl_number",
-            "event_id",
-            "event_type",
-            "event_timestamp",
-            "un_locode",
-            "port_name",
-            "latitude",
-            "longitude",
-            "description",
-            "created_by",
-        )
-        .orderBy("bl_number", "event_timestamp", "event_id")
+        .drop("shipment_id", "port_id")
     )
 
 
-def shipment_events(t: FreightTables, bl: Lookup = None) -> DataFrame:
-    """The timeline as listed next to a shipment."""
-    return event_timeline(t, bl).select(
-        "bl_number", "event_id", "event_type", "event_timestamp", "port_name", "description"
+def event_timeline(t: FreightTables, bl: Lookup = None) -> DataFrame:
+    """Tracking events in order of time."""
+    return (
+        located_events(t, bl)
+        .select("bl_number", "event_id", "event_type", "event_timestamp", "port_name", "description")
+        .orderBy("bl_number", "event_timestamp", "event_id")
     )
 
 
 def shipment_containers(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """Containers with number and value of their cargo lines; cargo is summed per container first."""
-    wanted = t.container.join(shipments_of(t, bl).select("shipment_id", "bl_number"), "shipment_id")
+    wanted = t.container.join(_narrow(shipments_of(t, bl).select("shipment_id", "bl_number"), bl), "shipment_id")
     lines = t.cargo_item
     if bl is not None:
         lines = lines.join(wanted.select("container_id"), "container_id", "left_semi")
@@ -147,15 +151,19 @@ def shipment_containers(t: FreightTables, bl: Lookup = None) -> DataFrame:
 
 
 def shipment_stops(t: FreightTables, bl: Lookup = None) -> DataFrame:
-    """Port calls of the carrying voyage in sequence."""
+    """Port calls, in sequence, of the voyages that carry the shipments asked for.
+
+    Each call is reported once per voyage, not once per shipment: a voyage with many shipments and many calls would
+    otherwise yield their product. ``shipment_meta`` tells which voyage carries a shipment.
+    """
+    carrying = shipments_of(t, bl).select("voyage_id")
+    carrying = _narrow(carrying, bl) if isinstance(bl, str) else carrying.distinct()
     return (
-        shipments_of(t, bl)
-        .select("bl_number", "voyage_id")
-        .join(t.voyage.select("voyage_id"), "voyage_id")
-        .join(t.voyage_stop, "voyage_id")
-        .join(t.port, "port_id")
+        t.voyage_stop.join(carrying, "voyage_id", "left_semi")
+        .join(t.voyage.select("voyage_id", "voyage_number"), "voyage_id")
+        .join(t.port.select("port_id", "port_name", "un_locode", "latitude", "longitude"), "port_id")
         .select(
-            "bl_number",
+            "voyage_number",
             "stop_sequence",
             "eta",
             "ata",
@@ -165,7 +173,7 @@ def shipment_stops(t: FreightTables, bl: Lookup = None) -> DataFrame:
             "latitude",
             "longitude",
         )
-        .orderBy("bl_number", "stop_sequence")
+        .orderBy("voyage_number", "stop_sequence")
     )
 
 

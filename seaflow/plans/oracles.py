@@ -539,7 +539,7 @@ select bl_number, s.status, incoterms, booking_date, total_weight_kg, total_valu
        b.un_locode as dest_locode
 from shipment s join customer using (customer_id) join voyage v using (voyage_id) join route r using (route_id)
 join port a on a.port_id = s.origin_port_id join port b on b.port_id = s.dest_port_id""",
-    "d03_shipment_events": f"""
+    "d03_event_timeline": f"""
 select bl_number, event_id, event_type, event_timestamp, port_name, description from ({TIMELINE})""",
     "d04_shipment_containers": f"""
 select bl_number, container_number, container_type, is_reefer, temperature_c, tare_weight_kg, max_payload_kg,
@@ -553,11 +553,10 @@ select route_name, service_name, leg_sequence, a.latitude as from_lat, a.longitu
        a.port_name as from_name, b.latitude as to_lat, b.longitude as to_lon, b.port_name as to_name, distance_nm
 from route_leg join route using (route_id)
 join port a on a.port_id = from_port_id join port b on b.port_id = to_port_id""",
-    "d07_shipment_stops": f"""
-select bl_number, stop_sequence, eta, ata, delay_hours, port_name, un_locode, latitude, longitude
-from shipment join voyage using (voyage_id) join voyage_stop vs using (voyage_id)
-join port p on p.port_id = vs.port_id
-where shipment_id in {HELD}""",
+    "d07_shipment_stops": """
+select voyage_number, stop_sequence, eta, ata, delay_hours, port_name, un_locode, latitude, longitude
+from voyage join voyage_stop vs using (voyage_id) join port p on p.port_id = vs.port_id
+where voyage_id in (select voyage_id from shipment)""",
     "d08_shipment_meta": f"""
 select bl_number, s.status, incoterms, total_value_usd, company_name, voyage_number, route_name
 from shipment s join customer using (customer_id) join voyage v using (voyage_id) join route using (route_id)

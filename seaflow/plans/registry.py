@@ -106,7 +106,7 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.source(spark, sf_dir, "conversations")
 
 
-def _busy_bls(t: FreightTables) -> DataFrame:
+def _held_bls(t: FreightTables) -> DataFrame:
     """Bills of lading that were held by customs: a look-up given as a frame."""
     held = t.shipment_event.filter("event_type = 'Customs Hold'").select("shipment_id").distinct()
     return t.shipment.join(held, "shipment_id", "left_semi").select("bl_number")
@@ -132,12 +132,12 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "k16_run_query": lambda t: t.run_query(VOYAGE_DAYS_SQL, ("Scheduled",)),
     "d01_shipment_list": tracking.shipment_list,
     "d02_shipment_detail": tracking.shipment_detail,
-    "d03_shipment_events": tracking.shipment_events,
+    "d03_event_timeline": tracking.event_timeline,
     "d04_shipment_containers": tracking.shipment_containers,
     "d05_port_volume": tracking.port_volume,
     "d06_leg_segments": tracking.leg_segments,
-    "d07_shipment_stops": lambda t: tracking.shipment_stops(t, _busy_bls(t)),
-    "d08_shipment_meta": lambda t: tracking.shipment_meta(t, _busy_bls(t)),
+    "d07_shipment_stops": tracking.shipment_stops,
+    "d08_shipment_meta": lambda t: tracking.shipment_meta(t, _held_bls(t)),
     "j01_in_transit_shipments": joins.in_transit_shipments,
     "j02_route_leg_audit": joins.route_leg_audit,
     "j03_shipment_manifest": joins.shipment_manifest,
