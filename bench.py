@@ -2,7 +2,8 @@
 
 Environment: ``BENCH_SF_DIR`` (tables, default sf0.1), ``BENCH_CPUS`` (local cores, default 8), ``BENCH_RUNS`` (runs
 per query of which the fastest counts, default 2), ``BENCH_QUERIES`` (comma-separated names, default the 13 KPIs, the
-18 analyses and the heaviest audits and look-ups). Every run builds its tables anew; nothing is cached between runs.
+18 analyses and the heaviest audits and look-ups). The views over the tables are defined once per session; every run
+reads the files again, no rows are cached.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import exact_mean, totals
+from seaflow.functions.measures import exact_sum, ratio, totals
 from seaflow.operators.network import port_role
 from seaflow.sources.tables import FreightTables
 
@@ -114,12 +114,24 @@ def consecutive_legs(t: FreightTables) -> DataFrame:
 def above_route_average(t: FreightTables) -> DataFrame:
     """Shipments worth more than the average shipment on their route.
 
-    The averages are one row per route, so the comparison is a join and not a window over whole routes.
+    The averages are one row per route, so the comparison is a join and not a window over whole routes. They come
+    from sums per voyage, which keeps single shipments out of that branch's shuffle.
     """
-    shipped = t.shipment.join(t.voyage.select("voyage_id", "route_id"), "voyage_id")
-    means = totals(shipped, ["route_id"], f"{exact_mean('total_value_usd')} as mean_value")
+    voyages = t.voyage.select("voyage_id", "route_id")
+    per_voyage = totals(
+        t.shipment,
+        ["voyage_id"],
+        f"{exact_sum('total_value_usd')} as usd",
+        "count(total_value_usd) as n",
+    )
+    means = totals(
+        per_voyage.join(voyages, "voyage_id"),
+        ["route_id"],
+        f"{ratio('sum(usd)', 'sum(n)')} as mean_value",
+    )
     return (
-        shipped.join(means, "route_id")
+        t.shipment.select("bl_number", "customer_id", "voyage_id", "total_value_usd", "status")
+        .join(voyages.join(means, "route_id"), "voyage_id")
         .filter("total_value_usd > mean_value")
         .join(t.customer.select("customer_id", "company_name"), "customer_id")
         .join(t.route.select("route_id", "route_name"), "route_id")

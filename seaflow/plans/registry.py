@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -196,8 +196,14 @@ TEXTS: dict[str, Query] = {
 }
 
 
+@lru_cache(maxsize=4)
+def _tables(spark: SparkSession, sf_dir: str) -> FreightTables:
+    """The freight views over a directory: their definitions are made once per session, their rows never kept."""
+    return fixtures.freight(spark, sf_dir)
+
+
 def _over_fixtures(operator: Callable[[FreightTables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(fixtures.freight(spark, sf_dir))
+    return lambda spark, sf_dir: operator(_tables(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
