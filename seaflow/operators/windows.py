@@ -28,7 +28,7 @@ def delay_rank_at_port(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) ->
         ranked.join(t.voyage.select("voyage_id", "voyage_number"), "voyage_id")
         .join(t.port.select("port_id", "port_name"), "port_id")
         .select("port_name", "voyage_number", "eta", "ata", "delay_hours", "delay_rank_at_port")
-        .orderBy("port_name", "delay_rank_at_port")
+        .orderBy("port_name", "delay_rank_at_port", "voyage_number", "eta")
     )
 
 
