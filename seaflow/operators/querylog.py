@@ -33,6 +33,9 @@ _OPEN_END = rf"(?i)\b({OPEN_CLAUSES})\z"
 # Spark functions that reach beyond the tables.
 _UNSAFE_CALL = r"(?i)\b(try_reflect|reflect|java_method)\s*\("
 
+# White space that is trimmed, as characters of a SQL string.
+_SPACE = r"' \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0'"
+
 _READ_ONLY = "Only read-only SELECT queries are accepted."
 _NO_COMMENTS = "The query must contain no comment syntax."
 
@@ -63,7 +66,7 @@ _SECURITY = (
         _message(f"Block comments ('/* … */') are not permitted. {_NO_COMMENTS}"),
     ),
     (
-        f"contains({_removed(_removed('_text', r';\z'), _LITERAL)}, ';')",
+        f"contains({_removed("if(endswith(_text, ';'), left(_text, length(_text) - 1), _text)", _LITERAL)}, ';')",
         _message(
             "Multiple SQL statements are not permitted (semicolon detected outside a string literal). "
             "Send one SELECT statement at a time."
@@ -90,18 +93,19 @@ def audit(queries: DataFrame, column: str = "sql") -> DataFrame:
     gates = ", ".join(f"case when {broken} then {message} end" for broken, message in _SECURITY)
     known = ", ".join(f"'{name}'" for name in KNOWN_TABLES)
     return (
-        queries.selectExpr("*", rf"regexp_replace(coalesce({column}, ''), r'\A\s+|\s+\z', '') as _text")
+        queries.selectExpr("*", f"trim(both {_SPACE} from coalesce({column}, '')) as _text")
         .selectExpr(
             "*",
             f"upper({_found('_text', _BLOCKED)}) as _blocked",
             rf"upper({_found('_text', r'\A(\S+)')}) as _first",
-            rf"{_removed(_removed('_text', r';+\z'), r'\s+\z')} as _body",
+            f"trim(trailing {_SPACE} from trim(trailing ';' from _text)) as _body",
         )
         .selectExpr(
             "*",
             f"if(_text = '', array('SQL string is empty.'), array_compact(array({gates}))) as _security",
             rf"{_removed(_found('_body', _LIMIT), r'\A0+(?=\d)')} as _limit",
-            f"upper({_found('_body', _OPEN_END)}) as _open_end",
+            # The longest clause word has six letters: its boundary lies within the last ten characters.
+            f"upper({_found('right(_body, 10)', _OPEN_END)}) as _open_end",
         )
         .selectExpr(
             "*",
