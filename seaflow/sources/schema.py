@@ -90,6 +90,8 @@ class TableSpec:
     references: dict[str, str] = field(default_factory=dict)
     domains: dict[str, tuple] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
+    # Columns a stored table is ordered by: those it is looked up or joined by, ending in unique ones.
+    layout: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -169,6 +171,7 @@ _SPECS = (
         unique=(("voyage_number",),),
         references={"vessel_id": "vessel", "route_id": "route"},
         domains={"status": VOYAGE_STATUSES},
+        layout=("voyage_id",),
     ),
     TableSpec(
         "voyage_stop",
@@ -180,6 +183,7 @@ _SPECS = (
         unique=(("voyage_id", "stop_sequence"),),
         references={"voyage_id": "voyage", "port_id": "port"},
         defaults={"delay_hours": 0.0},
+        layout=("voyage_id", "stop_sequence", "stop_id"),
     ),
     TableSpec(
         "customer",
@@ -190,6 +194,7 @@ _SPECS = (
         "customer_id",
         domains={"is_active": FLAG},
         defaults={"is_active": 1},
+        layout=("customer_id",),
     ),
     TableSpec(
         "shipment",
@@ -207,6 +212,7 @@ _SPECS = (
             "dest_port_id": "port",
         },
         domains={"incoterms": INCOTERMS, "status": SHIPMENT_STATUSES},
+        layout=("bl_number", "shipment_id"),
     ),
     TableSpec(
         "container",
@@ -220,6 +226,7 @@ _SPECS = (
         references={"shipment_id": "shipment"},
         domains={"container_type": CONTAINER_TYPES, "is_reefer": FLAG},
         defaults={"is_reefer": 0},
+        layout=("shipment_id", "container_id"),
     ),
     TableSpec(
         "cargo_item",
@@ -229,6 +236,7 @@ _SPECS = (
         ),
         "cargo_id",
         references={"container_id": "container"},
+        layout=("container_id", "cargo_id"),
     ),
     TableSpec(
         "shipment_event",
@@ -240,6 +248,7 @@ _SPECS = (
         references={"shipment_id": "shipment", "port_id": "port"},
         domains={"event_type": EVENT_TYPES},
         defaults={"created_by": "SYSTEM"},
+        layout=("shipment_id", "event_timestamp", "event_id"),
     ),
 )
 

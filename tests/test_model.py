@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import DataFrame
 from small import at, dicts, frame, tables
 
+from seaflow.functions.measures import totals
 from seaflow.operators import catalog, loading, quality
 from seaflow.sources.fixtures import freight
 from seaflow.sources.schema import TABLES
@@ -121,6 +122,25 @@ def test_save_and_load(spark, tmp_path, fmt):
         assert back.table(name).columns == TABLES[name].columns
 
 
+def test_ordered_files_do_not_overlap(spark, sample, tmp_path):
+    shipments = FreightTables(spark, {"shipment": sample.shipment.repartition(8)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shipments.save(str(tmp_path), ordered=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = FreightTables.load(spark, str(tmp_path)).shipment
+    files = totals(
+        stored.selectExpr("_metadata.file_path as file", "bl_number"),
+        ["file"],
+        "min(bl_number) as first",
+        "max(bl_number) as last",
+    )
+    spans = sorted((row["first"], row["last"]) for row in dicts(files))
+    assert len(spans) > 1 and stored.count() == sample.shipment.count()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_unknown_format_and_table(spark):
     with pytest.raises(ValueError):
         FreightTables.load(spark, "/nowhere", "xlsx")
