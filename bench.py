@@ -16,6 +16,7 @@ import time
 from pyspark.sql import SparkSession
 
 from seaflow.plans.registry import queries
+from seaflow.session import settings
 
 HEADLINE = ("k", "j", "w", "a")
 MORE = (
@@ -41,18 +42,16 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("seaflow-bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in settings(shuffle_bytes=0, cores=int(cpus)).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     registered = queries()
     chosen = os.environ.get("BENCH_QUERIES")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seaflow.functions.measures import check_digit, exact_sum, half_up, tally, totals, voyage_status
 from seaflow.operators.joins import leg_totals
@@ -39,6 +40,12 @@ def row_counts(t: FreightTables) -> DataFrame:
 # -- references --------------------------------------------------------------
 
 
+def _reported(found: DataFrame, name: str, names: list[str], count: str) -> DataFrame:
+    """Sum ``count`` per ``name``, with a line of zero for names that nothing was found for."""
+    zeros = found.sparkSession.range(1).selectExpr(f"explode(array({_quoted(names)})) as {name}", f"0L as {count}")
+    return totals(found.unionByName(zeros), [name], f"sum({count}) as {count}")
+
+
 def reference_orphans(t: FreightTables) -> DataFrame:
     """Rows per foreign key whose value is no key of the parent table; NULL refers to nothing.
 
@@ -59,13 +66,9 @@ def reference_orphans(t: FreightTables) -> DataFrame:
         t.table(parent).selectExpr(f"explode(array({_quoted(names)})) as fk", f"{TABLES[parent].key} as value")
         for parent, names in wanted.items()
     ]
-    values = totals(_union(children), ["fk", "value"], "count(*) as n")
-    known = _union(parents).selectExpr("*", "true as known")
-    return totals(
-        values.join(known, ["fk", "value"], "left"),
-        ["fk"],
-        "sum(if(known is null and value is not null, n, 0)) as orphans",
-    ).orderBy("fk")
+    values = totals(_union(children).filter("value is not null"), ["fk", "value"], "count(*) as orphans")
+    unknown = values.join(_union(parents), ["fk", "value"], "left_anti").select("fk", "orphans")
+    return _reported(unknown, "fk", [fk for names in wanted.values() for fk in names], "orphans").orderBy("fk")
 
 
 # -- constraints -------------------------------------------------------------
@@ -81,19 +84,34 @@ def _row_audit(t: FreightTables, name: str) -> DataFrame:
     return counts.selectExpr(f"'{name}' as table_name", f"stack({len(rules)}, {pairs}) as (rule, violations)")
 
 
-def _unique_audit(t: FreightTables, name: str) -> list[DataFrame]:
-    """Key values that occur more than once; a key with a NULL part is never a duplicate."""
-    spec = TABLES[name]
-    reports = []
-    for columns in ((spec.key,), *spec.unique):
-        present = " and ".join(f"{c} is not null" for c in columns)
-        keyed = totals(t.table(name).filter(present), columns, "count(*) as n")
-        reports.append(
-            totals(keyed, [], "count_if(n > 1) as violations").selectExpr(
-                f"'{name}' as table_name", f"'unique: {', '.join(columns)}' as rule", "violations"
-            )
+def _unique_audit(t: FreightTables) -> DataFrame:
+    """Key values that occur more than once; a key with a NULL part is never a duplicate.
+
+    The keys of all tables are counted in one shuffle: each table is read once and yields a line per key with up to
+    two numbers or a text.
+    """
+    lines, rules = [], []
+    for name in t.names():
+        spec = TABLES[name]
+        stacked = []
+        for columns in ((spec.key,), *spec.unique):
+            text = [c for c in columns if spec.schema[c].dataType == T.StringType()]
+            numbers = [f"cast({c} as bigint)" for c in columns if c not in text]
+            parts = (numbers + ["0L", "0L"])[:2] + (text or ["''"])
+            present = " and ".join(f"{c} is not null" for c in columns)
+            rules.append(f"{name}|unique: {', '.join(columns)}")
+            stacked.append(f"{len(rules)}, {', '.join(parts)}, {present}")
+        lines.append(
+            t.table(name)
+            .selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) as (rule_no, first, second, text, present)")
+            .filter("present")
         )
-    return reports
+    keys = totals(_union(lines), ["rule_no", "first", "second", "text"], "count(*) as n")
+    repeated = totals(keys.filter("n > 1"), ["rule_no"], "count(*) as violations")
+    named = repeated.selectExpr(f"array({_quoted(rules)})[rule_no - 1] as rule", "violations")
+    return _reported(named, "rule", rules, "violations").selectExpr(
+        "substring_index(rule, '|', 1) as table_name", "substring_index(rule, '|', -1) as rule", "violations"
+    )
 
 
 def _status_audit(t: FreightTables) -> DataFrame:
@@ -116,16 +134,13 @@ def _status_audit(t: FreightTables) -> DataFrame:
 
 def constraint_audit(t: FreightTables) -> DataFrame:
     """Every declared constraint with the number of violations; all are zero on clean data."""
-    parts: list[DataFrame] = []
-    for name in t.names():
-        parts.append(_row_audit(t, name))
-        parts.extend(_unique_audit(t, name))
+    rows = [_row_audit(t, name) for name in t.names()]
     orphans = reference_orphans(t).selectExpr(
         "lower(substring_index(fk, '.', 1)) as table_name",
         "'reference: ' || substring_index(fk, '.', -1) as rule",
         "orphans as violations",
     )
-    return _union([*parts, orphans, _status_audit(t)])
+    return _union([*rows, _unique_audit(t), orphans, _status_audit(t)])
 
 
 # -- verification reports ----------------------------------------------------

@@ -22,6 +22,7 @@ KNOWN_TABLES = tuple(sorted(name.upper() for name in TABLES))
 # A clause keyword as the last word leaves the statement incomplete.
 OPEN_CLAUSES = "SELECT|FROM|JOIN|ON|WHERE|AND|OR|NOT|IN|LIKE|BY|HAVING|UNION|AS|WITH"
 
+# Fixed patterns of the rules: a row limit, a table behind FROM or JOIN, a name defined by WITH, a literal. They are
 # Java patterns, put into SQL as raw strings; \\x27 stands for the single quote.
 _BLOCKED = rf"(?iU)\b({BLOCKED_WORDS})\b"
 _LIMIT = r"(?i)\bLIMIT\s+(\d+)\b"
@@ -36,6 +37,7 @@ _UNSAFE_CALL = r"(?i)\b(try_reflect|reflect|java_method)\s*\("
 # White space that is trimmed, as characters of a SQL string.
 _SPACE = r"' \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0'"
 
+# Fixed wording of the messages.
 _READ_ONLY = "Only read-only SELECT queries are accepted."
 _NO_COMMENTS = "The query must contain no comment syntax."
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seaflow.operators.querylog import BLOCKED_WORDS, OPEN_CLAUSES
 from seaflow.sources.fixtures import AS_OF
 from seaflow.sources.schema import (
     EVENT_CHAINS,
@@ -406,10 +407,6 @@ from (select *, cast(event_id as varchar) as n from events)"""
 def _sql_audit() -> str:
     known = ", ".join(f"'{name.upper()}'" for name in sorted(TABLES))
     valid = ", ".join(sorted(name.upper() for name in TABLES))
-    words = (
-        "INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|REPLACE|EXECUTE|EXEC|ATTACH|DETACH|VACUUM|REINDEX|PRAGMA"
-    )
-    clauses = "SELECT|FROM|JOIN|ON|WHERE|AND|OR|NOT|IN|LIKE|BY|HAVING|UNION|AS|WITH"
     read_only = "Only read-only SELECT queries are accepted."
     return f"""
 select query_id, cast(len(errors) = 0 as integer) as is_valid,
@@ -432,7 +429,7 @@ from (
         as refs,
       list_transform(regexp_extract_all(capped, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s+AS\\s*\\(', 1, 'i'),
         lambda x: upper(x)) as ctes,
-      upper(regexp_extract(body, '\\b({clauses})\\z', 1, 'i')) as open_end
+      upper(regexp_extract(body, '\\b({OPEN_CLAUSES})\\z', 1, 'i')) as open_end
     from (
       select *, case when lim = '' then body || chr(10) || 'LIMIT 1000'
           when cast(lim as bigint) > 1000 then regexp_replace(body, '\\bLIMIT\\s+\\d+\\b', 'LIMIT 1000', 'gi')
@@ -456,7 +453,7 @@ from (
           ], lambda x: x is not null) end as security
         from (
           select query_id, work, rtrim(regexp_replace(work, ';+\\z', '')) as body,
-                 upper(regexp_extract(work, '\\b({words})\\b', 1, 'i')) as blocked,
+                 upper(regexp_extract(work, '\\b({BLOCKED_WORDS})\\b', 1, 'i')) as blocked,
                  upper(regexp_extract(work, '\\A(\\S+)', 1)) as first
           from (select query_id, regexp_replace(sql, '\\A\\s+|\\s+\\z', '', 'g') as work from ({QUERY_LOG})))
       ))))"""

@@ -209,6 +209,7 @@ def test_orphans_duplicates_and_domains(spark):
             {"shipment_id": 99, "port_id": 1, "event_type": "Gate In"},
         ],
         route=[{"route_id": 1, "origin_port_id": 1, "dest_port_id": 3, "route_name": None}],
+        route_leg=[{"route_id": 1, "leg_sequence": n} for n in (1, 1, 1, 2, 2, None, None)],
     )
     orphans = {r["fk"]: r["orphans"] for r in dicts(quality.reference_orphans(t))}
     assert orphans["SHIPMENT_EVENT.shipment_id"] == 3
@@ -221,6 +222,15 @@ def test_orphans_duplicates_and_domains(spark):
     assert report["route", "not null: route_name"] == 1
     assert report["route", "reference: dest_port_id"] == 1
     assert report["port", "unique: port_id"] == 0
+    assert report["route_leg", "unique: route_id, leg_sequence"] == 2
+
+
+def test_reports_are_complete_without_rows(spark):
+    empty = tables(spark)
+    assert len(dicts(quality.reference_orphans(empty))) == 17
+    report = dicts(quality.constraint_audit(empty))
+    assert all(row["violations"] == 0 for row in report)
+    assert sum(row["rule"].startswith("unique") for row in report) == 18
 
 
 @pytest.mark.parametrize(
