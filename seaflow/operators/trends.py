@@ -140,7 +140,7 @@ def monthly_revenue(t: FreightTables) -> DataFrame:
     One row per month remains before the windows, so they may run in a single task.
     """
     bookings = t.shipment.filter("status <> 'Cancelled'").selectExpr(
-        "date_format(booking_date, 'yyyy-MM') as month", "total_value_usd"
+        "left(cast(booking_date as string), 7) as month", "total_value_usd"
     )
     monthly = totals(
         bookings, ["month"], "count(*) as new_shipments", f"{exact_sum('total_value_usd')} as revenue"

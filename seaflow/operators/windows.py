@@ -122,8 +122,8 @@ def next_leg(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> DataFrame
 def year_to_date(t: FreightTables) -> DataFrame:
     """Bookings and revenue per month with running totals within the year."""
     bookings = t.shipment.selectExpr(
-        "date_format(booking_date, 'yyyy') as booking_year",
-        "date_format(booking_date, 'MM') as booking_month",
+        "left(cast(booking_date as string), 4) as booking_year",
+        "substr(cast(booking_date as string), 6, 2) as booking_month",
         "total_value_usd",
     )
     monthly = totals(

@@ -142,12 +142,14 @@ class FreightTables:
 
 
 # The two date functions that queries written for the model use and Spark lacks. They are SQL functions, which
-# Catalyst inlines.
+# Catalyst inlines; neither looks at the session's time zone.
 _DIALECT_FUNCTIONS = (
     """
     create or replace temporary function strftime(pattern string, moment timestamp_ntz) returns string
-    return date_format(moment, replace(replace(replace(replace(replace(replace(
-        pattern, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))
+    return replace(replace(replace(replace(replace(replace(pattern,
+        '%Y', substr(cast(moment as string), 1, 4)), '%m', substr(cast(moment as string), 6, 2)),
+        '%d', substr(cast(moment as string), 9, 2)), '%H', substr(cast(moment as string), 12, 2)),
+        '%M', substr(cast(moment as string), 15, 2)), '%S', substr(cast(moment as string), 18, 2))
     """,
     """
     create or replace temporary function julianday(moment timestamp_ntz) returns double
