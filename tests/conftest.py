@@ -6,18 +6,21 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from seaflow.session import settings  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
+    builder = (
         SparkSession.builder.master("local[8]")
         .appName("seaflow-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for key, value in settings(shuffle_bytes=0, cores=8).items():
+        builder = builder.config(key, value)
+    session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -45,6 +45,11 @@ def sample(spark):
     return freight(spark, SF_DIR)
 
 
+@pytest.fixture(scope="module")
+def kpis(sample):
+    return catalog.get_all_kpis(sample)
+
+
 def test_eleven_tables_with_their_schema(sample):
     assert sample.names() == list(TABLES) and len(TABLES) == 11
     for name, spec in TABLES.items():
@@ -63,26 +68,25 @@ def test_every_table_has_rows_and_no_orphans(sample):
     assert len(report) == 17 and all(row["orphans"] == 0 for row in report)
 
 
-def test_categories(sample):
+def test_categories(sample, kpis):
     assert set(catalog.fleet(sample)) == {"vessel_utilization", "capacity_vs_booked_teu"}
     assert set(catalog.network(sample)) == {"busiest_ports", "avg_delay_by_route", "leg_distances"}
     assert set(catalog.operations(sample)) == {"on_time_performance", "delayed_voyages", "avg_delay_by_port"}
     assert len(catalog.commercial(sample)) == 5
-    kpis = catalog.get_all_kpis(sample)
     assert set(kpis) == set(COLUMNS)
     assert all(isinstance(df, DataFrame) for df in kpis.values())
 
 
 @pytest.mark.parametrize("name", COLUMNS)
-def test_kpi_columns_and_rows(sample, name):
-    df = catalog.get_all_kpis(sample)[name]
+def test_kpi_columns_and_rows(kpis, name):
+    df = kpis[name]
     assert sorted(df.columns) == sorted(COLUMNS[name].split())
     assert df.limit(1).count() == 1
 
 
 @pytest.mark.parametrize("name, column", [("busiest_ports", "total_calls"), ("top_customers_by_value", "total_value_usd")])
-def test_kpi_order(sample, name, column):
-    values = [row[column] for row in dicts(catalog.get_all_kpis(sample)[name])]
+def test_kpi_order(kpis, name, column):
+    values = [row[column] for row in dicts(kpis[name])]
     assert values == sorted(values, reverse=True)
 
 
