@@ -6,10 +6,11 @@ Texts with the same set are one class, so copies are never compared with each ot
 ``BANDS`` groups of ``ROWS`` MinHash values are candidates (a pair at 0.8 is missed with probability
 (1 - 0.8^6)^32 = 6e-5, one at 0.85 with 3e-7). In each bucket a second sketch is compared ``STEP`` values at a time; a
 pair is dropped as soon as the posterior probability of reaching the threshold, from a uniform prior, is below
-``TOLERANCE``. The others are verified on the full sets.
+``TOLERANCE``. The others connect texts into rough groups, and within these every pair that the sketches don't rule
+out is verified on the full sets.
 
-A bucket larger than ``TILE`` is cut into tiles that are compared with each other in tasks of their own, so no task
-holds a bucket whole; pairs leave a task only after the pruning.
+A bucket or group larger than ``TILE`` is cut into tiles that meet in tasks of their own, so no task holds one whole.
+Of the pairs of a group as many leave a task as connect it, besides the exact number of links of each text.
 
 Defined results: a null text has no words; a null doc_id is left out when the least id of a class is taken, a class
 whose ids are all null is named by null. Repeated rows are members of the same class. An empty table gives empty
@@ -152,28 +153,33 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return found
 
 
-def _surviving_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs that survive the pruning, from rows sorted by (band, i, j): a tile is a run of at most 2 TILE rows."""
-    need = least_matches()
+def _tiles(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by ``key`` as frames of whole tiles, with the first row of each. A tile has 2 TILE rows at most."""
     rest = None
     for rows in batches:
         rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-        tile = rows[["band", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1))))
+        new = np.zeros(len(rows), dtype=bool)
+        new[:1] = True
+        for name in key:
+            column = rows[name].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(new)
         whole = starts[-1] if len(starts) else 0
-        rest = rows.iloc[whole:]
         if whole:
-            yield _compared(rows.iloc[:whole], starts[:-1], need)
+            yield rows.iloc[:whole], starts[:-1]
+        rest = rows.iloc[whole:].reset_index(drop=True)
     if rest is not None and len(rest):
-        yield _compared(rest, np.array([0]), need)
+        yield rest, np.array([0])
 
 
-def _compared(rows: pd.DataFrame, starts: np.ndarray, need: dict[int, int]) -> pd.DataFrame:
+def _survivors(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one tile that survive the pruning, for each distance between the rows."""
+    need = least_matches()
     sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
-    n, chunk, keys = rows["n"].to_numpy(), rows["chunk"].to_numpy(), rows["class_key"].to_numpy()
+    n, chunk = rows["n"].to_numpy(), rows["chunk"].to_numpy()
     across = (rows["i"] != rows["j"]).to_numpy()
     end = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
-    at, step, found = np.arange(len(rows)), 1, set()
+    at, step = np.arange(len(rows)), 1
     while len(at := at[at + step < end[at]]):
         x, y = at, at + step
         fits = np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y])
@@ -184,64 +190,154 @@ def _compared(rows: pd.DataFrame, starts: np.ndarray, need: dict[int, int]) -> p
             matches += (sketch[x, seen : seen + STEP] == sketch[y, seen : seen + STEP]).sum(axis=1)
             stays = matches >= need[seen + STEP]
             x, y, matches = x[stays], y[stays], matches[stays]
-        found.update((keys[p], keys[q]) if keys[p] < keys[q] else (keys[q], keys[p]) for p, q in zip(x, y))
+        if len(x):
+            yield x, y
         step += 1
-    pairs = list(found)
-    return pd.DataFrame(
-        {"a": pd.Series([p for p, _ in pairs], dtype=object), "b": pd.Series([q for _, q in pairs], dtype=object)}
-    )
+
+
+class _Forest:
+    """Keeps of the pairs it is shown those that connect two trees."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.kept: list[tuple[int, int]] = []
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def add(self, x: int, y: int) -> None:
+        a, b = self._root(x), self._root(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.kept.append((x, y))
+
+
+def _candidate_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the surviving pairs of each tile, enough to connect what they connect."""
+    for rows, starts in _tiles(batches, ["band", "i", "j"]):
+        forest = _Forest(len(rows))
+        for x, y in _survivors(rows, starts):
+            for p, q in zip(x.tolist(), y.tolist()):
+                forest.add(p, q)
+        keys = rows["class_key"].to_numpy()
+        found = list({(min(keys[p], keys[q]), max(keys[p], keys[q])) for p, q in forest.kept})
+        yield pd.DataFrame({"a": [p for p, _ in found], "b": [q for _, q in found]}, dtype=object)
+
+
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x and y."""
+    if len(x) < 2000:
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x, y)], dtype=np.int64)
+    used, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+    row = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    _, column = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
+    shared = np.zeros((len(used), len(used)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1, 8192):  # exact: counts stay below 2^24
+        lo, hi = np.searchsorted(column, (at, at + 8192))
+        block = np.zeros((len(used), 8192), dtype=np.float32)
+        block[row[lo:hi], column[lo:hi] - at] = 1
+        shared += block @ block.T
+    return shared[place[: len(x)], place[len(x) :]].astype(np.int64)
+
+
+def _verifying(all_pairs: bool):
+    """Exact links of each tile: a row (a, b, jaccard) for enough of them to connect what they connect, or for all;
+    and a row (a, null, number of links) for each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _tiles(batches, ["root", "i", "j"]):
+            sets = list(rows["shingles"])
+            keys = rows["class_key"].to_numpy()
+            size = np.array([len(s) for s in sets])
+            tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+            forest, links, count = _Forest(len(rows)), [], np.zeros(len(rows), dtype=np.int64)
+            pairs = list(_survivors(rows, starts))
+            if pairs:
+                x, y = (np.concatenate(side) for side in zip(*pairs))
+                order = np.argsort(tile[x], kind="stable")
+                x, y = x[order], y[order]
+                bounds = np.flatnonzero(np.diff(tile[x], prepend=-1, append=len(starts)))
+                common = np.concatenate([_common(sets, x[a:b], y[a:b]) for a, b in zip(bounds, bounds[1:])])
+                jaccard = common / (size[x] + size[y] - common)
+                linked = jaccard >= THRESHOLD
+                x, y, jaccard = x[linked], y[linked], jaccard[linked]
+                np.add.at(count, x, 1)
+                np.add.at(count, y, 1)
+                for n, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+                    before = len(forest.kept)
+                    forest.add(p, q)
+                    if all_pairs or len(forest.kept) > before:
+                        links.append((min(keys[p], keys[q]), max(keys[p], keys[q]), float(jaccard[n])))
+            links += [(keys[p], None, float(count[p])) for p in np.flatnonzero(count)]
+            yield pd.DataFrame(links, columns=["a", "b", "value"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, group: str, members: DataFrame) -> DataFrame:
+    """``rows`` with the tiles of their group: i and j, the chunks that meet, and chunk, the row's own."""
+    tiles = F.ceil(F.col("count") / TILE).cast("int")
+    own = rows.join(members, group).withColumn("tiles", tiles)
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("class_key"), F.col("tiles")).cast("int"))
+    met = own.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    met = met.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return met.drop("count", "tiles", "other").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
 def candidates(signatures: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of class keys that share a band and survive the pruning."""
+    """Pairs (a, b) of class keys that share a band and survive the pruning: of each bucket as many as connect it."""
     rows = signatures.filter("n > 0")
     light = rows.select("class_key", F.explode(F.array_distinct("bands")).alias("band")).distinct()
     shared = light.groupBy("band").count().filter("count > 1")
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
-    crowded = light.join(shared, "band").select(
-        "band", "class_key", tiles.alias("tiles"), F.pmod(F.xxhash64("class_key"), tiles).cast("int").alias("chunk")
-    )
+    crowded = light.join(shared.select("band"), "band", "left_semi")
     sketches = rows.groupBy("class_key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    full = crowded.join(sketches, "class_key").withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    dealt = full.selectExpr(
-        "band", "least(chunk, other) as i", "greatest(chunk, other) as j", "chunk", "class_key", "n", "sketch"
-    )
-    runs = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return runs.mapInPandas(_surviving_pairs, "a binary, b binary").distinct()
+    full = _dealt(crowded.join(sketches, "class_key"), "band", shared)
+    return full.mapInPandas(_candidate_forest, "a binary, b binary").distinct()
+
 
+def join(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", all_pairs: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, class_key, n, class_id, n_copies), links (a, b, jaccard) between class keys, a < b, and the
+    number of links of each class (class_key, n_links).
 
-def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, class_key, n, class_id, n_copies) and links (a, b, jaccard) between class keys, a < b."""
+    Links are exact and complete within what candidates connect, but of a large group only as many are returned as
+    connect it, unless ``all_pairs`` asks for every one, whose number grows with the square of the group.
+    """
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signatures = written(plain.mapInArrow(_signature_batches, _SIGNATURES), "minhash")
     classes = signatures.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     members = signatures.select("doc_id", "class_key", "n").join(classes, "class_key")
-    pairs = written(candidates(signatures), "candidates")
-    asked = pairs.selectExpr("a as class_key").union(pairs.selectExpr("b as class_key")).distinct()
+    groups = written(
+        connected(written(candidates(signatures), "candidates")).withColumnRenamed("node", "class_key"), "rough"
+    )
+    sketches = signatures.groupBy("class_key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # A text for each class asked for: by the least id, or by the class itself where no row of it has an id.
-    chosen = asked.join(classes.select("class_key", "class_id"), "class_key").filter("class_id is not null")
+    asked = groups.join(classes.select("class_key", "class_id"), "class_key")
     texts = (
-        plain.join(chosen.withColumnRenamed("class_id", "doc_id"), "doc_id")
+        plain.join(asked.filter("class_id is not null").selectExpr("class_key", "class_id as doc_id"), "doc_id")
         .select("class_key", "text")
         .mapInArrow(_checked_set_batches, "class_key binary, shingles array<long>")
     )
-    nameless = asked.join(classes.filter("class_id is null").select("class_key"), "class_key", "left_semi")
+    nameless = asked.filter("class_id is null").select("class_key")
     loose = (
         plain.filter("doc_id is null")
         .mapInArrow(_keyed_set_batches, "class_key binary, shingles array<long>")
         .join(nameless, "class_key", "left_semi")
     )
-    sets = written(
-        texts.unionByName(loose).groupBy("class_key").agg(F.first("shingles").alias("shingles")), "shingles"
-    )
-    one = pairs.join(sets.withColumnRenamed("shingles", "sa"), pairs["a"] == sets["class_key"]).select("a", "b", "sa")
-    both = one.join(sets.withColumnRenamed("shingles", "sb"), one["b"] == sets["class_key"]).select(
-        "a", "b", "sa", "sb"
+    sets = texts.unionByName(loose).groupBy("class_key").agg(F.first("shingles").alias("shingles"))
+    full = sets.join(sketches, "class_key").join(groups, "class_key")
+    dealt = _dealt(full, "root", groups.groupBy("root").count())
+    found = written(dealt.mapInPandas(_verifying(all_pairs), "a binary, b binary, value double"), "jaccard")
+    links = found.filter("b is not null").withColumnRenamed("value", "jaccard")
+    counts = found.filter("b is null").groupBy(F.col("a").alias("class_key")).agg(
+        F.sum("value").cast("long").alias("n_links")
     )
-    common = F.size(F.array_intersect("sa", "sb"))
-    jaccard = common / (F.size("sa") + F.size("sb") - common)
-    links = both.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= THRESHOLD)
-    return members, written(links, "jaccard")
+    return members, links, counts
 
 
 def _keyed(sets: list[np.ndarray]) -> list[bytes]:
@@ -275,9 +371,8 @@ def _checked_set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, class_id (least id of all texts that links connect with it), copy_of (least id of the texts
     with the same shingles), n_copies of those, n_links (other texts it is linked with)."""
-    members, links = join(docs, id_column, text_column)
-    roots = connected(links)
-    counts = links.selectExpr("a as class_key").union(links.selectExpr("b as class_key")).groupBy("class_key").count()
+    members, links, counts = join(docs, id_column, text_column)
+    roots = connected(links.select("a", "b").distinct())
     named = members.join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
     least = (
         named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
@@ -290,7 +385,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             "if(n = 0, doc_id, coalesce(least_id, class_id)) as class_id",
             "if(n = 0, doc_id, class_id) as copy_of",
             "if(n = 0, 1L, n_copies) as n_copies",
-            "coalesce(count, 0L) as n_links",
+            "coalesce(n_links, 0L) as n_links",
         )
     )
 
