@@ -32,9 +32,10 @@ from pyspark.sql.types import StructType
 
 # Fixed value: the pattern that cuts texts for the vocabulary files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-DICTIONARY_SIZE = 300_000
+DICTIONARY_SIZE = 1_000_000
 BUCKETS = 1 << 15
 NO_RANK = 2_147_483_647
+SLICE_WORDS = 1 << 18  # taken at once from an Arrow batch
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +54,63 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def _rank(key: Column, maps: Column) -> Column:
+    bucket = F.element_at(maps, (F.crc32(key) % BUCKETS + 1).cast("int"))
+    return F.coalesce(F.try_element_at(bucket, key), F.lit(NO_RANK))
+
+
+def _merge_at(state: Column, p: Column, maps: Column) -> Column:
+    """Parts p and p + 1 become one; the ranks of the pairs around it are looked up anew."""
+    parts, ranks = state["parts"], state["ranks"]
+    n = F.size(parts)
+    none = F.array().cast("array<int>")
+
+    def joined(m: Column) -> Column:
+        left = F.when(p > 1, F.array(_rank(F.concat(F.element_at(parts, p - 1), m), maps))).otherwise(none)
+        right = F.when(p + 1 < n, F.array(_rank(F.concat(m, F.element_at(parts, p + 2)), maps))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(parts, F.lit(1), p - 1), F.array(m), F.slice(parts, p + 2, n)).alias("parts"),
+            F.concat(
+                F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)
+            ).alias("ranks"),
+        )
+
+    return _let(F.concat(F.element_at(parts, p), F.element_at(parts, p + 1)), joined)
+
+
+def _folded(word: Column, maps: Column) -> Column:
+    """The ids of one word: itself if it has a rank, else its bytes with all merges made."""
+
+    def step(state: Column, _: Column) -> Column:
+        ranks = state["ranks"]
+        return _let(
+            F.array_min(ranks),
+            lambda least: F.when(
+                least < NO_RANK,
+                _let(F.array_position(ranks, least).cast("int"), lambda p: _merge_at(state, p, maps)),
+            ).otherwise(state),
+        )
+
+    def merged(key: Column) -> Column:
+        n = (F.length(key) / 2).cast("int")
+        start = F.struct(
+            F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(key, i * 2 - 1, F.lit(2))).alias("parts"),
+            F.transform(
+                F.sequence(F.lit(1), n - 1), lambda i: _rank(F.substring(key, i * 2 - 1, F.lit(4)), maps)
+            ).alias("ranks"),
+        )
+        return F.transform(
+            F.aggregate(F.sequence(F.lit(2), n), start, step)["parts"], lambda part: _rank(part, maps)
+        )
+
+    return _let(
+        F.hex(F.encode(word, "UTF-8")),
+        lambda key: _let(
+            _rank(key, maps), lambda whole: F.when(whole < NO_RANK, F.array(whole)).otherwise(merged(key))
+        ),
+    )
+
+
 class Ranks:
     """A vocabulary as literals of a plan."""
 
@@ -66,72 +124,15 @@ class Ranks:
         self._maps = json.dumps(maps, separators=(",", ":"))
         self._pieces = json.dumps(pieces, separators=(",", ":"))
 
-    def _rank(self, key: Column) -> Column:
+    def fold(self, words: Column) -> Column:
+        """The ids of each of an array of words. The literal is bound once for all look-ups."""
         maps = F.from_json(F.lit(self._maps), "array<map<string,int>>")
-        return F.coalesce(
-            F.try_element_at(F.element_at(maps, (F.crc32(key) % BUCKETS + 1).cast("int")), key), F.lit(NO_RANK)
-        )
-
-    def fold(self, word: Column) -> Column:
-        """The ids of one word."""
-
-        def merged(state: Column, _: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-            n = F.size(parts)
-
-            def at(p: Column) -> Column:
-                def joined(m: Column) -> Column:
-                    none = F.array().cast("array<int>")
-                    left = F.when(p > 1, F.array(self._rank(F.concat(F.element_at(parts, p - 1), m)))).otherwise(none)
-                    right = F.when(
-                        p + 1 < n, F.array(self._rank(F.concat(m, F.element_at(parts, p + 2))))
-                    ).otherwise(none)
-                    return F.struct(
-                        F.concat(
-                            F.slice(parts, F.lit(1), p - 1), F.array(m), F.slice(parts, p + 2, n)
-                        ).alias("parts"),
-                        F.concat(
-                            F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))),
-                            left,
-                            right,
-                            F.slice(ranks, p + 2, n),
-                        ).alias("ranks"),
-                    )
-
-                return _let(F.concat(F.element_at(parts, p), F.element_at(parts, p + 1)), joined)
-
-            least = F.array_min(ranks)
-            return F.when(
-                least < NO_RANK, _let(F.array_position(ranks, least).cast("int"), at)
-            ).otherwise(state)
-
-        def folded(key: Column) -> Column:
-            n = (F.length(key) / 2).cast("int")
-            bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(key, i * 2 - 1, F.lit(2)))
-            start = _let(
-                bytes_,
-                lambda parts: F.struct(
-                    parts.alias("parts"),
-                    F.transform(
-                        F.sequence(F.lit(1), n - 1),
-                        lambda i: self._rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))),
-                    ).alias("ranks"),
-                ),
-            )
-            done = F.aggregate(F.sequence(F.lit(2), n), start, merged)
-            return F.transform(done["parts"], self._rank)
-
-        return _let(
-            F.hex(F.encode(word, "UTF-8")),
-            lambda key: _let(
-                self._rank(key), lambda whole: F.when(whole < NO_RANK, F.array(whole)).otherwise(folded(key))
-            ),
-        )
+        return _let(maps, lambda bound: F.transform(words, lambda word: _folded(word, bound)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""
         pieces = F.from_json(F.lit(self._pieces), "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
 @dataclass
@@ -144,14 +145,15 @@ class Dictionary:
 
     @staticmethod
     def of(words: pa.Array, ids: pa.ListArray) -> Dictionary:
-        return Dictionary(words, ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False))
+        return Dictionary(words, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32))
 
     def expand(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at ``places`` one after the other (none for -1), and the end of each word's ids."""
         starts = self.offsets[places]
         lengths = np.where(places >= 0, self.offsets[places + 1] - starts, 0)
         ends = np.cumsum(lengths)
-        return self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(total, dtype=ends.dtype)], ends
 
 
 def _row_lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -160,44 +162,57 @@ def _row_lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
 
-def _looking_up(shared: Broadcast):
-    """Ids of the known words, cut at the unknown ones; these, without repeats, and which of them stands at each cut."""
+def _cut(
+    carried: pa.Array, words: pa.Array, rows: np.ndarray, places: np.ndarray, known: Dictionary
+) -> pa.RecordBatch:
+    """Ids of the known words of some rows, cut at the unknown ones (place -1); these, without repeats in a row; and
+    which of them stands at each cut."""
+    ids, ends = known.expand(places)
+    ends = np.concatenate(([0], ends))
+    cuts = np.flatnonzero(places < 0)
+    row_of_cut = np.searchsorted(rows, cuts, side="right") - 1
+    cuts_before = np.searchsorted(cuts, rows)
+    # A segment ends at each cut and at the end of each row.
+    stops = np.sort(np.concatenate((cuts, rows[1:])), kind="stable")
+    segments = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends[stops])).astype(np.int32)), pa.array(ids))
+    unknown = words.take(pa.array(cuts)).dictionary_encode()
+    width = max(1, len(unknown.dictionary))
+    distinct, which = np.unique(row_of_cut * width + unknown.indices.to_numpy().astype(np.int64), return_inverse=True)
+    first = np.searchsorted(distinct, np.arange(len(rows)) * width)
+    return pa.RecordBatch.from_arrays(
+        [
+            carried,
+            pa.ListArray.from_arrays(pa.array((cuts_before + np.arange(len(rows))).astype(np.int32)), segments),
+            pa.ListArray.from_arrays(
+                pa.array(first.astype(np.int32)), unknown.dictionary.take(pa.array(distinct % width))
+            ),
+            pa.ListArray.from_arrays(
+                pa.array(cuts_before.astype(np.int32)), pa.array((which - first[row_of_cut]).astype(np.int32))
+            ),
+        ],
+        names=["carried", "segments", "rare", "rare_at"],
+    )
+
+
+def slices(rows: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` values, given the rows' offsets."""
+    at = 0
+    while at < len(rows) - 1:
+        end = max(at + 1, int(np.searchsorted(rows, rows[at] + most, side="right")) - 1)
+        yield at, end
+        at = end
 
+
+def _looking_up(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Dictionary = shared.value
         for batch in batches:
             words, rows = _row_lists(batch.column(1))
-            places = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy().astype(np.int64)
-            ids, ends = known.expand(places)
-            ends = np.concatenate(([0], ends))
-            cuts = np.flatnonzero(places < 0)
-            row_of_cut = np.searchsorted(rows, cuts, side="right") - 1
-            cuts_before = np.searchsorted(cuts, rows)
-            # A segment ends at each cut and at the end of each row.
-            stops = np.sort(np.concatenate((cuts, rows[1:])), kind="stable")
-            segments = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], ends[stops])).astype(np.int32)), pa.array(ids.astype(np.int32))
-            )
-            per_row = cuts_before + np.arange(len(rows))
-            unknown = words.take(pa.array(cuts)).dictionary_encode()
-            code = unknown.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            width = max(1, len(unknown.dictionary))
-            distinct, which = np.unique(row_of_cut * width + code, return_inverse=True)
-            first = np.searchsorted(distinct, np.arange(len(rows)) * width)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), segments),
-                    pa.ListArray.from_arrays(
-                        pa.array(first.astype(np.int32)), unknown.dictionary.take(pa.array(distinct % width))
-                    ),
-                    pa.ListArray.from_arrays(
-                        pa.array(cuts_before.astype(np.int32)),
-                        pa.array((which - first[row_of_cut]).astype(np.int32)),
-                    ),
-                ],
-                names=["carried", "segments", "rare", "rare_at"],
-            )
+            places = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy()
+            for a, b in slices(rows, SLICE_WORDS):
+                lo, hi = rows[a], rows[b]
+                own = words.slice(lo, hi - lo)
+                yield _cut(batch.column(0).slice(a, b - a), own, rows[a : b + 1] - lo, places[lo:hi], known)
 
     return run
 
@@ -211,7 +226,7 @@ def frequent_words(docs: DataFrame, text_column: str, dictionary_size: int) -> D
 def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: str, dictionary_size: int) -> DataFrame:
     frequent = frequent_words(docs, text_column, dictionary_size)
     folded = frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "word").select(
-        "word", vocabulary.fold(F.col("word")).alias("ids")
+        "word", vocabulary.fold(F.array("word")).getItem(0).alias("ids")
     )
     # At most dictionary_size rows.
     rows = folded.toArrow().combine_chunks()
@@ -223,7 +238,7 @@ def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: s
     schema = StructType([cut.schema.fields[0], *added.fields])
     looked_up = cut.mapInArrow(_looking_up(docs.sparkSession.sparkContext.broadcast(known)), schema)
     ids = _let(
-        F.transform("rare", vocabulary.fold),
+        vocabulary.fold(F.col("rare")),
         lambda rare: F.flatten(
             F.zip_with(
                 "segments",
