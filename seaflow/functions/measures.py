@@ -31,8 +31,8 @@ def half_up(value: str, digits: int) -> str:
 
 
 def exact_sum(amount: str) -> str:
-    """Sum of an amount kept with two decimals; exact, so independent of the order of the rows."""
-    return f"sum(cast({amount} as decimal(18,2)))"
+    """Sum of an amount of up to six decimals; exact, so independent of the order of the rows."""
+    return f"sum(cast({amount} as decimal(28,6)))"
 
 
 def exact_total(amount: str) -> str:

@@ -6,7 +6,7 @@ cell, and what lies before a cell is added from totals per cell, which are aggre
 Smaller groups stay in one piece, so nothing but the group sizes is computed for them. Every cut is a function of
 the row itself: a recomputed partition always lands in the same cell.
 
-Keys and order columns must not be NULL (the model declares them so). Expressions are SQL texts. ``levels`` maps a
+Rows whose key is NULL are a group like others; order columns must not be NULL. Expressions are SQL texts. ``levels`` maps a
 name to an expression that never decreases along the order; each level refines the ones before it. ``sizes`` may
 give the group sizes (keys and ``_rows``), or an upper bound of them, where a smaller table knows them.
 """
@@ -42,9 +42,9 @@ def _cut(
     """Add the level columns, NULL for groups that stay whole, and the flag ``_large``."""
     sizes = group_sizes(df, *keys) if sizes is None else sizes
     if keys:
-        # At most one row per split_rows rows of the input, hence small enough to send everywhere.
+        # At most one row per split_rows rows of the input.
         large = sizes.filter(f"_rows > {split_rows}").selectExpr(*keys, "true as _found")
-        marked = df.join(F.broadcast(large), keys, "left")
+        marked = _matched(df, large, keys, [], "left")
     else:
         # One row: the size of the whole input.
         marked = df.crossJoin(F.broadcast(sizes.selectExpr(f"_rows > {split_rows} as _found")))
@@ -54,6 +54,17 @@ def _cut(
     )
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], levels: list[str], how: str) -> DataFrame:
+    """Join in which NULL keys match each other; NULL levels, those of groups that stay whole, match nothing."""
+    names = [*keys, *levels]
+    other = right.selectExpr(
+        *[f"{name} as _r_{name}" for name in names], f"* except ({', '.join(names)})" if names else "*"
+    )
+    same = [f"{k} <=> _r_{k}" for k in keys] + [f"{level} = _r_{level}" for level in levels]
+    joined = left.join(other, F.expr(" and ".join(same)), how)
+    return joined.drop(*[f"_r_{name}" for name in names])
+
+
 def _preceding(cells: DataFrame, keys: list[str], levels: list[str], measure: str) -> DataFrame:
     """For each cell, ``_before``: the measure summed over the earlier cells of its group.
 
@@ -69,7 +80,8 @@ def _preceding(cells: DataFrame, keys: list[str], levels: list[str], measure: st
             out = out.selectExpr("*", f"{earlier} as {step}")
         else:
             upper = totals(cells, here, f"sum({measure}) as {measure}")
-            out = out.join(upper.selectExpr(*here, f"{earlier} as {step}"), here)
+            steps_here = upper.selectExpr(*here, f"{earlier} as {step}")
+            out = _matched(out, steps_here, keys, levels[: depth + 1], "inner")
         steps.append(f"coalesce({step}, 0)")
     return out.selectExpr(*keys, *levels, f"{' + '.join(steps)} as _before")
 
@@ -79,8 +91,7 @@ def _finish(
 ) -> DataFrame:
     """Add the local value and what precedes the cell; groups that stayed whole have no match."""
     return (
-        marked.selectExpr("*", f"{local} as _local")
-        .join(before, keys + levels, "left")
+        _matched(marked.selectExpr("*", f"{local} as _local"), before, keys, levels, "left")
         .selectExpr(
             f"* except (_large, _local, _before, {', '.join(levels)})", f"_local + coalesce(_before, 0) as {name}"
         )
@@ -127,7 +138,7 @@ def ranked(
     whole = marked.filter("not _large").selectExpr(f"* except ({extra})", f"cast({rank} as bigint) as {name}")
     large = marked.filter("_large")
     cells = totals(large, keys + names, f"{'max(1L)' if dense else 'count(*)'} as _rows")
-    split = large.join(_preceding(cells, keys, names, "_rows"), keys + names).selectExpr(
+    split = _matched(large, _preceding(cells, keys, names, "_rows"), keys, names, "inner").selectExpr(
         f"* except ({extra}, _before)", f"_before + 1 as {name}"
     )
     return whole.unionByName(split)
@@ -173,9 +184,13 @@ def neighbour(
     edges = totals(marked.filter("_large"), keys + names, f"{edge_of}({record}, {position}) as _record")
     edges = edges.selectExpr(*keys, *names, f"{_over(f'{move}(_record)', keys, names)} as _edge")
     return (
-        marked.selectExpr("*", f"{_over(f'{move}({record})', keys + names, order)} as _local")
-        .join(edges, keys + names, "left")
-        .selectExpr(
+        _matched(
+            marked.selectExpr("*", f"{_over(f'{move}({record})', keys + names, order)} as _local"),
+            edges,
+            keys,
+            names,
+            "left",
+        ).selectExpr(
             f"* except (_large, _local, _edge, {', '.join(names)})", f"coalesce(_local, _edge) as {name}"
         )
     )

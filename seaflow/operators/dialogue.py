@@ -12,7 +12,6 @@ from seaflow.sources.tables import FreightTables
 QUESTION_LIMIT = 20
 HISTORY_TURNS = 10
 ANSWER_ROLES = ("assistant", "model")
-DIALOGUE_ROLES = ("user", *ANSWER_ROLES)
 
 # Forms a reply may take. The U flag lets word boundaries see letters beyond ASCII.
 _TAGGED = r"(?isU)<sql>(.*?)</sql>"
@@ -53,14 +52,16 @@ def extract_reply(replies: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
-def recent_messages(messages: DataFrame, turns: int = HISTORY_TURNS) -> DataFrame:
-    """The last ``turns`` question-and-answer pairs of every conversation.
+def recent_messages(
+    messages: DataFrame, turns: int = HISTORY_TURNS, roles: tuple[str, ...] | None = None
+) -> DataFrame:
+    """The last ``2 * turns`` messages of every conversation, of all roles or of ``roles`` alone.
 
     The rank filter is applied before the shuffle as well (window group limit), so a very long conversation sends
     on no more than the window from each task.
     """
     return (
-        messages.filter(F.col("role").isin(*DIALOGUE_ROLES))
+        (messages if roles is None else messages.filter(F.col("role").isin(*roles)))
         .selectExpr("*", "row_number() over (partition by conv_id order by turn desc) as _age")
         .filter(f"_age <= {2 * turns}")
         .drop("_age")

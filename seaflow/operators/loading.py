@@ -11,13 +11,16 @@ def new_rows(incoming: DataFrame, existing: DataFrame, unique: list[str], order:
     """Incoming rows whose unique key is not there yet; of several with one key the first by ``order`` stays.
 
     Loading the same rows twice therefore changes nothing. The choice is a MIN over a struct, which combines
-    map-side, so a key repeated very often does not end up in one task.
+    map-side, so a key repeated very often does not end up in one task. A key with a NULL part equals no other: such
+    rows are all new, in every load.
     """
+    absent = " or ".join(f"{c} is null" for c in unique)
+    keyed, nameless = incoming.filter(f"not ({absent})"), incoming.filter(absent)
     rest = [c for c in incoming.columns if c not in unique and c not in order]
     leading = [c for c in order if c not in unique]
-    kept = totals(incoming, unique, f"min(struct({', '.join(leading + rest)})) as _row")
+    kept = totals(keyed, unique, f"min(struct({', '.join(leading + rest)})) as _row")
     fresh = kept.join(existing.select(*unique), unique, "left_anti")
-    return fresh.select(*unique, "_row.*").select(*incoming.columns)
+    return fresh.select(*unique, "_row.*").select(*incoming.columns).unionByName(nameless)
 
 
 def load_once(incoming: DataFrame, existing: DataFrame, unique: list[str], order: list[str]) -> DataFrame:

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaflow.functions.measures import ARRIVED, ON_TIME, OVER_A_DAY, half_up, percent, ratio, tally, totals
+from seaflow.functions.measures import (
+    ARRIVED,
+    ON_TIME,
+    OVER_A_DAY,
+    exact_mean,
+    exact_sum,
+    half_up,
+    percent,
+    ratio,
+    tally,
+    totals,
+)
 from seaflow.sources.tables import FreightTables
 
 
@@ -16,7 +27,7 @@ def port_calls(t: FreightTables) -> DataFrame:
         ["port_id"],
         "count(*) as calls",
         "count(distinct voyage_id) as voyages",
-        "avg(delay_hours) as mean_delay",
+        f"{exact_mean('delay_hours')} as mean_delay",
     )
 
 
@@ -49,7 +60,7 @@ def avg_delay_by_route(t: FreightTables) -> DataFrame:
         t.voyage_stop,
         ["voyage_id"],
         "count(*) as stops",
-        "sum(delay_hours) as delay",
+        f"{exact_sum('delay_hours')} as delay",
         "max(delay_hours) as worst",
         f"{tally(OVER_A_DAY)} as over_a_day",
         f"{tally(ARRIVED)} as reached",

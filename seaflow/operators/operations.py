@@ -12,6 +12,8 @@ from seaflow.functions.measures import (
     OVER_A_DAY,
     SEVERE_LIMIT_H,
     SEVERELY_LATE,
+    exact_mean,
+    exact_sum,
     half_up,
     percent,
     tally,
@@ -19,7 +21,7 @@ from seaflow.functions.measures import (
 )
 from seaflow.sources.tables import FreightTables
 
-_ARRIVED_MEAN = f"avg(case when {ARRIVED} then delay_hours end)"
+_ARRIVED_MEAN = exact_mean(f"case when {ARRIVED} then delay_hours end")
 
 
 def on_time_performance(t: FreightTables) -> DataFrame:
@@ -45,8 +47,8 @@ def delayed_voyages(t: FreightTables) -> DataFrame:
         t.voyage_stop,
         ["voyage_id"],
         "count(*) as stop_count",
-        "sum(delay_hours) as delay",
-        f"{half_up('avg(delay_hours)', 2)} as avg_delay_h",
+        f"{exact_sum('delay_hours')} as delay",
+        f"{half_up(exact_mean('delay_hours'), 2)} as avg_delay_h",
         f"{half_up('max(delay_hours)', 2)} as max_stop_delay_h",
         f"{tally(OVER_A_DAY)} as stops_over_24h",
     ).filter(f"delay > {SEVERE_LIMIT_H}")

@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from seaflow.functions.measures import check_digit, exact_sum, half_up, tally, totals, voyage_status
+from seaflow.functions.measures import check_digit, exact_mean, exact_sum, half_up, tally, totals, voyage_status
 from seaflow.operators.joins import leg_totals
 from seaflow.operators.network import port_role
 from seaflow.sources.schema import EVENT_CHAINS, OPTIONAL_EVENTS, SHIPMENT_STATUS_OF_VOYAGE, TABLES
@@ -87,26 +86,24 @@ def _row_audit(t: FreightTables, name: str) -> DataFrame:
 def _unique_audit(t: FreightTables) -> DataFrame:
     """Key values that occur more than once; a key with a NULL part is never a duplicate.
 
-    The keys of all tables are counted in one shuffle: each table is read once and yields a line per key with up to
-    two numbers or a text.
+    The keys of all tables are counted in one shuffle: each table is read once and yields a line per key with all its
+    columns as text.
     """
     lines, rules = [], []
     for name in t.names():
         spec = TABLES[name]
         stacked = []
         for columns in ((spec.key,), *spec.unique):
-            text = [c for c in columns if spec.schema[c].dataType == T.StringType()]
-            numbers = [f"cast({c} as bigint)" for c in columns if c not in text]
-            parts = (numbers + ["0L", "0L"])[:2] + (text or ["''"])
             present = " and ".join(f"{c} is not null" for c in columns)
             rules.append(f"{name}|unique: {', '.join(columns)}")
-            stacked.append(f"{len(rules)}, {', '.join(parts)}, {present}")
+            values = ", ".join(f"cast({c} as string)" for c in columns)
+            stacked.append(f"{len(rules)}, array({values}), {present}")
         lines.append(
             t.table(name)
-            .selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) as (rule_no, first, second, text, present)")
+            .selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) as (rule_no, key_values, present)")
             .filter("present")
         )
-    keys = totals(_union(lines), ["rule_no", "first", "second", "text"], "count(*) as n")
+    keys = totals(_union(lines), ["rule_no", "key_values"], "count(*) as n")
     repeated = totals(keys.filter("n > 1"), ["rule_no"], "count(*) as violations")
     named = repeated.selectExpr(f"array({_quoted(rules)})[rule_no - 1] as rule", "violations")
     return _reported(named, "rule", rules, "violations").selectExpr(
@@ -202,7 +199,7 @@ def voyage_schedule(t: FreightTables, rows: int = TOP_ROWS) -> DataFrame:
         t.voyage_stop.join(first.select("voyage_id"), "voyage_id", "left_semi"),
         ["voyage_id"],
         "count(*) as stops",
-        f"{half_up('avg(delay_hours)', 1)} as avg_delay_hours",
+        f"{half_up(exact_mean('delay_hours'), 1)} as avg_delay_hours",
         f"{half_up('max(delay_hours)', 1)} as max_delay_hours",
     )
     return (

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from seaflow.sources.schema import TABLES
 from seaflow.sources.tables import FreightTables
@@ -31,8 +33,11 @@ _CTE = r"(?iU)\b([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("
 _LITERAL = r"\x27[^\x27]*(\x27|\z)|\x22[^\x22]*(\x22|\z)"
 _OPEN_END = rf"(?i)\b({OPEN_CLAUSES})\z"
 
-# Spark functions that reach beyond the tables.
-_UNSAFE_CALL = r"(?i)\b(try_reflect|reflect|java_method)\s*\("
+# Groups of built-in functions a guarded query may call: those that compute from their arguments alone. The rest (JVM
+# calls, session and file information, errors on purpose) and functions of any catalog are refused.
+_CLOSED_GROUPS = {"misc_funcs", "table_funcs", "generator_funcs", "variant_funcs", "st_funcs", ""}
+_HARMLESS = {"typeof", "explode", "posexplode", "stack"}
+_DIALECT = {"strftime", "julianday"}
 
 # White space that is trimmed, as characters of a SQL string.
 _SPACE = r"' \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0'"
@@ -68,7 +73,7 @@ _SECURITY = (
         _message(f"Block comments ('/* … */') are not permitted. {_NO_COMMENTS}"),
     ),
     (
-        f"contains({_removed("if(endswith(_text, ';'), left(_text, length(_text) - 1), _text)", _LITERAL)}, ';')",
+        f"contains(_text, ';') and contains({_removed("if(endswith(_text, ';'), left(_text, length(_text) - 1), _text)", _LITERAL)}, ';')",
         _message(
             "Multiple SQL statements are not permitted (semicolon detected outside a string literal). "
             "Send one SELECT statement at a time."
@@ -106,8 +111,7 @@ def audit(queries: DataFrame, column: str = "sql") -> DataFrame:
             "*",
             f"if(_text = '', array('SQL string is empty.'), array_compact(array({gates}))) as _security",
             rf"{_removed(_found('_body', _LIMIT), r'\A0+(?=\d)')} as _limit",
-            # The longest clause word has six letters: its boundary lies within the last ten characters.
-            f"upper({_found('right(_body, 10)', _OPEN_END)}) as _open_end",
+            f"upper({_found('_body', _OPEN_END)}) as _open_end",
         )
         .selectExpr(
             "*",
@@ -160,22 +164,94 @@ class GuardedResult:
         return not self.errors
 
 
+def _nodes(gateway, plan) -> Iterator[tuple]:
+    """All nodes and expressions of a parsed plan, with those of subqueries and named queries: each with its kind
+    and whether it is a plan."""
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        is_plan = is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+        yield node, kind, is_plan
+        below = [node.children()]
+        if is_plan:
+            below += [node.expressions(), node.innerChildren()]
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            below.append(node.plan().children())
+            stack.append(node.plan())
+        elif kind == "InSubquery":
+            below.append(node.values())
+            stack.append(node.query())
+        for nodes in below:
+            each = nodes.iterator()
+            while each.hasNext():
+                stack.append(each.next())
+
+
+def _parts(names) -> list[str]:
+    each, found = names.iterator(), []
+    while each.hasNext():
+        found.append(each.next())
+    return found
+
+
+def _plan_errors(session: SparkSession, sql: str) -> list[str]:
+    """What the parsed text names beyond the freight tables, its own named queries and harmless functions."""
+    state = session._jsparkSession.sessionState()
+    identifier = session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    tables = {name.lower() for name in TABLES}
+    relations, errors = [], []
+    for node, kind, is_plan in _nodes(session.sparkContext._gateway, state.sqlParser().parsePlan(sql)):
+        if kind == "UnresolvedRelation":
+            relations.append(_parts(node.multipartIdentifier()))
+        elif kind == "UnresolvedWith":
+            each = node.innerChildren().iterator()
+            while each.hasNext():
+                tables.add(each.next().alias().lower())
+        elif kind == "UnresolvedFunction":
+            parts = _parts(node.nameParts())
+            name = parts[-1].lower()
+            if len(parts) == 1 and name in _HARMLESS | _DIALECT:
+                continue
+            info = state.functionRegistry().lookupFunction(identifier(name)) if len(parts) == 1 else None
+            if info is None or info.isEmpty() or info.get().getGroup() in _CLOSED_GROUPS:
+                errors.append(f"Function not permitted: '{'.'.join(parts)}'.")
+        elif is_plan and kind not in _PLAIN_PLANS:
+            errors.append(f"Part of a query not permitted: {kind}.")
+        elif "Identifier" in kind:
+            errors.append("Names must be written out.")
+    for parts in relations:
+        if len(parts) != 1 or parts[0].lower() not in tables:
+            errors.append(f"Unknown table referenced: '{'.'.join(parts)}'. Valid tables: {', '.join(KNOWN_TABLES)}.")
+    return sorted(set(errors))
+
+
+# Plans of a parsed query that only combine and compute rows; all others are refused.
+_PLAIN_PLANS = {
+    "Aggregate", "Deduplicate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join",
+    "LateralJoin", "LocalLimit", "Offset", "OneRowRelation", "OneRowRelation$", "Pivot", "Project", "Sort", "SubqueryAlias",
+    "Union", "Unpivot", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases",
+    "UnresolvedWith", "Window", "WithWindowDefinition", "UnresolvedOrderBy",
+}
+
+
 def guarded_query(t: FreightTables, sql: str, max_rows: int = MAX_ROWS) -> GuardedResult:
     """Check one SQL text, then run it over the freight tables with at most ``max_rows`` rows.
 
-    The row limit holds for the outermost query whatever limits the text contains. Unknown columns and malformed
-    statements are found by Spark's own analysis, against a catalog that holds the freight tables.
+    After the rules of ``audit``, Spark parses the text, and every table, named query, function and kind of operator in
+    its plan must be one that is allowed. ``sql`` of the outcome is what ran: the text in an outer query that holds
+    the row limit, whatever limits the text contains. (``audit`` reports the text with its own limit clamped.)
     """
-    texts = t.spark.createDataFrame([(sql,)], "sql string")
-    verdict = audit(texts).selectExpr("*", f"sql rlike r'{_UNSAFE_CALL}' as unsafe").first()
+    verdict = audit(t.spark.createDataFrame([(sql,)], "sql string")).first()
     outcome = GuardedResult(sql=sql, errors=list(verdict.errors), warnings=list(verdict.warnings))
-    if verdict.unsafe:
-        outcome.errors.append("Functions that call into the JVM are not permitted.")
     if outcome.errors:
         return outcome
-    outcome.sql = verdict.sanitized_sql
+    body = sql.strip().rstrip(";").rstrip()
     try:
-        outcome.result = t.run_query(sql.strip().rstrip(";").rstrip()).limit(max_rows)
+        outcome.errors = _plan_errors(t.sql_session(), body)
+        if not outcome.errors:
+            outcome.sql = f"SELECT * FROM (\n{body}\n) AS guarded LIMIT {max_rows}"
+            outcome.result = t.run_query(outcome.sql)
     except (AnalysisException, ParseException) as problem:
         outcome.errors.append(f"SQL syntax / planning error: {problem}")
     return outcome

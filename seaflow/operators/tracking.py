@@ -25,14 +25,9 @@ def shipments_of(t: FreightTables, bl: Lookup) -> DataFrame:
     return t.shipment.filter(F.col("bl_number") == bl.strip().upper())
 
 
-def _narrow(df: DataFrame, bl: Lookup) -> DataFrame:
-    """Shipments looked up by one number are one row (bills of lading are unique): it goes to the big table."""
-    return F.broadcast(df) if isinstance(bl, str) else df
-
-
-def _joined(shipments: DataFrame, bl: Lookup, *dimensions: tuple[DataFrame, str]) -> DataFrame:
+def _joined(shipments: DataFrame, *dimensions: tuple[DataFrame, str]) -> DataFrame:
     for dimension, key in dimensions:
-        shipments = _narrow(shipments, bl).join(dimension, key)
+        shipments = shipments.join(dimension, key)
     return shipments
 
 
@@ -40,7 +35,6 @@ def listed_shipments(t: FreightTables) -> DataFrame:
     """All shipments with customer, lane and ports, in no particular order."""
     return _joined(
         t.shipment,
-        None,
         (t.customer.select("customer_id", "company_name"), "customer_id"),
         (t.voyage.selectExpr("voyage_id", "route_id", "status as voyage_status"), "voyage_id"),
         (t.route.select("route_id", "route_name"), "route_id"),
@@ -70,7 +64,6 @@ def shipment_detail(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """Header of each shipment: customer, voyage, route and ports."""
     return _joined(
         shipments_of(t, bl),
-        bl,
         (t.customer.select("customer_id", "company_name", "industry"), "customer_id"),
         (t.voyage.withColumnRenamed("status", "voyage_status"), "voyage_id"),
         (t.route.select("route_id", "route_name"), "route_id"),
@@ -101,7 +94,6 @@ def shipment_meta(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """The short header shown above a shipment map."""
     return _joined(
         shipments_of(t, bl),
-        bl,
         (t.customer.select("customer_id", "company_name"), "customer_id"),
         (t.voyage.select("voyage_id", "route_id", "voyage_number"), "voyage_id"),
         (t.route.select("route_id", "route_name"), "route_id"),
@@ -111,7 +103,7 @@ def shipment_meta(t: FreightTables, bl: Lookup = None) -> DataFrame:
 def located_events(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """Tracking events with port and coordinates where a port is known, in no particular order."""
     return (
-        t.shipment_event.join(_narrow(shipments_of(t, bl).select("shipment_id", "bl_number"), bl), "shipment_id")
+        t.shipment_event.join(shipments_of(t, bl).select("shipment_id", "bl_number"), "shipment_id")
         .join(t.port.select("port_id", "un_locode", "port_name", "latitude", "longitude"), "port_id", "left")
         .drop("shipment_id", "port_id")
     )
@@ -128,7 +120,7 @@ def event_timeline(t: FreightTables, bl: Lookup = None) -> DataFrame:
 
 def shipment_containers(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """Containers with number and value of their cargo lines; cargo is summed per container first."""
-    wanted = t.container.join(_narrow(shipments_of(t, bl).select("shipment_id", "bl_number"), bl), "shipment_id")
+    wanted = t.container.join(shipments_of(t, bl).select("shipment_id", "bl_number"), "shipment_id")
     lines = t.cargo_item
     if bl is not None:
         lines = lines.join(wanted.select("container_id"), "container_id", "left_semi")
@@ -157,7 +149,7 @@ def shipment_stops(t: FreightTables, bl: Lookup = None) -> DataFrame:
     otherwise yield their product. ``shipment_meta`` tells which voyage carries a shipment.
     """
     carrying = shipments_of(t, bl).select("voyage_id")
-    carrying = _narrow(carrying, bl) if isinstance(bl, str) else carrying.distinct()
+    carrying = carrying.distinct()
     return (
         t.voyage_stop.join(carrying, "voyage_id", "left_semi")
         .join(t.voyage.select("voyage_id", "voyage_number"), "voyage_id")

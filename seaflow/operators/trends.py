@@ -27,7 +27,7 @@ def port_congestion(t: FreightTables) -> DataFrame:
         ["port_id"],
         "count(*) as calls",
         f"{tally('delay_hours > 0')} as delayed",
-        "sum(delay_hours) as delay",
+        f"{exact_sum('delay_hours')} as delay",
     )
     return (
         t.port.join(calls, "port_id", "left")
@@ -63,7 +63,7 @@ def lane_punctuality(t: FreightTables) -> DataFrame:
         ["origin_country_code", "dest_country_code"],
         "sum(n) as shipments_measured",
         "sum(if(final_delay = 0, n, 0)) as on_time",
-        "sum(final_delay * n) as delay",
+        "sum(cast(final_delay as decimal(20,6)) * n) as delay",
     )
     return lanes.selectExpr(
         "origin_country_code || ' -> ' || dest_country_code as trade_lane",
@@ -89,6 +89,8 @@ def value_concentration(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -
         order=["revenue desc", "customer_id"],
         levels={
             "_million": "-floor(revenue / 1000000)",
+            "_thousand": "-floor(revenue / 1000)",
+            "_unit": "-floor(revenue)",
             "_revenue": "-revenue",
             "_block": spread.block("customer_id"),
         },
@@ -163,7 +165,7 @@ def delay_by_vessel(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> Da
         t.voyage_stop,
         ["voyage_id"],
         "count(*) as calls",
-        "sum(delay_hours) as delay",
+        f"{exact_sum('delay_hours')} as delay",
         "max(delay_hours) as worst",
     )
     per_vessel = totals(
@@ -173,7 +175,8 @@ def delay_by_vessel(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> Da
         "sum(calls) as total_port_calls",
         "max(worst) as worst",
         "sum(delay) as delay",
-        f"{ratio('sum(delay)', 'sum(calls)')} as mean_delay",
+        # Decimal division, so that equal means tie however they come about.
+        "cast(sum(delay) as decimal(24,4)) / cast(sum(calls) as decimal(12,0)) as mean_delay",
     )
     ranked = spread.ranked(
         per_vessel.join(
@@ -181,7 +184,7 @@ def delay_by_vessel(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> Da
         ),
         keys=[],
         value="mean_delay",
-        levels={"_hour": "-floor(mean_delay)", "_fine": "-floor(mean_delay * 1000)"},
+        levels={"_hour": "-floor(mean_delay)", "_fine": "-floor(mean_delay * 1000)", "_finer": "-floor(mean_delay * 1000000)"},
         name="delay_rank",
         dense=True,
         split_rows=split_rows,
@@ -194,7 +197,7 @@ def delay_by_vessel(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> Da
         "operator",
         "total_voyages",
         "total_port_calls",
-        f"{half_up('mean_delay', 2)} as avg_delay_hours",
+        f"{half_up('cast(mean_delay as double)', 2)} as avg_delay_hours",
         f"{half_up('worst', 2)} as worst_delay_hours",
         f"{half_up('delay', 2)} as cumulative_delay_hours",
         "delay_rank",

@@ -41,7 +41,11 @@ def revenue_rank_in_country(t: FreightTables, split_rows: int = spread.SPLIT_ROW
         revenue,
         keys=["country_code"],
         value="revenue",
-        levels={"_million": "-floor(revenue / 1000000)"},
+        levels={
+            "_million": "-floor(revenue / 1000000)",
+            "_thousand": "-floor(revenue / 1000)",
+            "_unit": "-floor(revenue)",
+        },
         name="revenue_rank_in_country",
         dense=True,
         split_rows=split_rows,
@@ -58,7 +62,12 @@ def booking_sequence(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> D
         t.shipment.select("shipment_id", "customer_id", "bl_number", "booking_date", "total_value_usd"),
         keys=["customer_id"],
         order=["booking_date", "shipment_id"],
-        levels={"_day": "to_date(booking_date)", "_moment": "booking_date", "_block": spread.block("shipment_id")},
+        levels={
+            "_day": "to_date(booking_date)",
+            "_minute": "date_trunc('MINUTE', booking_date)",
+            "_moment": "booking_date",
+            "_block": spread.block("shipment_id"),
+        },
         name="booking_sequence",
         split_rows=split_rows,
     )

@@ -803,7 +803,7 @@ TEXTS: dict[str, str] = {
     "t08_sql_audit": _sql_audit(),
     "t10_reply_extraction": _replies(),
     "t11_recent_messages": """
-select conv_id, turn, role, text from conversations where role in ('user', 'assistant', 'model')
+select conv_id, turn, role, text from conversations
 qualify row_number() over (partition by conv_id order by turn desc) <= 20""",
     "t12_question_quota": """
 select conv_id, n as question_count, greatest(0, 20 - n) as remaining, cast(n >= 20 as integer) as at_limit
@@ -811,5 +811,16 @@ from (select conv_id, count(*) filter (where role in ('assistant', 'model')) as
 }
 
 
+# Registered a second time with every group cut; the result must be the same.
+SPLIT = (
+    "w01_delay_rank_at_port",
+    "w02_revenue_rank_in_country",
+    "w03_booking_sequence",
+    "w04_delay_change",
+    "a03_value_concentration",
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**{name: f"with {VIEWS}\nselect * from ({sql})" for name, sql in FREIGHT.items()}, **TEXTS}
+    found = {name: f"with {VIEWS}\nselect * from ({sql})" for name, sql in FREIGHT.items()}
+    return {**found, **{f"{name}_split": found[name] for name in SPLIT}, **TEXTS}

@@ -41,6 +41,7 @@ GUARDED_SQL = """
     WITH calls AS (SELECT port_id, COUNT(*) AS n, MAX(delay_hours) AS worst FROM VOYAGE_STOP GROUP BY port_id)
     SELECT p.un_locode, c.n, c.worst FROM calls c JOIN PORT p ON p.port_id = c.port_id LIMIT 5000;
 """
+SMALL_SPLIT = 2
 OPEN_STATUSES = ["Booked", "In Transit", "Loaded"]
 
 
@@ -149,6 +150,12 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "w03_booking_sequence": windows.booking_sequence,
     "w04_delay_change": windows.delay_change,
     "w05_next_leg": windows.next_leg,
+    # The same results with every group cut, as very large groups are.
+    "w01_delay_rank_at_port_split": lambda t: windows.delay_rank_at_port(t, split_rows=SMALL_SPLIT),
+    "w02_revenue_rank_in_country_split": lambda t: windows.revenue_rank_in_country(t, split_rows=SMALL_SPLIT),
+    "w03_booking_sequence_split": lambda t: windows.booking_sequence(t, split_rows=SMALL_SPLIT),
+    "w04_delay_change_split": lambda t: windows.delay_change(t, split_rows=SMALL_SPLIT),
+    "a03_value_concentration_split": lambda t: trends.value_concentration(t, split_rows=SMALL_SPLIT),
     "w06_year_to_date": windows.year_to_date,
     "a01_port_congestion": trends.port_congestion,
     "a02_lane_punctuality": trends.lane_punctuality,

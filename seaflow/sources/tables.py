@@ -120,14 +120,9 @@ class FreightTables:
         """
         if self._sql_session is None:
             session = self.spark.newSession()
-            for key in (
-                "spark.sql.shuffle.partitions",
-                "spark.sql.session.timeZone",
-                "spark.sql.adaptive.enabled",
-                "spark.sql.autoBroadcastJoinThreshold",
-                "spark.sql.files.maxPartitionBytes",
-            ):
-                session.conf.set(key, self.spark.conf.get(key))
+            for key, value in self.spark.conf.getAll.items():
+                if session.conf.isModifiable(key):
+                    session.conf.set(key, value)
             session.conf.set("spark.sql.runSQLOnFiles", "false")
             for name in self.names():
                 _share_view(self.table(name), session, name)
