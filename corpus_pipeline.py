@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaflow.llm import byte_bpe, decontamination, exact_dedup, language_id, ngram_join
-from seaflow.llm.storage import table, written
+from seaflow.llm.storage import package_on_workers, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -70,6 +70,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
+    package_on_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

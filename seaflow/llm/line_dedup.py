@@ -131,9 +131,11 @@ def without_recurring_lines(
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(after, "\n"))
     n_lines = F.coalesce(F.size(before), F.lit(0))
     n_after = F.when(F.col("gone").isNull(), n_lines).otherwise(F.size(after))
-    return found.select(
-        "row.*",
-        cleaned.alias(text_column),
+    done = found.select(
+        "row",
+        cleaned.alias("cleaned"),
         F.greatest(n_lines, F.lit(0)).alias("n_lines"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines - n_after).alias("n_dropped"),
     )
+    columns = [F.col("cleaned").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns]
+    return done.select(*columns, "n_lines", "n_dropped")

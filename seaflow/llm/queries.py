@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,7 +21,7 @@ from seaflow.llm import (
     token_output,
     toxicity,
 )
-from seaflow.llm.storage import new_path, table
+from seaflow.llm.storage import new_path, package_on_workers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,7 +104,16 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {
+def _ready(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        package_on_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
@@ -115,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
+QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""

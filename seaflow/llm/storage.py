@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -20,6 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def package_on_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it, installed or not."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/seaflow-{name}-{uuid.uuid4().hex}"
 

@@ -27,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seaflow.llm.byte_bpe import _row_lists, words_of
+from seaflow.llm.byte_bpe import SLICE_WORDS, _row_lists, slices, words_of
 from seaflow.llm.storage import written
 
 BLOCK_IDS = 1 << 22
-CACHED_WORDS = 400_000  # per Python worker; words beyond are encoded again where they occur
+ENCODED_AT_ONCE = 5_000
+CACHED_WORDS = 300_000  # per Python worker; words beyond are encoded again where they occur
 DIRECTORY_BITS = 512
 
 
@@ -87,32 +88,38 @@ def _words_to_ids(definition: str, words: list[str]) -> tuple[np.ndarray, np.nda
     """Ids of the words one after the other and their offsets; the cache of the worker is bounded."""
     tokenizer, cache = _tokenizer(definition)
     missing = [w for w in words if w not in cache]
-    found = dict(zip(missing, (e.ids for e in tokenizer.encode_batch(missing, add_special_tokens=False))))
+    found: dict[str, bytes] = {}
+    for at in range(0, len(missing), ENCODED_AT_ONCE):
+        part = missing[at : at + ENCODED_AT_ONCE]
+        for word, coded in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
+            found[word] = np.array(coded.ids, dtype="<u4").tobytes()
     ids = [found[w] if w in found else cache[w] for w in words]
     if len(cache) + len(found) <= CACHED_WORDS:
         cache.update(found)
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-    flat = np.fromiter((t for x in ids for t in x), dtype=np.int64, count=offsets[-1])
-    return flat, offsets
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+    return np.frombuffer(b"".join(ids), dtype="<u4"), offsets
 
 
 def _encoding(definition: str, end_id: int, kind: str):
+    last = np.array([end_id], dtype=kind).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, rows = _row_lists(batch.column(2))
-            coded = words.dictionary_encode()
-            flat, offsets = _words_to_ids(definition, coded.dictionary.to_pylist())
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lengths = np.diff(offsets)[codes]
-            ends = np.cumsum(lengths)
-            ids = flat[np.repeat(offsets[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            ids = ids.astype(kind)
-            bounds = np.concatenate(([0], ends))[rows]
-            last = np.array([end_id], dtype=kind).tobytes()
-            packed = [ids[a:b].tobytes() + last for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "tie", "ids"]
-            )
+            for a, b in slices(rows, SLICE_WORDS):
+                coded = words.slice(rows[a], rows[b] - rows[a]).dictionary_encode()
+                flat, offsets = _words_to_ids(definition, coded.dictionary.to_pylist())
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                lengths = np.diff(offsets)[codes]
+                ends = np.cumsum(lengths)
+                places = np.repeat(offsets[codes] - ends + lengths, lengths) + np.arange(lengths.sum())
+                ids = flat[places].astype(kind)
+                bounds = np.concatenate(([0], ends))[rows[a : b + 1] - rows[a]]
+                packed = [ids[x:y].tobytes() + last for x, y in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(packed, pa.binary())],
+                    names=["doc_id", "tie", "ids"],
+                )
 
     return run
 
