@@ -288,6 +288,10 @@ def voyage_status_audit(t: FreightTables, as_of: str) -> DataFrame:
     )
 
 
+# What a shipment in a status without a chain of its own has had.
+UNKNOWN_CHAIN = ("Booking Confirmed",)
+
+
 def event_chain_audit(t: FreightTables) -> DataFrame:
     """Tracking events of each shipment against the chain its status calls for.
 
@@ -309,7 +313,7 @@ def event_chain_audit(t: FreightTables) -> DataFrame:
     )
     chains = " ".join(f"when '{status}' then array({_quoted(chain)})" for status, chain in EVENT_CHAINS.items())
     return (
-        t.shipment.selectExpr("shipment_id", "bl_number", "status", f"case status {chains} end as expected")
+        t.shipment.selectExpr("shipment_id", "bl_number", "status", f"case status {chains} else array({_quoted(UNKNOWN_CHAIN)}) end as expected")
         .join(seen, "shipment_id", "left")
         .selectExpr(
             "bl_number",

@@ -220,9 +220,22 @@ def insights(t: FreightTables) -> DataFrame:
 
 
 def filter_options(t: FreightTables) -> DataFrame:
-    """Values the list filters offer."""
-    pairs = listed_shipments(t).selectExpr("stack(2, 'status', status, 'trade_lane', trade_lane) as (filter, value)")
-    return pairs.filter("value is not null").distinct().orderBy("filter", "value")
+    """Values the list filters offer: each is reduced to what is distinct before it meets another table.
+
+    A status is offered even where the references of its shipments lead nowhere.
+    """
+    statuses = t.shipment.select("status").distinct().selectExpr("'status' as filter", "status as value")
+    lanes = (
+        t.shipment.select("voyage_id")
+        .distinct()
+        .join(t.voyage.select("voyage_id", "route_id"), "voyage_id")
+        .select("route_id")
+        .distinct()
+        .join(t.route.select("route_id", "route_name"), "route_id")
+        .selectExpr("'trade_lane' as filter", "route_name as value")
+        .distinct()
+    )
+    return statuses.unionByName(lanes).filter("value is not null").orderBy("filter", "value")
 
 
 def filtered_list(

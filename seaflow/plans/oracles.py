@@ -276,6 +276,78 @@ KPIS = {
     },
 }
 
+# The texts and the numbers of each KPI.
+KPI_COLUMNS = {
+    "vessel_utilization": (
+        "vessel_name operator",
+        "teu_capacity year_built total_voyages completed active scheduled arrived",
+    ),
+    "capacity_vs_booked_teu": (
+        "vessel_name operator voyage_number status",
+        "teu_capacity container_count booked_teu utilization_pct",
+    ),
+    "busiest_ports": (
+        "port_name un_locode country_code",
+        "is_transshipment total_calls distinct_voyages outbound_shipments inbound_shipments avg_delay_h",
+    ),
+    "avg_delay_by_route": (
+        "route_name service_name",
+        "scheduled_transit_days voyage_count total_stops avg_delay_h max_delay_h stops_over_24h otp_pct",
+    ),
+    "leg_distances": (
+        "route_name service_name from_port from_locode from_country to_port to_locode to_country",
+        "leg_sequence distance_nm typical_days avg_speed_nm_per_day",
+    ),
+    "on_time_performance": (
+        "",
+        "total_stops completed_stops pending_stops on_time delayed severely_delayed otp_pct avg_delay_h max_delay_h",
+    ),
+    "delayed_voyages": (
+        "voyage_number status vessel_name operator route_name",
+        "stop_count total_delay_h avg_delay_h max_stop_delay_h stops_over_24h",
+    ),
+    "avg_delay_by_port": (
+        "un_locode port_name country_code",
+        "latitude longitude is_transshipment total_calls arrived_calls avg_delay_h max_delay_h delayed_arrivals "
+        "severe_delays otp_pct",
+    ),
+    "top_customers_by_value": (
+        "company_name country_code industry",
+        "shipment_count total_value_usd avg_shipment_value_usd total_weight_kg voyages_used status_variety",
+    ),
+    "revenue_by_trade_lane": (
+        "route_name service_name origin_port dest_port",
+        "shipment_count customer_count total_value_usd avg_value_usd total_weight_kg avg_weight_kg",
+    ),
+    "shipment_status_breakdown": (
+        "status",
+        "shipment_count pct_of_total total_value_usd avg_value_usd total_weight_kg avg_weight_kg",
+    ),
+    "reefer_by_type": (
+        "container_type",
+        "total_containers reefer_count dry_count reefer_pct avg_temp_c min_temp_c max_temp_c",
+    ),
+    "reefer_summary": (
+        "",
+        "total_containers reefer_containers dry_containers reefer_pct avg_reefer_temp_c min_temp_c max_temp_c",
+    ),
+}
+
+
+def _kpi_values(category: str, kpi: str, sql: str) -> str:
+    texts, numbers = (names.split() for names in KPI_COLUMNS[kpi])
+    key = f"concat_ws('|', {', '.join(texts)})" if texts else "''"
+    values = ", ".join(f"cast({n} as double) as {n}" for n in numbers)
+    return (
+        f"select '{category}' as category, '{kpi}' as kpi, key, measure, value from (select {key} as key, {values} "
+        f"from ({sql})) unpivot include nulls (value for measure in ({', '.join(numbers)}))"
+    )
+
+
+KPI_VALUES = " union all ".join(
+    _kpi_values(category, kpi, sql) for category, kpis in KPIS.items() for kpi, sql in kpis.items()
+)
+
 SHIPMENT_LIST = f"""
 select bl_number, company_name as customer, route_name as trade_lane, a.un_locode as origin,
        b.un_locode as destination, incoterms, s.status, v.status as voyage_status, booking_date,
@@ -513,16 +585,10 @@ FREIGHT: dict[str, str] = {
     "k11_shipment_status_breakdown": STATUSES,
     "k12_reefer_by_type": REEFER_TYPES,
     "k13_reefer_summary": REEFERS,
-    "k14_category_kpis": " union all ".join(
-        f"select '{name}' as category, '{kpi}' as kpi, count(*) as row_count from ({sql})"
-        for name, kpis in KPIS.items()
-        for kpi, sql in kpis.items()
-    ),
-    "k15_all_kpis": " union all ".join(
-        f"select '{kpi}' as kpi, count(*) as row_count from ({sql})"
-        for kpis in KPIS.values()
-        for kpi, sql in kpis.items()
-    ),
+    "k14_category_kpis": f"""
+select category, kpi, measure, count(value) as n_values, min(value) as least, max(value) as greatest
+from ({KPI_VALUES}) group by all""",
+    "k15_all_kpis": KPI_VALUES,
     "k16_run_query": f"""
 select strftime(departure_date, '%Y-%m') as month, status, count(*) as voyages,
        {_big("sum(cast(trunc((epoch_ms(arrival_date) + 210866760000000) / 86400000e0 - "
@@ -805,6 +871,9 @@ TEXTS: dict[str, str] = {
     "t11_recent_messages": """
 select conv_id, turn, role, text from conversations
 qualify row_number() over (partition by conv_id order by turn desc) <= 20""",
+    "t11_cleared": """
+select conv_id, turn, role, text from conversations m
+where not exists (select 1 from conversations r where r.conv_id = m.conv_id and r.role = 'system' and r.turn >= m.turn)""",
     "t12_question_quota": """
 select conv_id, n as question_count, greatest(0, 20 - n) as remaining, cast(n >= 20 as integer) as at_limit
 from (select conv_id, count(*) filter (where role in ('assistant', 'model')) as n from conversations group by 1)""",

@@ -45,24 +45,34 @@ SMALL_SPLIT = 2
 OPEN_STATUSES = ["Booked", "In Transit", "Loaded"]
 
 
-def _kpi_rows(t: FreightTables) -> DataFrame:
-    """Rows of each KPI by category."""
-    counts = [
-        totals(df, [], "count(*) as row_count").selectExpr(
-            f"'{name}' as category", f"'{kpi}' as kpi", "row_count"
-        )
-        for name in catalog.CATEGORIES
-        for kpi, df in catalog.category(t, name).items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
-
-
-def _all_kpis(t: FreightTables) -> DataFrame:
-    counts = [
-        totals(df, [], "count(*) as row_count").selectExpr(f"'{kpi}' as kpi", "row_count")
-        for kpi, df in catalog.get_all_kpis(t).items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+def _kpi_values(t: FreightTables) -> DataFrame:
+    """Every number of every KPI: category, kpi, key (the texts of its row), measure and value."""
+    parts = []
+    for name in catalog.CATEGORIES:
+        for kpi, df in catalog.category(t, name).items():
+            texts = [c for c, kind in df.dtypes if kind == "string"]
+            measures = [c for c, kind in df.dtypes if kind in ("bigint", "int", "double")]
+            stacked = ", ".join(f"'{m}', cast({m} as double)" for m in measures)
+            parts.append(
+                df.selectExpr(
+                    f"'{name}' as category",
+                    f"'{kpi}' as kpi",
+                    f"concat_ws('|'{''.join(', ' + c for c in texts)}) as key",
+                    f"stack({len(measures)}, {stacked}) as (measure, value)",
+                )
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _kpi_ranges(t: FreightTables) -> DataFrame:
+    """Each measure of each KPI by category: how many values, the least and the greatest."""
+    return totals(
+        _kpi_values(t),
+        ["category", "kpi", "measure"],
+        "count(value) as n_values",
+        "min(value) as least",
+        "max(value) as greatest",
+    )
 
 
 def _load_typed(t: FreightTables) -> DataFrame:
@@ -128,8 +138,8 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "k11_shipment_status_breakdown": commercial.shipment_status_breakdown,
     "k12_reefer_by_type": commercial.reefer_by_type,
     "k13_reefer_summary": commercial.reefer_summary,
-    "k14_category_kpis": _kpi_rows,
-    "k15_all_kpis": _all_kpis,
+    "k14_category_kpis": _kpi_ranges,
+    "k15_all_kpis": _kpi_values,
     "k16_run_query": lambda t: t.run_query(VOYAGE_DAYS_SQL, ("Scheduled",)),
     "d01_shipment_list": tracking.shipment_list,
     "d02_shipment_detail": tracking.shipment_detail,
@@ -199,6 +209,9 @@ TEXTS: dict[str, Query] = {
         "conv_id", "turn", "sql", "explanation"
     ),
     "t11_recent_messages": lambda spark, sf_dir: dialogue.recent_messages(_conversations(spark, sf_dir)),
+    "t11_cleared": lambda spark, sf_dir: dialogue.cleared(
+        _conversations(spark, sf_dir), _conversations(spark, sf_dir).filter("role = 'system'").select("conv_id", "turn")
+    ).select("conv_id", "turn", "role", "text"),
     "t12_question_quota": lambda spark, sf_dir: dialogue.question_quota(_conversations(spark, sf_dir)),
 }
 

@@ -16,9 +16,12 @@ QUERIES = queries()
 # bound (a03, a06), or join frames of one row.
 KEYLESS = {
     "a03_value_concentration",
+    "a03_value_concentration_split",
     "a05_monthly_revenue",
     "a06_delay_by_vessel",
     "k11_shipment_status_breakdown",
+    "k14_category_kpis",
+    "k15_all_kpis",
     "p07_status_chart",
     "p09_kpi_tiles",
 }
