@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 # Fixed value: the pattern that cuts texts for the vocabulary files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-DICTIONARY_SIZE = 1_000_000
+DICTIONARY_SIZE = 800_000
 BUCKETS = 1 << 15
 NO_RANK = 2_147_483_647
 SLICE_WORDS = 1 << 18  # taken at once from an Arrow batch
@@ -121,6 +121,7 @@ class Ranks:
             key = token.hex().upper()
             maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
             pieces[rank] = key
+        self.largest = len(pieces) - 1
         self._maps = json.dumps(maps, separators=(",", ":"))
         self._pieces = json.dumps(pieces, separators=(",", ":"))
 
@@ -144,8 +145,15 @@ class Dictionary:
     ids: np.ndarray
 
     @staticmethod
-    def of(words: pa.Array, ids: pa.ListArray) -> Dictionary:
-        return Dictionary(words, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32))
+    def of(rows: pa.Table, largest: int) -> Dictionary:
+        """From columns word and ids, in the narrowest type that holds the largest id."""
+        words = pa.concat_arrays([c.cast(pa.string()) for c in rows["word"].chunks] or [pa.array([], pa.string())])
+        lists = [c for c in rows["ids"].chunks if len(c)]
+        kind = np.uint16 if largest < 1 << 16 else np.int32
+        ids = [c.flatten().to_numpy(zero_copy_only=False).astype(kind) for c in lists]
+        lengths = [pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in lists]
+        offsets = np.concatenate([np.zeros(1, np.int32), *lengths]).cumsum(dtype=np.int32)
+        return Dictionary(words, offsets, np.concatenate([np.empty(0, kind), *ids]))
 
     def expand(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at ``places`` one after the other (none for -1), and the end of each word's ids."""
@@ -174,7 +182,7 @@ def _cut(
     cuts_before = np.searchsorted(cuts, rows)
     # A segment ends at each cut and at the end of each row.
     stops = np.sort(np.concatenate((cuts, rows[1:])), kind="stable")
-    segments = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends[stops])).astype(np.int32)), pa.array(ids))
+    segments = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends[stops])).astype(np.int32)), pa.array(ids.astype(np.int32)))
     unknown = words.take(pa.array(cuts)).dictionary_encode()
     width = max(1, len(unknown.dictionary))
     distinct, which = np.unique(row_of_cut * width + unknown.indices.to_numpy().astype(np.int64), return_inverse=True)
@@ -228,11 +236,8 @@ def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: s
     folded = frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "word").select(
         "word", vocabulary.fold(F.array("word")).getItem(0).alias("ids")
     )
-    # At most dictionary_size rows.
-    rows = folded.toArrow().combine_chunks()
-    known = Dictionary.of(
-        pc.cast(_one(rows.column("word"), pa.string()), pa.string()), _one(rows.column("ids"), pa.list_(pa.int32()))
-    )
+    known = Dictionary.of(folded.toArrow(), vocabulary.largest)  # at most dictionary_size rows
+    pa.default_memory_pool().release_unused()
     cut = docs.select(carried.alias("carried"), words_of(docs[text_column]).alias("words"))
     added = StructType.fromDDL("segments array<array<int>>, rare array<string>, rare_at array<int>")
     schema = StructType([cut.schema.fields[0], *added.fields])
@@ -250,11 +255,6 @@ def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: s
     return looked_up.select("carried", F.when(F.size("rare") == 0, F.flatten("segments")).otherwise(ids).alias("ids"))
 
 
-def _one(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
-    chunks = column.chunks
-    return pa.concat_arrays([c.cast(kind) for c in chunks]) if chunks else pa.array([], kind)
-
-
 def encoded(
     docs: DataFrame,
     ranks: dict[bytes, int],

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from seaflow.llm.sampling import least_hashes
+
 SAMPLE_PER_LANGUAGE = 1500
 SHARE, LEAST_COUNT = 0.3, 3
 BITS = 1 << 20
@@ -141,14 +143,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id") -> Filters:
     """Filters from the rows of ``docs`` with a language, text and id that are not held out."""
     usable = docs.filter(~held_out(id_column) & F.col("lang").isNotNull() & F.col(id_column).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("sampled_id"), "sampled_id")
-    chosen = (
-        usable.select(F.col(id_column).alias("sampled_id"), "lang")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= sample_per_language)
-        .select("sampled_id")
-        .distinct()
-    )
+    ids = usable.select(F.col(id_column).alias("sampled_id"), "lang")
+    chosen = least_hashes(ids, "lang", "sampled_id", sample_per_language).select("sampled_id").distinct()
     # At most sample_per_language ids of each language.
     sample = usable.join(F.broadcast(chosen), usable[id_column] == chosen["sampled_id"], "left_semi")
     counts = sample.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(

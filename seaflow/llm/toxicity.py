@@ -30,11 +30,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seaflow.llm.language_id import held_out
+from seaflow.llm.sampling import least_hashes
 
 ORDER, SPAN, DECAY = 3, 6, 0.6
 SAMPLE_PER_LABEL = 3000
@@ -304,8 +305,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_per_label: int) -> tuple[
     usable = labels.filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_per_label)
+    chosen = least_hashes(usable, "toxic", "doc_id", sample_per_label)
     # At most sample_per_label rows of each of two labels.
     small = F.broadcast(chosen.select(F.col("doc_id").alias("sampled_id"), "toxic"))
     text = F.coalesce(docs["text"], F.lit(""))

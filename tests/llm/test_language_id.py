@@ -66,3 +66,16 @@ def test_empty_table(spark):
     model = L.learn(docs)
     assert L.with_language(docs, model).count() == 0
     assert L.with_language(documents(spark, [(1, "text")]), model).first()["lang_pred"] == "und"
+
+
+def test_sample_is_that_of_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from seaflow.llm.sampling import least_hashes
+
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 10 = 0, 'x', 'y') as lang").repartition(5)
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h")).collect()}
+    for most in (1, 20, 500):
+        found = {r["doc_id"] for r in least_hashes(df, "lang", "doc_id", most).collect()}
+        for own in ([i for i in range(3000) if i % 10 == 0], [i for i in range(3000) if i % 10]):
+            assert found & set(own) == set(sorted(own, key=lambda i: (hashes[i], i))[:most])
