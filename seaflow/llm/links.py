@@ -27,19 +27,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.selectExpr("a", "m as b")).distinct()
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number of links and sum of their hashes, which is exact in decimals."""
+    hashes = F.xxhash64("a", "b").cast("decimal(20,0)")
+    return tuple(edges.agg(F.count("*"), F.sum(hashes)).first())
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node of its group.
 
     Alternating large and small stars: the links are rewritten until each node points to its root, in a number of
-    rounds that grows with the logarithm of the longest chain. Each round is written to the shared folder; only the
-    number of changed links comes to the driver.
+    rounds that grows with the logarithm of the longest chain. Each round is written to the shared folder; only a
+    fingerprint of the links comes to the driver, and equal ones end the rounds.
     """
     stars = written(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "links")
-    while True:
-        following = written(_small_star(_large_star(stars)), "links")
-        changed = following.join(stars, ["a", "b"], "left_anti").limit(1).count()
-        if not changed and not stars.join(following, ["a", "b"], "left_anti").limit(1).count():
-            break
-        stars = following
+    before, now = None, _fingerprint(stars)
+    while now != before:
+        stars = written(_small_star(_large_star(stars)), "links")
+        before, now = now, _fingerprint(stars)
     roots = stars.select("b").distinct().selectExpr("b as node", "b as root")
     return stars.selectExpr("a as node", "b as root").unionByName(roots)

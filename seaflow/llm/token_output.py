@@ -1,12 +1,12 @@
 """Token ids as binary blocks with Elias-Fano encoded document boundaries.
 
-Documents are encoded where they are read, put in ascending order of doc_id by a range partitioning, and written as
-blocks of about ``BLOCK_IDS`` ids in Parquet files, the container every store reads. A block holds the ids of its
-documents one after the other (little-endian, two bytes each where the vocabulary allows it, else four), the doc_ids,
-and the documents' ends as an Elias-Fano sequence: the low bits of each end packed, the high bits in unary, with the
-rank of every 512th bit. ``EliasFano.select`` gives an end from these, so no table of 64-bit offsets is kept; the space
-is about 2 + log2(ids / documents) bits a document. Starts over all blocks are sums over partitions plus the block's
-start within its partition.
+Documents are put in ascending order of doc_id by a range partitioning, encoded in this order, and written as blocks
+of about ``BLOCK_IDS`` ids in Parquet files, the container every store reads. A block holds the ids of its documents
+one after the other (little-endian, two bytes each where the vocabulary allows it, else four), the doc_ids, and the
+documents' ends as an Elias-Fano sequence: the low bits of each end packed, the high bits in unary, with the rank of
+every 512th bit. ``EliasFano.select`` gives an end from these, so no table of 64-bit offsets is kept; the space is
+about 2 + log2(ids / documents) bits a document. Starts over all blocks are sums over partitions plus the block's start
+within its partition.
 
 Defined results: a null text is an empty one, a document of its end id alone; rows with null doc_id come first; rows
 that repeat a doc_id follow each other by a hash of their text. A document is never cut, so one larger than a block
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seaflow.llm.byte_bpe import SLICE_WORDS, _row_lists, slices, words_of
-from seaflow.llm.storage import written
 
 BLOCK_IDS = 1 << 22
 ENCODED_AT_ONCE = 5_000
@@ -91,7 +90,7 @@ def _words_to_ids(definition: str, words: list[str]) -> tuple[np.ndarray, np.nda
     found: dict[str, bytes] = {}
     for at in range(0, len(missing), ENCODED_AT_ONCE):
         part = missing[at : at + ENCODED_AT_ONCE]
-        for word, coded in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
+        for word, coded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
             found[word] = np.array(coded.ids, dtype="<u4").tobytes()
     ids = [found[w] if w in found else cache[w] for w in words]
     if len(cache) + len(found) <= CACHED_WORDS:
@@ -105,7 +104,7 @@ def _encoding(definition: str, end_id: int, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, rows = _row_lists(batch.column(2))
+            words, rows = _row_lists(batch.column(1))
             for a, b in slices(rows, SLICE_WORDS):
                 coded = words.slice(rows[a], rows[b] - rows[a]).dictionary_encode()
                 flat, offsets = _words_to_ids(definition, coded.dictionary.to_pylist())
@@ -117,8 +116,7 @@ def _encoding(definition: str, end_id: int, kind: str):
                 bounds = np.concatenate(([0], ends))[rows[a : b + 1] - rows[a]]
                 packed = [ids[x:y].tobytes() + last for x, y in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(packed, pa.binary())],
-                    names=["doc_id", "tie", "ids"],
+                    [batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc_id", "ids"]
                 )
 
     return run
@@ -181,16 +179,17 @@ def write(
     whose words are those of the byte-level pattern."""
     spark = docs.sparkSession
     width = 2 if max(end_id, _tokenizer(definition)[0].get_vocab_size() - 1) < 1 << 16 else 4
-    cut = docs.select(
+    texts = docs.select(
         docs[id_column].cast("long").alias("doc_id"),
         F.xxhash64(docs[text_column]).alias("tie"),
-        words_of(docs[text_column]).alias("words"),
+        docs[text_column].alias("text"),
     )
-    # Written first: the range partitioning reads its input twice.
-    ids = written(cut.mapInArrow(_encoding(definition, end_id, f"<u{width}"), "doc_id long, tie long, ids binary"), "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "ids").mapInArrow(_blocks(width), _BLOCK).write.parquet(path)
+    # Texts are ordered, not ids: they are smaller when compressed, and nothing is encoded twice for the sampling.
+    ordered = texts.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    words = ordered.select("doc_id", words_of(F.col("text")).alias("words"))
+    encode, pack = _encoding(definition, end_id, f"<u{width}"), _blocks(width)
+    words.mapInArrow(lambda batches: pack(encode(batches)), _BLOCK).write.parquet(path)
 
 
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
