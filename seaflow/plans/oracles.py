@@ -453,21 +453,21 @@ from (select bl_number, s.status, event_count,
 QUERY_LOG = """
 select event_id as query_id, case event_id % 20
   when 0 then 'DELETE FROM shipment WHERE shipment_id = ' || n
-  when 1 then 'SELECT vessel_id FROM VESSEL -- note ' || n
-  when 2 then 'SELECT /* ' || n || ' */ vessel_id FROM VESSEL'
-  when 3 then 'SELECT ' || n || '; DROP TABLE VESSEL'
-  when 4 then 'SHOW TABLES'
+  when 1 then 'SELECT eta FROM voyage_stop -- note ' || n
+  when 2 then 'SELECT /* ' || n || ' */ route_name FROM route'
+  when 3 then 'SELECT ' || n || '; DROP VIEW route'
+  when 4 then 'describe route'
   when 5 then '  ' || chr(10) || chr(9) || ' '
-  when 6 then 'SELECT vessel_id, vessel_name FROM VESSEL WHERE vessel_id = ' || n
-  when 7 then 'WITH v AS (SELECT vessel_id FROM VESSEL) SELECT * FROM v LIMIT ' || n
-  when 8 then 'SELECT v.vessel_name, vo.voyage_number FROM VESSEL v JOIN VOYAGE vo ON vo.vessel_id = v.vessel_id'
-  when 9 then 'SELECT COUNT(*) AS n FROM SHIPMENT WHERE voyage_id = ' || n || ';'
+  when 6 then 'select route_name, service_name from route where route_id = ' || n
+  when 7 then 'WITH legs AS (SELECT route_id FROM route_leg) SELECT * FROM legs LIMIT ' || n
+  when 8 then 'SELECT c.company_name, s.bl_number FROM customer c JOIN shipment s ON s.customer_id = c.customer_id'
+  when 9 then 'SELECT sum(value_usd) FROM cargo_item WHERE container_id = ' || n || ';'
   when 10 then 'SELECT event_id FROM SHIPMENT_EVENT limit  ' || n || '00 '
-  when 11 then 'SELECT * FROM GHOST_' || n
-  when 12 then 'SELECT * FROM VESSEL WHERE'
+  when 11 then 'SELECT * FROM berth_' || n
+  when 12 then 'SELECT eta FROM voyage_stop WHERE'
   when 13 then 'SELECT '';'' AS mark, "a;b" AS other FROM PORT WHERE port_name = ''it''''s; ' || n || ''''
   when 14 then 'SELECT * FROM port WHERE port_name = ''drop ' || n || ''''
-  when 15 then 'PRAGMA foreign_keys = OFF'
+  when 15 then 'VACUUM shipment'
   when 16 then 'select p.port_name from port p join zone_' || n || ' z on z.id = p.port_id join area_' || n
     || ' a on a.id = z.id'
   when 17 then 'SELECT * FROM (SELECT * FROM cargo_item LIMIT 5000' || n || ') x LIMIT 3'

@@ -296,21 +296,21 @@ class _Views:
 # One SQL text per event, good and bad in turn, with values of the event in it; read by position.
 _QUERY_TEXTS = (
     "'DELETE FROM shipment WHERE shipment_id = ' || event_id",
-    "'SELECT vessel_id FROM VESSEL -- note ' || event_id",
-    "'SELECT /* ' || event_id || ' */ vessel_id FROM VESSEL'",
-    "'SELECT ' || event_id || '; DROP TABLE VESSEL'",
-    "'SHOW TABLES'",
+    "'SELECT eta FROM voyage_stop -- note ' || event_id",
+    "'SELECT /* ' || event_id || ' */ route_name FROM route'",
+    "'SELECT ' || event_id || '; DROP VIEW route'",
+    "'describe route'",
     r"'  \n\t '",
-    "'SELECT vessel_id, vessel_name FROM VESSEL WHERE vessel_id = ' || event_id",
-    "'WITH v AS (SELECT vessel_id FROM VESSEL) SELECT * FROM v LIMIT ' || event_id",
-    "'SELECT v.vessel_name, vo.voyage_number FROM VESSEL v JOIN VOYAGE vo ON vo.vessel_id = v.vessel_id'",
-    "'SELECT COUNT(*) AS n FROM SHIPMENT WHERE voyage_id = ' || event_id || ';'",
+    "'select route_name, service_name from route where route_id = ' || event_id",
+    "'WITH legs AS (SELECT route_id FROM route_leg) SELECT * FROM legs LIMIT ' || event_id",
+    "'SELECT c.company_name, s.bl_number FROM customer c JOIN shipment s ON s.customer_id = c.customer_id'",
+    "'SELECT sum(value_usd) FROM cargo_item WHERE container_id = ' || event_id || ';'",
     "'SELECT event_id FROM SHIPMENT_EVENT limit  ' || event_id || '00 '",
-    "'SELECT * FROM GHOST_' || event_id",
-    "'SELECT * FROM VESSEL WHERE'",
+    "'SELECT * FROM berth_' || event_id",
+    "'SELECT eta FROM voyage_stop WHERE'",
     r"""'SELECT \';\' AS mark, "a;b" AS other FROM PORT WHERE port_name = \'it\'\'s; ' || event_id || '\''""",
     r"'SELECT * FROM port WHERE port_name = \'drop ' || event_id || '\''",
-    "'PRAGMA foreign_keys = OFF'",
+    "'VACUUM shipment'",
     "'select p.port_name from port p join zone_' || event_id || ' z on z.id = p.port_id join area_' || event_id "
     "|| ' a on a.id = z.id'",
     "'SELECT * FROM (SELECT * FROM cargo_item LIMIT 5000' || event_id || ') x LIMIT 3'",
