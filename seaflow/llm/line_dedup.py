@@ -27,7 +27,7 @@ FIELD = "<*>"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.split(F.btrim(line, F.lit(" \t\r\x0b\f")), r"\s+")
 
 
 def _general(words: Column) -> Column:
@@ -36,7 +36,7 @@ def _general(words: Column) -> Column:
 
 def _leaf(words: Column) -> Column:
     """Path of a line in the tree, as a hash: number of words and leading words."""
-    return F.xxhash64(F.size(words), F.array_join(F.slice(words, 1, LEADING), " "))
+    return F.xxhash64(F.size(words), F.array_join(_general(F.slice(words, 1, LEADING)), " "))
 
 
 def _lines(docs: DataFrame, text_column: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _lines(docs: DataFrame, text_column: str) -> DataFrame:
     lines = docs.select(
         F.xxhash64(text).alias("document"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")
     )
-    cut = lines.select("document", "line", _general(_words(F.col("line"))).alias("words"))
+    cut = lines.select("document", "line", _words(F.col("line")).alias("words"))
     return cut.filter(F.size("words") >= LEAST_WORDS)
 
 
@@ -66,7 +66,7 @@ def recurring(
     keyed = _lines(docs, text_column).withColumn("leaf", _leaf(F.col("words")))
     held = written(
         keyed.join(leaves, "leaf", "left_semi")
-        .select("document", "leaf", "words", F.md5("line").alias("line"))
+        .select("document", "leaf", _general(F.col("words")).alias("words"), F.md5("line").alias("line"))
         .distinct(),
         "lines",
     )
