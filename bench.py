@@ -56,7 +56,9 @@ def main() -> None:
     registered = queries()
     chosen = os.environ.get("BENCH_QUERIES")
     names = (
-        chosen.split(",") if chosen else [n for n in registered if n.startswith(HEADLINE) or n in MORE]
+        chosen.split(",")
+        if chosen
+        else [n for n in registered if (n.startswith(HEADLINE) and not n.endswith("_split")) or n in MORE]
     )
     seconds: dict[str, float] = {}
     for name in names:
