@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from seaflow.llm import byte_bpe, decontamination, exact_dedup, language_id, ngram_join
 from seaflow.llm.storage import package_on_workers, table, written
 
+# Smaller than that of the operator: the driver has held the results of four stages before it collects the dictionary.
+DICTIONARY_SIZE = 200_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -44,7 +47,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and n_tokens; a text that doesn't come back from its ids ends the job."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = byte_bpe.round_trip(docs, ranks)
+    found = byte_bpe.round_trip(docs, ranks, dictionary_size=DICTIONARY_SIZE)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     wrong = F.raise_error(F.lit("the decoded bytes differ from the text")).cast("array<int>")
     return found.select(

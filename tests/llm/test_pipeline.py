@@ -13,7 +13,7 @@ import test_ngram_join  # noqa: E402
 from frames import documents, rows, save  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from seaflow.llm import byte_bpe, decontamination, queries  # noqa: E402
+from seaflow.llm import decontamination, queries  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -64,7 +64,7 @@ def plain_version(docs, items):
 
 
 def test_the_whole_like_a_plain_version(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "DICTIONARY_SIZE", 500)
+    monkeypatch.setattr(corpus_pipeline, "DICTIONARY_SIZE", 500)
     docs, items = corpus()
     table = documents(spark, [(i, t, "xx") for i, t in docs])
     benchmark = spark.createDataFrame(items, "item_id long, text string")
