@@ -2,7 +2,8 @@
 
 Each stage works on what the one before it kept. All but the last return the columns of documents:
 
-1. ``language_id`` rejects texts without any letter, in which no language can be told.
+1. ``language_id`` rejects texts that show no learned language: no n-gram of one, or fewer than a text would have of
+   which a quarter is in that language. Where no language could be learned, only texts without any letter.
 2. ``exact_dedup`` keeps one document of each group of equal texts.
 3. ``near_dedup`` keeps one document of each group that five-word Jaccard links of 0.8 or more connect.
 4. ``decontamination`` drops documents that contain a benchmark item.
@@ -27,9 +28,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.learn(docs)
-    found = language_id.with_language(docs, model)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.recognised(docs, language_id.learn(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ hash of the id; the bound keeps the model's size independent of the input). Pred
 
 An n-gram is three neighbouring characters in lower case whose middle is a letter, everything that is no letter read
 as a space. Defined results: a text that is null or has no letter gives ``und`` with score 0, as does every text when
-nothing was learned; of languages with equal counts the first by name wins. Rows with null lang teach nothing, rows
+nothing was learned; ``recognised`` rejects texts that show no learned language, and keeps every text with a letter
+where nothing was learned; of languages with equal counts the first by name wins. Rows with null lang teach nothing, rows
 with null text are predicted as ``und``. Repeated rows are predicted alike; an empty table gives an empty result. Other
 columns are carried by ``with_language`` and may have any name but those it adds.
 """
@@ -32,6 +33,7 @@ from seaflow.llm.sampling import least_hashes
 
 SAMPLE_PER_LANGUAGE = 1500
 SHARE, LEAST_COUNT = 0.3, 3
+LEAST_SHARE, DEVIATIONS = 0.25, 2.5  # from which a text shows a language
 BITS = 1 << 20
 HASHES = 2
 SLICE = 64  # languages in one word of the table
@@ -76,9 +78,10 @@ class Filters:
 
     languages: list[str]
     tables: list[np.ndarray]
+    coverage: np.ndarray  # share of all n-grams of a language's sample that its filter holds
 
     @staticmethod
-    def of(grams: dict[str, np.ndarray]) -> Filters:
+    def of(grams: dict[str, np.ndarray], coverage: dict[str, float] | None = None) -> Filters:
         languages = sorted(grams)
         tables = []
         for at in range(0, len(languages), SLICE):
@@ -87,7 +90,7 @@ class Filters:
                 for slots in _slots(grams[language]):
                     table[slots] |= np.uint64(1 << bit)
             tables.append(table)
-        return Filters(languages, tables)
+        return Filters(languages, tables, np.array([(coverage or {}).get(name, 1.0) for name in languages]))
 
     def false_positives(self) -> np.ndarray:
         """Probability that a foreign n-gram is found, by language: the fill to the power of the hashes."""
@@ -97,11 +100,8 @@ class Filters:
             fills.append(((table >> np.uint64(n % SLICE)) & np.uint64(1)).mean())
         return np.array(fills) ** HASHES
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if not self.languages:
-            return names, scores
-        by_chance = self.false_positives()
+    def _counts(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Of each text with a letter: its index, its n-grams, and how many of them each filter holds."""
         for first, grams, ends in _ngrams(texts):
             slots = list(_slots(grams))
             total = np.diff(np.concatenate(([0], ends)))
@@ -115,12 +115,37 @@ class Filters:
                 found = np.concatenate(([0], np.cumsum((mask >> np.uint64(n % SLICE)) & np.uint64(1), dtype=np.int64)))
                 hits[:, n] = np.diff(np.concatenate(([0], found[ends])))
             for k in np.flatnonzero(total):
-                rate = np.maximum(0.0, (hits[k] / total[k] - by_chance) / (1 - by_chance))
-                best = int(rate.argmax())
-                names[first + k] = self.languages[best]
-                scores[first + k] = rate[best] / rate.sum() if rate[best] > 0 else 0.0
+                yield first + k, int(total[k]), hits[k]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.languages:
+            return names, scores
+        by_chance = self.false_positives()
+        for k, total, hits in self._counts(texts):
+            rate = np.maximum(0.0, (hits / total - by_chance) / (1 - by_chance))
+            best = int(rate.argmax())
+            names[k] = self.languages[best]
+            scores[k] = rate[best] / rate.sum() if rate[best] > 0 else 0.0
         return names, scores
 
+    def recognised(self, texts: list[str | None]) -> np.ndarray:
+        """Whether a text shows a learned language.
+
+        Some language's corrected count must be above 0 and at most ``DEVIATIONS`` standard deviations below that of a
+        text of which ``LEAST_SHARE`` is in that language. Where nothing was learned every text with a letter is.
+        """
+        found = np.zeros(len(texts), dtype=bool)
+        if not self.languages:
+            return np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+        by_chance = self.false_positives()
+        least = LEAST_SHARE * self.coverage
+        for k, total, hits in self._counts(texts):
+            corrected = (hits - total * by_chance) / (1 - by_chance)
+            margin = DEVIATIONS * np.sqrt(total * least * (1 - least))
+            found[k] = ((corrected > 0) & (corrected >= total * least - margin)).any()
+        return found
+
 
 def held_out(id_column: str = "doc_id") -> Column:
     """Rows that take no part in learning."""
@@ -157,11 +182,12 @@ def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, id_co
         counts.withColumn("rate", rate)
         .withColumn("highest", highest)
         .filter((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= SHARE * F.col("highest")))
-        .select("lang", "gram")
+        .select("lang", "gram", "rate")
     )
     found = typical.toPandas()
     return Filters.of(
-        {name: rows["gram"].to_numpy(dtype=np.int64).view(np.uint64) for name, rows in found.groupby("lang")}
+        {name: rows["gram"].to_numpy(dtype=np.int64).view(np.uint64) for name, rows in found.groupby("lang")},
+        {name: float(rows["rate"].sum()) for name, rows in found.groupby("lang")},
     )
 
 
@@ -183,3 +209,19 @@ def with_language(docs: DataFrame, model: Filters, text_column: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*packed.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
     return packed.mapInArrow(_predicting(shared), schema).select("row.*", "lang_pred", "score")
+
+
+def _recognising(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = model.value.recognised(batch.column(1).to_pylist())
+            yield batch.select([0]).filter(pa.array(stays))
+
+    return run
+
+
+def recognised(docs: DataFrame, model: Filters, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text shows a learned language; where nothing was learned, those with a letter."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_column].alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return packed.mapInArrow(_recognising(shared), StructType(packed.schema.fields[:1])).select("row.*")

@@ -9,6 +9,7 @@ import oracle  # noqa: E402
 import pytest  # noqa: E402
 import test_byte_bpe  # noqa: E402
 import test_decontamination  # noqa: E402
+import test_language_id  # noqa: E402
 import test_ngram_join  # noqa: E402
 from frames import documents, rows, save  # noqa: E402
 
@@ -88,6 +89,23 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         assert stage(spark, empty, path).count() == 0, name
 
 
+def test_language_stage_rejects_what_shows_no_learned_language(spark):
+    rng = random.Random(5)
+    cases = test_language_id.corpus()
+    unknown = ["ⴰⴱⴳⴷ ⴻⴼⴽⵀ " * 4, "".join(rng.choice("bcdfghjlmnpqrstvwxyz ") for _ in range(400)), "123 !", None]
+    mixed = [test_language_id.prose("aa", 900) + " " + test_language_id.prose("cc", 901)]
+    docs = documents(spark, cases + [(1000 + n, t, None) for n, t in enumerate(unknown)] + [(2000, mixed[0], None)])
+    found = {r["doc_id"] for r in rows(corpus_pipeline.identify(spark, docs, ""))}
+    assert found == {i for i, _, _ in cases} | {2000}
+
+
+def test_language_stage_keeps_documents_where_nothing_was_learned(spark):
+    texts = [(i, t) for i, t, _ in test_language_id.corpus(40)]
+    for label in (lambda i: None, lambda i: "aa" if test_language_id.held(i) else None):
+        docs = documents(spark, [(i, t, label(i)) for i, t in texts] + [(99, "12 !", None)])
+        assert {r["doc_id"] for r in rows(corpus_pipeline.identify(spark, docs, ""))} == {i for i, _ in texts}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_like_their_sql(spark, name, monkeypatch):
     monkeypatch.setitem(oracle.SPARK_TO_DUCK, "boolean", "BOOLEAN")
