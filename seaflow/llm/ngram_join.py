@@ -14,7 +14,8 @@ Of the pairs of a group as many leave a task as connect it, besides the exact nu
 
 Defined results: a null text has no words; a null doc_id is left out when the least id of a class is taken, a class
 whose ids are all null is named by null. Repeated rows are members of the same class. An empty table gives empty
-results. Other columns are ignored by ``classes``; ``near_dedup`` carries them and never drops a row without doc_id.
+results. Other columns are ignored by ``classes``; ``near_dedup`` carries them, tells rows apart by id and text, so that
+an id may stand for several texts, and keeps of a group one row without doc_id beside the one with the least id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seaflow.llm.links import connected
@@ -104,14 +105,14 @@ def _minhashes(values: np.ndarray) -> np.ndarray:
     return least
 
 
-_SIGNATURES = "doc_id long, class_key binary, n int, bands array<long>, sketch binary"
+_SIGNATURES = "doc_id long, text_key binary, class_key binary, n int, bands array<long>, sketch binary"
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     q = _powers(_Q, ROWS)
     for batch in batches:
         keys, sizes, bands, sketches = [], [], [], []
-        for values in shingle_sets(batch.column(1).to_pylist()):
+        for values in shingle_sets(batch.column(2).to_pylist()):
             keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
             sizes.append(len(values))
             if len(values):
@@ -127,12 +128,13 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(1),
                 pa.array(keys, pa.binary()),
                 pa.array(sizes, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 pa.array(sketches, pa.binary()),
             ],
-            names=["doc_id", "class_key", "n", "bands", "sketch"],
+            names=["doc_id", "text_key", "class_key", "n", "bands", "sketch"],
         )
 
 
@@ -288,6 +290,10 @@ def _dealt(rows: DataFrame, group: str, members: DataFrame) -> DataFrame:
     return met.drop("count", "tiles", "other").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def candidates(signatures: DataFrame) -> DataFrame:
     """Pairs (a, b) of class keys that share a band and survive the pruning: of each bucket as many as connect it."""
     rows = signatures.filter("n > 0")
@@ -302,16 +308,17 @@ def candidates(signatures: DataFrame) -> DataFrame:
 def join(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", all_pairs: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, class_key, n, class_id, n_copies), links (a, b, jaccard) between class keys, a < b, and the
+    """Members (doc_id, text_key, class_key, n, class_id, n_copies), links (a, b, jaccard) between class keys, a < b, and the
     number of links of each class (class_key, n_links).
 
     Links are exact and complete within what candidates connect, but of a large group only as many are returned as
     connect it, unless ``all_pairs`` asks for every one, whose number grows with the square of the group.
     """
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signatures = written(plain.mapInArrow(_signature_batches, _SIGNATURES), "minhash")
+    keyed = plain.select("doc_id", _text_key(F.col("text")).alias("text_key"), "text")
+    signatures = written(keyed.mapInArrow(_signature_batches, _SIGNATURES), "minhash")
     classes = signatures.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
-    members = signatures.select("doc_id", "class_key", "n").join(classes, "class_key")
+    members = signatures.select("doc_id", "text_key", "class_key", "n").join(classes, "class_key")
     groups = written(
         connected(written(candidates(signatures), "candidates")).withColumnRenamed("node", "class_key"), "rough"
     )
@@ -391,8 +398,44 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which each group keeps the one with the least id; texts without words all stay."""
-    found = near_groups(docs, id_column, text_column)
-    dropped = found.filter("doc_id <> class_id").selectExpr("doc_id as dropped_id").distinct()
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].alias("id"))
-    return packed.join(dropped, packed["id"] == dropped["dropped_id"], "left_anti").select("row.*")
+    """The rows of ``docs`` of which each group keeps the text with the least id, and of its rows without id one; texts
+    without words all stay. Rows that repeat both id and text are kept or dropped alike."""
+    members, links, _ = join(docs, id_column, text_column)
+    roots = connected(links.select("a", "b").distinct()).withColumnRenamed("node", "class_key")
+    rows = (
+        members.filter("n > 0")
+        .join(roots, "class_key", "left")
+        .selectExpr("coalesce(root, class_key) as root", "doc_id", "text_key", "doc_id is null as nameless")
+    )
+    # One line for each text of a group under each id, however often it is repeated.
+    texts = written(
+        rows.groupBy("root", "nameless", "doc_id", "text_key").agg(F.count("*").alias("times")), "near-texts"
+    )
+    # Groups of one text take no further part, unless that text is repeated without id.
+    sizes = texts.groupBy("root", "nameless").agg(
+        F.count("*").alias("n_texts"), F.max("times").alias("times"), F.min("doc_id").alias("least_id")
+    )
+    sizes = sizes.filter("n_texts > 1 or (nameless and times > 1)").drop("times")
+    crowded = texts.join(sizes, ["root", "nameless"])
+    # The texts under the least id; without id, all that the group has.
+    first = crowded.filter("doc_id <=> least_id").groupBy("root", "nameless").agg(F.min("text_key").alias("least_key"))
+    fates = (
+        crowded.join(first, ["root", "nameless"])
+        .select(
+            F.col("doc_id").alias("fate_id"),
+            F.col("text_key").alias("fate_key"),
+            (F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key"))).alias("stays"),
+            (F.col("nameless") & (F.col("times") > 1)).alias("again"),
+        )
+        .filter("not stays or again")
+    )
+    packed = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs[id_column].cast("long").alias("id"),
+        _text_key(docs[text_column]).alias("key"),
+    )
+    same = packed["id"].eqNullSafe(fates["fate_id"]) & (packed["key"] == fates["fate_key"])
+    joined = packed.join(fates, same, "left")
+    once = joined.filter("stays is null").select("row")
+    again = joined.filter("stays").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(again).select("row.*")

@@ -96,6 +96,30 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(ids, key=repr) == sorted(expected, key=repr)
 
 
+def test_an_id_of_several_texts_loses_only_the_near_copies(spark):
+    rng = random.Random(8)
+    a, b, c, d = (text(rng, 60) for _ in range(4))
+
+    def changed(words, n):
+        return " ".join([*words[:30], f"changed{n}", *words[31:]])
+
+    a, b, c, d, near = *(" ".join(x) for x in (a, b, c, d)), changed
+    kept = [(1, a), (5, b), (7, c), (8, ""), (None, d), (None, ""), (None, "")]
+    gone = [(5, near(a.split(), 1)), (9, near(b.split(), 2)), (7, near(c.split(), 3)), (None, d), (None, d)]
+    found = sorted(((r["doc_id"], r["text"]) for r in rows(N.near_dedup(documents(spark, kept + gone)))), key=repr)
+    either = {c, near(c.split(), 3)}  # both under the least id of their group: one of them
+    assert sum(t in either for _, t in found) == 1
+    assert [x for x in found if x[1] not in either] == sorted((x for x in kept if x[1] != c), key=repr)
+
+
+def test_near_copies_without_id_leave_one(spark):
+    rng = random.Random(21)
+    base = text(rng, 60)
+    copies = [" ".join([*base[:n], f"changed{n}", *base[n + 1 :]]) for n in (10, 11, 12)]
+    found = rows(N.near_dedup(documents(spark, [(None, t) for t in copies])))
+    assert len(found) == 1 and found[0]["text"] in copies
+
+
 def test_empty_table(spark):
     assert N.near_groups(documents(spark, [])).count() == 0
     assert N.near_dedup(documents(spark, [])).count() == 0
