@@ -1,4 +1,9 @@
-"""Line dedup: lines whose template recurs across documents are dropped from all of them.
+"""Line dedup: lines that recur across documents, or whose template does, are dropped from all of them.
+
+Identical lines are counted on their own, whatever their words: a line goes that stands in ``least_documents``
+documents or more, and one of ``LONG_CHARS`` characters or more already if two documents hold it that are otherwise
+unlike, that is, have less than ``LIKE`` of the lines of the longer one in common (of the lines in fewer than
+``least_documents`` documents). So near copies of one document don't lose their own text to each other.
 
 A line is put into a tree of fixed depth: first by its number of words, then by its leading ``LEADING`` words, with
 words that hold a digit generalised to ``<*>``. In a leaf, a word that is found at its position in fewer than
@@ -6,7 +11,7 @@ words that hold a digit generalised to ``<*>``. In a leaf, a word that is found
 A template is dropped when it occurs in ``least_documents`` documents or more and at most ``VARIABLE_SHARE`` of it is
 variable. All steps are counts, folded before they are shuffled; only lines of leaves that recur are taken apart.
 
-Words are what blanks separate; lines of fewer than ``LEAST_WORDS`` words, which prose repeats by chance, are kept. Defined results: a null text stays null and has no
+Words are what blanks separate; lines without a word are kept. Defined results: a null text stays null and has no
 lines; a document that repeats a line counts once; rows that repeat a document, with or without doc_id, count as one
 document if their text is the same. An empty table gives an empty result. ``without_recurring_lines`` carries
 other columns of any name.
@@ -21,13 +26,23 @@ from seaflow.llm.storage import written
 
 LEADING = 3
 LEAST_DOCUMENTS = 10
-LEAST_WORDS = 3
+LEAST_WORDS = 1
 VARIABLE_SHARE = 0.5
+LONG_CHARS = 100
+LIKE = 0.5
 FIELD = "<*>"
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\f"))
+
+
 def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\r\x0b\f")), r"\s+")
+    return F.split(_bare(line), r"\s+")
+
+
+def _key(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
 
 def _general(words: Column) -> Column:
@@ -40,15 +55,60 @@ def _leaf(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_column: str) -> DataFrame:
-    """Each distinct line of each document: document (a hash of its text), line hash, words."""
+    """Each distinct line of each document: document (a hash of its text), line, words."""
     text = docs[text_column]
     lines = docs.select(
         F.xxhash64(text).alias("document"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")
     )
-    cut = lines.select("document", "line", _words(F.col("line")).alias("words"))
+    cut = lines.filter(_bare(F.col("line")) != "").select("document", "line", _words(F.col("line")).alias("words"))
     return cut.filter(F.size("words") >= LEAST_WORDS)
 
 
+def _line_keys(docs: DataFrame, text_column: str) -> DataFrame:
+    """Each distinct line with a word of each document: document, n (how many it has), line (16 bytes), long."""
+    text = docs[text_column]
+    own = F.filter(F.array_distinct(F.split(text, "\n")), lambda x: _bare(x) != "")
+    lines = docs.select(F.xxhash64(text).alias("document"), own.alias("own"))
+    lines = lines.select("document", F.size("own").alias("n"), F.explode("own").alias("text_line"))
+    return lines.select(
+        "document",
+        "n",
+        _key(F.col("text_line")).alias("line"),
+        (F.char_length("text_line") >= LONG_CHARS).alias("long"),
+    ).distinct()
+
+
+def identical(keys: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """Lines to drop (line, 16 bytes) as they stand in as many documents, or are long and stand in two unlike ones."""
+    counts = keys.groupBy("line").agg(F.count("*").alias("holders"), F.first("long").alias("long"))
+    counts = written(counts.filter("holders > 1"), "line-counts")
+    often = counts.filter(F.col("holders") >= least_documents).select("line")
+    rare = counts.filter(F.col("holders") < least_documents)
+    # Fewer than least_documents documents a line, so the number of pairs grows with that of the lines.
+    held = keys.select("document", "n", "line").join(rare, "line")
+    held = held.groupBy("line", "long").agg(F.array_sort(F.collect_list(F.struct("document", "n"))).alias("own"))
+    pairs = held.select("line", "long", "own", F.posexplode("own").alias("at", "a"))
+    pairs = pairs.select("line", "long", "a", F.explode(F.slice("own", F.col("at") + 2, least_documents)).alias("b"))
+    pairs = written(
+        pairs.selectExpr("line", "long", "a.document as a", "a.n as n_a", "b.document as b", "b.n as n_b"), "line-pairs"
+    )
+    common = pairs.groupBy("a", "b").agg(
+        F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    )
+    # Lines that go anyway say nothing about likeness.
+    gone = keys.join(often, "line", "left_semi").groupBy("document").agg(F.count("*").alias("gone"))
+    gone = written(gone, "line-gone")
+    left = gone.select(F.col("document").alias("a"), F.col("gone").alias("gone_a"))
+    right = gone.select(F.col("document").alias("b"), F.col("gone").alias("gone_b"))
+    rest = common.join(left, "a", "left").join(right, "b", "left")
+    longer = F.greatest(
+        F.col("n_a") - F.coalesce("gone_a", F.lit(0)), F.col("n_b") - F.coalesce("gone_b", F.lit(0))
+    )
+    unlike = rest.filter(F.col("common") < LIKE * longer).select("a", "b")
+    shared = pairs.filter("long").select("line", "a", "b").join(unlike, ["a", "b"], "left_semi").select("line")
+    return often.unionByName(shared.distinct())
+
+
 def recurring(
     docs: DataFrame, text_column: str = "text", least_documents: int = LEAST_DOCUMENTS
 ) -> DataFrame:
@@ -108,15 +168,14 @@ def without_recurring_lines(
     docs: DataFrame, text_column: str = "text", least_documents: int = LEAST_DOCUMENTS
 ) -> DataFrame:
     """``docs`` with their text free of recurring lines, and n_lines and n_dropped, the lines before and dropped."""
-    dropped = written(recurring(docs, text_column, least_documents).select("line"), "recurring")
+    keys = written(_line_keys(docs, text_column), "line-keys")
+    shaped = recurring(docs, text_column, least_documents).select(F.unhex("line").alias("line"))
+    dropped = written(shaped.unionByName(identical(keys, least_documents)).distinct(), "recurring")
     text = docs[text_column]
     # Which lines of a text go: found for its distinct lines by a join on hashes, without moving texts.
-    lines = docs.select(
-        F.xxhash64(text).alias("document"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("text_line")
-    ).select("document", F.md5("text_line").alias("line"))
     gone = (
-        lines.join(dropped, "line", "left_semi")
-        .distinct()
+        keys.select("document", "line")
+        .join(dropped, "line", "left_semi")
         .groupBy("document")
         .agg(F.collect_set("line").alias("gone"))
     )
@@ -127,7 +186,7 @@ def without_recurring_lines(
     )
     found = packed.join(gone, packed["key"] == gone["document"], "left")
     before = F.split("text", "\n")
-    after = F.filter(before, lambda x: ~F.array_contains("gone", F.md5(x)))
+    after = F.filter(before, lambda x: ~F.array_contains("gone", _key(x)))
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(after, "\n"))
     n_lines = F.coalesce(F.size(before), F.lit(0))
     n_after = F.when(F.col("gone").isNull(), n_lines).otherwise(F.size(after))

@@ -76,6 +76,27 @@ def test_like_brute_force(spark):
         assert (r["n_lines"], r["n_dropped"]) == (len(lines), len(lines) - len(kept))
 
 
+def test_identical_lines_of_any_words(spark):
+    rng = random.Random(4)
+
+    def own(n, words=12):
+        return [" ".join(f"w{rng.randrange(10**6)}x" for _ in range(words)) for _ in range(n)]
+
+    notice = "This notice is long enough to be told from chance, and two unlike documents hold it as it is, 2024 and all."
+    chinese = "本网站的所有内容均受版权保护未经书面许可不得转载" * 5
+    short, digits = "Share", "12 34 56 78"
+    text = own(6, 20)
+    copies = [text + [f"version {v}x"] for v in "ab"]  # near copies, whose lines are long
+    pair = [own(5) + [notice], own(5) + [notice, chinese], own(5) + [chinese]]
+    many = [own(2) + [short, digits] for _ in range(10)]
+    few = [own(2) + ["Few", ""] for _ in range(9)]
+    texts = ["\n".join(lines) for lines in copies + pair + many + few]
+    found = {r["doc_id"]: r["text"] for r in rows(L.without_recurring_lines(documents(spark, list(enumerate(texts)))))}
+    drop = {notice, chinese, short, digits}
+    for n, lines in enumerate(copies + pair + many + few):
+        assert found[n] == "\n".join(x for x in lines if x not in drop)
+
+
 def test_columns_and_empty_table(spark):
     docs = clashing(documents(spark, [(1, "a b c\nd")]), "line", "gone")
     found = L.without_recurring_lines(docs)
