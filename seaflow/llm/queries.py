@@ -17,6 +17,8 @@ from seaflow.llm import (
     language_id,
     line_dedup,
     ngram_join,
+    packing,
+    periodic_runs,
     secret_scan,
     token_output,
     toxicity,
@@ -104,6 +106,53 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def _with_repeats(text: Column, doc_id: Column) -> Column:
+    """The texts that op11 is asked about: in every tenth document, by a hash of its id, the words from one on repeat."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i)))
+        return F.when(n > 0, F.array_join(again, " ")).otherwise(F.lit(""))
+
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, F.transform(F.array(words), repeated).getItem(0)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.select("doc_id", _with_repeats(docs["text"], docs["doc_id"]).alias("text"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("r"))))["r"]
+    return (
+        periodic_runs.periodic_runs(asked)
+        .withColumn("longest", longest)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            F.col("longest.start").alias("start"),
+            F.col("longest.length").alias("length"),
+            F.col("longest.period").alias("period"),
+            F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    found = packing.pack(table(spark, sf_dir, "documents"), definition, end_id=2)
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def _ready(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +173,8 @@ _QUERIES: dict[str, Query] = {
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
 }
 QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
 
