@@ -19,6 +19,7 @@ from seaflow.llm import (
     ngram_join,
     packing,
     periodic_runs,
+    phrase_mining,
     secret_scan,
     token_output,
     toxicity,
@@ -153,6 +154,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 def _ready(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +180,7 @@ _QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_packing": op12_packing,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
 
