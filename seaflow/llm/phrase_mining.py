@@ -4,14 +4,15 @@ Counts of phrases are held in weighted acyclic automata (``Transducer``): the st
 arc reads a word, the weight of a state is the number of occurrences of what leads to it. Three passes read the texts:
 
 1. words are counted; a phrase counted ``least`` times has no word counted less;
-2. pairs of such words are counted; a longer phrase has no pair counted less;
+2. pairs of such words are counted by a hash of 48 bits, as sorted blocks of differences; a longer phrase has no pair
+   counted less, whatever pairs share its hash;
 3. each shard sorts its phrases of such pairs and builds a transducer from them, prefix by prefix, which is cut into
    ranges of prefixes. The transducers of a range meet in one task and are united, equal paths adding their weights;
    states below ``least`` go.
 
 What passes 1 and 2 found reaches the next pass as a Bloom filter of ``FILTER_BITS``, whatever the number of phrases:
-a false hit costs work and is dropped when the weights are summed, so counts are exact. Ranges begin at pairs drawn in
-proportion to their counts, at most ``MOST_RANGES``; a first word in a third of all phrases is spread over many.
+a false hit costs work and is dropped when the weights are summed, so counts are exact. Ranges begin at occurrences of
+pairs drawn by shards, about ``MOST_RANGES`` at most; a first word in a third of all phrases is spread over many.
 
 A cut of a phrase needs the counts of both parts. That of the first part is the weight of a state on the phrase's own
 path. The rest is sent to its own range as a query, and the queries are composed with the transducer there: they run
@@ -34,8 +35,8 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seaflow.llm.storage import written
@@ -46,9 +47,10 @@ SLICE_BYTES = 1 << 23  # texts of a task that are counted at once, or one text w
 FILTER_BITS = 1 << 27
 RANGE_OCCURRENCES = 1 << 22
 MOST_RANGES = 1 << 16
+KEY_BITS = 48
 
 _FACTOR = 0x2545F491
-_PRIMES = (2147483647, 2147483629, 2147483587)
+_PRIME, _FACTORS = (1 << 31) - 1, (0x5851F42D, 0x4C957F2D, 0x14057B7F)  # of the places of a key in a filter
 _BREAK = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(
     0x20 if b == 0x09 else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
@@ -100,8 +102,8 @@ class Filter:
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
-        for prime in _PRIMES:
-            place = keys % prime % (8 * len(self.bits))
+        for factor in _FACTORS:
+            place = (keys % _PRIME * factor >> 22) % (8 * len(self.bits))
             found &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
         return found
 
@@ -111,12 +113,20 @@ def _hashes(stream: Stream) -> np.ndarray:
     return np.fromiter((zlib.crc32(w, start) for w in stream.words), np.int64, len(stream.words))
 
 
-def _filter(rows: DataFrame, *words: str, bits: int = FILTER_BITS) -> Broadcast:
-    """Of the words of rows with a lang. Its size is ``bits``, however many rows there are."""
-    key = F.lit(0).cast("long")
-    for word in words:
-        key = (key * _FACTOR if len(words) > 1 else key) + F.crc32(F.encode(F.concat("lang", F.lit("\n"), word), "UTF-8"))
-    places = F.explode(F.array(*[key % prime % bits for prime in _PRIMES])).alias("place")
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of pairs, from the hashes of their words."""
+    with np.errstate(over="ignore"):
+        mixed = (a * _FACTOR + b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def _word_key() -> Column:
+    return F.crc32(F.encode(F.concat("lang", F.lit("\n"), "word"), "UTF-8"))
+
+
+def _filter(rows: DataFrame, key: Column, bits: int = FILTER_BITS) -> Broadcast:
+    """Of a key of rows. Its size is ``bits``, however many rows there are."""
+    places = F.explode(F.array(*[F.shiftright(key % _PRIME * factor, 22) % bits for factor in _FACTORS])).alias("place")
     blocks = (
         rows.select(places)
         .groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("block"))
@@ -224,7 +234,8 @@ class Transducer:
         for d in range(int(lengths.max()) if len(asked) else 0):
             code = np.fromiter((place.get(p[d], -2) if d < len(p) else -1 for p in asked), np.int64, len(asked))
             step = lengths > d
-            state, end = _narrowed(codes[:, d], state, end, code, step)
+            column = codes[:, d] if d < codes.shape[1] else np.full(n, -1)
+            state, end = _narrowed(column, state, end, code, step)
         found = np.zeros(len(asked), np.int64)
         some = (end > state) & (lengths > 0)
         found[some] = np.where(self.depth[state[some]] == lengths[some], self.weight[state[some]], 0)
@@ -264,19 +275,88 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _counting_pairs(words: Broadcast):
+_PAIRS = "part int, keys binary, counts binary, lang string, first string, second string"
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """A byte for the width of the numbers, and the numbers."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _counting_pairs(words: Broadcast, parts: int, share: float):
+    """Counts of pairs of known words by their keys, in a block for each of ``parts`` ranges of keys; and pairs, spelled,
+    of which each occurrence is drawn with the probability ``share``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for stream in _streams(batches):
+        shard = TaskContext.get().partitionId()
+        for number, stream in enumerate(_streams(batches)):
             codes = _known_words(stream, words.value)
             a, b = codes[:-1], codes[1:]
             both = (a >= 0) & (b >= 0)
-            pairs, counts = np.unique(a[both] * len(stream.words) + b[both], return_counts=True)
-            spelled = pa.array(stream.words, pa.binary()).cast(pa.string())
-            columns = [spelled.take(pa.array(x)) for x in (pairs // max(1, len(spelled)), pairs % max(1, len(spelled)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([stream.lang] * len(pairs), pa.string()), *columns, pa.array(counts)],
-                names=["lang", "first", "second", "n"],
-            )
+            n = max(1, len(stream.words))
+            pairs, counts = np.unique(a[both] * n + b[both], return_counts=True)
+            hashes = np.append(_hashes(stream), 0)
+            keys, summed = _summed(_mixed(hashes[pairs // n], hashes[pairs % n]), counts)
+            part = keys * parts >> KEY_BITS
+            own, first = np.unique(part, return_index=True)
+            ends = [*first[1:], len(keys)]
+            drawn = np.flatnonzero(np.random.default_rng((shard, number)).binomial(counts, share))
+            spelled = [(stream.words[p // n].decode(), stream.words[p % n].decode()) for p in pairs[drawn].tolist()]
+            m, k = len(own), len(drawn)
+            columns = {
+                "part": pa.array([*own.tolist(), *range(k)], pa.int32()),
+                "keys": pa.array([_narrow(np.diff(keys[x:y], prepend=0)) for x, y in zip(first, ends)] + [None] * k, pa.binary()),
+                "counts": pa.array([_narrow(summed[x:y]) for x, y in zip(first, ends)] + [None] * k, pa.binary()),
+                "lang": pa.array([None] * m + [stream.lang] * k, pa.string()),
+                "first": pa.array([None] * m + [x for x, _ in spelled], pa.string()),
+                "second": pa.array([None] * m + [y for _, y in spelled], pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def _summing_pairs(least: int):
+    """Rows come sorted by range. The keys counted ``least`` times or more; drawn pairs go through."""
+
+    def batch_of(keys: list, langs: list, firsts: list, seconds: list) -> pa.RecordBatch:
+        columns = [pa.array(keys, pa.int64()), *[pa.array(x, pa.string()) for x in (langs, firsts, seconds)]]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "lang", "first", "second"])
+
+    def finished(held: list) -> pa.RecordBatch:
+        keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        keys = keys[counts >= least].tolist()
+        return batch_of(keys, *[[None] * len(keys)] * 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, waiting = None, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["keys"] is None:
+                    yield batch_of([None], [row["lang"]], [row["first"]], [row["second"]])
+                    continue
+                if row["part"] != part and held:
+                    yield finished(held)
+                    held, waiting = [], 0
+                part = row["part"]
+                held.append((np.cumsum(_wide(row["keys"])), _wide(row["counts"])))
+                waiting += len(held[-1][0])
+                if len(held) > 1 and waiting >= max(1 << 20, len(held[0][0])):
+                    held, waiting = [_summed(*(np.concatenate(x) for x in zip(*held)))], 0
+        if held:
+            yield finished(held)
 
     return run
 
@@ -317,7 +397,7 @@ def _paths(stream: Stream, words: Filter, pairs: Filter, most_words: int) -> tup
     a, b = codes[:-1], codes[1:]
     pair = np.zeros(len(codes) + most_words, bool)
     at = np.flatnonzero((a >= 0) & (b >= 0))
-    pair[at] = pairs.has(hashes[a[at]] * _FACTOR + hashes[b[at]])
+    pair[at] = pairs.has(_mixed(hashes[a[at]], hashes[b[at]]))
     codes = np.append(place[codes], np.full(most_words, -1))
     at = np.flatnonzero(pair)
     paths = np.full((len(at), most_words), -1, np.int64)
@@ -441,15 +521,6 @@ def _composing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in kinds.items()], names=list(kinds))
 
 
-def _starts(pairs: DataFrame) -> list[tuple]:
-    """Pairs at which ranges of prefixes begin, drawn by a hash in proportion to their counts."""
-    spark = pairs.sparkSession
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // RANGE_OCCURRENCES))
-    drawn = F.pmod(F.xxhash64("lang", "first", "second"), F.lit(1 << 31)) < F.lit((1 << 31) * ranges / max(1, int(total))) * F.col("n")
-    return sorted((r[0], r[1].encode(), r[2].encode()) for r in pairs.filter(drawn).select("lang", "first", "second").collect())
-
-
 def frequent_parts(docs: DataFrame, least: int, most_words: int, lang_column: str, text_column: str):
     """The counts of words (that of the null word is of all), and every cut (lang, phrase, a, k, first, rest, l, r) of
     every phrase of ``least`` occurrences."""
@@ -458,12 +529,16 @@ def frequent_parts(docs: DataFrame, least: int, most_words: int, lang_column: st
     )
     counted = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(counted.filter((F.col("n") >= least) | F.col("word").isNull()), "words")
-    known = _filter(words.filter("word is not null"), "word")
-    pair_rows = texts.mapInArrow(_counting_pairs(known), "lang string, first string, second string, n long")
-    pairs = pair_rows.groupBy("lang", "first", "second").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    pairs = written(pairs, "pairs")
-    starts = _starts(pairs)
-    known_pairs = _filter(pairs, "first", "second")
+    known = _filter(words.filter("word is not null"), _word_key())
+    n = int(words.filter("word is null").agg(F.sum("n")).first()[0] or 0)
+    fewest = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST_RANGES, max(fewest, n // RANGE_OCCURRENCES))
+    pairs = texts.mapInArrow(_counting_pairs(known, ranges, min(1.0, ranges / max(1, n))), _PAIRS)
+    pairs = pairs.repartition(ranges, "part").sortWithinPartitions("part")
+    pairs = written(pairs.mapInArrow(_summing_pairs(least), "key long, lang string, first string, second string"), "pairs")
+    drawn = pairs.filter("key is null").select("lang", "first", "second").distinct().collect()  # about one a range
+    starts = sorted((r[0], r[1].encode(), r[2].encode()) for r in drawn)
+    known_pairs = _filter(pairs.filter("key is not null"), F.col("key"))
     parts = len(starts) + 1
     shards = texts.mapInArrow(_building(known, known_pairs, starts, most_words), _TRANSDUCER)
     dealt = shards.repartition(parts, "part").sortWithinPartitions("part", "lang")

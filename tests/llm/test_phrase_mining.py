@@ -126,12 +126,21 @@ def test_transducers():
 
 
 def test_filter_has_all_its_words(spark):
-    rows_ = [("en", f"w{i}", f"é{i % 50}") for i in range(3000)]
-    frame = spark.createDataFrame(rows_, "lang string, first string, second string")
-    stream = M._stream("en", [" ".join(r[1] for r in rows_).encode()])
-    words, pairs = M._filter(frame, "first", bits=1 << 17).value, M._filter(frame, "first", "second", bits=1 << 17).value
-    assert words.has(M._hashes(stream)).all()
+    frame = spark.createDataFrame([("en", f"w{i}") for i in range(3000)], "lang string, word string")
+    words = M._filter(frame, M._word_key(), bits=1 << 17).value
+    assert words.has(M._hashes(M._stream("en", [" ".join(f"w{i}" for i in range(3000)).encode()]))).all()
     other = M._stream("de", [" ".join(f"w{i}" for i in range(3000)).encode()])
     assert words.has(M._hashes(other)).mean() < 0.1
-    both = M._hashes(stream) * M._FACTOR + M._hashes(M._stream("en", [" ".join(f"é{i}" for i in range(50)).encode()]))[np.arange(3000) % 50]
-    assert pairs.has(both).all() and pairs.has(both + 1).mean() < 0.1
+    keys = M._mixed(M._hashes(other), M._hashes(other)[::-1])
+    pairs = M._filter(spark.createDataFrame([(k,) for k in keys.tolist()], "key long"), M.F.col("key"), bits=1 << 17).value
+    assert len(set(keys.tolist())) == 3000 and pairs.has(keys).all() and pairs.has(keys + 1).mean() < 0.1
+
+
+def test_counts_of_keys_in_blocks():
+    rng = np.random.default_rng(1)
+    for most in (200, 60_000, 1 << 40):
+        values = rng.integers(0, most, 50)
+        assert (M._wide(M._narrow(values)) == values).all()
+    assert len(M._wide(M._narrow(np.empty(0, np.int64)))) == 0
+    keys, counts = M._summed(np.array([5, 3, 5, 0]), np.array([1, 2, 3, 4]))
+    assert keys.tolist() == [0, 3, 5] and counts.tolist() == [4, 2, 4]
