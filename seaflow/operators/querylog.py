@@ -164,52 +164,57 @@ class GuardedResult:
         return not self.errors
 
 
+def _each(items) -> Iterator:
+    """The items of a Scala sequence."""
+    each = items.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
 def _nodes(gateway, plan) -> Iterator[tuple]:
-    """All nodes and expressions of a parsed plan, with those of subqueries and named queries: each with its kind
-    and whether it is a plan."""
-    stack = [plan]
+    """All nodes and expressions of a parsed plan, with those of subqueries and named queries: each with its kind,
+    whether it is a plan, and the named queries that SQL lets it see.
+
+    The query of a WITH sees all its names; the body of each name sees those before it, and itself where the WITH is
+    recursive; all of them see the names around the WITH. Nothing outside sees any.
+    """
+    stack: list[tuple] = [(plan, frozenset())]
     while stack:
-        node = stack.pop()
+        node, scope = stack.pop()
         kind = node.getClass().getSimpleName()
         is_plan = is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
-        yield node, kind, is_plan
-        below = [node.children()]
+        yield node, kind, is_plan, scope
+        if kind == "UnresolvedWith":
+            for named in _each(node.innerChildren()):
+                name = named.alias().lower()
+                stack.append((named, scope | {name} if node.allowRecursion() else scope))
+                scope = scope | {name}
+        below = list(_each(node.children()))
         if is_plan:
-            below += [node.expressions(), node.innerChildren()]
+            below += _each(node.expressions())
+            if kind != "UnresolvedWith":
+                below += _each(node.innerChildren())
         if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-            below.append(node.plan().children())
-            stack.append(node.plan())
+            below.append(node.plan())
         elif kind == "InSubquery":
-            below.append(node.values())
-            stack.append(node.query())
-        for nodes in below:
-            each = nodes.iterator()
-            while each.hasNext():
-                stack.append(each.next())
-
-
-def _parts(names) -> list[str]:
-    each, found = names.iterator(), []
-    while each.hasNext():
-        found.append(each.next())
-    return found
+            below += [*_each(node.values()), node.query()]
+        stack += [(each, scope) for each in below]
 
 
 def _plan_errors(session: SparkSession, sql: str) -> list[str]:
-    """What the parsed text names beyond the freight tables, its own named queries and harmless functions."""
+    """What the parsed text names beyond the freight tables, the named queries in scope and harmless functions. Needs a
+    session that runs in this process's JVM, not one of Spark Connect."""
     state = session._jsparkSession.sessionState()
     identifier = session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
     tables = {name.lower() for name in TABLES}
-    relations, errors = [], []
-    for node, kind, is_plan in _nodes(session.sparkContext._gateway, state.sqlParser().parsePlan(sql)):
+    errors = []
+    for node, kind, is_plan, scope in _nodes(session.sparkContext._gateway, state.sqlParser().parsePlan(sql)):
         if kind == "UnresolvedRelation":
-            relations.append(_parts(node.multipartIdentifier()))
-        elif kind == "UnresolvedWith":
-            each = node.innerChildren().iterator()
-            while each.hasNext():
-                tables.add(each.next().alias().lower())
+            parts = list(_each(node.multipartIdentifier()))
+            if len(parts) != 1 or parts[0].lower() not in tables | scope:
+                errors.append(f"Unknown table referenced: '{'.'.join(parts)}'. Valid tables: {', '.join(KNOWN_TABLES)}.")
         elif kind == "UnresolvedFunction":
-            parts = _parts(node.nameParts())
+            parts = list(_each(node.nameParts()))
             name = parts[-1].lower()
             if len(parts) == 1 and name in _HARMLESS | _DIALECT:
                 continue
@@ -220,9 +225,6 @@ def _plan_errors(session: SparkSession, sql: str) -> list[str]:
             errors.append(f"Part of a query not permitted: {kind}.")
         elif "Identifier" in kind:
             errors.append("Names must be written out.")
-    for parts in relations:
-        if len(parts) != 1 or parts[0].lower() not in tables:
-            errors.append(f"Unknown table referenced: '{'.'.join(parts)}'. Valid tables: {', '.join(KNOWN_TABLES)}.")
     return sorted(set(errors))
 
 

@@ -142,3 +142,54 @@ def test_guard_caps_the_outer_query(t):
 )
 def test_guard_keeps_to_the_tables(t, sql):
     assert not guarded_query(t, sql).is_valid
+
+
+@pytest.fixture(scope="module")
+def payroll(t):
+    """A table of someone else that a session can name without a catalog."""
+    session = t.sql_session()
+    session.sql("SELECT 41 AS x").createOrReplaceTempView("payroll")
+    yield
+    session.catalog.dropTempView("payroll")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH payroll AS (SELECT * FROM payroll) SELECT * FROM payroll",
+        "SELECT * FROM (WITH payroll AS (SELECT 1 AS x) SELECT * FROM payroll) a JOIN payroll b ON 1=1",
+        "WITH a AS (SELECT * FROM payroll), payroll AS (SELECT 1 AS x) SELECT * FROM a",
+        "WITH a AS (WITH payroll AS (SELECT 1 AS x) SELECT * FROM payroll) SELECT a.x, p.x FROM a, payroll p",
+        "SELECT (WITH payroll AS (SELECT 1 AS x) SELECT max(x) FROM payroll) AS n FROM payroll",
+        "SELECT port_id FROM port WHERE port_id IN (WITH payroll AS (SELECT 1 AS x) SELECT x FROM payroll) "
+        "AND EXISTS (SELECT 1 FROM payroll)",
+        "WITH a AS (SELECT 1 AS x) SELECT * FROM a UNION ALL (WITH b AS (SELECT 2 AS x) SELECT * FROM b) UNION ALL SELECT * FROM b",
+        "SELECT * FROM port p, LATERAL (SELECT x FROM payroll) q",
+    ],
+)
+def test_guard_knows_where_a_named_query_can_be_seen(t, payroll, sql):
+    outcome = guarded_query(t, sql)
+    assert outcome.result is None and any("Unknown table" in e for e in outcome.errors), outcome
+
+
+@pytest.mark.parametrize(
+    "sql, n",
+    [
+        ("WITH payroll AS (SELECT 7 AS x) SELECT x FROM PAYROLL", 7),
+        ("WITH a AS (SELECT 3 AS x), b AS (SELECT x + 1 AS x FROM a) SELECT b.x FROM b JOIN a ON a.x < b.x", 4),
+        ("WITH port AS (SELECT 5 AS x) SELECT x FROM port", 5),
+        ("WITH a AS (SELECT 1 AS x) SELECT (SELECT max(x) FROM a) + (SELECT count(*) FROM a WHERE x IN (SELECT x FROM a)) AS x", 2),
+        ("WITH a AS (SELECT 2 AS x) SELECT * FROM (WITH b AS (SELECT x * 4 AS x FROM a) SELECT b.x FROM b, a) y", 8),
+        ("WITH a AS (SELECT 1 AS x) SELECT * FROM (WITH a AS (SELECT x + 8 AS x FROM a) SELECT x FROM a) y", 9),
+        ("WITH RECURSIVE up AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM up WHERE x < 6) SELECT max(x) AS x FROM up", 6),
+    ],
+)
+def test_guard_lets_named_queries_pass_in_their_scope(t, payroll, sql, n):
+    outcome = guarded_query(t, sql)
+    assert outcome.is_valid, outcome.errors
+    assert outcome.result.first()[0] == n
+
+
+def test_a_recursive_name_is_never_a_table(t, payroll):
+    outcome = guarded_query(t, "WITH RECURSIVE payroll AS (SELECT * FROM payroll) SELECT * FROM payroll")
+    assert outcome.result is None
