@@ -5,8 +5,8 @@ merging the neighbours of least rank (the leftmost of equals) until no pair has
 plan: an array of small maps, found by a checksum of the bytes. Bytes are held as hexadecimal text, two characters
 each, since only text can be a key of a literal map.
 
-Words repeat. The ``dictionary_size`` most frequent words of the whole input are folded once and broadcast (the size is
-the bound of the broadcast); words outside it are folded where they occur, once for each document. Documents are not
+Words repeat. The most frequent words of the whole input, ``dictionary_size`` at most, are folded once and broadcast (the
+size is the bound of the broadcast); words outside it are folded where they occur, once for each document. Documents are not
 shuffled. Decoding looks up the bytes of every id in a literal array and concatenates them.
 
 Defined results: a null text is an empty one and gives no ids, which decode to no bytes. Words of any length are
@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from seaflow.llm.storage import written
+
 # Fixed value: the pattern that cuts texts for the vocabulary files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DICTIONARY_SIZE = 800_000
@@ -143,6 +145,16 @@ class Dictionary:
     words: pa.Array
     offsets: np.ndarray
     ids: np.ndarray
+    _places: dict[str, int] | None = None
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each of some words, -1 for those outside. The table is made once in each process."""
+        if self._places is None:
+            self._places = dict(zip(self.words.to_numpy(zero_copy_only=False).tolist(), range(len(self.words))))
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter((self._places.get(w, -1) for w in distinct), np.int32, len(distinct))
+        return own[coded.indices.to_numpy(zero_copy_only=False)]
 
     @staticmethod
     def of(rows: pa.Table, largest: int) -> Dictionary:
@@ -216,7 +228,7 @@ def _looking_up(shared: Broadcast):
         known: Dictionary = shared.value
         for batch in batches:
             words, rows = _row_lists(batch.column(1))
-            places = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy()
+            places = known.places(words)
             for a, b in slices(rows, SLICE_WORDS):
                 lo, hi = rows[a], rows[b]
                 own = words.slice(lo, hi - lo)
@@ -226,9 +238,20 @@ def _looking_up(shared: Broadcast):
 
 
 def frequent_words(docs: DataFrame, text_column: str, dictionary_size: int) -> DataFrame:
-    """The words with the most occurrences in all texts."""
-    counts = docs.select(F.explode(words_of(docs[text_column])).alias("word")).groupBy("word").count()
-    return counts.orderBy(F.desc("count"), "word").limit(dictionary_size).select("word")
+    """The words with the most occurrences in all texts: all from some count on, ``dictionary_size`` at most.
+
+    The count comes from a histogram in bins of an eighth of a power of two, so no task orders the words.
+    """
+    counted = docs.select(F.explode(words_of(docs[text_column])).alias("word")).groupBy("word").count()
+    counts = written(counted.withColumn("bin", F.floor(8 * F.log2("count")).cast("int")), "words")
+    bins = sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True)
+    least, held = None, 0
+    for number, n in bins:  # some hundreds
+        held += n
+        if held > dictionary_size:
+            break
+        least = number
+    return counts.filter(F.col("bin") >= least if least is not None else F.lit(False)).select("word")
 
 
 def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: str, dictionary_size: int) -> DataFrame:
