@@ -15,7 +15,9 @@ makes a block of its own. An empty table writes no block. Other columns are igno
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,14 +26,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seaflow.llm.byte_bpe import SLICE_WORDS, _row_lists, slices, words_of
 
 BLOCK_IDS = 1 << 22
 ENCODED_AT_ONCE = 5_000
-CACHED_WORDS = 300_000  # per Python worker; words beyond are encoded again where they occur
+CACHED_WORDS = 500_000  # per Python worker; words beyond are encoded again where they occur
 DIRECTORY_BITS = 512
 
 
@@ -58,19 +60,23 @@ class EliasFano:
             n, low_bits, np.packbits(bits.astype(np.uint8)), np.packbits(unary), ones[::DIRECTORY_BITS].astype(np.uint32)
         )
 
-    def select(self, i: int) -> int:
-        """Number i, from one stretch of the high bits."""
-        at = int(np.searchsorted(self.directory, i, side="right")) - 1
-        stretch = np.unpackbits(self.high[at * DIRECTORY_BITS // 8 : (at + 1) * DIRECTORY_BITS // 8])
-        place = at * DIRECTORY_BITS + int(np.flatnonzero(stretch)[i - int(self.directory[at])])
-        first = i * self.low_bits
-        own = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8])[first % 8 :][: self.low_bits]
-        return ((place - i) << self.low_bits) | int((own.astype(np.int64) << np.arange(self.low_bits)).sum())
-
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((places - np.arange(self.n)) << self.low_bits) | (bits << np.arange(self.low_bits)).sum(axis=1)
+    def select(self, numbers: np.ndarray) -> np.ndarray:
+        """The numbers at some places of the sequence, from the stretches of the high bits that the directory gives."""
+        stretch = np.searchsorted(self.directory, numbers, side="right") - 1
+        needed, own = np.unique(stretch, return_inverse=True)
+        size = DIRECTORY_BITS // 8
+        padded = np.concatenate((self.high, np.zeros(-len(self.high) % size, np.uint8))).reshape(-1, size)
+        row, bit = np.nonzero(np.unpackbits(padded[needed], axis=1))
+        first = np.searchsorted(row, np.arange(len(needed)))
+        places = stretch * DIRECTORY_BITS + bit[first[own] + numbers - self.directory[stretch].astype(np.int64)]
+        at = numbers[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = (self.low[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return ((places - numbers) << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
+    def stretches(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents of some numbers begin and end, if the sequence holds the ends of all."""
+        ends = self.select(numbers)
+        return np.where(numbers > 0, self.select(np.maximum(numbers - 1, 0)), 0), ends
 
 
 @lru_cache(maxsize=2)
@@ -78,9 +84,30 @@ def _tokenizer(text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_str(text)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made, {}
+    return Tokenizer.from_str(text), {}
+
+
+def _pieces(text: Column, definition: str) -> Column:
+    """The words of a text. As in the library, the strings of added tokens are found first; what stands between two of
+    them is cut into words by itself."""
+    added = json.loads(definition).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that look at what is around them are not supported")
+    if not added:
+        return words_of(text)
+    given = F.coalesce(text, F.lit(""))
+    # Of strings that begin at one place the library takes the longest.
+    strings = sorted((t["content"] for t in added), key=lambda s: (-len(s), s))
+    either = "|".join(re.sub(r"([^\w\s])", r"\\\1", s) for s in strings)
+    between = F.split(given, f"(?:{either})", -1)
+    found = F.regexp_extract_all(given, F.lit(f"({either})"), F.lit(1))
+    cut = F.flatten(
+        F.zip_with(
+            F.transform(between, words_of), found, lambda words, token: F.concat(words, F.array_compact(F.array(token)))
+        )
+    )
+    has = [F.contains(given, F.lit(s)) for s in strings]
+    return F.when(F.greatest(*has, F.lit(False)), cut).otherwise(words_of(text))
 
 
 def _words_to_ids(definition: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +132,11 @@ def _encoding(definition: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, rows = _row_lists(batch.column(1))
+            coded = words.dictionary_encode()
+            flat, offsets = _words_to_ids(definition, coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            all_codes = coded.indices.to_numpy(zero_copy_only=False)
             for a, b in slices(rows, SLICE_WORDS):
-                coded = words.slice(rows[a], rows[b] - rows[a]).dictionary_encode()
-                flat, offsets = _words_to_ids(definition, coded.dictionary.to_pylist())
-                codes = coded.indices.to_numpy(zero_copy_only=False)
+                codes = all_codes[rows[a] : rows[b]]
                 lengths = np.diff(offsets)[codes]
                 ends = np.cumsum(lengths)
                 places = np.repeat(offsets[codes] - ends + lengths, lengths) + np.arange(lengths.sum())
@@ -187,24 +215,25 @@ def write(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Texts are ordered, not ids: they are smaller when compressed, and nothing is encoded twice for the sampling.
     ordered = texts.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    words = ordered.select("doc_id", words_of(F.col("text")).alias("words"))
+    words = ordered.select("doc_id", _pieces(F.col("text"), definition).alias("words"))
     encode, pack = _encoding(definition, end_id, f"<u{width}"), _blocks(width)
     words.mapInArrow(lambda batches: pack(encode(batches)), _BLOCK).write.parquet(path)
 
 
+def _boundaries(row: dict) -> EliasFano:
+    return EliasFano(
+        row["n_docs"],
+        row["low_bits"],
+        np.frombuffer(row["low"], np.uint8),
+        np.frombuffer(row["high"], np.uint8),
+        np.frombuffer(row["directory"], "<u4"),
+    )
+
+
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            n, low_bits = row["n_docs"], row["low_bits"]
-            coded = EliasFano(
-                n,
-                low_bits,
-                np.frombuffer(row["low"], np.uint8),
-                np.frombuffer(row["high"], np.uint8),
-                np.frombuffer(row["directory"], "<u4"),
-            )
-            ends = coded.all()
-            starts = np.concatenate(([0], ends[:-1]))
+            starts, ends = _boundaries(row).stretches(np.arange(row["n_docs"]))
             ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -223,7 +252,8 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(_BLOCK).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.join(shards.select("shard", F.coalesce(before, F.lit(0)).alias("shard_start")), "shard")
+    # One row for each partition that wrote, so the broadcast is bounded by their number.
+    return blocks.join(F.broadcast(shards.select("shard", F.coalesce(before, F.lit(0)).alias("shard_start"))), "shard")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -231,6 +261,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _placed(spark, path).mapInArrow(_reading, "doc_id long, start long, ids array<int>")
 
 
+def _finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            numbers = np.array(row["wanted"], np.int64)
+            starts, ends = _boundaries(row).stretches(numbers)
+            ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<i4")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["doc_ids"][i] for i in numbers], pa.int64()),
+                    pa.array(row["shard_start"] + row["start"] + starts),
+                    pa.array([ids[a:b] for a, b in zip(starts, ends)], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "start", "ids"],
+            )
+
+
+def look_up(spark: SparkSession, path: str, asked: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """What ``read`` gives, for the documents of the ids in ``asked`` alone: their places in the blocks are found by
+    doc_id, their stretches of ids by ``select``; other documents aren't unpacked."""
+    blocks = _placed(spark, path)
+    places = spark.read.schema(_BLOCK).parquet(path).select("shard", "number", F.posexplode("doc_ids").alias("place", "doc_id"))
+    ids = asked.select(asked[id_column].cast("long").alias("doc_id")).distinct()
+    wanted = places.join(ids, "doc_id", "left_semi").groupBy("shard", "number").agg(F.collect_list("place").alias("wanted"))
+    return blocks.join(wanted, ["shard", "number"]).mapInArrow(_finding, "doc_id long, start long, ids array<int>")
+
+
 def _checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for found in _reading(batches):
         ids, rows = _row_lists(found.column(2))
