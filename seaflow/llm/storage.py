@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "8m"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as on one machine, a temporary folder."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset on one machine, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seaflow-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -30,6 +35,11 @@ def package_on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has rows with whole texts go to Python in batches of ``BATCH_BYTES``, so that a worker holds little at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/seaflow-{name}-{uuid.uuid4().hex}"
 
