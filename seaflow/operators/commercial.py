@@ -106,8 +106,9 @@ def shipment_status_breakdown(t: FreightTables) -> DataFrame:
     ).orderBy(F.desc("shipment_count"), "status")
 
 
-def _temperature(fold: str) -> str:
-    return half_up(f"{fold}(case when is_reefer = 1 then temperature_c end)", 1)
+_COLD = "case when is_reefer = 1 then temperature_c end"
+_MEAN_TEMPERATURE = half_up(exact_mean(_COLD), 1)
+_LEAST_TEMPERATURE, _GREATEST_TEMPERATURE = half_up(f"min({_COLD})", 1), half_up(f"max({_COLD})", 1)
 
 
 def reefer_by_type(t: FreightTables) -> DataFrame:
@@ -119,9 +120,9 @@ def reefer_by_type(t: FreightTables) -> DataFrame:
         "sum(is_reefer) as reefer_count",
         f"{tally('is_reefer = 0')} as dry_count",
         f"{percent('sum(is_reefer)', 'count(*)')} as reefer_pct",
-        f"{_temperature('avg')} as avg_temp_c",
-        f"{_temperature('min')} as min_temp_c",
-        f"{_temperature('max')} as max_temp_c",
+        f"{_MEAN_TEMPERATURE} as avg_temp_c",
+        f"{_LEAST_TEMPERATURE} as min_temp_c",
+        f"{_GREATEST_TEMPERATURE} as max_temp_c",
     ).orderBy(F.desc("total_containers"), "container_type")
 
 
@@ -134,9 +135,9 @@ def reefer_summary(t: FreightTables) -> DataFrame:
         "sum(is_reefer) as reefer_containers",
         f"{tally('is_reefer = 0')} as dry_containers",
         f"{percent('sum(is_reefer)', 'count(*)')} as reefer_pct",
-        f"{_temperature('avg')} as avg_reefer_temp_c",
-        f"{_temperature('min')} as min_temp_c",
-        f"{_temperature('max')} as max_temp_c",
+        f"{_MEAN_TEMPERATURE} as avg_reefer_temp_c",
+        f"{_LEAST_TEMPERATURE} as min_temp_c",
+        f"{_GREATEST_TEMPERATURE} as max_temp_c",
     )
 
 
