@@ -12,6 +12,7 @@ Each stage works on what the one before it kept. All but the last return the col
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaflow.llm import byte_bpe, decontamination, exact_dedup, language_id, ngram_join
-from seaflow.llm.storage import package_on_workers, table, written
+from seaflow.llm.storage import package_on_workers, small_batches, table, written
 
 # Smaller than that of the operator: the driver has held the results of four stages before it collects the dictionary.
 DICTIONARY_SIZE = 200_000
@@ -58,12 +59,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _lean(stage: Stage) -> Stage:
+    """The stages follow one another in one session, whose executors keep what an earlier one made them allocate."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("byte_bpe", encode),
+    ("language_id", _lean(identify)),
+    ("exact_dedup", _lean(drop_copies)),
+    ("near_dedup", _lean(drop_near_copies)),
+    ("decontamination", _lean(drop_benchmark)),
+    ("byte_bpe", _lean(encode)),
 ]
 
 # SQL cannot express byte-level BPE or the learned language filters; the whole is tested against a plain version instead.
