@@ -859,6 +859,15 @@ from (select container_id, container_number, cast(list_sum(list_transform(
         range(1, length(container_number)), lambda i: ascii(substr(container_number, i, 1)) * i)) % 10 as bigint)
         as digit
       from container)""",
+    "t09_guard_cases": """
+select 'sibling' as text, 1 as accepted, cast(sum(port_id + 1) as bigint) as n from port
+union all select 'shadowed', 1, count(*) from customer
+union all select 'nested', 1, max(stop_id) from voyage_stop
+union all select 'inner_first', 1, count(*) from voyage where voyage_id > 10
+union all select 'subquery', 1, count(*) from shipment where voyage_id < (select max(voyage_id) from voyage)
+union all select 'own_name', 0, null
+union all select 'left_scope', 0, null
+union all select 'later_name', 0, null""",
     "t09_guarded_query": """
 select un_locode, n, worst
 from (select port_id, count(*) as n, max(delay_hours) as worst from voyage_stop group by port_id)

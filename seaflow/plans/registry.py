@@ -41,6 +41,20 @@ GUARDED_SQL = """
     WITH calls AS (SELECT port_id, COUNT(*) AS n, MAX(delay_hours) AS worst FROM VOYAGE_STOP GROUP BY port_id)
     SELECT p.un_locode, c.n, c.worst FROM calls c JOIN PORT p ON p.port_id = c.port_id LIMIT 5000;
 """
+# Texts with the names that SQL lets them see, and texts that reach for a table behind a name seen elsewhere.
+GUARD_CASES = {
+    "sibling": "WITH a AS (SELECT port_id FROM PORT), b AS (SELECT port_id + 1 AS x FROM a) SELECT SUM(x) AS n FROM b",
+    "shadowed": "WITH port AS (SELECT customer_id AS x FROM CUSTOMER) SELECT COUNT(*) AS n FROM port",
+    "nested": "WITH a AS (SELECT stop_id AS x FROM VOYAGE_STOP) SELECT MAX(x) AS n FROM "
+    "(WITH b AS (SELECT x FROM a) SELECT b.x FROM b JOIN a ON a.x = b.x) y",
+    "inner_first": "WITH a AS (SELECT voyage_id AS x FROM VOYAGE) SELECT COUNT(*) AS n FROM "
+    "(WITH a AS (SELECT x FROM a WHERE x > 10) SELECT x FROM a) y",
+    "subquery": "WITH a AS (SELECT MAX(voyage_id) AS x FROM VOYAGE) SELECT COUNT(*) AS n FROM SHIPMENT "
+    "WHERE voyage_id < (SELECT x FROM a)",
+    "own_name": "WITH payroll AS (SELECT * FROM payroll) SELECT COUNT(*) AS n FROM payroll",
+    "left_scope": "SELECT COUNT(*) AS n FROM (WITH payroll AS (SELECT 1 AS x) SELECT * FROM payroll) a JOIN payroll b ON 1 = 1",
+    "later_name": "WITH a AS (SELECT * FROM payroll), payroll AS (SELECT 1 AS x) SELECT COUNT(*) AS n FROM a",
+}
 SMALL_SPLIT = 2
 OPEN_STATUSES = ["Booked", "In Transit", "Loaded"]
 
@@ -102,6 +116,16 @@ def _guarded(t: FreightTables) -> DataFrame:
     return outcome.result
 
 
+def _guard_cases(t: FreightTables) -> DataFrame:
+    """What each text gave, or that it was refused."""
+    parts = []
+    for name, text in GUARD_CASES.items():
+        outcome = querylog.guarded_query(t, text)
+        found = outcome.result if outcome.is_valid else t.sql_session().range(1).selectExpr("cast(null as bigint) as n")
+        parts.append(found.selectExpr(f"'{name}' as text", f"{int(outcome.is_valid)} as accepted", "cast(n as bigint) as n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = querylog.audit(fixtures.query_log(spark, sf_dir))
     return report.selectExpr(
@@ -200,6 +224,7 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "t06_event_chains": quality.event_chain_audit,
     "t07_check_digits": quality.check_digit_audit,
     "t09_guarded_query": _guarded,
+    "t09_guard_cases": _guard_cases,
 }
 
 # Operators over tables of texts.
