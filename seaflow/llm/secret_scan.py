@@ -2,14 +2,15 @@
 
 Base kinds (fixed patterns): ``assign``, a name such as password or api_key with a value of 6 or more characters;
 ``access``, an access key identifier; ``hex``, a run of 24 or more hexadecimal digits. They are always reported. Three
-weak kinds are reported only where complementary parts occur in the same scope, at most ``REACH`` characters apart:
+weak kinds are reported only where complementary parts occur in the same scope, however far apart:
 
 * ``id``, an account, user or client name: with a secret (assign, hex or key);
 * ``key``, a random-looking run of 32 or more characters: with an identifier (access or id);
 * ``endpoint``, a URL or IPv4 address: with an identifier and a secret.
 
-A scope is a stretch of a text without blank line. The linking is an interval join: parts of one text and scope meet in
-bins of ``REACH`` characters, each of which can hold a bounded number of parts, and semi joins report a candidate once.
+A scope is a stretch of a text without blank line. The linking is an interval join on scopes: each is folded to the least
+and the greatest span of its secrets and of its identifiers, and a candidate is joined with that one row. It has a partner
+if one of the two is not its own span, so it never completes itself and no pairs are formed.
 
 Offsets count code points, ends are exclusive. Matches of a kind are leftmost and don't overlap; matches that fail a
 length are dropped. Defined results: a null text is an empty one and has no spans; rows with the same doc_id are told
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from seaflow.llm.storage import written
 
-REACH = 400
 # The order of kinds in reports, and the base patterns.
 KINDS = ["assign", "access", "hex", "id", "key", "endpoint"]
 ASSIGN = re.compile(
@@ -91,23 +91,30 @@ def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _near(weak: DataFrame, parts: DataFrame, kinds: list[str]) -> DataFrame:
-    """The weak candidates with a part of one of the kinds in their scope and reach."""
-    other = parts.filter(F.col("kind").isin(kinds)).select(
-        F.col("doc_id").alias("o_id"),
-        F.col("tie").alias("o_tie"),
-        F.col("scope").alias("o_scope"),
-        F.col("start").alias("o_start"),
-        F.col("end").alias("o_end"),
-        F.explode(
-            F.expr(f"sequence(start div {REACH} - 1, end div {REACH} + 1)")
-        ).alias("o_bin"),
-    )
-    meets = F.expr(
-        f"doc_id <=> o_id and tie = o_tie and scope = o_scope and start div {REACH} = o_bin"
-        f" and o_start - end <= {REACH} and start - o_end <= {REACH} and not (start = o_start and end = o_end)"
+_SECRETS, _IDENTIFIERS = ("assign", "hex", "key"), ("access", "id")
+
+
+def _linked(parts: DataFrame) -> DataFrame:
+    """The weak candidates whose scope completes them."""
+    span = F.struct("start", "end")
+
+    def bounds(kinds: tuple[str, ...], name: str) -> list[Column]:
+        own = F.when(F.col("kind").isin(*kinds), span)
+        return [F.min(own).alias(f"{name}_least"), F.max(own).alias(f"{name}_greatest")]
+
+    scopes = (
+        parts.groupBy(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), F.col("scope").alias("s_scope"))
+        .agg(*bounds(_SECRETS, "secret"), *bounds(_IDENTIFIERS, "identifier"))
+        .filter("secret_least is not null or identifier_least is not null")
     )
-    return weak.join(other, meets, "left_semi")
+    weak = parts.filter(F.col("kind").isin("id", "key", "endpoint"))
+    met = weak.join(scopes, F.expr("doc_id <=> s_id and tie = s_tie and scope = s_scope"))
+
+    def other(name: str) -> Column:
+        return F.coalesce((F.col(f"{name}_least") != span) | (F.col(f"{name}_greatest") != span), F.lit(False))
+
+    complete = F.when(F.col("kind") == "id", other("secret")).when(F.col("kind") == "key", other("identifier"))
+    return met.filter(complete.otherwise(other("secret") & other("identifier"))).select("doc_id", "tie", "kind", "start", "end")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -119,12 +126,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     found = written(keyed.mapInArrow(_part_batches, schema), "parts")
     some = found.filter(F.exists("parts", lambda p: p["kind"].isin("id", "key", "endpoint")))
     parts = some.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", F.inline("parts"))
-    secrets, identifiers = ["assign", "hex", "key"], ["access", "id"]
-    linked = (
-        _near(parts.filter("kind = 'id'"), parts, secrets)
-        .unionByName(_near(parts.filter("kind = 'key'"), parts, identifiers))
-        .unionByName(_near(_near(parts.filter("kind = 'endpoint'"), parts, secrets), parts, identifiers))
-    )
+    linked = _linked(parts)
     spans = linked.groupBy(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie")).agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("linked")
     )

@@ -134,5 +134,5 @@ def test_queries_report_every_row(spark, name):
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names

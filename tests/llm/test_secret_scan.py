@@ -53,7 +53,8 @@ def test_base_spans_and_links(spark):
         assert spans(r["base"]) in [base(t) for t in texts[r["doc_id"]]]
     linked = {r["doc_id"]: {s["kind"] for s in r["linked"]} for r in found if r["doc_id"] != 11}
     assert linked[6] == {"id", "endpoint", "key"}
-    for lone in (1, 2, 7, 8, 9, 10, 12, None):
+    assert linked[10] == {"id"}  # however far apart
+    for lone in (1, 2, 7, 8, 9, 12, None):
         assert linked[lone] == set()
     eleven = [{s["kind"] for s in r["linked"]} for r in found if r["doc_id"] == 11]
     assert sorted(map(sorted, eleven)) == [[], ["endpoint", "id"], ["endpoint", "id"]]
@@ -75,7 +76,7 @@ def test_links_like_brute_force(spark):
             for k, a, b, scope in parts
             if k in need
             and all(
-                any(o in kinds and s == scope and x - b <= S.REACH and a - y <= S.REACH and (x, y) != (a, b) for o, x, y, s in parts)
+                any(o in kinds and s == scope and (x, y) != (a, b) for o, x, y, s in parts)
                 for kinds in need[k]
             )
         ]
@@ -87,3 +88,10 @@ def test_order_and_text_of_spans(spark):
     texts = {r["doc_id"]: r["t"] for r in rows(found)}
     assert texts[5] == ",".join("{}:{}:{}".format(*s) for s in base(CASES[4][1]))
     assert S.scan(documents(spark, [])).count() == 0
+
+
+def test_parts_of_one_scope_far_apart(spark):
+    lines = "\n".join(f"setting_{n}: value of this line" for n in range(40))
+    cases = [(1, f"user: u1xx\n{lines}\nk {KEY}"), (2, f"user: u1xx\n{lines}\n\nk {KEY}"), (3, f"k {KEY}\n{lines}\nk {KEY}")]
+    found = {r["doc_id"]: {s["kind"] for s in r["linked"]} for r in rows(S.scan(documents(spark, cases)))}
+    assert found == {1: {"id", "key"}, 2: set(), 3: set()}
