@@ -5,12 +5,16 @@ merging the neighbours of least rank (the leftmost of equals) until no pair has
 plan: an array of small maps, found by a checksum of the bytes. Bytes are held as hexadecimal text, two characters
 each, since only text can be a key of a literal map.
 
+A word of more than ``LONG_BYTES`` bytes is first cut between bytes that stand side by side in no token: no merge can reach
+across such a place. A piece that stays long has all places of its least rank merged in one step. That equals merging
+them one by one unless a pair on the way has a lesser rank; then that step merges only the leftmost.
+
 Words repeat. The most frequent words of the whole input, ``dictionary_size`` at most, are folded once and broadcast (the
 size is the bound of the broadcast); words outside it are folded where they occur, once for each document. Documents are not
 shuffled. Decoding looks up the bytes of every id in a literal array and concatenates them.
 
 Defined results: a null text is an empty one and gives no ids, which decode to no bytes. Words of any length are
-folded whole. Repeated rows are encoded alike, an empty table gives an empty result, other columns are ignored by
+encoded whole. Repeated rows are encoded alike, an empty table gives an empty result, other columns are ignored by
 ``encoded`` and carried by ``round_trip``.
 """
 
@@ -34,7 +38,10 @@ from seaflow.llm.storage import written
 
 # Fixed value: the pattern that cuts texts for the vocabulary files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same matches in fewer attempts: what an alternative has taken it never needs to give back.
+JAVA_PATTERN = r"""(?U)'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 DICTIONARY_SIZE = 800_000
+LONG_BYTES = 128
 BUCKETS = 1 << 15
 NO_RANK = 2_147_483_647
 SLICE_WORDS = 1 << 18  # taken at once from an Arrow batch
@@ -48,7 +55,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def words_of(text: Column) -> Column:
     """The matches of the pattern, in order; white space and classes are those of Unicode."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + PATTERN), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(JAVA_PATTERN), F.lit(0))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,8 +87,8 @@ def _merge_at(state: Column, p: Column, maps: Column) -> Column:
     return _let(F.concat(F.element_at(parts, p), F.element_at(parts, p + 1)), joined)
 
 
-def _folded(word: Column, maps: Column) -> Column:
-    """The ids of one word: itself if it has a rank, else its bytes with all merges made."""
+def _merged(key: Column, maps: Column) -> Column:
+    """The ids of a word's bytes, one merge a step."""
 
     def step(state: Column, _: Column) -> Column:
         ranks = state["ranks"]
@@ -93,16 +100,121 @@ def _folded(word: Column, maps: Column) -> Column:
             ).otherwise(state),
         )
 
-    def merged(key: Column) -> Column:
-        n = (F.length(key) / 2).cast("int")
-        start = F.struct(
-            F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(key, i * 2 - 1, F.lit(2))).alias("parts"),
-            F.transform(
-                F.sequence(F.lit(1), n - 1), lambda i: _rank(F.substring(key, i * 2 - 1, F.lit(4)), maps)
-            ).alias("ranks"),
+    n = (F.length(key) / 2).cast("int")
+    start = F.struct(
+        F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(key, i * 2 - 1, F.lit(2))).alias("parts"),
+        F.transform(
+            F.sequence(F.lit(1), n - 1), lambda i: _rank(F.substring(key, i * 2 - 1, F.lit(4)), maps)
+        ).alias("ranks"),
+    )
+    return F.transform(F.aggregate(F.sequence(F.lit(2), n), start, step)["parts"], lambda part: _rank(part, maps))
+
+
+def _merged_by_rank(key: Column, maps: Column) -> Column:
+    """The ids of a word's bytes, all places of the least rank in a step.
+
+    The steps are nested, since each copies the state, also one that finds nothing left to merge.
+    """
+
+    def state_of(parts: Column) -> Column:
+        def ranked(p: Column) -> Column:
+            pairs = F.transform(
+                F.sequence(F.lit(1), F.size(p) - 1), lambda i: _rank(F.concat(p[i - 1], p[i]), maps)
+            )
+            ranks = F.when(F.size(p) > 1, pairs).otherwise(F.array().cast("array<int>"))
+            return _let(
+                ranks,
+                lambda r: F.struct(
+                    p.alias("parts"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(NO_RANK)).alias("least")
+                ),
+            )
+
+        return _let(parts, ranked)
+
+    def chosen(marks: Column) -> Column:
+        return F.split(marks, "")
+
+    def merge(state: Column) -> Column:
+        parts, ranks, least = state["parts"], state["ranks"], state["least"]
+        n = F.size(parts)
+
+        def at(places: Column, i: Column) -> Column:  # is place i, from 1, one to merge; false beyond the ends
+            return F.coalesce(F.get(places, i - 1) == "1", F.lit(False))
+
+        def overtaken(places: Column, m: Column) -> Column:
+            """Whether a pair beside some merged place has a lesser rank, before or after the next place is merged."""
+
+            def lesser(i: Column) -> Column:
+                before = F.when(at(places, i - 2), m).otherwise(F.get(parts, i - 2))
+                left = F.coalesce(_rank(F.concat(before, m), maps), F.lit(NO_RANK))
+                right = F.coalesce(_rank(F.concat(m, F.get(parts, i + 1)), maps), F.lit(NO_RANK))
+                return at(places, i) & (F.least(left, right) < least)
+
+            return F.exists(F.sequence(F.lit(1), n - 1), lesser)
+
+        def applied(places: Column) -> Column:
+            made = F.transform(
+                F.sequence(F.lit(1), n),
+                lambda i: F.when(at(places, i), F.concat(parts[i - 1], F.get(parts, i)))
+                .when(at(places, i - 1), F.lit(None))
+                .otherwise(parts[i - 1]),
+            )
+            return state_of(F.filter(made, lambda part: part.isNotNull()))
+
+        marks = F.array_join(F.transform(ranks, lambda r: F.when(r == least, "1").otherwise("0")), "")
+        first = F.array_position(ranks, least).cast("int")
+        alone = F.concat(F.repeat(F.lit("0"), first - 1), F.lit("1"), F.repeat(F.lit("0"), n - 1 - first))
+        return _let(
+            chosen(F.regexp_replace(marks, "11", "10")),  # of places that overlap the left one
+            lambda places: _let(
+                F.concat(F.element_at(parts, first), F.element_at(parts, first + 1)),
+                lambda m: _let(
+                    F.when(overtaken(places, m), chosen(alone)).otherwise(places), applied
+                ),
+            ),
         )
-        return F.transform(
-            F.aggregate(F.sequence(F.lit(2), n), start, step)["parts"], lambda part: _rank(part, maps)
+
+    def unless_done(state: Column, change: Callable[[Column], Column]) -> Column:
+        return F.when(state["least"] < NO_RANK, change(state)).otherwise(state)
+
+    def steps(state: Column) -> Column:
+        return F.aggregate(some, state, lambda inner, _: unless_done(inner, merge))
+
+    some = F.sequence(F.lit(1), F.ceil(F.sqrt(F.length(key) / 2)).cast("int"))  # nested, at least a step for each byte
+    bytes_ = F.regexp_extract_all(key, F.lit(".."), F.lit(0))
+    done = F.aggregate(
+        some, state_of(bytes_), lambda state, _: unless_done(state, steps), lambda state: state["parts"]
+    )
+    return F.transform(done, lambda part: _rank(part, maps))
+
+
+def _pieces(key: Column, adjacent: Column) -> Column:
+    """A word cut between bytes that no token holds side by side."""
+
+    def cut(bytes_: Column) -> Column:
+        def piece(i: Column) -> Column:
+            pair = F.conv(F.concat(bytes_[i - 1], F.get(bytes_, i)), 16, 10).cast("int")
+            return F.concat(bytes_[i - 1], F.when(F.get(adjacent, pair) == 0, " ").otherwise(""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(bytes_)), piece), "")
+
+    return F.split(_let(F.regexp_extract_all(key, F.lit(".."), F.lit(0)), cut), " ")
+
+
+def _folded(word: Column, maps: Column, adjacent: Column) -> Column:
+    """The ids of one word: itself if it has a rank, else its bytes with all merges made."""
+    short = 2 * LONG_BYTES
+
+    def merged(key: Column) -> Column:
+        return F.when(F.length(key) <= short, _merged(key, maps)).otherwise(
+            F.flatten(
+                F.transform(
+                    _pieces(key, adjacent),
+                    lambda piece: F.when(F.length(piece) == 2, F.array(_rank(piece, maps)))
+                    .when(F.length(piece) <= short, _merged(piece, maps))
+                    .otherwise(_merged_by_rank(piece, maps)),
+                )
+            )
         )
 
     return _let(
@@ -123,14 +235,21 @@ class Ranks:
             key = token.hex().upper()
             maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
             pieces[rank] = key
+        beside = bytearray(1 << 16)  # whether some token holds two bytes side by side
+        for token in ranks:
+            for pair in zip(token, token[1:]):
+                beside[pair[0] << 8 | pair[1]] = 1
         self.largest = len(pieces) - 1
+        self._adjacent = json.dumps(list(beside), separators=(",", ":"))
         self._maps = json.dumps(maps, separators=(",", ":"))
         self._pieces = json.dumps(pieces, separators=(",", ":"))
 
     def fold(self, words: Column) -> Column:
         """The ids of each of an array of words. The literal is bound once for all look-ups."""
         maps = F.from_json(F.lit(self._maps), "array<map<string,int>>")
-        return _let(maps, lambda bound: F.transform(words, lambda word: _folded(word, bound)))
+        adjacent = F.from_json(F.lit(self._adjacent), "array<tinyint>")
+        bound = F.struct(maps.alias("maps"), adjacent.alias("adjacent"))
+        return _let(bound, lambda v: F.transform(words, lambda word: _folded(word, v["maps"], v["adjacent"])))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""

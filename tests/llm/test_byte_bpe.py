@@ -61,3 +61,35 @@ def test_round_trip_carries_columns_and_empty_tables(spark):
     assert found.columns == [*docs.columns, "ids", "decoded"]
     assert found.count() == 5
     assert B.encoded(documents(spark, []), RANKS, dictionary_size=10).count() == 0
+
+
+def test_very_long_words(spark):
+    rng = random.Random(8)
+    words = [
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)),
+        "a" * 100_001,
+        "=" * 5_000 + "-=" * 3_000,
+        "".join(rng.choices("ab", k=3_000)),
+        "".join(rng.choices("人民共和国中文字的一是不了", k=2_000)),
+        "สวัสดีครับ" * 300,
+        "x" * 300 + " " + "ab" * 200,
+    ]
+    docs = documents(spark, list(enumerate(words))).repartition(len(words))
+    for r in rows(B.encoded(docs, RANKS, dictionary_size=1)):
+        assert r["ids"] == LIBRARY.encode_ordinary(words[r["doc_id"]])
+        assert bytes(r["decoded"]).decode() == words[r["doc_id"]]
+
+
+def test_ranks_that_overtake(spark):
+    """A pair that a merge makes may have a lesser rank than the merge itself: then places are merged one by one."""
+    rng = random.Random(5)
+    for trial in range(6):
+        tokens = {bytes([b]) for b in range(256)}
+        while len(tokens) < 300:
+            tokens.add(bytes(rng.choices(b"abc", k=rng.randint(2, 5))))
+        order = sorted(tokens, key=len)[:256] + rng.sample(sorted(tokens, key=len)[256:], len(tokens) - 256)
+        ranks = {token: n for n, token in enumerate(order)}
+        library = tiktoken.Encoding("own", pat_str=B.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cases = [(n, "".join(rng.choices("abc", k=rng.randint(2, 700)))) for n in range(8)]
+        for r in rows(B.encoded(documents(spark, cases), ranks, dictionary_size=1)):
+            assert r["ids"] == library.encode_ordinary(cases[r["doc_id"]][1])
