@@ -9,7 +9,8 @@ A line is put into a tree of fixed depth: first by its number of words, then by
 words that hold a digit generalised to ``<*>``. In a leaf, a word that is found at its position in fewer than
 ``least_documents`` documents is a variable field and becomes ``<*>`` too; what remains is the template of the line.
 A template is dropped when it occurs in ``least_documents`` documents or more and at most ``VARIABLE_SHARE`` of it is
-variable. All steps are counts, folded before they are shuffled; only lines of leaves that recur are taken apart.
+variable. All steps are counts, folded before they are shuffled. One scan of the texts gives hashes of lines and leaves;
+a second takes the lines of leaves that recur apart.
 
 Words are what blanks separate; lines without a word are kept. Defined results: a null text stays null and has no
 lines; a document that repeats a line counts once; rows that repeat a document, with or without doc_id, count as one
@@ -19,6 +20,8 @@ other columns of any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from seaflow.llm.storage import written
 
 LEADING = 3
 LEAST_DOCUMENTS = 10
-LEAST_WORDS = 1
+LEAST_WORDS = 1  # what _lines asks of a line by not being blank
 VARIABLE_SHARE = 0.5
 LONG_CHARS = 100
 LIKE = 0.5
@@ -49,33 +52,38 @@ def _general(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def _leaf(words: Column) -> Column:
     """Path of a line in the tree, as a hash: number of words and leading words."""
     return F.xxhash64(F.size(words), F.array_join(_general(F.slice(words, 1, LEADING)), " "))
 
 
 def _lines(docs: DataFrame, text_column: str) -> DataFrame:
-    """Each distinct line of each document: document (a hash of its text), line, words."""
+    """Each distinct line with a word of each document: document (a hash of its text), n (how many it has), line."""
     text = docs[text_column]
-    lines = docs.select(
-        F.xxhash64(text).alias("document"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")
-    )
-    cut = lines.filter(_bare(F.col("line")) != "").select("document", "line", _words(F.col("line")).alias("words"))
-    return cut.filter(F.size("words") >= LEAST_WORDS)
+    own = F.filter(F.array_distinct(F.split(text, "\n")), lambda x: _bare(x) != "")
+    lines = docs.select(F.xxhash64(text).alias("document"), own.alias("own"))
+    return lines.select("document", F.size("own").alias("n"), F.explode("own").alias("line"))
 
 
 def _line_keys(docs: DataFrame, text_column: str) -> DataFrame:
-    """Each distinct line with a word of each document: document, n (how many it has), line (16 bytes), long."""
-    text = docs[text_column]
-    own = F.filter(F.array_distinct(F.split(text, "\n")), lambda x: _bare(x) != "")
-    lines = docs.select(F.xxhash64(text).alias("document"), own.alias("own"))
-    lines = lines.select("document", F.size("own").alias("n"), F.explode("own").alias("text_line"))
-    return lines.select(
-        "document",
-        "n",
-        _key(F.col("text_line")).alias("line"),
-        (F.char_length("text_line") >= LONG_CHARS).alias("long"),
-    ).distinct()
+    """Each distinct line with a word of each document: document, n (how many it has), line (16 bytes), long, leaf."""
+    return (
+        _lines(docs, text_column)
+        .select(
+            "document",
+            "n",
+            _key(F.col("line")).alias("line"),
+            (F.char_length("line") >= LONG_CHARS).alias("long"),
+            _let(_words(F.col("line")), _leaf).alias("leaf"),
+        )
+        .groupBy("document", "line")
+        .agg(*[F.first(c).alias(c) for c in ("n", "long", "leaf")])
+    )
 
 
 def identical(keys: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -110,12 +118,11 @@ def identical(keys: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFr
 
 
 def recurring(
-    docs: DataFrame, text_column: str = "text", least_documents: int = LEAST_DOCUMENTS
+    docs: DataFrame, keys: DataFrame, text_column: str = "text", least_documents: int = LEAST_DOCUMENTS
 ) -> DataFrame:
-    """Lines to drop: line (a 128-bit hash as text), template and n_documents of the template."""
+    """Lines to drop: line (16 bytes), template and n_documents of the template; ``keys`` are those of the lines."""
     hashes = (
-        _lines(docs, text_column)
-        .select("document", _leaf(F.col("words")).alias("leaf"))
+        keys.select("document", "leaf")
         .distinct()
         .groupBy("leaf")
         .agg(F.count("*").alias("n"))
@@ -123,10 +130,16 @@ def recurring(
         .select("leaf")
     )
     leaves = written(hashes, "leaves")
-    keyed = _lines(docs, text_column).withColumn("leaf", _leaf(F.col("words")))
+
+    def taken_apart(words: Column) -> Column:
+        return F.struct(_leaf(words).alias("leaf"), words.alias("words"))
+
+    lines = _lines(docs, text_column)
+    apart = lines.select("document", "line", _let(_words(F.col("line")), taken_apart).alias("own"))
     held = written(
-        keyed.join(leaves, "leaf", "left_semi")
-        .select("document", "leaf", _general(F.col("words")).alias("words"), F.md5("line").alias("line"))
+        apart.select("document", _key(F.col("line")).alias("line"), "own.leaf", "own.words")
+        .join(leaves, "leaf", "left_semi")
+        .withColumn("words", _general(F.col("words")))
         .distinct(),
         "lines",
     )
@@ -169,7 +182,7 @@ def without_recurring_lines(
 ) -> DataFrame:
     """``docs`` with their text free of recurring lines, and n_lines and n_dropped, the lines before and dropped."""
     keys = written(_line_keys(docs, text_column), "line-keys")
-    shaped = recurring(docs, text_column, least_documents).select(F.unhex("line").alias("line"))
+    shaped = recurring(docs, keys, text_column, least_documents).select("line")
     dropped = written(shaped.unionByName(identical(keys, least_documents)).distinct(), "recurring")
     text = docs[text_column]
     # Which lines of a text go: found for its distinct lines by a join on hashes, without moving texts.
