@@ -105,6 +105,11 @@ def _minhashes(values: np.ndarray) -> np.ndarray:
     return least
 
 
+def _sketch(least: np.ndarray) -> np.ndarray:
+    """A byte of each minimum outside the bands, mixed first: the top bits of minima are 0 for most texts."""
+    return _mixed(least[BANDS * ROWS :].astype(np.uint64)).astype(np.uint8)
+
+
 _SIGNATURES = "doc_id long, text_key binary, class_key binary, n int, bands array<long>, sketch binary"
 
 
@@ -119,7 +124,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 least = _minhashes(values)
                 rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 bands.append(_mixed((rows * q).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                sketches.append((least[BANDS * ROWS :] >> np.uint32(24)).astype(np.uint8).tobytes())
+                sketches.append(_sketch(least).tobytes())
             else:
                 bands.append(np.empty(0, dtype=np.int64))
                 sketches.append(b"")

@@ -162,3 +162,14 @@ def test_connected_groups(spark):
     found = {r["node"]: r["root"] for r in rows(links.connected(spark.createDataFrame(edges, "a long, b long")))}
     assert found == {x: find(x) for x in root}
     assert links.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_of_unlike_texts_agree_by_chance_only():
+    rng = np.random.default_rng(7)
+    for n in (100, 500, 2_000, 10_000):
+        sketches = []
+        for _ in range(30):
+            least = N._minhashes(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)))
+            sketches.append(N._sketch(least))
+        agreed = [(a == b).mean() for a, b in itertools.combinations(sketches, 2)]
+        assert abs(np.mean(agreed) - 1 / 256) < 0.002
