@@ -844,6 +844,7 @@ where status in ('Booked', 'In Transit', 'Loaded') and starts_with(bl_number, 'B
     "t02_load_once": "select * from shipment",
     "t03_resolve_keys": "select voyage_number, vessel_id from voyage",
     "t04_constraint_audit": _constraint_rules(),
+    "t04_constraint_audit_merged": _constraint_rules(),
     "t05_voyage_status": f"""
 select voyage_id, voyage_number, status, expected as expected_status, cast(status = expected as integer) as agrees
 from (select *, case when date_diff('second', timestamp '{AS_OF}', departure_date) > 0 then 'Scheduled'
