@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seaflow.llm.storage import written
+from seaflow.llm.storage import release, written
 
 # Fixed value: the pattern that cuts texts for the vocabulary files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -267,7 +267,7 @@ class Dictionary:
     _places: dict[str, int] | None = None
 
     def places(self, words: pa.Array) -> np.ndarray:
-        """The place of each of some words, -1 for those outside. The table is made once in each process."""
+        """The place of each of some words, -1 for those outside. The table is made once and kept until ``forget``."""
         if self._places is None:
             self._places = dict(zip(self.words.to_numpy(zero_copy_only=False).tolist(), range(len(self.words))))
         coded = words.dictionary_encode()
@@ -275,6 +275,11 @@ class Dictionary:
         own = np.fromiter((self._places.get(w, -1) for w in distinct), np.int32, len(distinct))
         return own[coded.indices.to_numpy(zero_copy_only=False)]
 
+    def forget(self) -> None:
+        """Drops the table: a process that waits for its next task holds none."""
+        self._places = None
+        release()
+
     @staticmethod
     def of(rows: pa.Table, largest: int) -> Dictionary:
         """From columns word and ids, in the narrowest type that holds the largest id."""
@@ -352,6 +357,7 @@ def _looking_up(shared: Broadcast):
                 lo, hi = rows[a], rows[b]
                 own = words.slice(lo, hi - lo)
                 yield _cut(batch.column(0).slice(a, b - a), own, rows[a : b + 1] - lo, places[lo:hi], known)
+        known.forget()
 
     return run
 
