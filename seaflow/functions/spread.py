@@ -9,6 +9,10 @@ the row itself: a recomputed partition always lands in the same cell.
 Rows whose key is NULL are a group like others; order columns must not be NULL. Expressions are SQL texts. ``levels`` maps a
 name to an expression that never decreases along the order; each level refines the ones before it. ``sizes`` may
 give the group sizes (keys and ``_rows``), or an upper bound of them, where a smaller table knows them.
+
+Without ``levels`` the cells are ranges between quantiles of the order columns (``quantile_levels``), whatever the
+scale of their values: a small job looks for large groups when the function is called, and only if there are any
+another one finds the boundaries, which are then constants of the plan.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from seaflow.functions.measures import totals
 
 SPLIT_ROWS = 1_000_000
+MOST_CELLS = 16_384  # ranges of one order column; a constant of the plan holds a boundary each
 _BLOCK_BITS = 20
 
 
@@ -65,6 +70,63 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str], levels: list[st
     return joined.drop(*[f"_r_{name}" for name in names])
 
 
+def _constants(values: list, kind: str) -> str:
+    """An array as one foldable text, which the parser reads faster than an expression for each value."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
+
+
+def _range_of(column: str, bounds: list[str], kind: str) -> str:
+    """Number of the range that holds the value, by binary search: odd for a value that is a boundary, which thus has
+    a range of its own, and even between two boundaries."""
+    steps = ", ".join(str(1 << n) for n in reversed(range(len(bounds).bit_length())))
+    array = _constants(bounds, kind)
+    return (
+        f"aggregate(array({steps}), 0, (i, step) -> if(i + step <= {len(bounds)}, "
+        f"if(element_at({array}, i + step) <= {column}, i + step, i), i), "
+        f"i -> if(i = 0, 0, 2 * i - if(element_at({array}, greatest(i, 1)) = {column}, 1, 0)))"
+    )
+
+
+def quantile_levels(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    split_rows: int = SPLIT_ROWS,
+    sizes: DataFrame | None = None,
+) -> dict[str, str]:
+    """Levels that cut the large groups into cells of about ``split_rows`` rows at most; none if no group is large.
+
+    The boundaries are quantiles over all rows of large groups together, twice as many as there are cells to fill, so
+    no group has more rows in a range than all of them have. A value that is a boundary has a range of its own; if such
+    ranges hold many rows, those are cut by quantiles of the next order column. Numbers, dates and times can be cut.
+    Beyond ``MOST_CELLS`` times ``split_rows`` rows the cells grow in proportion.
+    """
+    sizes = group_sizes(df, *keys) if sizes is None else sizes
+    large = sizes.filter(f"_rows > {split_rows}")
+    n = large.selectExpr("sum(_rows) as n").first()["n"]
+    if not n:
+        return {}
+    columns = [c.removesuffix(" desc") for c in order]
+    rows = _matched(df.select(*dict.fromkeys([*keys, *columns])), large.select(*keys), keys, [], "left_semi") if keys else df
+    kinds = dict(df.dtypes)
+    levels: dict[str, str] = {}
+    for depth, (column, item) in enumerate(zip(columns, order)):
+        cells = min(MOST_CELLS, 2 * (-(-n // split_rows)))
+        shares = _constants([i / cells for i in range(1, cells)], "double")
+        quantiles = f"array_distinct(percentile_approx({column}, {shares}, {10 * cells}))"
+        found = rows.selectExpr(f"cast({quantiles} as array<string>) as bounds").first()["bounds"]
+        if not found:
+            break
+        here = _range_of(column, found, kinds[column])
+        sign = "-" if item.endswith(" desc") else ""
+        level = f"{sign}{here}"
+        levels[f"_range{depth}"] = f"case when _range{depth - 1} % 2 <> 0 then {level} else 0 end" if depth else level
+        rows = rows.filter(f"{here} % 2 <> 0")
+        if depth + 1 == len(columns) or (n := rows.count()) <= split_rows:
+            break
+    return levels
+
+
 def _preceding(cells: DataFrame, keys: list[str], levels: list[str], measure: str) -> DataFrame:
     """For each cell, ``_before``: the measure summed over the earlier cells of its group.
 
@@ -102,12 +164,16 @@ def numbered(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    levels: dict[str, str],
+    levels: dict[str, str] | None,
     name: str,
     split_rows: int = SPLIT_ROWS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """ROW_NUMBER over ``keys`` in ``order``."""
+    if levels is None:
+        levels = quantile_levels(df, keys, order, split_rows, sizes)
+        if not levels:
+            return df.selectExpr("*", f"cast({_over('row_number()', keys, order)} as bigint) as {name}")
     names = list(levels)
     marked = _cut(df, keys, levels, split_rows, sizes)
     cells = totals(marked.filter("_large"), keys + names, "count(*) as _rows")
@@ -119,7 +185,7 @@ def ranked(
     df: DataFrame,
     keys: list[str],
     value: str,
-    levels: dict[str, str],
+    levels: dict[str, str] | None,
     name: str,
     dense: bool = False,
     split_rows: int = SPLIT_ROWS,
@@ -130,11 +196,15 @@ def ranked(
     ``levels`` must rise while the value falls. In a large group the rank of a value is one more than the rows (or
     distinct values) before it, so its rows only join their value's rank: no task needs to see all ties.
     """
+    rank = _over("dense_rank()" if dense else "rank()", keys, [f"{value} desc"])
+    if levels is None:
+        levels = quantile_levels(df, keys, [f"{value} desc"], split_rows, sizes)
+        if not levels:
+            return df.selectExpr("*", f"cast({rank} as bigint) as {name}")
     levels = {**levels, "_value": f"-({value})"}
     names = list(levels)
     extra = f"_large, {', '.join(names)}"
     marked = _cut(df, keys, levels, split_rows, sizes)
-    rank = _over("dense_rank()" if dense else "rank()", keys, [f"{value} desc"])
     whole = marked.filter("not _large").selectExpr(f"* except ({extra})", f"cast({rank} as bigint) as {name}")
     large = marked.filter("_large")
     cells = totals(large, keys + names, f"{'max(1L)' if dense else 'count(*)'} as _rows")
@@ -148,17 +218,22 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    levels: dict[str, str],
+    levels: dict[str, str] | None,
     amount: str,
     name: str,
     split_rows: int = SPLIT_ROWS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Running total of an exact ``amount`` column over ``keys`` in ``order``."""
+    frame = "rows between unbounded preceding and current row"
+    if levels is None:
+        levels = quantile_levels(df, keys, order, split_rows, sizes)
+        if not levels:
+            return df.selectExpr("*", f"{_over(f'sum({amount})', keys, order, frame)} as {name}")
     names = list(levels)
     marked = _cut(df, keys, levels, split_rows, sizes)
     cells = totals(marked.filter("_large"), keys + names, f"sum({amount}) as _amount")
-    local = _over(f"sum({amount})", keys + names, order, "rows between unbounded preceding and current row")
+    local = _over(f"sum({amount})", keys + names, order, frame)
     return _finish(marked, _preceding(cells, keys, names, "_amount"), keys, names, name, local)
 
 

@@ -87,13 +87,7 @@ def value_concentration(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -
         spent.join(t.customer.select("customer_id", "company_name", "industry", "country_code"), "customer_id"),
         keys=[],
         order=["revenue desc", "customer_id"],
-        levels={
-            "_million": "-floor(revenue / 1000000)",
-            "_thousand": "-floor(revenue / 1000)",
-            "_unit": "-floor(revenue)",
-            "_revenue": "-revenue",
-            "_block": spread.block("customer_id"),
-        },
+        levels=None,
         amount="revenue",
         name="so_far",
         split_rows=split_rows,
@@ -184,7 +178,7 @@ def delay_by_vessel(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> Da
         ),
         keys=[],
         value="mean_delay",
-        levels={"_hour": "-floor(mean_delay)", "_fine": "-floor(mean_delay * 1000)", "_finer": "-floor(mean_delay * 1000000)"},
+        levels=None,
         name="delay_rank",
         dense=True,
         split_rows=split_rows,

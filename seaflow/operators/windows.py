@@ -20,7 +20,7 @@ def delay_rank_at_port(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) ->
         t.voyage_stop.filter("delay_hours > 0").select("voyage_id", "port_id", "eta", "ata", "delay_hours"),
         keys=["port_id"],
         value="delay_hours",
-        levels={"_hour": "-floor(delay_hours)"},
+        levels=None,
         name="delay_rank_at_port",
         split_rows=split_rows,
     )
@@ -41,11 +41,7 @@ def revenue_rank_in_country(t: FreightTables, split_rows: int = spread.SPLIT_ROW
         revenue,
         keys=["country_code"],
         value="revenue",
-        levels={
-            "_million": "-floor(revenue / 1000000)",
-            "_thousand": "-floor(revenue / 1000)",
-            "_unit": "-floor(revenue)",
-        },
+        levels=None,
         name="revenue_rank_in_country",
         dense=True,
         split_rows=split_rows,
@@ -62,12 +58,7 @@ def booking_sequence(t: FreightTables, split_rows: int = spread.SPLIT_ROWS) -> D
         t.shipment.select("shipment_id", "customer_id", "bl_number", "booking_date", "total_value_usd"),
         keys=["customer_id"],
         order=["booking_date", "shipment_id"],
-        levels={
-            "_day": "to_date(booking_date)",
-            "_minute": "date_trunc('MINUTE', booking_date)",
-            "_moment": "booking_date",
-            "_block": spread.block("shipment_id"),
-        },
+        levels=None,
         name="booking_sequence",
         split_rows=split_rows,
     )

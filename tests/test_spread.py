@@ -78,6 +78,39 @@ def test_neighbour(rows, split_rows, following):
     same(split.selectExpr("id", "other.id as other"), plain)
 
 
+@pytest.mark.parametrize("split_rows", SPLITS)
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_cut_by_quantiles(rows, split_rows, keys):
+    """Values within one unit, negative ones, and one that a fifth of all rows have."""
+    close = rows.selectExpr("*", "if(id % 5 = 0, 0.5e0, (pos - 1500) / 3001.0e0) as near", "timestamp_ntz'2025-01-01' + make_interval(0, 0, 0, 0, 0, 0, pos % 7) as at")
+    partition = f"partition by {', '.join(keys)} " if keys else ""
+    number = spread.numbered(close, keys, ["near", "at desc", "id"], None, "n", split_rows=split_rows)
+    same(number.select("id", "n"), close.selectExpr("id", f"cast(row_number() over ({partition}order by near, at desc, id) as bigint) as n"))
+    for dense in (False, True):
+        rank = spread.ranked(close, keys, "near", None, "r", dense=dense, split_rows=split_rows)
+        plain = f"cast({'dense_rank' if dense else 'rank'}() over ({partition}order by near desc) as bigint) as r"
+        same(rank.select("id", "r"), close.selectExpr("id", plain))
+    total = spread.running(close, keys, ["amount desc", "id"], None, "amount", "s", split_rows=split_rows)
+    plain = f"sum(amount) over ({partition}order by amount desc, id rows between unbounded preceding and current row)"
+    same(total.selectExpr("id", "cast(s as double) as s"), close.selectExpr("id", f"cast({plain} as double) as s"))
+
+
+@pytest.mark.parametrize("values", ["pos / 1e7", "pos * 1e12", "if(id % 5 < 3, 0.5e0, pos / 1e7)", "7e0"])
+def test_cells_are_bounded_at_any_scale(rows, values):
+    df = rows.selectExpr("id", "k", f"{values} as v")
+    levels = spread.quantile_levels(df, ["k"], ["v", "id"], 100)
+    cells = df.filter("k = 0").selectExpr("*", *[f"{e} as {n}" for n, e in levels.items()]).groupBy(*levels)
+    assert 5 <= cells.count().count()
+    assert cells.count().selectExpr("max(count) as n").first()["n"] <= 110  # quantiles are approximate
+
+
+def test_small_groups_are_not_cut(rows):
+    assert spread.quantile_levels(rows, ["k"], ["v"], 1000) == {}
+    plan = spread.numbered(rows, ["k"], ["pos"], None, "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window") == 1
+    assert spread.quantile_levels(rows.limit(0), [], ["v"]) == {}
+
+
 @pytest.mark.parametrize(
     "operator",
     [
