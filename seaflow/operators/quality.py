@@ -288,6 +288,52 @@ def voyage_status_audit(t: FreightTables, as_of: str) -> DataFrame:
     )
 
 
+VOYAGE_STATUSES = ("Scheduled", "Departed", "In Transit", "Arrived", "Completed")
+
+
+def voyage_status_over_time(t: FreightTables, start: str, step: str, times: int) -> DataFrame:
+    """Voyages in each status at ``times`` moments, ``step`` (an interval) apart from ``start`` (a timestamp) on.
+
+    Every moment counts as the audit at that moment would. A voyage enters a status at one moment and leaves it at
+    another: it adds 1 at the first and takes 1 away at the second, and a running sum over the moments gives the counts.
+    The deltas are summed per (status, moment) map-side, so the work is one pass over the voyages however many moments
+    are asked for, and the window sees ``times`` rows per status. A missing date is passed over, as in the audit.
+    """
+    entered = [
+        "departure_date",
+        "departure_date + interval 6 hours",
+        "arrival_date",
+        "arrival_date + interval 3 days",
+    ]
+    # Each status ends where the next begins, not before the ones ahead of it did; greatest passes over NULL.
+    entered = [f"greatest({', '.join(entered[:n])})" if n > 1 else entered[0] for n in range(1, 5)]
+    micros = "(unix_micros(cast({0} as timestamp)) - unix_micros(cast({1} as timestamp)))"
+    width = micros.format(f"({start} + {step})", start)
+    # Number of the first moment at or after the time; without one the status began before all moments.
+    firsts = [
+        f"greatest(0L, least({times}L, coalesce(cast(ceil({micros.format(e, start)} / {width}) as bigint), 0L)))"
+        for e in entered
+    ]
+    begins, ends = ["0L", *firsts], [*firsts, f"{times}L"]
+    deltas = ", ".join(
+        f"'{status}', {moment}, {sign}"
+        for status, begin, end in zip(VOYAGE_STATUSES, begins, ends)
+        for moment, sign in ((begin, "1L"), (end, "-1L"))
+    )
+    changes = t.voyage.selectExpr(f"stack({2 * len(VOYAGE_STATUSES)}, {deltas}) as (status, moment, delta)")
+    summed = totals(changes.filter(f"moment < {times}"), ["status", "moment"], "sum(delta) as delta")
+    moments = t.spark.range(times).selectExpr("id as moment", f"explode(array({_quoted(VOYAGE_STATUSES)})) as status")
+    return (
+        moments.join(summed, ["status", "moment"], "left")
+        .selectExpr(
+            f"{start} + {step} * moment as seen_at",
+            "status",
+            "sum(coalesce(delta, 0L)) over (partition by status order by moment rows unbounded preceding) as voyages",
+        )
+        .orderBy("seen_at", "status")
+    )
+
+
 # What a shipment in a status without a chain of its own has had.
 UNKNOWN_CHAIN = ("Booking Confirmed",)
 

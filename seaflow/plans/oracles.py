@@ -446,7 +446,8 @@ from (select bl_number, s.status, event_count,
                                               order by event_timestamp, event_id) as nth
                     from shipment_event)
               where nth = 1 group by shipment_id) using (shipment_id)) s
-      join ({chains}) c on c.status = s.status)"""
+      left join (select status as known, expected as listed from ({chains})) c on known = s.status
+      cross join lateral (select coalesce(listed, ['Booking Confirmed']) as expected) x)"""
 
 
 # Texts for the SQL audit; the RE2 patterns stand for the Java ones of the library.
@@ -852,6 +853,25 @@ from (select *, case when date_diff('second', timestamp '{AS_OF}', departure_dat
         when date_diff('second', timestamp '{AS_OF}', arrival_date) > 0 then 'In Transit'
         when date_diff('second', timestamp '{AS_OF}', arrival_date) > -3 * 86400 then 'Arrived'
         else 'Completed' end as expected from voyage)""",
+    "t05_voyage_status_stale": """
+select voyage_id, voyage_number, status, expected as expected_status, cast(status = expected as integer) as agrees
+from (select *, case when timestamp '1998-03-01 09:30:00' < departure_date then 'Scheduled'
+        when timestamp '1998-03-01 09:30:00' - interval '6' hour < departure_date then 'Departed'
+        when timestamp '1998-03-01 09:30:00' < arrival_date then 'In Transit'
+        when timestamp '1998-03-01 09:30:00' - interval '3' day < arrival_date then 'Arrived'
+        else 'Completed' end as expected from voyage)""",
+    "t05_voyage_status_over_time": """
+select seen_at, status, count(voyage_id) as voyages
+from (select timestamp '1995-01-01 09:30:00' + n * interval '1' day as seen_at from range(2700) as r(n))
+cross join (values ('Scheduled'), ('Departed'), ('In Transit'), ('Arrived'), ('Completed')) as s(status)
+left join (select n, voyage_id,
+             case when now < departure_date then 'Scheduled'
+               when now - interval '6' hour < departure_date then 'Departed' when now < arrival_date then 'In Transit'
+               when now - interval '3' day < arrival_date then 'Arrived' else 'Completed' end as seen
+           from voyage cross join (select n, timestamp '1995-01-01 09:30:00' + n * interval '1' day as now
+                                   from range(2700) as r(n))) v
+  on v.seen = status and timestamp '1995-01-01 09:30:00' + v.n * interval '1' day = seen_at
+group by seen_at, status""",
     "t06_event_chains": _event_chains(),
     "t07_check_digits": """
 select container_id, container_number, digit as expected_digit,
@@ -875,6 +895,8 @@ from (select port_id, count(*) as n, max(delay_hours) as worst from voyage_stop
 join port using (port_id)""",
 }
 
+LONG_CONVERSATIONS = "select conv_id // 10 as conv_id, conv_id % 10 * 10000 + turn as turn, role, text from conversations"
+
 TEXTS: dict[str, str] = {
     "t08_sql_audit": _sql_audit(),
     "t10_reply_extraction": _replies(),
@@ -884,12 +906,53 @@ qualify row_number() over (partition by conv_id order by turn desc) <= 20""",
     "t11_cleared": """
 select conv_id, turn, role, text from conversations m
 where not exists (select 1 from conversations r where r.conv_id = m.conv_id and r.role = 'system' and r.turn >= m.turn)""",
+    "t11_recent_messages_long": f"""
+select conv_id, turn, role, text from ({LONG_CONVERSATIONS})
+qualify row_number() over (partition by conv_id order by turn desc) <= 20""",
+    "t12_question_quota_long": f"""
+select conv_id, n as question_count, greatest(0, 20 - n) as remaining, cast(n >= 20 as integer) as at_limit
+from (select conv_id, count(*) filter (where role in ('assistant', 'model')) as n from ({LONG_CONVERSATIONS}) group by 1)""",
     "t12_question_quota": """
 select conv_id, n as question_count, greatest(0, 20 - n) as remaining, cast(n >= 20 as integer) as at_limit
 from (select conv_id, count(*) filter (where role in ('assistant', 'model')) as n from conversations group by 1)""",
 }
 
 
+# The tables with faults: what the names of the freight views stand for in the queries over them.
+DAMAGED = """
+bad_route as (select * replace (case when route_id % 7 = 3 then -1 else origin_port_id end as origin_port_id,
+  case when route_id % 7 = 4 then -1 else dest_port_id end as dest_port_id) from route),
+bad_route_leg as (select * replace (case when leg_id % 11 = 5 then -1 else route_id end as route_id,
+  case when leg_id % 11 = 6 then -1 else from_port_id end as from_port_id,
+  case when leg_id % 11 = 7 then -1 else to_port_id end as to_port_id) from route_leg),
+bad_voyage as (select * replace (case when voyage_id % 101 = 1 then -1 else vessel_id end as vessel_id,
+  case when voyage_id % 103 = 2 then -1 else route_id end as route_id,
+  case when voyage_id % 67 = 5 then 'Lost' else status end as status,
+  case when voyage_id % 53 = 6 then 'V0' else voyage_number end as voyage_number) from voyage),
+bad_voyage_stop as (select * replace (case when stop_id % 107 = 3 then -1 else voyage_id end as voyage_id,
+  case when stop_id % 109 = 4 then -1 else port_id end as port_id) from voyage_stop),
+bad_shipment as (select * replace (case when shipment_id % 97 = 1 then -1 else customer_id end as customer_id,
+  case when shipment_id % 97 = 2 then -1 else voyage_id end as voyage_id,
+  case when shipment_id % 97 = 3 then -1 else origin_port_id end as origin_port_id,
+  case when shipment_id % 97 = 4 then -1 else dest_port_id end as dest_port_id,
+  case shipment_id % 61 when 5 then 'Loaded' when 6 then 'Lost' else status end as status,
+  case when shipment_id % 59 <> 7 then bl_number end as bl_number) from shipment),
+bad_container as (select * replace (case when container_id % 89 = 1 then -1 else shipment_id end as shipment_id)
+  from container),
+bad_cargo_item as (select * replace (case when cargo_id % 83 = 1 then -1 else container_id end as container_id,
+  case when cargo_id % 71 = 8 then cargo_id - 1 else cargo_id end as cargo_id) from cargo_item),
+bad_shipment_event as (select * replace (
+  case when event_id % 5 = 0 then 1 when event_id % 79 = 1 then -1 else shipment_id end as shipment_id,
+  case when event_id % 79 = 2 then -1 else port_id end as port_id) from shipment_event)"""
+FAULTY = "route route_leg voyage voyage_stop shipment container cargo_item shipment_event".split()
+ON_DAMAGED = (
+    "v02_v18_reference_orphans",
+    "v23_longest_chain",
+    "t04_constraint_audit",
+    "t04_constraint_audit_merged",
+    "t06_event_chains",
+)
+
 # Registered a second time with every group cut; the result must be the same.
 SPLIT = (
     "w01_delay_rank_at_port",
@@ -902,4 +965,10 @@ SPLIT = (
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"with {VIEWS}\nselect * from ({sql})" for name, sql in FREIGHT.items()}
-    return {**found, **{f"{name}_split": found[name] for name in SPLIT}, **TEXTS}
+    split = {f"{name}_split": found[name] for name in SPLIT}
+    named = ", ".join(f"{name} as (select * from bad_{name})" for name in FAULTY)
+    damaged = {
+        f"{name}_damaged": f"with {VIEWS},{DAMAGED}\nselect * from (with {named} select * from ({FREIGHT[name]}))"
+        for name in ON_DAMAGED
+    }
+    return {**found, **split, **damaged, **TEXTS}

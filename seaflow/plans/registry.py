@@ -57,6 +57,7 @@ GUARD_CASES = {
     "later_name": "WITH a AS (SELECT * FROM payroll), payroll AS (SELECT 1 AS x) SELECT COUNT(*) AS n FROM a",
 }
 SMALL_SPLIT = 2
+STALE_AS_OF = "timestamp_ntz'1998-03-01 09:30:00'"
 OPEN_STATUSES = ["Booked", "In Transit", "Loaded"]
 
 
@@ -234,8 +235,19 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "t04_constraint_audit": quality.constraint_audit,
     "t04_constraint_audit_merged": _merged_audit,
     "t05_voyage_status": lambda t: quality.voyage_status_audit(t, fixtures.as_of()),
+    # Stored statuses are of another moment than the one audited: most disagree.
+    "t05_voyage_status_stale": lambda t: quality.voyage_status_audit(t, STALE_AS_OF),
+    "t05_voyage_status_over_time": lambda t: quality.voyage_status_over_time(
+        t, "timestamp_ntz'1995-01-01 09:30:00'", "interval 1 day", 2700
+    ),
     "t06_event_chains": quality.event_chain_audit,
     "t07_check_digits": quality.check_digit_audit,
+    # The same audits over tables with faults of every kind.
+    "v02_v18_reference_orphans_damaged": lambda t: quality.reference_orphans(fixtures.damaged(t)),
+    "v23_longest_chain_damaged": lambda t: quality.longest_chain(fixtures.damaged(t)),
+    "t04_constraint_audit_damaged": lambda t: quality.constraint_audit(fixtures.damaged(t)),
+    "t04_constraint_audit_merged_damaged": lambda t: _merged_audit(fixtures.damaged(t)),
+    "t06_event_chains_damaged": lambda t: quality.event_chain_audit(fixtures.damaged(t)),
     "t09_guarded_query": _guarded,
     "t09_guard_cases": _guard_cases,
 }
@@ -251,6 +263,12 @@ TEXTS: dict[str, Query] = {
         _conversations(spark, sf_dir), _conversations(spark, sf_dir).filter("role = 'system'").select("conv_id", "turn")
     ).select("conv_id", "turn", "role", "text"),
     "t12_question_quota": lambda spark, sf_dir: dialogue.question_quota(_conversations(spark, sf_dir)),
+    "t11_recent_messages_long": lambda spark, sf_dir: dialogue.recent_messages(
+        fixtures.long_conversations(spark, sf_dir)
+    ),
+    "t12_question_quota_long": lambda spark, sf_dir: dialogue.question_quota(
+        fixtures.long_conversations(spark, sf_dir)
+    ),
 }
 
 

@@ -51,6 +51,64 @@ def freight(spark: SparkSession, sf_dir: str) -> FreightTables:
     return FreightTables(spark, {name: getattr(views, name) for name in TABLES})
 
 
+# What is wrong in the damaged tables: broken references, a key and a number that repeat, values outside their domain,
+# missing values, statuses that don't go together, and one shipment with a fifth of all events.
+DAMAGE = {
+    "route": {
+        "origin_port_id": "if(route_id % 7 = 3, -1, origin_port_id)",
+        "dest_port_id": "if(route_id % 7 = 4, -1, dest_port_id)",
+    },
+    "route_leg": {
+        "route_id": "if(leg_id % 11 = 5, -1, route_id)",
+        "from_port_id": "if(leg_id % 11 = 6, -1, from_port_id)",
+        "to_port_id": "if(leg_id % 11 = 7, -1, to_port_id)",
+    },
+    "voyage": {
+        "vessel_id": "if(voyage_id % 101 = 1, -1, vessel_id)",
+        "route_id": "if(voyage_id % 103 = 2, -1, route_id)",
+        "status": "if(voyage_id % 67 = 5, 'Lost', status)",
+        "voyage_number": "if(voyage_id % 53 = 6, 'V0', voyage_number)",
+    },
+    "voyage_stop": {
+        "voyage_id": "if(stop_id % 107 = 3, -1, voyage_id)",
+        "port_id": "if(stop_id % 109 = 4, -1, port_id)",
+    },
+    "shipment": {
+        "customer_id": "if(shipment_id % 97 = 1, -1, customer_id)",
+        "voyage_id": "if(shipment_id % 97 = 2, -1, voyage_id)",
+        "origin_port_id": "if(shipment_id % 97 = 3, -1, origin_port_id)",
+        "dest_port_id": "if(shipment_id % 97 = 4, -1, dest_port_id)",
+        "status": "if(shipment_id % 61 = 5, 'Loaded', if(shipment_id % 61 = 6, 'Lost', status))",
+        "bl_number": "if(shipment_id % 59 = 7, null, bl_number)",
+    },
+    "container": {"shipment_id": "if(container_id % 89 = 1, -1, shipment_id)"},
+    "cargo_item": {
+        "container_id": "if(cargo_id % 83 = 1, -1, container_id)",
+        "cargo_id": "if(cargo_id % 71 = 8, cargo_id - 1, cargo_id)",
+    },
+    "shipment_event": {
+        "shipment_id": "if(event_id % 5 = 0, 1, if(event_id % 79 = 1, -1, shipment_id))",
+        "port_id": "if(event_id % 79 = 2, -1, port_id)",
+    },
+}
+
+
+def damaged(t: FreightTables) -> FreightTables:
+    """The tables with faults of every kind that the audits look for."""
+    frames = {
+        name: t.table(name).selectExpr(*[f"{DAMAGE.get(name, {}).get(c, c)} as {c}" for c in TABLES[name].columns])
+        for name in t.names()
+    }
+    return FreightTables(t.spark, frames)
+
+
+def long_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten conversations made one: far more messages and answers than the window and the quota."""
+    return source(spark, sf_dir, "conversations").selectExpr(
+        "conv_id div 10 as conv_id", "conv_id % 10 * 10000 + turn as turn", "role", "text"
+    )
+
+
 def _one_of(number: str, names: tuple[str, ...]) -> str:
     """The name at position ``number`` (0-based)."""
     listed = ", ".join(f"'{name}'" for name in names)

@@ -298,3 +298,22 @@ def test_early_arrival_keeps_zero_delay(spark):
 def test_frame_helper_rejects_unknown_columns(spark):
     with pytest.raises(AssertionError):
         frame(spark, "port", [{"nope": 1}])
+
+
+def test_voyage_status_over_time_is_the_audit_at_each_moment(spark):
+    spans = [(3, 9), (3, 3), (5, 2), (None, 6), (4, None), (None, None), (-30, -20), (90, 95), (6, 6.1), (6, 6.1)]
+    voyages = [
+        {"departure_date": None if a is None else at(1, int(24 * a)), "arrival_date": None if b is None else at(1, int(24 * b))}
+        for a, b in spans
+    ]
+    t = tables(spark, voyage=voyages)
+    start, step, times = "timestamp_ntz'2025-01-02 00:00:00'", "interval 27 hours", 10
+    found = {
+        (r["seen_at"], r["status"]): r["voyages"] for r in dicts(quality.voyage_status_over_time(t, start, step, times))
+    }
+    assert len(found) == 50
+    for n in range(times):
+        moment = at(2, 27 * n)
+        audit = dicts(quality.voyage_status_audit(t, f"timestamp_ntz'{moment}'").groupBy("expected_status").count())
+        seen = {r["expected_status"]: r["count"] for r in audit}
+        assert {s: found[moment, s] for s in quality.VOYAGE_STATUSES} == {s: seen.get(s, 0) for s in quality.VOYAGE_STATUSES}
