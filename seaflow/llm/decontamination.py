@@ -6,8 +6,9 @@ Cut into k + 1 pieces, at least one piece of it must occur unchanged (pigeonhole
 items in one pass over a text, and the stretch around each hit is verified with Myers' bit-parallel edit distance. An
 item must begin and end at word borders, give or take its edits; items without letter or digit match nothing.
 
-The items are a query set: they are read in blocks of bounded size, each of which is held against all documents. The
-documents are never shuffled for the search.
+The items are a query set: they are read in blocks of bounded size, each of which is held against all documents. With
+more than one block, the hits of each are written before the next is sent, so that one automaton is in memory at a time.
+The documents are never shuffled for the search.
 
 Defined results: null texts contain nothing; null doc_ids are reported as null and their rows are judged like others;
 repeated rows are each reported. An empty table of either kind gives an empty result. ``decontaminated`` carries other
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from seaflow.llm.storage import written
+
 CHARS_PER_EDIT = 12
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -122,7 +125,7 @@ class Matcher:
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # blocks follow one another
 def _matcher(items: tuple[tuple[int | None, str], ...]) -> Matcher:
     return Matcher(list(items))
 
@@ -163,8 +166,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, carried: Column, text_column: s
         carried.alias("carried"), F.array().cast(_HITS).alias("before"), docs[text_column].cast("string").alias("text")
     )
     schema = StructType([*found.schema.fields, *StructType.fromDDL(f"hits {_HITS}").fields])
-    for block in _blocks(benchmark):
-        searched = found.mapInArrow(_searching(context.broadcast(block)), schema)
+    for n, block in enumerate(_blocks(benchmark)):
+        if n:  # one block at a time is in memory: the last one's hits are written before the next one is sent
+            found = written(found, "hits")
+            shared.destroy()
+        shared = context.broadcast(block)
+        searched = found.mapInArrow(_searching(shared), schema)
         found = searched.select("carried", F.concat("before", "hits").alias("before"), "text")
     return found.select("carried", F.col("before").alias("hits"))
 

@@ -78,6 +78,9 @@ def test_documents_with_items_go_in_any_number_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 300)
     parts = D.decontaminated(table, benchmark)
     assert parts.columns == table.columns
+    # One block is held against the rows in the last plan, the ones before it are done.
+    assert len(list(D._blocks(benchmark))) > 2
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r["doc_id"] for r in rows(parts)), key=repr) == whole
     assert 102 not in whole and None not in whole and 100 in whole
 
