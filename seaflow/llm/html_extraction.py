@@ -329,12 +329,10 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, and places of its main slots, of its own text and of its parts with a name of several words, for hosts that
     have a template. A host's valid tokens are no more than the elements of its pages, so they fit one row."""
     valid = classes(pages).filter(f"n_pages >= {LEAST_PAGES} and n_pages >= {SUPPORT} * host_pages")
-    tokens = valid.select("host", F.inline("tokens"), "once").filter("rank < 9")
-    known = valid.select("host").distinct()
-    collected = tokens.groupBy("host").agg(F.collect_list(F.struct("rank", "n_chars", "token", "once")).alias("tokens"))
-    collected = known.join(collected, "host", "left").select(
-        "host", F.coalesce("tokens", F.array().cast(collected.schema["tokens"].dataType)).alias("tokens")
-    )
+    tokens = valid.select("host", F.inline("tokens"), "once")
+    # A null isn't collected: a host whose template has no such token keeps an empty list.
+    wanted = F.when(F.col("rank") < 9, F.struct("rank", "n_chars", "token", "once"))
+    collected = tokens.groupBy("host").agg(F.collect_list(wanted).alias("tokens"))
     return collected.mapInArrow(_nesting, "host string, slots array<string>, fixed array<string>, phrased array<string>")
 
 
