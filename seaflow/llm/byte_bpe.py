@@ -44,6 +44,8 @@ DICTIONARY_SIZE = 800_000
 LONG_BYTES = 128
 BUCKETS = 1 << 15
 NO_RANK = 2_147_483_647
+OFFSET_BITS = 8  # hold a place in a word of up to LONG_BYTES bytes
+OFFSET = (1 << OFFSET_BITS) - 1
 SLICE_WORDS = 1 << 18  # taken at once from an Arrow batch
 
 
@@ -68,46 +70,51 @@ def _rank(key: Column, maps: Column) -> Column:
     return F.coalesce(F.try_element_at(bucket, key), F.lit(NO_RANK))
 
 
-def _merge_at(state: Column, p: Column, maps: Column) -> Column:
-    """Parts p and p + 1 become one; the ranks of the pairs around it are looked up anew."""
-    parts, ranks = state["parts"], state["ranks"]
-    n = F.size(parts)
-    none = F.array().cast("array<int>")
-
-    def joined(m: Column) -> Column:
-        left = F.when(p > 1, F.array(_rank(F.concat(F.element_at(parts, p - 1), m), maps))).otherwise(none)
-        right = F.when(p + 1 < n, F.array(_rank(F.concat(m, F.element_at(parts, p + 2)), maps))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), p - 1), F.array(m), F.slice(parts, p + 2, n)).alias("parts"),
-            F.concat(
-                F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)
-            ).alias("ranks"),
-        )
+def _merged(key: Column, maps: Column) -> Column:
+    """The ids of a word's bytes, one merge a step.
+
+    The state is one number for each part: the rank of the pair it begins, and the part's first byte in the lowest bits.
+    The least number is thus the leftmost of the pairs of least rank. A last number marks the end of the word.
+    """
+    n = (F.length(key) / 2).cast("int")
 
-    return _let(F.concat(F.element_at(parts, p), F.element_at(parts, p + 1)), joined)
+    def begin(number: Column) -> Column:
+        return number.bitwiseAND(OFFSET).cast("int")
 
+    def number(rank: Column, first: Column) -> Column:
+        return F.shiftleft(rank.cast("long"), OFFSET_BITS).bitwiseOR(first.cast("long"))
 
-def _merged(key: Column, maps: Column) -> Column:
-    """The ids of a word's bytes, one merge a step."""
+    def ranked(first: Column, end: Column) -> Column:
+        return number(_rank(F.substring(key, first * 2 + 1, (end - first) * 2), maps), first)
+
+    def unranked(first: Column) -> Column:
+        return number(F.lit(NO_RANK), first)
 
     def step(state: Column, _: Column) -> Column:
-        ranks = state["ranks"]
+        def joined(p: Column) -> Column:
+            before, own, end = (begin(F.get(state, p + shift)) for shift in (-2, -1, 1))
+            left = F.when(p > 1, F.array(ranked(before, end))).otherwise(F.array().cast("array<bigint>"))
+            right = F.when(end < n, ranked(own, begin(F.get(state, p + 2)))).otherwise(unranked(own))
+            return F.concat(
+                F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), left, F.array(right), F.slice(state, p + 2, n)
+            )
+
         return _let(
-            F.array_min(ranks),
-            lambda least: F.when(
-                least < NO_RANK,
-                _let(F.array_position(ranks, least).cast("int"), lambda p: _merge_at(state, p, maps)),
-            ).otherwise(state),
+            F.array_position(state, F.array_min(state)).cast("int"),
+            lambda p: F.when(F.get(state, p - 1) < NO_RANK << OFFSET_BITS, joined(p)).otherwise(state),
         )
 
-    n = (F.length(key) / 2).cast("int")
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(key, i * 2 - 1, F.lit(2))).alias("parts"),
-        F.transform(
-            F.sequence(F.lit(1), n - 1), lambda i: _rank(F.substring(key, i * 2 - 1, F.lit(4)), maps)
-        ).alias("ranks"),
+    def ids(state: Column) -> Column:
+        def part(own: Column, i: Column) -> Column:
+            end = begin(F.get(state, i + 1))
+            return _rank(F.substring(key, begin(own) * 2 + 1, (end - begin(own)) * 2), maps)
+
+        return F.transform(F.slice(state, F.lit(1), F.size(state) - 1), part)
+
+    start = F.concat(
+        F.transform(F.sequence(F.lit(0), n - 2), lambda i: ranked(i, i + 2)), F.array(unranked(n - 1), unranked(n))
     )
-    return F.transform(F.aggregate(F.sequence(F.lit(2), n), start, step)["parts"], lambda part: _rank(part, maps))
+    return F.aggregate(F.sequence(F.lit(2), n), start, step, ids)
 
 
 def _merged_by_rank(key: Column, maps: Column) -> Column:
