@@ -1,28 +1,35 @@
 """Toxicity: a support vector machine on a gapped-subsequence string kernel, with Nystroem landmarks.
 
-The unit of a sentence is the token: what blanks separate, in lower case, with everything but letters and digits taken
-out, and with runs of single characters joined ("i d.i-o t" is one token). The kernel of two tokens is that of their
-subsequences of ``ORDER`` = 3 characters within ``SPAN`` neighbouring ones, each weighted with ``DECAY`` per skipped
-character, divided by the norms of the weights; inserted characters thus cost a little, not the match.
+A text is cut into sentences, at line ends and at full stops, exclamation and question marks before a blank. A sentence is
+seen as its tokens and the pairs of tokens that follow each other in it. A token is what blanks separate, in lower case,
+with everything but letters and digits taken out, and with runs of single characters joined ("i d.i-o t" is one token).
+The kernel of two of them is that of their subsequences of ``ORDER`` = 3 characters within ``SPAN`` neighbouring ones, each
+weighted with ``DECAY`` per skipped character, divided by the norms of the weights; inserted characters thus cost a little,
+not the match. A sentence's decision value is the greatest of its tokens and, if phrases were learned, its pairs.
 
 Training takes a bounded sample of labelled documents (``sample_per_label`` of each label, by a hash of the id, texts
-that occur twice once). Labels are those of documents, so labelled sentences are derived first: tokens that no clean
-sentence holds are taken greedily by the number of toxic documents they explain that none before them does, and those that ``SHARE`` of the
-toxic documents hold which are not copies of each other (copies agree in the least hash of their tokens); sentences
-with such a token are the toxic ones. The machine is trained on the tokens of both sides, in the space that landmark
-tokens span (Nystroem), with the clean tokens it gets most wrong added in rounds. A document's score is the logistic
-fit, over the sample, of the greatest decision value among all its tokens.
+that occur twice once). Labels are those of documents, so labelled sentences are derived first: tokens whose share among
+toxic documents is ``RATIO`` times that among clean ones are taken greedily by the number of toxic documents they explain
+that none before them does, and those that ``SHARE`` of the toxic documents hold which are not copies of each other (copies
+agree in the least hash of their tokens). In documents that no token explains, pairs are taken likewise, from ``SHARE`` of the
+toxic documents on: phrases whose words are harmless by themselves. Sentences of toxic documents that hold one of either are
+the toxic ones. The machine is trained on what makes them so against tokens (and, where there are phrases, pairs) of clean
+sentences, ``CLEAN_TOKENS`` of each kind at most, in the space that landmarks span (Nystroem), with the clean ones it gets
+most wrong added in rounds. A document's score is the logistic fit, over the sample, of the greatest decision value among
+its sentences.
 
 The decision function is linear in the subsequences, so its kernel sums over all landmarks are folded into one table
 over triples of characters; a text is scored whole, in a few passes over its characters.
 
-Defined results: texts that are null or without token have the lowest decision value. Null labels and ids teach
+Defined results: texts that are null or without token have the lowest decision value. An insult of fewer than three
+characters is found as part of a phrase only. Null labels and ids teach
 nothing, rows that repeat an id are scored alike; with no label of one kind every score is 0.
 An empty table gives an empty result. Other columns are carried by ``scored`` and may have any name but score.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,7 +47,10 @@ from seaflow.llm.sampling import least_hashes
 ORDER, SPAN, DECAY = 3, 6, 0.6
 SAMPLE_PER_LABEL = 3000
 LANDMARKS, CLEAN_TOKENS, LEAST_DOCUMENTS = 256, 20_000, 3
-SHARE = 0.01
+SHARE, RATIO = 0.01, 20
+SENTENCE_END = ".!?\u3002\uff01\uff1f"
+LINE_END = "\n\r\x0b\x0c\u2028\u2029"
+SENTENCES = re.compile(rf"(?<=[{SENTENCE_END}])\s+|[{LINE_END}]+")
 ROUNDS, HARD = 3, 400
 LETTERS = 62  # characters told apart; all others share one more
 NO_TOKEN = -4.0
@@ -65,8 +75,11 @@ class Alphabet:
         return Alphabet(number)
 
 
-def _tokens(texts: list[str | None], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all tokens one after the other, the start of each token, and the tokens before each text."""
+def _tokens(
+    texts: list[str | None], alphabet: Alphabet
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all tokens one after the other, the start of each token, the tokens before each text, and whether
+    the token after a token is in the same sentence."""
     lowered = [(t or "").lower() for t in texts]
     codes = np.frombuffer("\n\n".join(["", *lowered, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
     blank = np.isin(codes, (9, 10, 11, 12, 13, 32, 133, 160, 0x2028, 0x2029, 0x3000))
@@ -74,7 +87,7 @@ def _tokens(texts: list[str | None], alphabet: Alphabet) -> tuple[np.ndarray, np
     edge = np.diff(np.concatenate((blank.view(np.int8), [1])), prepend=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
     if not len(starts):
-        return np.empty(0, np.uint8), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        return np.empty(0, np.uint8), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.empty(0, bool)
     ends = ends[ends > starts[0]][: len(starts)]
     letters = np.concatenate(([0], np.cumsum(number > 0)))
     size = letters[ends] - letters[starts]
@@ -86,32 +99,42 @@ def _tokens(texts: list[str | None], alphabet: Alphabet) -> tuple[np.ndarray, np
     first = np.flatnonzero(~joined)
     text_starts = np.cumsum([2] + [len(x) + 2 for x in lowered])
     per_text = np.searchsorted(starts[first], text_starts)
-    return number[number > 0], letters[starts[first]], per_text
-
-
-def _triples(chars: np.ndarray, token: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """For each pair of distances: weight, places where the triple lies in one token, and the triple's number."""
+    stop = np.isin(codes, [ord(c) for c in SENTENCE_END])
+    stop[:-1] &= blank[1:]
+    ended = np.cumsum(stop | np.isin(codes, [ord(c) for c in LINE_END]))[starts[first]]
+    follows = np.append(ended[1:] == ended[:-1], False)
+    return number[number > 0], letters[starts[first]], per_text, follows
+
+
+def _triples(
+    chars: np.ndarray, token: np.ndarray, apart: int = 0
+) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """For each pair of distances: weight, places where the triple lies in one token (``apart`` 1: reaches from a token
+    into the next), and the triple's number."""
     base = LETTERS + 2
     wide = chars.astype(np.int32)
     for span in range(2, SPAN):
-        inside = np.flatnonzero(token[span:] == token[:-span]) if len(token) > span else np.empty(0, np.int64)
+        reach = token[span:] - token[:-span] if len(token) > span else np.empty(0, np.int64)
+        inside = np.flatnonzero(reach == apart)
         if not len(inside):
-            return
+            continue
         outer = wide[inside] * (base * base) + wide[inside + span]
         for middle in range(1, span):
             yield DECAY ** (span - 2), inside, outer + wide[inside + middle] * base
 
 
-def _sums(chars: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the table over each token's weighted triples, and the norm of the weights."""
-    token = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(chars))))
-    value, norm = np.zeros(len(chars)), np.zeros(len(chars))
-    for weight, places, number in _triples(chars, token):
-        value[places] += weight * table[number]
-        norm[places] += weight * weight
+def _sums(
+    chars: np.ndarray, starts: np.ndarray, table: np.ndarray, apart: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the table over the weighted triples that begin in each token, and that of the squared weights."""
     if not len(starts):
         return np.empty(0), np.empty(0)
-    return np.add.reduceat(value, starts), np.sqrt(np.add.reduceat(norm, starts))
+    token = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(chars))))
+    value, square = np.zeros(len(chars)), np.zeros(len(chars))
+    for weight, places, number in _triples(chars, token, apart):
+        value[places] += weight * table[number]
+        square[places] += weight * weight
+    return np.add.reduceat(value, starts), np.add.reduceat(square, starts)
 
 
 def _features(tokens: list[str], alphabet: Alphabet, triples: np.ndarray) -> np.ndarray:
@@ -143,9 +166,10 @@ class Model:
     bias: float
     slope: float  # of the logistic fit
     offset: float
+    phrases: bool = False  # whether pairs of tokens count
 
     def decide(self, texts: list[str | None]) -> np.ndarray:
-        """The greatest decision value among the tokens of each text."""
+        """The greatest decision value among the sentences of each text."""
         found = np.full(len(texts), NO_TOKEN)
         at = 0
         while at < len(texts):
@@ -153,11 +177,17 @@ class Model:
             while at < len(texts) and (at == first or size < CHUNK_CHARS):
                 size += len(texts[at] or "")
                 at += 1
-            chars, starts, per_text = _tokens(texts[first:at], self.alphabet)
+            chars, starts, per_text, follows = _tokens(texts[first:at], self.alphabet)
             if not len(starts):
                 continue
-            value, norm = _sums(chars, starts, self.table)
-            decision = value / np.maximum(norm, 1.0) + self.bias
+            value, square = _sums(chars, starts, self.table)
+            decision = value / np.maximum(np.sqrt(square), 1.0) + self.bias
+            if self.phrases:
+                across, more = _sums(chars, starts, self.table, apart=1)
+                pair = np.flatnonzero(follows)
+                norm = np.sqrt(square[pair] + square[pair + 1] + more[pair])
+                joint = (value[pair] + value[pair + 1] + across[pair]) / np.maximum(norm, 1.0) + self.bias
+                decision[pair] = np.maximum(decision[pair], joint)
             for n in range(first, at):
                 own = decision[per_text[n - first] : per_text[n - first + 1]]
                 if len(own):
@@ -266,13 +296,25 @@ def _token_texts(text: str) -> set[str]:
     return found
 
 
+def _pair_texts(text: str) -> set[str]:
+    """The pairs of tokens that follow each other in a sentence, a blank between them."""
+    found = set()
+    for sentence in SENTENCES.split(text.lower()):
+        bare = ["".join(filter(str.isalnum, word)) for word in sentence.split()]
+        bare = [word for word in bare if word]
+        found.update(f"{a} {b}" for a, b in zip(bare, bare[1:]))
+    return found
+
+
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own, kin, label, token = [], [], [], []
         for document, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found = sorted(_token_texts(text))
+            words = _token_texts(text)
+            least = min((zlib.crc32(t.encode("utf-8", "replace")) for t in words), default=0)
+            found = sorted(words | _pair_texts(text))
             own += [document] * len(found)
-            kin += [min((zlib.crc32(t.encode("utf-8", "replace")) for t in found), default=0)] * len(found)
+            kin += [least] * len(found)
             label += [toxic] * len(found)
             token += found
         yield pa.RecordBatch.from_arrays(
@@ -286,17 +328,17 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _explaining(rows: pd.DataFrame) -> list[str]:
-    """Tokens that explain toxic documents, each at least LEAST_DOCUMENTS that none before it does."""
+def _explaining(rows: pd.DataFrame, least: float = LEAST_DOCUMENTS) -> list[str]:
+    """Tokens or pairs that explain toxic documents, each at least ``least`` that none before it does."""
     holders = {t: set(d) for t, d in rows.groupby("token")["document"]}
     found: list[str] = []
     while holders:
         best = max(holders, key=lambda t: (len(holders[t]), t))
-        if len(holders[best]) < LEAST_DOCUMENTS:
+        if len(holders[best]) < least:
             break
         found.append(best)
         explained = holders.pop(best)
-        holders = {t: rest for t, d in holders.items() if len(rest := d - explained) >= LEAST_DOCUMENTS}
+        holders = {t: rest for t, d in holders.items() if len(rest := d - explained) >= least}
     return found
 
 
@@ -314,6 +356,13 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_per_label: int) -> tuple[
     return once.select("document", "toxic", "text"), totals
 
 
+def _clean(counts: DataFrame, *first: Column) -> list[str]:
+    """Tokens or pairs of clean sentences, CLEAN_TOKENS at most, in order of ``first`` and of a hash."""
+    known = counts.filter((F.col("clean") > 0) & (F.char_length("token") >= ORDER))
+    chosen = known.orderBy(*first, F.xxhash64("token"), "token").limit(CLEAN_TOKENS).select("token")
+    return [r["token"] for r in chosen.collect()]
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model | None:
     """The model, or None where the sample lacks one of the labels."""
     sample, totals = _sample(docs, labels, sample_per_label)
@@ -326,25 +375,36 @@ def learn(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER
                 F.sum(1 - F.col("toxic")).alias("clean"),
                 F.countDistinct(F.when(F.col("toxic") == 1, F.col("kin"))).alias("kinds"),
             )
-            suspect = counts.filter((F.col("clean") == 0) & (F.col("toxic") >= LEAST_DOCUMENTS))
-            n_toxic = sample.filter("toxic = 1").count()
-            toxic = _explaining(tokens.filter("toxic = 1").join(suspect.select("token"), "token").toPandas())
-            common = suspect.filter(F.col("kinds") >= max(LEAST_DOCUMENTS, SHARE * n_toxic)).select("token")
-            toxic += sorted({r["token"] for r in common.collect()} - set(toxic))
-            clean = [
-                r["token"]
-                for r in counts.filter((F.col("clean") > 0) & (F.char_length("token") >= ORDER))
-                .orderBy(F.xxhash64("token"), "token")
-                .limit(CLEAN_TOKENS)
-                .select("token")
-                .collect()
-            ]
-            toxic = [t for t in toxic if len(t) >= ORDER]
+            sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+            n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+            telling = (F.col("toxic") >= LEAST_DOCUMENTS) & (
+                F.col("toxic") * n_clean >= RATIO * F.col("clean") * n_toxic
+            )
+            is_pair = F.col("token").contains(" ")
+            share = max(LEAST_DOCUMENTS, SHARE * n_toxic)
+
+            def held_by_toxic(chosen: Column) -> pd.DataFrame:
+                which = counts.filter(chosen & (F.char_length("token") >= ORDER)).select("token")
+                return tokens.filter("toxic = 1").join(which, "token").select("token", "document").toPandas()
+
+            rows = held_by_toxic(telling & ~is_pair)
+            toxic = _explaining(rows)
+            common = counts.filter(telling & ~is_pair & (F.col("kinds") >= share)).select("token").collect()
+            toxic += sorted({r["token"] for r in common if len(r["token"]) >= ORDER} - set(toxic))
+            explained = set(rows["document"][rows["token"].isin(toxic)])
+            rows = held_by_toxic(telling & is_pair & (F.col("toxic") >= share))
+            phrases = _explaining(rows[~rows["document"].isin(explained)], share)
+            clean = _clean(counts.filter(~telling & ~is_pair))
+            if phrases:
+                words = sorted({word for phrase in phrases for word in phrase.split()})
+                near = F.split("token", " ")[0].isin(words) | F.split("token", " ")[1].isin(words)
+                clean += _clean(counts.filter(~telling & is_pair), F.when(near, 0).otherwise(1))
+            toxic = phrases + toxic
             if not toxic or not clean:
                 return None
             alphabet = Alphabet.of([*toxic, *clean])
             table, bias = _fit_tokens(toxic, clean, alphabet)
-            model = Model(alphabet, table, bias, 1.0, 0.0)
+            model = Model(alphabet, table, bias, 1.0, 0.0, bool(phrases))
             shared = docs.sparkSession.sparkContext.broadcast(model)
             values = sample.select("toxic", "text").mapInArrow(_deciding(shared), "toxic int, value double").toPandas()
         finally:
