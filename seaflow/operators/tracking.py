@@ -60,6 +60,25 @@ def shipment_list(t: FreightTables) -> DataFrame:
     return listed_shipments(t).orderBy(F.desc("booking_date"), "bl_number")
 
 
+def shipment_page(t: FreightTables, size: int, after: tuple[str | None, str] | None = None) -> DataFrame:
+    """``size`` shipments of the list, from the one that follows ``after`` on: booking date and number of the last one of
+    the page before.
+
+    What was seen is a filter on the stored columns, and each task keeps ``size`` rows: no page sorts all shipments.
+    Shipments without booking date are the last.
+    """
+    listed = listed_shipments(t)
+    if after is not None:
+        date, bl = after
+        if date is None:
+            listed = listed.filter(F.col("booking_date").isNull() & (F.col("bl_number") > bl))
+        else:
+            moment = F.lit(date).cast("timestamp_ntz")
+            same = (F.col("booking_date") == moment) & (F.col("bl_number") > bl)
+            listed = listed.filter((F.col("booking_date") < moment) | same | F.col("booking_date").isNull())
+    return listed.orderBy(F.desc("booking_date"), "bl_number").limit(size)
+
+
 def shipment_detail(t: FreightTables, bl: Lookup = None) -> DataFrame:
     """Header of each shipment: customer, voyage, route and ports."""
     return _joined(

@@ -625,6 +625,17 @@ where voyage_id in (select voyage_id from shipment)""",
 select bl_number, s.status, incoterms, total_value_usd, company_name, voyage_number, route_name
 from shipment s join customer using (customer_id) join voyage v using (voyage_id) join route using (route_id)
 where shipment_id in {HELD}""",
+    "d01_shipment_page": f"""
+select * from ({SHIPMENT_LIST}) where booking_date <= timestamp '1996-06-01 00:00:00'
+order by booking_date desc, bl_number limit 100""",
+    "d07_shipment_stops_single": """
+select voyage_number, stop_sequence, eta, ata, delay_hours, port_name, un_locode, latitude, longitude
+from voyage join voyage_stop vs using (voyage_id) join port p on p.port_id = vs.port_id
+where voyage_id = (select voyage_id from shipment where bl_number = 'BL000000000007')""",
+    "d08_shipment_meta_single": """
+select bl_number, s.status, incoterms, total_value_usd, company_name, voyage_number, route_name
+from shipment s join customer using (customer_id) join voyage v using (voyage_id) join route r using (route_id)
+where bl_number = 'BL000000000007'""",
     "j01_in_transit_shipments": """
 select bl_number, company_name, c.country_code as customer_country, vessel_name, vessel_type, incoterms,
        total_value_usd
@@ -842,7 +853,17 @@ select distinct 'trade_lane', trade_lane from ({SHIPMENT_LIST}) where trade_lane
 select * from ({SHIPMENT_LIST})
 where status in ('Booked', 'In Transit', 'Loaded') and starts_with(bl_number, 'BL')""",
     "t01_load_typed": "select * from shipment_event",
+    "t01_accepted_rows": """
+select * from shipment_event where event_id % 13 <> 1 and event_id % 17 <> 2 and event_id % 19 <> 3""",
+    "t01_rejected_rows": """
+select case when event_id % 13 = 1 then 'E' else '' end || event_id as event_id,
+       cast(shipment_id as varchar) as shipment_id,
+       concat_ws('; ', case when event_id % 13 = 1 then 'event_id: not a bigint' end,
+         case when event_id % 17 = 2 then 'event_type: missing' end,
+         case when event_id % 19 = 3 then 'event_timestamp: not a timestamp_ntz' end) as reasons
+from shipment_event where event_id % 13 = 1 or event_id % 17 = 2 or event_id % 19 = 3""",
     "t02_load_once": "select * from shipment",
+    "t02_load_once_pruned": "select * from shipment",
     "t03_resolve_keys": "select voyage_number, vessel_id from voyage",
     "t04_constraint_audit": _constraint_rules(),
     "t04_constraint_audit_merged": _constraint_rules(),
@@ -953,6 +974,9 @@ ON_DAMAGED = (
     "t06_event_chains",
 )
 
+# Registered a second time for one bill of lading.
+BY_BL = ("d02_shipment_detail", "d03_event_timeline", "d04_shipment_containers")
+
 # Registered a second time with every group cut; the result must be the same.
 SPLIT = (
     "w01_delay_rank_at_port",
@@ -965,6 +989,9 @@ SPLIT = (
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"with {VIEWS}\nselect * from ({sql})" for name, sql in FREIGHT.items()}
+    found |= {
+        f"{name}_single": f"select * from ({found[name]}) where bl_number = 'BL000000000007'" for name in BY_BL
+    }
     split = {f"{name}_split": found[name] for name in SPLIT}
     named = ", ".join(f"{name} as (select * from bad_{name})" for name in FAULTY)
     damaged = {

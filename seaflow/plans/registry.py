@@ -27,7 +27,7 @@ from seaflow.operators import (
 )
 from seaflow.sources import fixtures
 from seaflow.sources.schema import TABLES
-from seaflow.sources.tables import FreightTables, conform
+from seaflow.sources.tables import FreightTables, checked, conform
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,7 @@ GUARD_CASES = {
     "later_name": "WITH a AS (SELECT * FROM payroll), payroll AS (SELECT 1 AS x) SELECT COUNT(*) AS n FROM a",
 }
 SMALL_SPLIT = 2
+SINGLE_BL = " bl000000000007"  # as typed into a search box
 STALE_AS_OF = "timestamp_ntz'1998-03-01 09:30:00'"
 OPEN_STATUSES = ["Booked", "In Transit", "Loaded"]
 
@@ -108,10 +109,23 @@ def _merged_audit(t: FreightTables) -> DataFrame:
     return increments.audit_of(increments.merged_counts(first, second))
 
 
-def _load_once(t: FreightTables) -> DataFrame:
+def _faulty_events(t: FreightTables) -> tuple[DataFrame, DataFrame]:
+    """Events that arrive as text, some with cells that don't fit: those that do, and the others with reasons."""
+    raw = t.shipment_event.selectExpr(
+        "if(event_id % 13 = 1, 'E' || event_id, cast(event_id as string)) as event_id",
+        "cast(shipment_id as string) as shipment_id",
+        "if(event_id % 17 = 2, null, event_type) as event_type",
+        "if(event_id % 19 = 3, 'yesterday', cast(event_timestamp as string)) as event_timestamp",
+        "cast(port_id as string) as port_id",
+        "description",
+    )
+    return checked(raw, TABLES["shipment_event"])
+
+
+def _load_once(t: FreightTables, prune: bool = False) -> DataFrame:
     """Closed shipments are there already; all shipments then arrive twice."""
     existing = t.shipment.filter("status in ('Arrived', 'Delivered')")
-    return loading.load_once(t.shipment.unionByName(t.shipment), existing, ["bl_number"], ["shipment_id"])
+    return loading.load_once(t.shipment.unionByName(t.shipment), existing, ["bl_number"], ["shipment_id"], prune)
 
 
 def _resolve_keys(t: FreightTables) -> DataFrame:
@@ -186,6 +200,13 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "d06_leg_segments": tracking.leg_segments,
     "d07_shipment_stops": tracking.shipment_stops,
     "d08_shipment_meta": lambda t: tracking.shipment_meta(t, _held_bls(t)),
+    # A page of the list, and the look-ups of one bill of lading.
+    "d01_shipment_page": lambda t: tracking.shipment_page(t, 100, ("1996-06-01 00:00:00", "BL")),
+    "d02_shipment_detail_single": lambda t: tracking.shipment_detail(t, SINGLE_BL),
+    "d03_event_timeline_single": lambda t: tracking.event_timeline(t, SINGLE_BL),
+    "d04_shipment_containers_single": lambda t: tracking.shipment_containers(t, SINGLE_BL),
+    "d07_shipment_stops_single": lambda t: tracking.shipment_stops(t, SINGLE_BL),
+    "d08_shipment_meta_single": lambda t: tracking.shipment_meta(t, SINGLE_BL),
     "j01_in_transit_shipments": joins.in_transit_shipments,
     "j02_route_leg_audit": joins.route_leg_audit,
     "j03_shipment_manifest": joins.shipment_manifest,
@@ -230,7 +251,10 @@ FREIGHT: dict[str, Callable[[FreightTables], DataFrame]] = {
     "p11_filter_options": shaping.filter_options,
     "p11_filtered_list": lambda t: shaping.filtered_list(t, statuses=OPEN_STATUSES, bl_prefix=" bl "),
     "t01_load_typed": _load_typed,
+    "t01_accepted_rows": lambda t: _faulty_events(t)[0],
+    "t01_rejected_rows": lambda t: _faulty_events(t)[1].select("event_id", "shipment_id", "reasons"),
     "t02_load_once": _load_once,
+    "t02_load_once_pruned": lambda t: _load_once(t, prune=True),
     "t03_resolve_keys": _resolve_keys,
     "t04_constraint_audit": quality.constraint_audit,
     "t04_constraint_audit_merged": _merged_audit,

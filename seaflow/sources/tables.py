@@ -99,7 +99,9 @@ class FreightTables:
 
         ``ordered`` lays the large tables out by the columns they are looked up and joined by, which is what an
         index does elsewhere: file statistics then let a look-up skip nearly all files. The range partitioning ends
-        in a unique column, so a value held by very many rows is spread over several files.
+        in a unique column, so a value held by very many rows is spread over several files. Parquet files also get
+        Bloom filters of the table's key and of its unique text columns, by which a look-up passes over row groups whose
+        range holds the value but which don't hold it themselves.
         """
         for name in self.names():
             df = self.table(name)
@@ -107,6 +109,9 @@ class FreightTables:
             if ordered and layout:
                 df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
             writer = df.write.format(fmt).mode(mode)
+            if ordered and layout and fmt == "parquet":
+                for column in _looked_up_by(TABLES[name]):
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
             if fmt == "csv":
                 writer = writer.option("header", "true")
             writer.save(f"{path}/{name}")
@@ -163,6 +168,32 @@ def _share_view(df: DataFrame, session: SparkSession, name: str) -> None:
         df.sparkSession.catalog.dropGlobalTempView(passing)
 
 
+def _looked_up_by(spec: TableSpec) -> list[str]:
+    """The key, references' keys that the table is laid out by, and text columns that are unique by themselves."""
+    unique = {columns[0] for columns in spec.unique if len(columns) == 1}
+    return sorted({spec.key} | unique | {c for c in spec.layout if c in spec.references})
+
+
+def checked(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the declared schema, typed as by ``conform``, and the others as they came, with ``reasons``.
+
+    A value doesn't fit if it is there but can't be cast, or is absent where one is required and there is no default.
+    Both results are lazy and read ``df`` on their own; one bad cell therefore ends no load.
+    """
+    faults = []
+    for f in spec.schema.fields:
+        if f.name not in df.columns:
+            continue  # conform gives a default or NULL, or says what is missing
+        value, kind = F.col(f.name), f.dataType.simpleString()
+        fault = F.when(value.isNotNull() & value.try_cast(f.dataType).isNull(), F.lit(f"{f.name}: not a {kind}"))
+        if not f.nullable and f.name not in spec.defaults:
+            fault = fault.when(value.isNull(), F.lit(f"{f.name}: missing"))
+        faults.append(fault)
+    reasons = F.concat_ws("; ", *faults)  # passes over NULL
+    accepted = conform(df.filter(reasons == ""), spec)
+    return accepted, df.withColumn("reasons", reasons).filter(F.col("reasons") != "")
+
+
 def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Declared columns in declared order and type; absent columns take their default, else NULL."""
     present = set(df.columns)
