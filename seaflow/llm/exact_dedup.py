@@ -3,7 +3,8 @@
 Texts are equal when they are identical without the characters ``[\\x20\\x09-\\x0D]``. Each level groups only the rows
 the level before could not tell apart; a text whose length or beginning is unique never enters the grouping by full
 hash. No level moves a text: the scan reduces it to a length and hashes, every group is folded before the shuffle, so
-a group that holds a third of all rows costs one row per task.
+a group that holds a third of all rows costs one row per task. ``exact_dedup`` shuffles only rows that may be dropped
+or repeated.
 
 Defined results: a null text is an empty one; all empty texts are one group. A null doc_id comes after every number
 when the row that stays is chosen. Rows that repeat both doc_id and text are one document written twice: ``groups``
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaflow.llm.storage import written
+from seaflow.llm.touched import with_touched
 
 HEAD_CHARS = 64
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -94,18 +96,17 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.char_length(F.coalesce(F.col(text_column), F.lit(""))).alias("n"),
         digest(F.col(text_column)).alias("key"),
     )
-    # One line at most on the right for a row on the left, whatever the size of the group.
+    # One line at most for a row, whatever the size of the group; none for rows that stay as they are.
     fate = verdict.groupBy("doc_id", "digest", "n_chars").agg(
         F.max(F.when(F.col("kept"), F.col("repeats"))).alias("repeats")
     )
+    fate = written(fate.filter("repeats is null or repeats > 1"), "fates")
+    marked = with_touched(packed, [F.col(c) for c in ("id", "key", "n")], fate, ["doc_id", "digest", "n_chars"])
     same = (
-        packed["id"].eqNullSafe(fate["doc_id"])
-        & (packed["key"] == fate["digest"])
-        & (packed["n"] == fate["n_chars"])
+        F.col("id").eqNullSafe(fate["doc_id"]) & (F.col("key") == fate["digest"]) & (F.col("n") == fate["n_chars"])
     )
-    joined = packed.join(fate, same, "left").select(
-        "row", "id", "key", "repeats", fate["digest"].isNull().alias("single")
-    )
-    once = joined.filter("single or repeats = 1").select("row")
-    again = joined.filter("repeats > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    joined = marked.filter("touched").join(fate, same, "left").filter("digest is null or repeats > 1")
+    left = written(joined.select("row", "id", "key", "repeats"), "touched")
+    again = left.filter("repeats > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    once = marked.filter("not touched").select("row").unionByName(left.filter("repeats is null").select("row"))
     return once.unionByName(again).select("row.*")

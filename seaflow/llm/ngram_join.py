@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from seaflow.llm.links import connected
 from seaflow.llm.storage import written
+from seaflow.llm.touched import with_touched
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, SKETCH, STEP = 32, 6, 64, 16
@@ -439,8 +440,11 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         docs[id_column].cast("long").alias("id"),
         _text_key(docs[text_column]).alias("key"),
     )
-    same = packed["id"].eqNullSafe(fates["fate_id"]) & (packed["key"] == fates["fate_key"])
-    joined = packed.join(fates, same, "left")
-    once = joined.filter("stays is null").select("row")
-    again = joined.filter("stays").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    fates = written(fates, "near-fates")
+    marked = with_touched(packed, [F.col("id"), F.col("key")], fates, ["fate_id", "fate_key"])
+    same = F.col("id").eqNullSafe(fates["fate_id"]) & (F.col("key") == fates["fate_key"])
+    joined = marked.filter("touched").join(fates, same, "left").filter("stays is null or stays")
+    left = written(joined.select("row", "key", "stays"), "near-touched")
+    again = left.filter("stays").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    once = marked.filter("not touched").select("row").unionByName(left.filter("stays is null").select("row"))
     return once.unionByName(again).select("row.*")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "8m"
+PLAN_CHARS = "20000"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +45,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Has the driver keep plans as texts of ``PLAN_CHARS`` at most: literals of vocabularies make them megabytes each."""
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
+
+
 def release() -> None:
     """Gives memory that this process has freed back to the system."""
     gc.collect()
