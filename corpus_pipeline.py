@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaflow.llm import byte_bpe, decontamination, exact_dedup, language_id, ngram_join
-from seaflow.llm.storage import package_on_workers, release, small_batches, table, written
+from seaflow.llm.storage import package_on_workers, release, short_plans, small_batches, table, written
 
 # Smaller than that of the operator: the driver has held the results of four stages before it collects the dictionary.
 DICTIONARY_SIZE = 200_000
@@ -65,6 +65,7 @@ def _lean(stage: Stage) -> Stage:
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
+        short_plans(spark)
         found = stage(spark, docs, sf_dir)
         release()  # what was learned or collected has been handed over
         return found
