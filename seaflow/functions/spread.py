@@ -3,7 +3,8 @@
 A plain window puts a whole group into one task. Here a group of more than ``split_rows`` rows is first cut along
 its own order into cells (a day, a block of sequence numbers, one distinct value ...). The window then runs per
 cell, and what lies before a cell is added from totals per cell, which are aggregated map-side and hold few rows.
-Smaller groups stay in one piece, so nothing but the group sizes is computed for them. Every cut is a function of
+Smaller groups stay in one piece. A small job looks for large groups when the function is called; if there are none, the
+plan is the plain window, whose column costs nothing where it isn't read. Every cut is a function of
 the row itself: a recomputed partition always lands in the same cell.
 
 Rows whose key is NULL are a group like others; order columns must not be NULL. Expressions are SQL texts. ``levels`` maps a
@@ -11,8 +12,7 @@ name to an expression that never decreases along the order; each level refines t
 give the group sizes (keys and ``_rows``), or an upper bound of them, where a smaller table knows them.
 
 Without ``levels`` the cells are ranges between quantiles of the order columns (``quantile_levels``), whatever the
-scale of their values: a small job looks for large groups when the function is called, and only if there are any
-another one finds the boundaries, which are then constants of the plan.
+scale of their values: if there are large groups, another job finds the boundaries, which are then constants of the plan.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from seaflow.functions.measures import totals
 SPLIT_ROWS = 1_000_000
 MOST_CELLS = 16_384  # ranges of one order column; a constant of the plan holds a boundary each
 _BLOCK_BITS = 20
+_BUCKETS = 65_536  # counts of rows by a hash of the keys, before any group is counted
 
 
 def block(number: str) -> str:
@@ -41,26 +42,39 @@ def _over(function: str, keys: list[str], order: list[str], frame: str = "") ->
     return f"{function} over ({partition}order by {', '.join(order)} {frame})"
 
 
+def _large_groups(df: DataFrame, keys: list[str], split_rows: int, sizes: DataFrame | None) -> DataFrame | None:
+    """Keys and ``_rows`` of the groups of more than ``split_rows`` rows; None if there are none, which a small job tells.
+
+    Rows are first counted by a hash of their keys, which moves ``_BUCKETS`` counts for each task at most. Groups are
+    counted by themselves only if a bucket holds too many rows.
+    """
+    if sizes is None:
+        bucket = f"pmod(xxhash64({', '.join(keys)}), {_BUCKETS})" if keys else "0L"
+        counts = totals(df.selectExpr(f"{bucket} as _bucket"), ["_bucket"], "count(*) as _rows")
+        if counts.filter(f"_rows > {split_rows}").isEmpty():
+            return None
+        sizes = group_sizes(df, *keys)
+    found = sizes.filter(f"_rows > {split_rows}")
+    return None if found.isEmpty() else found
+
+
 def _cut(
-    df: DataFrame, keys: list[str], levels: dict[str, str], split_rows: int, sizes: DataFrame | None
-) -> DataFrame:
-    """Add the level columns, NULL for groups that stay whole, and the flag ``_large``."""
-    sizes = group_sizes(df, *keys) if sizes is None else sizes
+    df: DataFrame, keys: list[str], levels: dict[str, str], split_rows: int, found: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups that stay whole, and those of the large groups that were found with the level columns."""
     if keys:
-        # At most one row per split_rows rows of the input.
-        large = sizes.filter(f"_rows > {split_rows}").selectExpr(*keys, "true as _found")
-        marked = _matched(df, large, keys, [], "left")
+        found = found.select(*keys)
+        if split_rows >= SPLIT_ROWS:
+            # One key for split_rows rows at most: no row is shuffled to learn its part.
+            found = F.broadcast(found)
+        whole, large = (_matched(df, found, keys, [], how) for how in ("left_anti", "left_semi"))
     else:
-        # One row: the size of the whole input.
-        marked = df.crossJoin(F.broadcast(sizes.selectExpr(f"_rows > {split_rows} as _found")))
-    marked = marked.selectExpr("* except (_found)", "coalesce(_found, false) as _large")
-    return marked.selectExpr(
-        "*", *[f"case when _large then {value} end as {name}" for name, value in levels.items()]
-    )
+        whole, large = df.limit(0), df
+    return whole, large.selectExpr("*", *[f"{value} as {name}" for name, value in levels.items()])
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: list[str], levels: list[str], how: str) -> DataFrame:
-    """Join in which NULL keys match each other; NULL levels, those of groups that stay whole, match nothing."""
+    """Join in which NULL keys match each other; NULL levels match nothing."""
     names = [*keys, *levels]
     other = right.selectExpr(
         *[f"{name} as _r_{name}" for name in names], f"* except ({', '.join(names)})" if names else "*"
@@ -149,14 +163,11 @@ def _preceding(cells: DataFrame, keys: list[str], levels: list[str], measure: st
 
 
 def _finish(
-    marked: DataFrame, before: DataFrame, keys: list[str], levels: list[str], name: str, local: str
+    large: DataFrame, before: DataFrame, keys: list[str], levels: list[str], name: str, local: str
 ) -> DataFrame:
-    """Add the local value and what precedes the cell; groups that stayed whole have no match."""
-    return (
-        _matched(marked.selectExpr("*", f"{local} as _local"), before, keys, levels, "left")
-        .selectExpr(
-            f"* except (_large, _local, _before, {', '.join(levels)})", f"_local + coalesce(_before, 0) as {name}"
-        )
+    """Add the local value and what precedes the cell."""
+    return _matched(large.selectExpr("*", f"{local} as _local"), before, keys, levels, "left").selectExpr(
+        f"* except (_local, _before, {', '.join(levels)})", f"_local + coalesce(_before, 0) as {name}"
     )
 
 
@@ -170,15 +181,20 @@ def numbered(
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """ROW_NUMBER over ``keys`` in ``order``."""
+    number = f"cast({_over('row_number()', keys, order)} as bigint) as {name}"
+    found = _large_groups(df, keys, split_rows, sizes)
+    if found is None:
+        return df.selectExpr("*", number)
     if levels is None:
-        levels = quantile_levels(df, keys, order, split_rows, sizes)
-        if not levels:
-            return df.selectExpr("*", f"cast({_over('row_number()', keys, order)} as bigint) as {name}")
+        levels = quantile_levels(df, keys, order, split_rows, found)
+    if not levels:
+        return df.selectExpr("*", number)
     names = list(levels)
-    marked = _cut(df, keys, levels, split_rows, sizes)
-    cells = totals(marked.filter("_large"), keys + names, "count(*) as _rows")
+    whole, large = _cut(df, keys, levels, split_rows, found)
+    cells = totals(large, keys + names, "count(*) as _rows")
     local = f"cast({_over('row_number()', keys + names, order)} as bigint)"
-    return _finish(marked, _preceding(cells, keys, names, "_rows"), keys, names, name, local)
+    split = _finish(large, _preceding(cells, keys, names, "_rows"), keys, names, name, local)
+    return whole.selectExpr("*", number).unionByName(split)
 
 
 def ranked(
@@ -196,22 +212,22 @@ def ranked(
     ``levels`` must rise while the value falls. In a large group the rank of a value is one more than the rows (or
     distinct values) before it, so its rows only join their value's rank: no task needs to see all ties.
     """
-    rank = _over("dense_rank()" if dense else "rank()", keys, [f"{value} desc"])
+    rank = f"cast({_over('dense_rank()' if dense else 'rank()', keys, [f'{value} desc'])} as bigint) as {name}"
+    found = _large_groups(df, keys, split_rows, sizes)
+    if found is None:
+        return df.selectExpr("*", rank)
     if levels is None:
-        levels = quantile_levels(df, keys, [f"{value} desc"], split_rows, sizes)
-        if not levels:
-            return df.selectExpr("*", f"cast({rank} as bigint) as {name}")
+        levels = quantile_levels(df, keys, [f"{value} desc"], split_rows, found)
+    if not levels:
+        return df.selectExpr("*", rank)
     levels = {**levels, "_value": f"-({value})"}
     names = list(levels)
-    extra = f"_large, {', '.join(names)}"
-    marked = _cut(df, keys, levels, split_rows, sizes)
-    whole = marked.filter("not _large").selectExpr(f"* except ({extra})", f"cast({rank} as bigint) as {name}")
-    large = marked.filter("_large")
+    whole, large = _cut(df, keys, levels, split_rows, found)
     cells = totals(large, keys + names, f"{'max(1L)' if dense else 'count(*)'} as _rows")
     split = _matched(large, _preceding(cells, keys, names, "_rows"), keys, names, "inner").selectExpr(
-        f"* except ({extra}, _before)", f"_before + 1 as {name}"
+        f"* except ({', '.join(names)}, _before)", f"_before + 1 as {name}"
     )
-    return whole.unionByName(split)
+    return whole.selectExpr("*", rank).unionByName(split)
 
 
 def running(
@@ -226,15 +242,20 @@ def running(
 ) -> DataFrame:
     """Running total of an exact ``amount`` column over ``keys`` in ``order``."""
     frame = "rows between unbounded preceding and current row"
+    total = f"{_over(f'sum({amount})', keys, order, frame)} as {name}"
+    found = _large_groups(df, keys, split_rows, sizes)
+    if found is None:
+        return df.selectExpr("*", total)
     if levels is None:
-        levels = quantile_levels(df, keys, order, split_rows, sizes)
-        if not levels:
-            return df.selectExpr("*", f"{_over(f'sum({amount})', keys, order, frame)} as {name}")
+        levels = quantile_levels(df, keys, order, split_rows, found)
+    if not levels:
+        return df.selectExpr("*", total)
     names = list(levels)
-    marked = _cut(df, keys, levels, split_rows, sizes)
-    cells = totals(marked.filter("_large"), keys + names, f"sum({amount}) as _amount")
+    whole, large = _cut(df, keys, levels, split_rows, found)
+    cells = totals(large, keys + names, f"sum({amount}) as _amount")
     local = _over(f"sum({amount})", keys + names, order, frame)
-    return _finish(marked, _preceding(cells, keys, names, "_amount"), keys, names, name, local)
+    split = _finish(large, _preceding(cells, keys, names, "_amount"), keys, names, name, local)
+    return whole.selectExpr("*", total).unionByName(split)
 
 
 def neighbour(
@@ -252,20 +273,18 @@ def neighbour(
 
     ``order`` must be ascending. At the edge of a cell the row comes from the nearest earlier (later) cell.
     """
-    names = list(levels)
-    marked = _cut(df, keys, levels, split_rows, sizes)
     record, position = f"struct({', '.join(values)})", f"struct({', '.join(order)})"
     move, edge_of = ("lead", "min_by") if following else ("lag", "max_by")
-    edges = totals(marked.filter("_large"), keys + names, f"{edge_of}({record}, {position}) as _record")
+    moved = f"{_over(f'{move}({record})', keys, order)} as {name}"
+    found = _large_groups(df, keys, split_rows, sizes)
+    if found is None:
+        return df.selectExpr("*", moved)
+    names = list(levels)
+    whole, large = _cut(df, keys, levels, split_rows, found)
+    edges = totals(large, keys + names, f"{edge_of}({record}, {position}) as _record")
     edges = edges.selectExpr(*keys, *names, f"{_over(f'{move}(_record)', keys, names)} as _edge")
-    return (
-        _matched(
-            marked.selectExpr("*", f"{_over(f'{move}({record})', keys + names, order)} as _local"),
-            edges,
-            keys,
-            names,
-            "left",
-        ).selectExpr(
-            f"* except (_large, _local, _edge, {', '.join(names)})", f"coalesce(_local, _edge) as {name}"
-        )
+    local = f"{_over(f'{move}({record})', keys + names, order)} as _local"
+    split = _matched(large.selectExpr("*", local), edges, keys, names, "left").selectExpr(
+        f"* except (_local, _edge, {', '.join(names)})", f"coalesce(_local, _edge) as {name}"
     )
+    return whole.selectExpr("*", moved).unionByName(split)

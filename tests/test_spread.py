@@ -126,3 +126,13 @@ def test_small_groups_are_not_cut(rows):
 def test_analyses_do_not_depend_on_the_split(spark, operator):
     t = freight(spark, "/root/testdata/sf0.001")
     same(operator(t, split_rows=2), operator(t))
+
+
+def test_small_groups_cost_no_join_with_levels(rows):
+    """Nor does a number that isn't read cost a shuffle."""
+    numbered = spread.numbered(rows, ["k"], ["pos"], {"a": "floor(pos / 500)"}, "n", split_rows=1000)
+    moved = spread.neighbour(rows, ["k"], ["pos"], {"a": "floor(pos / 50)"}, ["id"], "other", split_rows=1000)
+    for df in (numbered, moved):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Window") == 1
+    assert "Exchange" not in numbered.select("id")._jdf.queryExecution().executedPlan().toString()
