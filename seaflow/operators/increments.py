@@ -1,13 +1,15 @@
 """The constraint audit over stored counts: an appended batch is counted and merged, older files are not read again.
 
-``audit_counts`` folds tables into one row for each (kind, rule, value): violations of rules that a single row can break
-(value is empty), occurrences of unique keys, values of foreign keys, shipments by voyage and status, and statuses of
-voyages. Such rows add up, so ``merged_counts`` of a stored frame and that of a batch equal the counts of all rows.
-``audit_of`` turns them into the lines of ``quality.constraint_audit``: a key that repeats, or whose parent arrives, only
-across batches counts as it does over whole tables.
+``audit_counts`` folds tables into one row for each (kind, rule, value): of kind ``value`` the rules that a single row can
+break (without a value), occurrences of unique keys, values of foreign keys and of the keys they refer to; of kinds
+``voyage`` and ``shipment`` their numbers by voyage and status. Such rows add up, so ``merged_counts`` of a stored frame
+and that of a batch equal the counts of all rows. ``audit_of`` turns them into the lines of
+``quality.constraint_audit``: a key that repeats, or whose parent arrives, only across batches counts as it does over
+whole tables.
 
 A stored frame has a row for each distinct key. Store it partitioned by ``kind``: a batch then merges with what it needs.
-Counts are folded before the shuffle, so a value with a third of all rows is one row in each task.
+Rules are stored by number (``quality.rule_number``). Counts are folded before the shuffle, so a value with a third of all
+rows is one row in each task.
 """
 
 from __future__ import annotations
@@ -17,106 +19,65 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from seaflow.functions.measures import totals
-from seaflow.operators.quality import _quoted, _reported, _row_audit
+from seaflow.operators.quality import (
+    VALUE,
+    _quoted,
+    _reported,
+    named_rules,
+    reference_rules,
+    row_rules,
+    unique_rules,
+    value_counts,
+    violations,
+)
 from seaflow.sources.schema import SHIPMENT_STATUS_OF_VOYAGE, TABLES
 from seaflow.sources.tables import FreightTables
 
-COLUMNS = ("kind", "rule", "value", "n")
+COLUMNS = ("kind", *VALUE, "n", "parents")
+STATUS_RULE = "shipment|status agrees with voyage"
 
 
-def _unique_rules() -> dict[str, tuple[str, tuple[str, ...]]]:
-    """Table and columns by rule, over all tables."""
-    return {
-        f"{spec.name}|unique: {', '.join(columns)}": (spec.name, columns)
-        for spec in TABLES.values()
-        for columns in ((spec.key,), *spec.unique)
-    }
-
-
-def _reference_rules() -> dict[str, tuple[str, str, str]]:
-    """Table, column and parent table by rule."""
-    return {
-        f"{spec.name}|reference: {column}": (spec.name, column, parent)
-        for spec in TABLES.values()
-        for column, parent in spec.references.items()
-    }
-
-
-def _valued(t: FreightTables, name: str) -> DataFrame:
-    """The values of a table's keys, references and statuses, one row for each, from one scan."""
-    parts = []
-
-    def add(kind: str, rule: str, columns: tuple[str, ...]) -> None:
-        present = " and ".join(f"{c} is not null" for c in columns)
-        texts = ", ".join(f"cast({c} as string)" for c in columns)
-        parts.append(f"if({present}, named_struct('kind', '{kind}', 'rule', '{rule}', 'value', array({texts})), null)")
-
-    for rule, (table, columns) in _unique_rules().items():
-        if table == name:
-            add("key", rule, columns)
-    for rule, (table, column, _) in _reference_rules().items():
-        if table == name:
-            add("reference", rule, (column,))
-    if name == "voyage":
-        add("voyage", "status", ("voyage_id", "status"))
-    if name == "shipment":
-        add("shipment", "status", ("voyage_id", "status"))
-    lines = t.table(name).selectExpr(f"explode(array({', '.join(parts)})) as line").filter("line is not null")
-    return lines.selectExpr("line.kind", "line.rule", "line.value")
+def _statuses(t: FreightTables, name: str) -> DataFrame:
+    """Rows by voyage and status; voyages and shipments meet when the counts are audited."""
+    rows = t.table(name).filter("voyage_id is not null and status is not null")
+    return totals(rows, ["voyage_id", "status"], "count(*) as n").selectExpr(
+        f"'{name}' as kind", "0 as rule", "voyage_id as a", "cast(null as bigint) as b", "status as text", "n", "0L as parents"
+    )
 
 
 def audit_counts(t: FreightTables) -> DataFrame:
-    """kind, rule, value (array of texts) and n over the rows of ``t``, whole tables or a batch of any of them."""
-    rows = reduce(DataFrame.unionByName, [_row_audit(t, name) for name in t.names()])
-    single = rows.selectExpr(
-        "'row' as kind", "table_name || '|' || rule as rule", "cast(array() as array<string>) as value", "violations as n"
-    )
-    values = reduce(DataFrame.unionByName, [_valued(t, name) for name in t.names()])
-    return totals(values, ["kind", "rule", "value"], "count(*) as n").unionByName(single)
+    """The counts over the rows of ``t``, whole tables or a batch of any of them."""
+    values = value_counts(t).selectExpr("'value' as kind", *VALUE, "n", "parents")
+    statuses = [_statuses(t, name) for name in ("voyage", "shipment") if name in t.names()]
+    return reduce(DataFrame.unionByName, [values, *statuses])
 
 
 def merged_counts(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """The counts of both together; merging is associative, and its order doesn't matter."""
-    return totals(stored.select(*COLUMNS).unionByName(batch.select(*COLUMNS)), ["kind", "rule", "value"], "sum(n) as n")
+    return totals(
+        stored.select(*COLUMNS).unionByName(batch.select(*COLUMNS)),
+        ["kind", *VALUE],
+        "sum(n) as n",
+        "sum(parents) as parents",
+    )
 
 
 def audit_of(counts: DataFrame) -> DataFrame:
-    """Every declared constraint with the number of violations, as ``quality.constraint_audit`` reports them."""
-    row_rules = [
-        f"{spec.name}|{rule}: {c}"
-        for spec in TABLES.values()
-        for rule, columns in (("not null", spec.required), ("domain", spec.domains))
-        for c in columns
-    ]
-    unique, references = _unique_rules(), _reference_rules()
-    single = counts.filter("kind = 'row'").selectExpr("rule", "n as violations")
-    keys = counts.filter("kind = 'key'")
-    repeated = totals(keys.filter("n > 1"), ["rule"], "count(*) as violations")
-    wanted: dict[str, list[str]] = {}
-    for rule, (_, _, parent) in references.items():
-        wanted.setdefault(f"{parent}|unique: {TABLES[parent].key}", []).append(rule)
-    asked = ", ".join(f"'{key}', array({_quoted(rules)})" for key, rules in wanted.items())
-    parents = keys.filter(f"rule in ({_quoted(wanted)})").selectExpr(f"explode(map({asked})[rule]) as rule", "value")
-    orphans = (
-        counts.filter("kind = 'reference'")
-        .join(parents, ["rule", "value"], "left_anti")
-        .groupBy("rule")
-        .agg({"n": "sum"})
-        .withColumnRenamed("sum(n)", "violations")
-    )
+    """Every declared constraint with the number of violations, as ``quality.constraint_audit`` reports them.
+
+    The values are read once, for all rules together.
+    """
+    rules = [*row_rules(TABLES), *unique_rules(TABLES), *reference_rules()]
+    single = violations(counts.filter("kind = 'value'"), rules)
     allowed = " or ".join(
         f"(voyage_status = '{voyage}' and status in ({_quoted(statuses)}))"
         for voyage, statuses in SHIPMENT_STATUS_OF_VOYAGE.items()
     )
-    voyages = counts.filter("kind = 'voyage'").selectExpr("get(value, 0) as id", "get(value, 1) as voyage_status", "n as times")
-    carried = counts.filter("kind = 'shipment'").selectExpr("get(value, 0) as id", "get(value, 1) as status", "n")
+    voyages = counts.filter("kind = 'voyage'").selectExpr("a", "text as voyage_status", "n as times")
+    carried = counts.filter("kind = 'shipment'").selectExpr("a", "text as status", "n")
     broken = totals(
-        carried.filter("status <> 'Cancelled'").join(voyages, "id"),
+        carried.filter("status <> 'Cancelled'").join(voyages, "a"),
         [],
         f"sum(if({allowed}, 0, n * times)) as violations",
-    ).selectExpr("'shipment|status agrees with voyage' as rule", "coalesce(violations, 0) as violations")
-    found = reduce(DataFrame.unionByName, [single, repeated, orphans, broken])
-    names = [*row_rules, *unique, *references, "shipment|status agrees with voyage"]
-    return _reported(found, "rule", names, "violations").selectExpr(
-        "substring_index(rule, '|', 1) as table_name", "substring_index(rule, '|', -1) as rule", "violations"
-    )
+    ).selectExpr(f"'{STATUS_RULE}' as rule", "coalesce(violations, 0) as violations")
+    return named_rules(_reported(single.unionByName(broken), "rule", [*rules, STATUS_RULE], "violations"))

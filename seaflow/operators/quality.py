@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,70 +46,139 @@ def _reported(found: DataFrame, name: str, names: list[str], count: str) -> Data
     return totals(found.unionByName(zeros), [name], f"sum({count}) as {count}")
 
 
-def reference_orphans(t: FreightTables) -> DataFrame:
-    """Rows per foreign key whose value is no key of the parent table; NULL refers to nothing.
+# Rules over values are audited by counts per (rule, value). A value is held as whole numbers where it is one and a rule as
+# a number, since a count's row should take little memory: every key of every table has one.
+VALUE = ("rule", "a", "b", "text")
+COUNTS = ("sum(if(of_parent, 0L, n)) as n", "sum(if(of_parent, n, 0L)) as parents")
 
-    All keys share one pass: each child is read once, its values are counted per (foreign key, value) before any
-    join, so a value held by a third of the rows is one row per task.
-    """
-    children = []
-    wanted: dict[str, list[str]] = {}
-    for spec in TABLES.values():
-        if spec.references:
-            pairs = ", ".join(f"'{spec.name.upper()}.{c}', {c}" for c in spec.references)
-            children.append(
-                t.table(spec.name).selectExpr(f"stack({len(spec.references)}, {pairs}) as (fk, value)")
-            )
-        for column, parent in spec.references.items():
-            wanted.setdefault(parent, []).append(f"{spec.name.upper()}.{column}")
-    parents = [
-        t.table(parent).selectExpr(f"explode(array({_quoted(names)})) as fk", f"{TABLES[parent].key} as value")
-        for parent, names in wanted.items()
-    ]
-    values = totals(_union(children).filter("value is not null"), ["fk", "value"], "count(*) as orphans")
-    unknown = values.join(_union(parents), ["fk", "value"], "left_anti").select("fk", "orphans")
-    return _reported(unknown, "fk", [fk for names in wanted.values() for fk in names], "orphans").orderBy("fk")
 
+def rule_number(rule: str) -> int:
+    """A number that stays the same as long as the rule's name does."""
+    return zlib.crc32(rule.encode()) & 0x7FFFFFFF
 
-# -- constraints -------------------------------------------------------------
+
+def row_rules(names) -> dict[str, tuple[str, str]]:
+    """Table and what breaks the rule, by rule: NOT NULL columns and closed domains."""
+    rules = {}
+    for name in names:
+        spec = TABLES[name]
+        rules |= {f"{name}|not null: {c}": (name, f"{c} is null") for c in spec.required}
+        rules |= {f"{name}|domain: {c}": (name, f"{c} not in ({_quoted(domain)})") for c, domain in spec.domains.items()}
+    return rules
+
+
+def unique_rules(names) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """Table and columns by rule; a key with a NULL part is never a duplicate."""
+    return {
+        f"{name}|unique: {', '.join(columns)}": (name, columns)
+        for name in names
+        for columns in ((TABLES[name].key,), *TABLES[name].unique)
+    }
+
+
+def reference_rules() -> dict[str, tuple[str, str, str]]:
+    """Table, column and parent table by rule, over all tables; NULL refers to nothing."""
+    return {
+        f"{spec.name}|reference: {column}": (spec.name, column, parent)
+        for spec in TABLES.values()
+        for column, parent in spec.references.items()
+    }
+
+
+def _line(name: str, rule: str, columns: tuple[str, ...], of_parent: bool = False) -> str:
+    """One value of a rule; NULL if a column is."""
+    kinds = {f.name: f.dataType.simpleString() for f in TABLES[name].schema.fields}
+    numbers = [c for c in columns if kinds[c] in ("bigint", "int")]
+    texts = [c for c in columns if c not in numbers]
+    if len(numbers) > 2 or len(texts) > 1:
+        numbers, texts = [], [f"to_json(array({', '.join(f'cast({c} as string)' for c in columns)}))"]
+    a, b = [f"cast({c} as bigint)" for c in (*numbers, "null", "null")][:2]
+    present = " and ".join(f"{c} is not null" for c in columns)
+    return f"if({present}, {_struct(rule, a, b, f'cast({(*texts, "null")[0]} as string)', of_parent)}, null)"
+
+
+def _struct(rule: str, a: str, b: str, text: str, of_parent: bool) -> str:
+    return (
+        f"named_struct('rule', {rule_number(rule)}, 'a', {a}, 'b', {b}, 'text', {text}, 'of_parent', {str(of_parent).lower()})"
+    )
 
 
-def _row_audit(t: FreightTables, name: str) -> DataFrame:
-    """Rules that one row can break, NOT NULL columns and closed domains: one scan, one line per rule."""
-    spec = TABLES[name]
-    rules = {f"not null: {c}": f"{c} is null" for c in spec.required}
-    rules |= {f"domain: {c}": f"{c} not in ({_quoted(domain)})" for c, domain in spec.domains.items()}
-    counts = totals(t.table(name), [], *[f"count_if({broken}) as `{rule}`" for rule, broken in rules.items()])
-    pairs = ", ".join(f"'{rule}', `{rule}`" for rule in rules)
-    return counts.selectExpr(f"'{name}' as table_name", f"stack({len(rules)}, {pairs}) as (rule, violations)")
+def keys_counted_by() -> dict[str, str]:
+    """A reference whose counts also hold the occurrences of its parent's key, by the rule that this key is unique."""
+    found: dict[str, str] = {}
+    for rule, (_, _, parent) in reference_rules().items():
+        found.setdefault(f"{parent}|unique: {TABLES[parent].key}", rule)
+    return found
+
+
+def _lines(t: FreightTables, name: str, single: bool = True) -> DataFrame:
+    """What the rules look at in a table, from one scan: its references and keys that are referred to, and, for rules over the
+    table alone (``single``), its other unique keys and a line for a row that breaks rules, with their numbers as text."""
+    lines = [_line(name, rule, (column,)) for rule, (child, column, _) in reference_rules().items() if child == name]
+    for rule, (_, _, parent) in reference_rules().items():
+        if parent == name:
+            lines.append(_line(name, rule, (TABLES[name].key,), of_parent=True))
+    if single:
+        others = {rule: columns for rule, (_, columns) in unique_rules([name]).items() if rule not in keys_counted_by()}
+        lines += [_line(name, rule, columns) for rule, columns in others.items()]
+        broken = {rule: f"coalesce({b}, false)" for rule, (_, b) in row_rules([name]).items()}
+        numbers = ", ".join(f"if({b}, '{rule_number(rule)}', null)" for rule, b in broken.items())
+        fault = _struct("", "cast(null as bigint)", "cast(null as bigint)", f"concat_ws(',', {numbers})", False)
+        lines.append(f"if({' or '.join(broken.values())}, {fault}, null)")
+    lines_of = t.table(name).selectExpr(f"explode(array({', '.join(lines)})) as line").filter("line is not null")
+    return lines_of.selectExpr("line.*", "1L as n")
+
+
+def value_counts(t: FreightTables, single: bool = True) -> DataFrame:
+    """``n`` and ``parents`` by rule and value, over all tables in one shuffle. Counts are folded before it, so a value held
+    by a third of the rows is one row per task."""
+    asked = [n for n in t.names() if single or TABLES[n].references or n in {p for _, _, p in reference_rules().values()}]
+    return totals(_union([_lines(t, name, single) for name in asked]), VALUE, *COUNTS)
+
+
+def violations(counts: DataFrame, rules: list[str]) -> DataFrame:
+    """rule and violations from ``value_counts``: rows that break it, keys that occur more than once, or orphans."""
+    sums = totals(
+        counts.selectExpr("*", f"if(rule = {rule_number('')}, text, null) as broken"),
+        ["rule", "broken"],
+        "sum(n) as rows",
+        "count_if(n > 1) as repeated",
+        "sum(if(parents = 0, n, 0L)) as orphans",
+        "count_if(parents > 1) as repeated_parents",
+    )
+    named = ", ".join(f"{rule_number(rule)}, '{rule}'" for rule in rules)
+    keys = ", ".join(f"{rule_number(rule)}, '{key}'" for key, rule in keys_counted_by().items() if key in rules)
+    key = f"try_element_at(map({keys}), rule)" if keys else "cast(null as string)"
+    kind = (
+        "case when contains(rule, '|unique: ') then repeated when contains(rule, '|reference: ') then orphans else rows end"
+    )
+    return (
+        sums.selectExpr(
+            "* except (rule, broken)",
+            f"{key} as key",
+            "explode(if(broken is null, array(rule), cast(split(broken, ',') as array<int>))) as rule",
+        )
+        .selectExpr("* except (rule)", f"try_element_at(map({named}), rule) as rule")
+        .selectExpr(f"stack(2, rule, {kind}, key, repeated_parents) as (rule, violations)")
+        .filter("rule is not null")
+    )
 
 
-def _unique_audit(t: FreightTables) -> DataFrame:
-    """Key values that occur more than once; a key with a NULL part is never a duplicate.
+def reference_orphans(t: FreightTables) -> DataFrame:
+    """Rows per foreign key whose value is no key of the parent table; NULL refers to nothing.
 
-    The keys of all tables are counted in one shuffle: each table is read once and yields a line per key with all its
-    columns as text.
+    All keys share one pass and one shuffle: references are counted by value together with the parents' keys.
     """
-    lines, rules = [], []
-    for name in t.names():
-        spec = TABLES[name]
-        stacked = []
-        for columns in ((spec.key,), *spec.unique):
-            present = " and ".join(f"{c} is not null" for c in columns)
-            rules.append(f"{name}|unique: {', '.join(columns)}")
-            values = ", ".join(f"cast({c} as string)" for c in columns)
-            stacked.append(f"{len(rules)}, array({values}), {present}")
-        lines.append(
-            t.table(name)
-            .selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) as (rule_no, key_values, present)")
-            .filter("present")
-        )
-    keys = totals(_union(lines), ["rule_no", "key_values"], "count(*) as n")
-    repeated = totals(keys.filter("n > 1"), ["rule_no"], "count(*) as violations")
-    named = repeated.selectExpr(f"array({_quoted(rules)})[rule_no - 1] as rule", "violations")
-    return _reported(named, "rule", rules, "violations").selectExpr(
-        "substring_index(rule, '|', 1) as table_name", "substring_index(rule, '|', -1) as rule", "violations"
+    rules = list(reference_rules())
+    found = violations(value_counts(t, single=False), rules).selectExpr(
+        "upper(substring_index(rule, '|', 1)) || '.' || substring_index(rule, '|reference: ', -1) as fk",
+        "violations as orphans",
     )
+    names = [f"{child.upper()}.{column}" for child, column, _ in reference_rules().values()]
+    return _reported(found, "fk", names, "orphans").orderBy("fk")
+
+
+# -- constraints -------------------------------------------------------------
 
 
 def _status_audit(t: FreightTables) -> DataFrame:
@@ -129,15 +199,21 @@ def _status_audit(t: FreightTables) -> DataFrame:
     )
 
 
-def constraint_audit(t: FreightTables) -> DataFrame:
-    """Every declared constraint with the number of violations; all are zero on clean data."""
-    rows = [_row_audit(t, name) for name in t.names()]
-    orphans = reference_orphans(t).selectExpr(
-        "lower(substring_index(fk, '.', 1)) as table_name",
-        "'reference: ' || substring_index(fk, '.', -1) as rule",
-        "orphans as violations",
+def named_rules(report: DataFrame) -> DataFrame:
+    """table_name, rule and violations of rules that are named with their table."""
+    return report.selectExpr(
+        "substring_index(rule, '|', 1) as table_name", "substring_index(rule, '|', -1) as rule", "violations"
     )
-    return _union([*rows, _unique_audit(t), orphans, _status_audit(t)])
+
+
+def constraint_audit(t: FreightTables) -> DataFrame:
+    """Every declared constraint with the number of violations; all are zero on clean data.
+
+    Each table is read once for all rules but that on statuses, which reads shipments and voyages again.
+    """
+    rules = [*row_rules(t.names()), *unique_rules(t.names()), *reference_rules()]
+    found = _reported(violations(value_counts(t), rules), "rule", rules, "violations")
+    return named_rules(found).unionByName(_status_audit(t))
 
 
 # -- verification reports ----------------------------------------------------

@@ -71,3 +71,12 @@ def test_a_batch_of_some_tables_and_an_empty_one(spark):
     report = lines(increments.audit_of(whole))
     assert set(report) == set(lines(quality.constraint_audit(tables(spark))))
     assert sum(report.values()) == 0
+
+
+def test_a_parent_arrives_without_its_children(spark):
+    first, second = batches(spark)
+    parents = FreightTables(spark, {"shipment": second.table("shipment"), "voyage": second.table("voyage")})
+    merged = increments.merged_counts(increments.audit_counts(parents), increments.audit_counts(first))
+    report = lines(increments.audit_of(merged))
+    assert report["shipment_event", "reference: shipment_id"] == 2  # 51 is there, 50 isn't
+    assert report["voyage", "unique: voyage_id"] == 1

@@ -70,3 +70,10 @@ def test_numbering_of_stops_is_pruned_when_unused(spark):
     from seaflow.operators.network import avg_delay_by_route
 
     assert "Window" not in plan_of(avg_delay_by_route(freight(spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("name, scans", [("t04_constraint_audit", 3), ("t04_constraint_audit_merged", 6), ("v02_v18_reference_orphans", 3)])
+def test_audits_scan_a_table_once(spark, name, scans):
+    """Three tables are views over the lines of orders; the merged audit reads them for each of two batches."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == scans
