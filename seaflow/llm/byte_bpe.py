@@ -1,9 +1,9 @@
 """Byte-level BPE with Spark's higher-order functions, from the ranks of a vocabulary file.
 
 A text is cut by the pattern of the vocabulary; each match, a word here, is encoded on its own: its bytes are folded,
-merging the neighbours of least rank (the leftmost of equals) until no pair has a rank. Ranks are a literal of the
-plan: an array of small maps, found by a checksum of the bytes. Bytes are held as hexadecimal text, two characters
-each, since only text can be a key of a literal map.
+merging the neighbours of least rank (the leftmost of equals) until no pair has a rank. Ranks are a scalar subquery of
+the plan: an array of small maps, found by a checksum of the bytes. Bytes are held as hexadecimal text, two characters
+each.
 
 A word of more than ``LONG_BYTES`` bytes is first cut between bytes that stand side by side in no token: no merge can reach
 across such a place. A piece that stays long has all places of its least rank merged in one step. That equals merging
@@ -11,7 +11,7 @@ them one by one unless a pair on the way has a lesser rank; then that step merge
 
 Words repeat. The most frequent words of the whole input, ``dictionary_size`` at most, are folded once and broadcast (the
 size is the bound of the broadcast); words outside it are folded where they occur, once for each document. Documents are not
-shuffled. Decoding looks up the bytes of every id in a literal array and concatenates them.
+shuffled. Decoding looks up the bytes of every id in an array and concatenates them.
 
 Defined results: a null text is an empty one and gives no ids, which decode to no bytes. Words of any length are
 encoded whole. Repeated rows are encoded alike, an empty table gives an empty result, other columns are ignored by
@@ -21,7 +21,6 @@ encoded whole. Repeated rows are encoded alike, an empty table gives an empty re
 from __future__ import annotations
 
 import base64
-import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -234,35 +233,50 @@ def _folded(word: Column, maps: Column, adjacent: Column) -> Column:
 
 
 class Ranks:
-    """A vocabulary as literals of a plan."""
+    """A vocabulary as a table of one row, whose columns plans use as scalar subqueries: a literal would stand in the texts
+    of every plan, which the driver keeps."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+        maps: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             key = token.hex().upper()
-            maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+            maps[zlib.crc32(key.encode()) % BUCKETS].append((key, rank))
             pieces[rank] = key
         beside = bytearray(1 << 16)  # whether some token holds two bytes side by side
         for token in ranks:
             for pair in zip(token, token[1:]):
                 beside[pair[0] << 8 | pair[1]] = 1
         self.largest = len(pieces) - 1
-        self._adjacent = json.dumps(list(beside), separators=(",", ":"))
-        self._maps = json.dumps(maps, separators=(",", ":"))
-        self._pieces = json.dumps(pieces, separators=(",", ":"))
+        columns = {
+            "maps": pa.array([maps], pa.list_(pa.map_(pa.string(), pa.int32()))),
+            "adjacent": pa.array([list(beside)], pa.list_(pa.int8())),
+            "pieces": pa.array([pieces], pa.list_(pa.string())),
+        }
+        self._row = spark.createDataFrame(pa.table(columns))
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the columns that ``fold`` and ``decode`` read; a subquery may not stand within their lambdas. One
+        select puts the columns in their place, so no row holds them."""
+        maps, adjacent, pieces = (self._row.select(name).scalar() for name in ("maps", "adjacent", "pieces"))
+        return rows.select("*", F.struct(maps.alias("maps"), adjacent.alias("adjacent")).alias("known"), pieces.alias("pieces"))
 
-    def fold(self, words: Column) -> Column:
-        """The ids of each of an array of words. The literal is bound once for all look-ups."""
-        maps = F.from_json(F.lit(self._maps), "array<map<string,int>>")
-        adjacent = F.from_json(F.lit(self._adjacent), "array<tinyint>")
-        bound = F.struct(maps.alias("maps"), adjacent.alias("adjacent"))
-        return _let(bound, lambda v: F.transform(words, lambda word: _folded(word, v["maps"], v["adjacent"])))
+    @staticmethod
+    def fold(words: Column) -> Column:
+        """The ids of each of an array of words. The maps are bound once for all look-ups."""
+        return _let(
+            F.col("known"), lambda v: F.transform(words, lambda word: _folded(word, v["maps"], v["adjacent"]))
+        )
+
+    @staticmethod
+    def decode(ids: Column) -> Column:
+        """A struct of ids and decoded, the bytes that they stand for."""
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes that ids stand for."""
-        pieces = F.from_json(F.lit(self._pieces), "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+        def both(v: Column) -> Column:
+            keys = F.transform(v["ids"], lambda i: F.get(v["pieces"], i))
+            return F.struct(v["ids"].alias("ids"), F.unhex(F.array_join(keys, "")).alias("decoded"))
+
+        return _let(F.struct(ids.alias("ids"), F.col("pieces").alias("pieces")), both)
 
 
 @dataclass
@@ -387,11 +401,18 @@ def frequent_words(docs: DataFrame, text_column: str, dictionary_size: int) -> D
     return counts.filter(F.col("bin") >= least if least is not None else F.lit(False)).select("word")
 
 
+def _folded_words(frequent: DataFrame, vocabulary: Ranks) -> DataFrame:
+    """word and ids. The words are dealt out and written first: a plan with an exchange is kept by the driver, and logged,
+    anew after each stage, here with the fold's long expression."""
+    parts = frequent.sparkSession.sparkContext.defaultParallelism * 2
+    words = written(frequent.repartition(parts, "word"), "frequent")
+    return vocabulary.beside(words).select("word", vocabulary.fold(F.array("word")).getItem(0).alias("ids"))
+
+
 def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: str, dictionary_size: int) -> DataFrame:
-    frequent = frequent_words(docs, text_column, dictionary_size)
-    folded = frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "word").select(
-        "word", vocabulary.fold(F.array("word")).getItem(0).alias("ids")
-    )
+    """carried, ids and decoded."""
+    release()  # what was read to make the vocabulary
+    folded = _folded_words(frequent_words(docs, text_column, dictionary_size), vocabulary)
     known = Dictionary.of(folded.toArrow(), vocabulary.largest)  # at most dictionary_size rows
     pa.default_memory_pool().release_unused()
     cut = docs.select(carried.alias("carried"), words_of(docs[text_column]).alias("words"))
@@ -408,7 +429,9 @@ def _encoded(docs: DataFrame, carried: Column, vocabulary: Ranks, text_column: s
             )
         ),
     )
-    return looked_up.select("carried", F.when(F.size("rare") == 0, F.flatten("segments")).otherwise(ids).alias("ids"))
+    whole = F.when(F.size("rare") == 0, F.flatten("segments")).otherwise(ids)
+    found = vocabulary.beside(looked_up).select("carried", vocabulary.decode(whole).alias("found"))
+    return found.select("carried", "found.ids", "found.decoded")
 
 
 def encoded(
@@ -419,18 +442,16 @@ def encoded(
     dictionary_size: int = DICTIONARY_SIZE,
 ) -> DataFrame:
     """doc_id, ids (array<int>) and decoded (the bytes the ids stand for)."""
-    vocabulary = Ranks(ranks)
+    vocabulary = Ranks(docs.sparkSession, ranks)
     found = _encoded(docs, docs[id_column], vocabulary, text_column, dictionary_size)
-    return found.select(
-        F.col("carried").alias("doc_id"), "ids", vocabulary.decode(F.col("ids")).alias("decoded")
-    )
+    return found.select(F.col("carried").alias("doc_id"), "ids", "decoded")
 
 
 def round_trip(
     docs: DataFrame, ranks: dict[bytes, int], text_column: str = "text", dictionary_size: int = DICTIONARY_SIZE
 ) -> DataFrame:
     """``docs`` with ids and decoded."""
-    vocabulary = Ranks(ranks)
+    vocabulary = Ranks(docs.sparkSession, ranks)
     whole = F.struct(*[docs[c] for c in docs.columns])
     found = _encoded(docs, whole, vocabulary, text_column, dictionary_size)
-    return found.select("carried.*", "ids", vocabulary.decode(F.col("ids")).alias("decoded"))
+    return found.select("carried.*", "ids", "decoded")

@@ -27,23 +27,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.selectExpr("a", "m as b")).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Number of links and sum of their hashes, which is exact in decimals."""
-    hashes = F.xxhash64("a", "b").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(hashes)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links (a, b), b < a, are stars: each a has one link, and none leads to another a."""
+    ends = edges.selectExpr("a as node", "1 as down", "0 as up").unionByName(
+        edges.selectExpr("b as node", "0 as down", "1 as up")
+    )
+    ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down > 1 or down = 1 and up = 1").count() == 0
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node of its group.
 
     Alternating large and small stars: the links are rewritten until each node points to its root, in a number of
-    rounds that grows with the logarithm of the longest chain. Each round is written to the shared folder; only a
-    fingerprint of the links comes to the driver, and equal ones end the rounds.
+    rounds that grows with the logarithm of the longest chain. The links are written to the shared folder after either
+    step, so that the driver holds plans of one step; only a count of the nodes that don't point to a root comes to it.
     """
     stars = written(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "links")
-    before, now = None, _fingerprint(stars)
-    while now != before:
-        stars = written(_small_star(_large_star(stars)), "links")
-        before, now = now, _fingerprint(stars)
+    while not _settled(stars):
+        stars = written(_small_star(written(_large_star(stars), "links")), "links")
     roots = stars.select("b").distinct().selectExpr("b as node", "b as root")
     return stars.selectExpr("a as node", "b as root").unionByName(roots)

@@ -46,7 +46,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def short_plans(spark: SparkSession) -> None:
-    """Has the driver keep plans as texts of ``PLAN_CHARS`` at most: literals of vocabularies make them megabytes each."""
+    """Has the driver keep plans as texts of ``PLAN_CHARS`` at most: it keeps some hundreds of them."""
     spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
 
 

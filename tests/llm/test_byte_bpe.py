@@ -93,3 +93,17 @@ def test_ranks_that_overtake(spark):
         cases = [(n, "".join(rng.choices("abc", k=rng.randint(2, 700)))) for n in range(8)]
         for r in rows(B.encoded(documents(spark, cases), ranks, dictionary_size=1)):
             assert r["ids"] == library.encode_ordinary(cases[r["doc_id"]][1])
+
+
+def test_plans_hold_no_vocabulary(spark):
+    """The driver keeps the texts of plans; nor may a row hold the vocabulary on its way."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    found = plan(B.round_trip(documents(spark, CASES), RANKS, dictionary_size=10))
+    assert max(RANKS, key=len).hex().upper() not in found
+    assert len(found) < 100_000
+    assert " AS known" not in found and " AS pieces" not in found
+    words = spark.createDataFrame([("some",), ("words",)], "word string")
+    assert "Exchange" not in plan(B._folded_words(words, B.Ranks(spark, RANKS)))

@@ -173,3 +173,17 @@ def test_sketches_of_unlike_texts_agree_by_chance_only():
             sketches.append(N._sketch(least))
         agreed = [(a == b).mean() for a, b in itertools.combinations(sketches, 2)]
         assert abs(np.mean(agreed) - 1 / 256) < 0.002
+
+
+def test_rounds_of_connected_are_few_and_their_plans_small(spark, monkeypatch):
+    """The driver keeps the plan of each: stars need no round, and a round holds its two steps apart."""
+    kept, write = [], links.written
+    monkeypatch.setattr(links, "written", lambda df, name: kept.append(df) or write(df, name))
+    stars = [(n, n - n % 7) for n in range(70) if n % 7]
+    found = {r["node"]: r["root"] for r in rows(links.connected(spark.createDataFrame(stars, "a long, b long")))}
+    assert found == {n: n - n % 7 for n in range(70)}
+    assert len(kept) == 1
+    chain = [(n, n + 1) for n in range(20)]
+    found = {r["node"]: r["root"] for r in rows(links.connected(spark.createDataFrame(chain, "a long, b long")))}
+    assert found == dict.fromkeys(range(21), 0)
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 1 for df in kept)
