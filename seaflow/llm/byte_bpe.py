@@ -2,8 +2,8 @@
 
 A text is cut by the pattern of the vocabulary; each match, a word here, is encoded on its own: its bytes are folded,
 merging the neighbours of least rank (the leftmost of equals) until no pair has a rank. Ranks are a scalar subquery of
-the plan: an array of small maps, found by a checksum of the bytes. Bytes are held as hexadecimal text, two characters
-each.
+the plan: arrays of small maps. A whole word's rank is found by a checksum of its bytes, held as hexadecimal text, two
+characters each; that of two parts by their ids.
 
 A word of more than ``LONG_BYTES`` bytes is first cut between bytes that stand side by side in no token: no merge can reach
 across such a place. A piece that stays long has all places of its least rank merged in one step. That equals merging
@@ -44,8 +44,12 @@ DICTIONARY_SIZE = 800_000
 LONG_BYTES = 128
 BUCKETS = 1 << 15
 NO_RANK = 2_147_483_647
-OFFSET_BITS = 8  # hold a place in a word of up to LONG_BYTES bytes
-OFFSET = (1 << OFFSET_BITS) - 1
+PAIR_BUCKETS = 32_749
+OFFSET = (1 << 8) - 1  # holds a place in a word of up to LONG_BYTES bytes
+ID_BITS = 27
+RANK_AT = ID_BITS + 8
+NO_PAIR = (1 << ID_BITS) - 1
+MOST_ID = NO_PAIR - 257  # above are 256 numbers for bytes without a rank
 SLICE_WORDS = 1 << 18  # taken at once from an Arrow batch
 
 
@@ -61,8 +65,8 @@ def words_of(text: Column) -> Column:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body).getItem(0)
+    """``body`` of a value that is computed once: the end of a fold over nothing, since ``transform`` copies what it gives."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, body)
 
 
 def _rank(key: Column, maps: Column) -> Column:
@@ -70,51 +74,68 @@ def _rank(key: Column, maps: Column) -> Column:
     return F.coalesce(F.try_element_at(bucket, key), F.lit(NO_RANK))
 
 
-def _merged(key: Column, maps: Column) -> Column:
+def _merged(bytes_: Column, known: Column) -> Column:
     """The ids of a word's bytes, one merge a step.
 
-    The state is one number for each part: the rank of the pair it begins, and the part's first byte in the lowest bits.
-    The least number is thus the leftmost of the pairs of least rank. A last number marks the end of the word.
+    The state is one number for each part: the rank of the pair it begins, the part's first byte, and the part's id in the
+    lowest bits. The least number is thus the leftmost of the pairs of least rank, and that rank is the id of both together.
     """
-    n = (F.length(key) / 2).cast("int")
 
     def begin(number: Column) -> Column:
-        return number.bitwiseAND(OFFSET).cast("int")
+        return number.bitwiseAND(OFFSET << ID_BITS)
 
-    def number(rank: Column, first: Column) -> Column:
-        return F.shiftleft(rank.cast("long"), OFFSET_BITS).bitwiseOR(first.cast("long"))
+    def own(number: Column) -> Column:
+        return number.bitwiseAND(NO_PAIR)
 
-    def ranked(first: Column, end: Column) -> Column:
-        return number(_rank(F.substring(key, first * 2 + 1, (end - first) * 2), maps), first)
+    def pair(left: Column, right: Column) -> Column:
+        """The rank of two parts, at its place in a number."""
 
-    def unranked(first: Column) -> Column:
-        return number(F.lit(NO_RANK), first)
+        def found(both: Column) -> Column:
+            bucket = F.get(known["pairs"], (both % PAIR_BUCKETS).cast("int"))
+            return F.coalesce(F.try_element_at(bucket, both), F.lit(NO_PAIR)).cast("long")
+
+        return F.shiftleft(_let(F.shiftleft(left, ID_BITS).bitwiseOR(right), found), RANK_AT)
+
+    def pair_or_none(left: Column, right: Column) -> Column:
+        return F.when(right.isNotNull(), pair(left, right)).otherwise(F.lit(NO_PAIR << RANK_AT))
+
+    def numbers(ids: Column) -> Column:
+        def number(part: Column, i: Column) -> Column:
+            first = F.shiftleft(i.cast("long"), ID_BITS)
+            return pair_or_none(part, F.get(ids, i + 1)).bitwiseOR(first).bitwiseOR(part)
+
+        return F.transform(ids, number)
 
     def step(state: Column, _: Column) -> Column:
-        def joined(p: Column) -> Column:
-            before, own, end = (begin(F.get(state, p + shift)) for shift in (-2, -1, 1))
-            left = F.when(p > 1, F.array(ranked(before, end))).otherwise(F.array().cast("array<bigint>"))
-            right = F.when(end < n, ranked(own, begin(F.get(state, p + 2)))).otherwise(unranked(own))
-            return F.concat(
-                F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), left, F.array(right), F.slice(state, p + 2, n)
-            )
+        def joined(least: Column) -> Column:
+            made = F.shiftright(least, RANK_AT)
+
+            def at(place: Column) -> Column:
+                def put(number: Column, i: Column) -> Column:
+                    here = pair_or_none(made, own(F.get(state, place + 2))).bitwiseOR(begin(least)).bitwiseOR(made)
+                    before = pair(own(number), made).bitwiseOR(number.bitwiseAND((1 << RANK_AT) - 1))
+                    return F.when(i == place, here).when(i == place - 1, before).otherwise(number)
+
+                return F.transform(F.array_remove(state, F.get(state, place + 1)), put)
+
+            # Not by array_position, which leaves its loop by throwing, nor by slices, which took longer.
+            return _let(F.size(F.filter(state, lambda number: begin(number) < begin(least))), at)
 
         return _let(
-            F.array_position(state, F.array_min(state)).cast("int"),
-            lambda p: F.when(F.get(state, p - 1) < NO_RANK << OFFSET_BITS, joined(p)).otherwise(state),
+            F.array_min(state), lambda least: F.when(least < NO_PAIR << RANK_AT, joined(least)).otherwise(state)
         )
 
-    def ids(state: Column) -> Column:
-        def part(own: Column, i: Column) -> Column:
-            end = begin(F.get(state, i + 1))
-            return _rank(F.substring(key, begin(own) * 2 + 1, (end - begin(own)) * 2), maps)
+    def id_of(number: Column) -> Column:
+        return F.when(own(number) <= MOST_ID, own(number).cast("int")).otherwise(F.lit(NO_RANK))
 
-        return F.transform(F.slice(state, F.lit(1), F.size(state) - 1), part)
-
-    start = F.concat(
-        F.transform(F.sequence(F.lit(0), n - 2), lambda i: ranked(i, i + 2)), F.array(unranked(n - 1), unranked(n))
+    characters = F.split(F.decode(bytes_, "ISO-8859-1"), "")  # one for each byte
+    parts = F.transform(characters, lambda c: F.get(known["bytes"], F.ascii(c)).cast("long"))
+    return _let(
+        parts,
+        lambda ids: F.aggregate(
+            F.sequence(F.lit(1), F.size(ids)), numbers(ids), step, lambda state: F.transform(state, id_of)
+        ),
     )
-    return F.aggregate(F.sequence(F.lit(2), n), start, step, ids)
 
 
 def _merged_by_rank(key: Column, maps: Column) -> Column:
@@ -208,17 +229,18 @@ def _pieces(key: Column, adjacent: Column) -> Column:
     return F.split(_let(F.regexp_extract_all(key, F.lit(".."), F.lit(0)), cut), " ")
 
 
-def _folded(word: Column, maps: Column, adjacent: Column) -> Column:
+def _folded(word: Column, known: Column) -> Column:
     """The ids of one word: itself if it has a rank, else its bytes with all merges made."""
     short = 2 * LONG_BYTES
+    maps = known["maps"]
 
     def merged(key: Column) -> Column:
-        return F.when(F.length(key) <= short, _merged(key, maps)).otherwise(
+        return F.when(F.length(key) <= short, _merged(F.unhex(key), known)).otherwise(
             F.flatten(
                 F.transform(
-                    _pieces(key, adjacent),
+                    _pieces(key, known["adjacent"]),
                     lambda piece: F.when(F.length(piece) == 2, F.array(_rank(piece, maps)))
-                    .when(F.length(piece) <= short, _merged(piece, maps))
+                    .when(F.length(piece) <= short, _merged(F.unhex(piece), known))
                     .otherwise(_merged_by_rank(piece, maps)),
                 )
             )
@@ -232,6 +254,17 @@ def _folded(word: Column, maps: Column, adjacent: Column) -> Column:
     )
 
 
+def _bucketed(pairs: dict[int, int]) -> pa.ListArray:
+    """One row: an array of a map for each bucket. Made of flat arrays, which the driver holds in little memory."""
+    keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+    ranks = np.fromiter(pairs.values(), np.int32, len(pairs))
+    buckets = keys % PAIR_BUCKETS
+    order = np.argsort(buckets, kind="stable")
+    offsets = np.concatenate(([0], np.bincount(buckets, minlength=PAIR_BUCKETS).cumsum())).astype(np.int32)
+    maps = pa.MapArray.from_arrays(pa.array(offsets), pa.array(keys[order]), pa.array(ranks[order]))
+    return pa.ListArray.from_arrays(pa.array([0, PAIR_BUCKETS], pa.int32()), maps)
+
+
 class Ranks:
     """A vocabulary as a table of one row, whose columns plans use as scalar subqueries: a literal would stand in the texts
     of every plan, which the driver keeps."""
@@ -248,8 +281,20 @@ class Ranks:
             for pair in zip(token, token[1:]):
                 beside[pair[0] << 8 | pair[1]] = 1
         self.largest = len(pieces) - 1
+        if self.largest > MOST_ID:
+            raise ValueError(f"ranks beyond {MOST_ID:,} are not supported")
+        bytes_ = [ranks.get(bytes([b]), NO_PAIR - 1 - b) for b in range(256)]
+        parts = {bytes([b]): number for b, number in enumerate(bytes_)} | ranks
+        pairs: dict[int, int] = {}  # of all parts that give a token side by side
+        for token, rank in ranks.items():
+            for n in range(1, len(token)):
+                left, right = parts.get(token[:n]), parts.get(token[n:])
+                if left is not None and right is not None:
+                    pairs[left << ID_BITS | right] = rank
         columns = {
             "maps": pa.array([maps], pa.list_(pa.map_(pa.string(), pa.int32()))),
+            "pairs": _bucketed(pairs),
+            "bytes": pa.array([bytes_], pa.list_(pa.int32())),
             "adjacent": pa.array([list(beside)], pa.list_(pa.int8())),
             "pieces": pa.array([pieces], pa.list_(pa.string())),
         }
@@ -258,15 +303,13 @@ class Ranks:
     def beside(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the columns that ``fold`` and ``decode`` read; a subquery may not stand within their lambdas. One
         select puts the columns in their place, so no row holds them."""
-        maps, adjacent, pieces = (self._row.select(name).scalar() for name in ("maps", "adjacent", "pieces"))
-        return rows.select("*", F.struct(maps.alias("maps"), adjacent.alias("adjacent")).alias("known"), pieces.alias("pieces"))
+        known = [self._row.select(name).scalar().alias(name) for name in ("maps", "pairs", "bytes", "adjacent")]
+        return rows.select("*", F.struct(*known).alias("known"), self._row.select("pieces").scalar().alias("pieces"))
 
     @staticmethod
     def fold(words: Column) -> Column:
         """The ids of each of an array of words. The maps are bound once for all look-ups."""
-        return _let(
-            F.col("known"), lambda v: F.transform(words, lambda word: _folded(word, v["maps"], v["adjacent"]))
-        )
+        return _let(F.col("known"), lambda known: F.transform(words, lambda word: _folded(word, known)))
 
     @staticmethod
     def decode(ids: Column) -> Column:

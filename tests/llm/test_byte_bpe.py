@@ -4,6 +4,7 @@ import sys
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from frames import clashing, documents, rows  # noqa: E402
@@ -107,3 +108,26 @@ def test_plans_hold_no_vocabulary(spark):
     assert " AS known" not in found and " AS pieces" not in found
     words = spark.createDataFrame([("some",), ("words",)], "word string")
     assert "Exchange" not in plan(B._folded_words(words, B.Ranks(spark, RANKS)))
+
+
+def test_merges_look_up_pairs_of_ids(spark):
+    """No step searches the state by array_position or slices it: together with keys of text that took about twice as long."""
+    rng = random.Random(11)
+    words = ["a", "\x00\x00b", "é", "ÿþ", *("".join(rng.choices("thearinño\x01ß", k=k)) for k in range(2, 100))]
+    vocabulary = B.Ranks(spark, RANKS)
+    rows_ = vocabulary.beside(spark.createDataFrame([(w,) for w in words], "word string"))
+    found = rows_.select("word", B._merged(F.encode("word", "UTF-8"), F.col("known")).alias("ids"))
+    text = found._jdf.queryExecution().analyzed().toString()
+    assert "array_min" in text and "array_position" not in text and "slice" not in text
+    for r in found.collect():
+        if r["word"].encode() not in RANKS:
+            assert r["ids"] == LIBRARY._encode_single_piece(r["word"].encode())
+
+
+def test_a_byte_without_a_rank(spark):
+    """Bytes without a rank stand by themselves or in a token that has one; no other id is changed."""
+    ranks = {bytes([b]): b for b in range(256) if b != ord("q")} | {b"qu": 300, b"ab": 301}
+    vocabulary = B.Ranks(spark, ranks)
+    words = vocabulary.beside(spark.createDataFrame([("abq",), ("aqu",), ("abab",)], "word string"))
+    found = {r["word"]: r["ids"] for r in words.select("word", vocabulary.fold(F.array("word"))[0].alias("ids")).collect()}
+    assert found == {"abq": [301, B.NO_RANK], "aqu": [97, 300], "abab": [301, 301]}
